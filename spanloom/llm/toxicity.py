@@ -36,13 +36,13 @@ LEET = str.maketrans("013457@$", "oieastas")
 QUOTES = "\"“”„«»‘’"
 MENTIONS = frozenset("word words term terms slur slurs insult insults insulting called said says quote quoted quotes definition means meaning wrote".split())
 
-_TOKEN = re.compile(r"[^\W_](?:[\w@$]*[^\W_])?")
+_TOKEN = re.compile(r"[@$]?[^\W_](?:[\w@$]*[^\W_])?")
 
 
 def letters(token: str) -> str:
     """Lower case, with signs that stand for letters read as letters if the token has letters too."""
     token = token.lower()
-    return token if token.isalpha() or token.isdigit() else token.translate(LEET)
+    return token if token.isalpha() or not any(map(str.isalpha, token)) else token.translate(LEET)
 
 
 class Levenshtein:
