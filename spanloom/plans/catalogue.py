@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from spanloom.plans import core, notes, scores
+
+
+def _spans() -> dict:
+    return {f"spans_{n.detector.replace(':', '_')}": n for n in notes.NOTES}
+
 
 def queries() -> dict:
-    return {}
+    return {name: notes.spans(n) for name, n in _spans().items()} | core.QUERIES | scores.QUERIES
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: notes.spans_sql(n) for name, n in _spans().items()} | core.ORACLES | scores.ORACLES
