@@ -22,32 +22,41 @@ MIN_LINE_WORDS = 3
 MIN_SEPARATORS, WORDS_PER_SEPARATOR = 3, 4
 # Phrases of page furniture.
 BOILERPLATE = (
-    "cookie policy|privacy policy|terms of service|terms of use|all rights reserved|javascript is disabled|enable javascript|"
-    "click here|sign in|log in|subscribe to our|skip to content|back to top|share on|powered by|copyright ©"
-)
+    "cookie policy,privacy policy,terms of service,terms of use,all rights reserved,javascript is disabled,enable javascript,"
+    "click here,sign in,log in,subscribe to our,skip to content,back to top,share on,powered by,copyright ©"
+).split(",")
 WHITE = "[ \\t-\\r]+"
-MARKS = "[^\\p{L}\\p{N} \\t-\\r]"
-SYMBOLS = "#*$%&|<>"
-
-
-def _count(text: Column, chars: str) -> Column:
-    return F.length(text) - F.length(F.translate(text, chars, ""))
-
-
-def line_verdict(line: Column) -> Column:
-    """struct(chars: characters of its words, rule: the rule that it fails or null)."""
-    bare = F.regexp_replace(line, WHITE, "")
-    chars = F.length(bare)
-    words = F.size(F.split(F.trim(F.regexp_replace(line, WHITE, " ")), " "))
-    marks = F.length(F.regexp_replace(bare, "[\\p{L}\\p{N}]+", ""))
-    separators = _count(bare, "|»•·›")
-    rule = (
-        F.when(F.lower(line).rlike(BOILERPLATE), "boilerplate")
-        .when((separators >= MIN_SEPARATORS) & (words <= separators * WORDS_PER_SEPARATOR), "navigation")
-        .when((words >= MIN_LINE_WORDS) & (marks * 100 > chars * MAX_MARKS_PERCENT), "punctuation")
-        .when((words >= MIN_LINE_WORDS) & (_count(bare, "!?#*$%&<>") >= words), "punctuation")
+WORD = "[^ \\t-\\r]+"
+MARK = "[^\\p{L}\\p{N} \\t-\\r]"
+SYMBOL, SEPARATOR, LOUD = "[#*$%&|<>]", "[|»•·›]", "[!?#*$%&<>]"
+
+
+def _phrase(text: Column) -> Column:
+    """Whether a lower-case text has a phrase of page furniture."""
+    out = F.lit(False)
+    for phrase in BOILERPLATE:
+        out = out | text.contains(phrase)
+    return out
+
+
+def line_figures(line: Column) -> Column:
+    """struct(line, words, chars of its words, marks: neither letter nor digit)."""
+    chars = F.length(F.regexp_replace(line, WHITE, ""))
+    return F.struct(line.alias("line"), F.regexp_count(line, F.lit(WORD)).alias("words"), chars.alias("chars"), F.regexp_count(line, F.lit(MARK)).alias("marks"))
+
+
+def line_rule(x: Column, furniture: Column) -> Column:
+    """The rule that a line with line_figures fails, or null. furniture: whether its document has a phrase of page furniture.
+
+    A line without a mark can fail for a phrase only, so most lines are looked at no further.
+    """
+    separators = F.regexp_count(x["line"], F.lit(SEPARATOR))
+    marked = (
+        F.when((x["words"] >= MIN_LINE_WORDS) & (x["marks"] * 100 > x["chars"] * MAX_MARKS_PERCENT), "punctuation")
+        .when((x["marks"] >= MIN_SEPARATORS) & (separators >= MIN_SEPARATORS) & (x["words"] <= separators * WORDS_PER_SEPARATOR), "navigation")
+        .when((x["words"] >= MIN_LINE_WORDS) & (x["marks"] >= x["words"]) & (F.regexp_count(x["line"], F.lit(LOUD)) >= x["words"]), "punctuation")
     )
-    return F.struct(chars.alias("chars"), rule.alias("rule"))
+    return F.when(furniture & _phrase(F.lower(x["line"])), "boilerplate").when(x["marks"] > 0, marked)
 
 
 def _step(rows: DataFrame, **columns: str) -> DataFrame:
@@ -68,18 +77,19 @@ def measured(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
     rows = docs.select(F.col("doc_id").alias("id"), text.alias("t"), *carried)
     rows = rows.withColumns(
         {
-            "words": F.filter(F.split("t", WHITE), lambda w: w != ""),
-            "lines": F.split("t", "\n"),
+            "words": F.array_remove(F.split("t", WHITE), ""),
+            "lines": F.transform(F.split("t", "\n"), line_figures),
+            "furniture": _phrase(F.lower("t")),
             "word_chars": F.length(F.regexp_replace("t", WHITE, "")).cast("long"),
-            "n_symbols": _count(F.col("t"), SYMBOLS).cast("long"),
+            "n_symbols": F.regexp_count("t", F.lit(SYMBOL)).cast("long"),
         }
     )
     # Every array that a loop reads is a column of the step before, so that it is made once for each row.
     rows = rows.withColumns(
         {
-            "verdicts": F.transform("lines", line_verdict),
-            "real": F.filter("lines", lambda x: x.rlike("[^ \\t-\\r]")),
-            "hashes": F.expr("if(size(words) < 3, cast(array() as array<bigint>), transform(sequence(0, size(words) - 3), i -> xxhash64(get(words, i), get(words, i + 1), get(words, i + 2))))"),
+            "verdicts": F.transform("lines", lambda x: F.struct(x["chars"].alias("chars"), line_rule(x, F.col("furniture")).alias("rule"))),
+            "real": F.transform(F.filter("lines", lambda x: x["words"] > 0), lambda x: x["line"]),
+            "hashes": F.expr("slice(transform(words, (w, i) -> xxhash64(w, get(words, i + 1), get(words, i + 2))), 1, greatest(size(words) - 2, 0))"),
         }
     )
     rows = _step(rows, distinct_windows="size(array_distinct(hashes))")
@@ -96,7 +106,7 @@ def measured(docs: DataFrame, carry: list[str] = ()) -> DataFrame:
         n_repeat_words="if(size(places) = 0, 0L, aggregate(sequence(0, size(places) - 1), 0L, (sum, k) -> sum + least(3, coalesce(get(places, k + 1) - get(places, k), 3))))",
         lost_chars="aggregate(verdicts, 0L, (sum, v) -> sum + if(v.rule is null, 0, v.chars))",
         n_failed_lines="cast(size(filter(verdicts, v -> v.rule is not null)) as bigint)",
-        clean_text="array_join(transform(filter(arrays_zip(lines, verdicts), z -> z.verdicts.rule is null), z -> z.lines), '\n')",
+        clean_text="array_join(transform(filter(arrays_zip(lines, verdicts), z -> z.verdicts.rule is null), z -> z.lines.line), '\n')",
     )
     base = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     rows = rows.withColumn("base_failed", base)
@@ -152,4 +162,4 @@ WITH t AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND 100 * lost_chars <= 50 * word_chars AS kept, lost_chars, n_failed_lines
 FROM b
-""".replace("PHRASES", BOILERPLATE)
+""".replace("PHRASES", "|".join(BOILERPLATE))
