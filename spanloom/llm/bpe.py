@@ -23,7 +23,7 @@ from spanloom.llm.common import tokenizer_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Distinct words whose ids are kept in a worker.
-KNOWN = 300_000
+KNOWN = 600_000
 #: Characters of text split before their new words are replayed.
 BLOCK_CHARS = 2_000_000
 
@@ -33,6 +33,10 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in file if line.strip())}
 
 
+#: Ids are below this power of two, so a pair of them is one number.
+SHIFT = 21
+
+
 class MergeReplay:
     """Word encoder over a rank table."""
 
@@ -40,47 +44,39 @@ class MergeReplay:
         self.ranks = ranks
         self.bytes = {v: k for k, v in ranks.items()}
         self.single = [ranks[bytes([b])] for b in range(256)]
-        self.pairs: dict[tuple[int, int], int | None] = {}
-
-    def _rank(self, a: int, b: int) -> int | None:
-        key = (a, b)
-        try:
-            return self.pairs[key]
-        except KeyError:
-            if len(self.pairs) > 1_000_000:
-                self.pairs.clear()
-            found = self.pairs[key] = self.ranks.get(self.bytes[a] + self.bytes[b])
-            return found
+        # Every pair of tokens whose bytes make a token, with that token's rank.
+        self.pairs = {ranks[t[:k]] << SHIFT | ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
 
     def encode(self, words: Iterable[bytes]) -> list[list[int]]:
         """Ids of each word. A word that is a token itself is that token."""
-        out: list[list[int] | None] = []
-        symbol: list[int] = []
-        before: list[int] = []
-        after: list[int] = []
+        whole_of, single, rank_of = self.ranks.get, self.single, self.pairs.get
+        out: list[list[int]] = []
+        symbol: list[int] = []  # words one after the other, each closed by -1
         owner: list[int] = []
-        begins: list[tuple[int, int]] = []
+        begins: list[int] = []
         for w in words:
-            whole = self.ranks.get(w)
+            whole = whole_of(w)
             if whole is not None or not w:
                 out.append([whole] if w else [])
                 continue
-            s, n = len(symbol), len(w)
-            begins.append((len(out), s))
-            symbol += [self.single[b] for b in w]
-            before += [-1, *range(s, s + n - 1)]
-            after += [*range(s + 1, s + n), -1]
-            owner += [len(out)] * n
-            out.append(None)
+            begins.append(len(symbol))
+            owner += [len(out)] * (len(w) + 1)
+            symbol += [single[b] for b in w]
+            symbol.append(-1)
+            out.append([])
+        before, after = list(range(-1, len(symbol) - 1)), list(range(1, len(symbol) + 1))
         index: dict[int, list[int]] = {}
-        rank = self._rank
-        for p, q in enumerate(after):
-            if q >= 0 and (r := rank(symbol[p], symbol[q])) is not None:
-                index.setdefault(r, []).append(p)
+        for p, (a, b) in enumerate(zip(symbol, symbol[1:], strict=False)):
+            if a >= 0 and b >= 0 and (r := rank_of(a << SHIFT | b)) is not None:
+                if r in index:
+                    index[r].append(p)
+                else:
+                    index[r] = [p]
         heap = list(index)
         heapq.heapify(heap)
+        push, pop = heapq.heappush, heapq.heappop
         while heap:
-            r = heapq.heappop(heap)
+            r = pop(heap)
             places = index.pop(r, None)
             if places is None:
                 continue
@@ -88,35 +84,41 @@ class MergeReplay:
             waiting: set[int] = set()
             later: list[int] = []
             for p in places:
-                q = after[p]
-                if symbol[p] < 0 or q < 0 or rank(symbol[p], symbol[q]) != r:
-                    continue
-                if owner[p] in waiting:
+                x, q = symbol[p], after[p]
+                if x < 0 or (y := symbol[q]) < 0 or rank_of(x << SHIFT | y) != r:
+                    continue  # a neighbour has changed since
+                if waiting and owner[p] in waiting:
                     later.append(p)
                     continue
-                symbol[p], symbol[q] = r, -1
-                after[p] = n = after[q]
-                if n >= 0:
-                    before[n] = p
-                for a, b in ((before[p], p), (p, n)):
-                    if a >= 0 and b >= 0 and (new := rank(symbol[a], symbol[b])) is not None:
-                        if new in index:
-                            index[new].append(a)
-                        else:
-                            index[new] = [a]
-                            heapq.heappush(heap, new)
-                        if new < r:  # that pair comes first in this word
-                            waiting.add(owner[p])
+                n, o = after[q], before[p]
+                symbol[p], symbol[q] = r, -2
+                after[p], before[n] = n, p
+                y = symbol[n]
+                if y >= 0 and (new := rank_of(r << SHIFT | y)) is not None:
+                    if new in index:
+                        index[new].append(p)
+                    else:
+                        index[new] = [p]
+                        push(heap, new)
+                    if new < r:  # that pair comes first in this word
+                        waiting.add(owner[p])
+                if o >= 0 and (y := symbol[o]) >= 0 and (new := rank_of(y << SHIFT | r)) is not None:
+                    if new in index:
+                        index[new].append(o)
+                    else:
+                        index[new] = [o]
+                        push(heap, new)
+                    if new < r:
+                        waiting.add(owner[p])
             if later:
                 index[r] = later
-                heapq.heappush(heap, r)
-        for k, p in begins:
-            ids = []
-            while p >= 0:
+                push(heap, r)
+        for p in begins:
+            ids = out[owner[p]]
+            while symbol[p] >= 0:
                 ids.append(symbol[p])
                 p = after[p]
-            out[k] = ids
-        return out  # type: ignore[return-value]
+        return out
 
     def decode(self, ids: Iterable[int]) -> bytes:
         table = self.bytes
@@ -128,16 +130,14 @@ class Encoder:
 
     def __init__(self, ranks: dict[bytes, int], pattern: str, known: int = KNOWN):
         self.replay, self.split, self.known = MergeReplay(ranks), regex.compile(pattern).findall, known
-        self.ids: dict[str, list[int]] = {}
-        self.text: dict[str, str] = {}
-        self.raw: dict[str, bytes] = {}
+        self.text: dict[str, str] = {}  # ids of a word, as decimals
+        self.raw: dict[str, bytes] = {}  # bytes of those ids
 
     def learn(self, texts: list[list[str]]) -> None:
-        if len(self.ids) > self.known:
-            self.ids, self.text, self.raw = {}, {}, {}
-        new = list(set().union(*texts) - self.ids.keys())
+        if len(self.text) > self.known:
+            self.text, self.raw = {}, {}
+        new = list(set().union(*texts) - self.text.keys())
         for w, ids in zip(new, self.replay.encode([w.encode() for w in new]), strict=True):
-            self.ids[w] = ids
             self.text[w] = ",".join(map(str, ids))
             self.raw[w] = self.replay.decode(ids)
 
@@ -157,7 +157,7 @@ class Encoder:
 
     def encode(self, texts: Iterable[str]) -> Iterator[list[int]]:
         for words in self.words(texts):
-            yield [i for w in words for i in self.ids[w]]
+            yield list(map(int, ",".join(map(self.text.__getitem__, words)).split(","))) if words else []
 
 
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
@@ -217,8 +217,9 @@ def digests(docs: DataFrame, vocabulary: str | None = None, pattern: str | None
         for batch in them:
             n, ids, raw = [], [], []
             for words in own.words(_texts(batch)):
-                n.append(sum(map(len, map(own.ids.__getitem__, words))))
-                ids.append(hashlib.sha256(",".join(map(own.text.__getitem__, words)).encode()).hexdigest())
+                joined = ",".join(map(own.text.__getitem__, words)).encode()
+                n.append(joined.count(b",") + 1 if joined else 0)
+                ids.append(hashlib.sha256(joined).hexdigest())
                 raw.append(hashlib.sha256(b"".join(map(own.raw.__getitem__, words))).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(raw, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
