@@ -30,7 +30,7 @@ counsel attorney witness directive regulation schedule treaty charter code motio
 criminal civil supreme federal national international regional central general foreign first second third january february march april may june july
 august september october november december monday tuesday wednesday thursday friday saturday sunday also then thus hence however standards content
 request internet status line type service domain header message response method network version client port token error ip mac ssn id iban bic url
-suite street avenue road
+suite street avenue road european human fundamental grand
 """.split()
 NON_NAMES = [w for w in dict.fromkeys(NON_NAMES) if w != "may"]
 
