@@ -10,9 +10,11 @@ regression, with the intercept set for the class shares among all training label
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
-from collections.abc import Iterator
+import zlib
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -25,9 +27,12 @@ from spanloom.llm.common import held_out, labelled_sample, materialize
 #: Labelled texts of each class that the model is fitted on, at most, and terms that it keeps, at most.
 SAMPLE_DOCS = 6000
 MAX_TERMS = 400
-PREFIXES = (5, 6, 7)
-MIN_SUPPORT, MIN_PRECISION = 6, 0.75
+PREFIXES = (4, 5, 6, 7)
+#: A term stands in so many toxic texts at least, and in such a share of them; so purely in toxic ones, and in
+#: texts that are this much unlike each other.
+MIN_SUPPORT, MIN_SHARE, MIN_PRECISION, MIN_UNLIKE = 6, 0.006, 0.75, 0.5
 FUZZY_LETTERS = 5
+FEW_WORDS = 40
 #: Share of a hit's weight that one edit leaves, and that a quoted or mentioned term leaves.
 EDIT_SHARE, QUOTED_SHARE = 0.8, 0.35
 WINDOW = 6
@@ -89,32 +94,48 @@ class Lexicon:
     def __init__(self, terms: dict[str, float]):
         self.terms = terms
         self.root: dict = {}
-        heads, tails, exact = set(), set(), set()
+        self.back: dict = {}  # terms that may have an edit, from their ends
+        halves: dict[int, tuple[set[str], set[str]]] = {}
+        self.begins: dict[int, set[str]] = {}
+        self.exact: set[str] = set()
         for term in terms:
             node, bare = self.root, term.rstrip("*")
             for c in bare:
                 node = node.setdefault(c, {})
+            n = len(bare)
             node["prefix" if term.endswith("*") else "word"] = term
             if term.endswith("*"):
-                heads.add(bare[:2])
-            elif len(bare) >= FUZZY_LETTERS:
-                # One edit leaves one half of the term as it was.
-                heads.add(bare[:2])
-                tails.add(bare[-2:])
+                self.begins.setdefault(n, set()).add(bare)
+            elif n < FUZZY_LETTERS:
+                self.exact.add(bare)
             else:
-                exact.add(bare)
-        self.heads, self.tails, self.exact = heads, tails, exact
+                heads, tails = halves.setdefault(n, (set(), set()))
+                heads.add(bare[: n // 2])
+                tails.add(bare[n // 2 :])
+                node = self.back
+                for c in reversed(bare):
+                    node = node.setdefault(c, {})
+                node["word"] = term
+        # By the length of a word: (length of a term's first half, minus that of its second, first halves, second halves).
+        self.halves = {
+            size: [(n // 2, n // 2 - n, *halves[n]) for n in (size - 1, size, size + 1) if n in halves]
+            for size in {m + d for m in halves for d in (-1, 0, 1)}
+        }
         self.known: dict[str, tuple[float, int] | None] = {}
 
     def possible(self, word: str) -> bool:
-        return word[:2] in self.heads or word[-2:] in self.tails or word in self.exact
+        """False for words that no term can match: one edit leaves one half of a term as it was."""
+        for head, tail, heads, tails in self.halves.get(len(word), ()):
+            if word[:head] in heads or word[tail:] in tails:
+                return True
+        return word in self.exact or any(word[:n] in them for n, them in self.begins.items())
 
     def match(self, word: str) -> tuple[float, int] | None:
         """(weight, edits) of the best term for a word."""
         try:
             return self.known[word]
         except KeyError:
-            if len(self.known) > 200_000:
+            if len(self.known) > KNOWN:
                 self.known.clear()
             found = self.known[word] = self._search(word)
             return found
@@ -130,20 +151,49 @@ class Lexicon:
         else:
             if "word" in node:
                 best = max(best or (0.0, 0), (self.terms[node["word"]], 0))
-        if best or len(word) < FUZZY_LETTERS - 1:
+        if best:
             return best
-        automaton = Levenshtein(word, 1)
-        stack = [(self.root, automaton.start())]
+        # One half of the term stands as it is; from where it ends, the automaton of the other half takes one edit.
+        for head, tail, heads, tails in self.halves.get(len(word), ()):
+            if word[:head] in heads:
+                best = max(best or (0.0, 0), self._within(self.root, word[:head], word[head:]))
+            if word[tail:] in tails:
+                best = max(best or (0.0, 0), self._within(self.back, word[: tail - 1 : -1], word[:tail][::-1]))
+        return best if best and best[0] else None
+
+    def _within(self, trie: dict, exact: str, rest: str) -> tuple[float, int]:
+        """(weight, edits) of the best term that begins with `exact` in a trie and goes on within one edit of `rest`."""
+        for c in exact:
+            trie = trie.get(c)
+            if trie is None:
+                return 0.0, 0
+        best, automaton = (0.0, 0), Levenshtein(rest, 1)
+        stack = [(trie, automaton.start())]
         while stack:
             node, state = stack.pop()
-            if "word" in node and len(node["word"]) >= FUZZY_LETTERS and (d := automaton.accepts(state)):
-                best = max(best or (0.0, 0), (self.terms[node["word"]] * EDIT_SHARE, d))
+            term = node.get("word")
+            if term and len(term) >= FUZZY_LETTERS and (d := automaton.accepts(state)):
+                best = max(best, (self.terms[term] * EDIT_SHARE, d))
             for c, below in node.items():
                 if len(c) == 1 and (after := automaton.step(state, c)):
                     stack.append((below, after))
         return best
 
 
+#: Words with a term's half whose match is kept in a worker.
+KNOWN = 400_000
+_LEXICONS: dict[int, Lexicon] = {}
+
+
+def lexicon_of(terms: dict[str, float]) -> Lexicon:
+    """The worker's lexicon of these terms; what it knows of words stays between tasks."""
+    key = hash(tuple(sorted(terms.items())))
+    if key not in _LEXICONS:
+        _LEXICONS.clear()
+        _LEXICONS[key] = Lexicon(terms)
+    return _LEXICONS[key]
+
+
 def hits(text: str, lexicon: Lexicon) -> Iterator[tuple[int, int, float, int]]:
     """(start, end, weight in its context, edits) of every hit."""
     tokens = [(m.start(), m.end(), letters(m[0])) for m in _TOKEN.finditer(text)]
@@ -157,21 +207,44 @@ def hits(text: str, lexicon: Lexicon) -> Iterator[tuple[int, int, float, int]]:
         yield s, e, found[0] * (QUOTED_SHARE if quoted or mentioned else 1.0), found[1]
 
 
+BLOCK_CHARS = 1_000_000
+
+
+def all_features(texts: Iterable[str | None], lexicon: Lexicon) -> Iterator[tuple[float, float, float]]:
+    """Of each text the heaviest hit, the log of the mass of all hits, and the same for each hundred words.
+
+    Texts go in blocks: each distinct word of a block is matched once, and only texts with a hit are looked at in detail.
+    """
+    block: list[tuple[str, list[str]]] = []
+    size = 0
+    for text in texts:
+        text = text or ""
+        block.append((text, _TOKEN.findall(text.lower())))
+        size += len(text)
+        if size > BLOCK_CHARS:
+            yield from _block_features(block, lexicon)
+            block, size = [], 0
+    yield from _block_features(block, lexicon)
+
+
+def _block_features(block: list[tuple[str, list[str]]], lexicon: Lexicon) -> Iterator[tuple[float, float, float]]:
+    possible, match = lexicon.possible, lexicon.match
+    hit = set()
+    for word in set().union(*(words for _, words in block)):
+        read = word if word.isalpha() else letters(word)
+        if possible(read) and match(read):
+            hit.add(word)
+    for text, words in block:
+        found = [w for _, _, w, _ in hits(text, lexicon)] if not hit.isdisjoint(words) else []
+        if not found:
+            yield 0.0, 0.0, 0.0
+            continue
+        mass = sum(found)
+        yield max(found), math.log1p(mass), math.log1p(100 * mass / len(words))
+
+
 def features(text: str | None, lexicon: Lexicon) -> tuple[float, float, float]:
-    """The heaviest hit, the log of the mass of all hits, and the same for each hundred words."""
-    text = text or ""
-    lowered = text.lower()
-    # Only texts with a possible word are looked at in detail.
-    words = _TOKEN.findall(lowered)
-    heads, tails, exact = lexicon.heads, lexicon.tails, lexicon.exact
-    match = lexicon.match
-    if not any(match(w if w.isalpha() else letters(w)) for w in words if w[:2] in heads or w[-2:] in tails or w in exact or not w.isalpha()):
-        return 0.0, 0.0, 0.0
-    found = [w for _, _, w, _ in hits(text, lexicon)]
-    if not found:
-        return 0.0, 0.0, 0.0
-    mass = sum(found)
-    return max(found), math.log1p(mass), math.log1p(100 * mass / len(words))
+    return next(all_features([text], lexicon))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 40) -> np.ndarray:
@@ -193,9 +266,13 @@ class ToxicityModel:
     terms: dict[str, float] = field(default_factory=dict)
     weights: tuple[float, ...] = (-3.0, 0.5, 0.5, 0.5)
 
+    def scores(self, texts: Iterable[str | None], lexicon: Lexicon) -> Iterator[float]:
+        for figures in all_features(texts, lexicon):
+            z = self.weights[0] + sum(a * b for a, b in zip(self.weights[1:], figures, strict=True))
+            yield 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
+
     def score(self, text: str | None, lexicon: Lexicon) -> float:
-        z = self.weights[0] + sum(a * b for a, b in zip(self.weights[1:], features(text, lexicon), strict=True))
-        return 1 / (1 + math.exp(-min(max(z, -30.0), 30.0)))
+        return next(self.scores([text], lexicon))
 
 
 def _terms(text: str | None) -> set[str]:
@@ -203,6 +280,12 @@ def _terms(text: str | None) -> set[str]:
     return words | {f"{w[:n]}*" for w in words for n in PREFIXES if len(w) > n}
 
 
+def likeness(terms: list[str]) -> int:
+    """A number that near copies of a text nearly always share: of its longest words, or of all if they are few."""
+    words = [t for t in terms if not t.endswith("*")]
+    return zlib.crc32(" ".join(words if len(words) < FEW_WORDS else heapq.nsmallest(3, words, key=lambda t: (-len(t), t))).encode())
+
+
 def learned_terms(counts: dict[str, tuple[int, int]], toxic: int, other: int) -> dict[str, float]:
     """Weights of the chosen terms; a term whose shorter beginning is chosen is left out.
 
@@ -236,27 +319,29 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_DOCS) -> Toxicit
 
     def terms(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in them:
-            made, marks = [], []
+            made, marks, kinds = [], [], []
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 own = sorted(_terms(text))
                 made += own
                 marks += [y] * len(own)
-            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()), pa.array(marks, pa.int64())], ["term", "y"])
+                kinds += [likeness(own)] * len(own)
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()), pa.array(marks, pa.int64()), pa.array(kinds, pa.int64())], ["term", "y", "kind"])
 
-    # Equal texts count once, so that a copied text can't make its words terms.
-    texts = sample.groupBy("text").agg(F.max("y").alias("y"))
-    counted = texts.select("text", "y").mapInArrow(terms, "term string, y long").groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b"))
+    rows = sample.select("text", "y").mapInArrow(terms, "term string, y long, kind long")
+    # Near copies count once: a term is as frequent in toxic texts as there are unlike texts among them.
+    counted = rows.groupBy("term").agg(F.count_distinct(F.when(F.col("y") == 1, F.col("kind"))).alias("a"), F.sum("y").alias("all"), F.sum(1 - F.col("y")).alias("b"))
     share = F.col("a") / toxic / (F.col("a") / toxic + F.col("b") / other)
-    chosen = counted.where((F.col("a") >= MIN_SUPPORT) & (share >= 0.9) & (F.col("a") >= MIN_PRECISION * (F.col("a") + F.col("b") * min(1.0, toxic / other * 8))))
+    pure = (share >= 0.9) & (F.col("a") >= MIN_PRECISION * (F.col("a") + F.col("b") * min(1.0, toxic / other * 8)))
+    chosen = counted.where((F.col("a") >= max(MIN_SUPPORT, MIN_SHARE * toxic)) & (F.col("a") >= MIN_UNLIKE * F.col("all")) & pure)
     rows = chosen.orderBy((F.col("a") * share).desc(), "term").limit(8 * MAX_TERMS).collect()
     terms_ = learned_terms({r["term"]: (r["a"], r["b"]) for r in rows}, toxic, other)
     if not terms_:
         return ToxicityModel()
 
     def figures(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(terms_)
+        lexicon = lexicon_of(terms_)
         for batch in them:
-            made = [features(t, lexicon) for t in batch.column(0).to_pylist()]
+            made = list(all_features(batch.column(0).to_pylist(), lexicon))
             cols = [pa.array([m[k] for m in made], pa.float64()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([*cols, batch.column(1)], ["a", "b", "c", "y"])
 
@@ -276,9 +361,9 @@ def scored(docs: DataFrame, model: ToxicityModel, carry: list[str] = ()) -> Data
     carried = [F.col(f"`{x}`").alias(n) for n, x in zip(names, carry, strict=True)]
 
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Lexicon(model.terms)
+        lexicon = lexicon_of(model.terms)
         for batch in them:
-            made = pa.array([model.score(t.as_py(), lexicon) for t in batch.column(1)], pa.float64())
+            made = pa.array(list(model.scores((t.as_py() for t in batch.column(1)), lexicon)), pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], made], ["id", *names, "score"])
 
     source = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), *carried)
