@@ -13,9 +13,11 @@ import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Distinct pieces kept in a worker.
-KNOWN = 900_000
+KNOWN = 1_500_000
 #: Characters of text whose new pieces are encoded together.
 BLOCK_CHARS = 2_000_000
 #: Id that ends every document.
@@ -71,13 +73,19 @@ class WordIds:
         total = np.cumsum(sizes)
         return self.flat[np.repeat(self.start[codes] - (total - sizes), sizes) + np.arange(total[-1])], total
 
-    def learn(self, pieces: set[str]) -> None:
-        new = pieces - self.code.keys()
-        if not new:
-            return
-        if len(self.code) + 2 * len(new) > self.known:
-            self._forget()
-            new = pieces
+    def codes(self, pieces: list[str]) -> np.ndarray:
+        """Numbers of distinct pieces, all of them known from now on."""
+        found = list(map(self.code.get, pieces))
+        new = [p for p, k in zip(pieces, found, strict=True) if k is None]
+        if new:
+            if len(self.code) + 2 * len(new) > self.known:
+                self._forget()
+                new = pieces
+            self._learn(new)
+            found = list(map(self.code.__getitem__, pieces)) if new is pieces else [self.code[p] if k is None else k for p, k in zip(pieces, found, strict=True)]
+        return np.array(found, np.int64)
+
+    def _learn(self, new: list[str]) -> None:
         odd, made, words = [], [], {}
         for piece in new:
             found = WORD(piece)
@@ -106,37 +114,42 @@ class WordIds:
         if odd:
             self._separately(odd)
 
-    def _text(self, text: str, pieces: list[str] | None) -> tuple[np.ndarray, np.ndarray]:
-        if pieces is None:
-            ids = np.array([*self._ids(text), END], np.uint32)
-            return ids, np.array([len(ids)])
-        codes = np.fromiter(map(self.code.__getitem__, pieces), np.int64, len(pieces))
-        ids, total = self._gather(codes)
-        cuts = total[self.ends[codes]]
-        cuts = cuts[(cuts > 0) & (cuts < total[-1])]
-        return np.append(ids, np.uint32(END)), np.unique(np.append(cuts, total[-1] + 1))
-
     def encode(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Of each text its ids with END, as uint32, and the counts of ids after which a sentence ends, ascending, the last at the end.
 
         A text that holds one of the file's own special strings is left to the tokenizer as a whole.
         """
-        block: list[tuple[str, list[str] | None]] = []
+        block: list[str] = []
         size = 0
         for text in texts:
             text = text or ""
-            whole = any(x in text for x in self.special)
-            block.append((text, None if whole else text.replace("\n", " \n ").split(" ")))
+            if any(x in text for x in self.special):
+                yield from self._block(block)
+                block, size = [], 0
+                ids = np.array([*self._ids(text), END], np.uint32)
+                yield ids, np.array([len(ids)])
+                continue
+            block.append(text)
             size += len(text)
             if size > BLOCK_CHARS:
                 yield from self._block(block)
                 block, size = [], 0
         yield from self._block(block)
 
-    def _block(self, block: list) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        self.learn(set().union(*(p for _, p in block if p)))
-        for text, pieces in block:
-            yield self._text(text, pieces)
+    def _block(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        if not texts:
+            return
+        # Pieces are cut and numbered by Arrow; only distinct ones become strings here.
+        pieces = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " \n "), " ")
+        numbered = pieces.values.dictionary_encode()
+        codes = self.codes(numbered.dictionary.to_pylist())[numbered.indices.to_numpy()]
+        ids, total = self._gather(codes)
+        places = pieces.offsets.to_numpy()
+        bounds = np.append(0, total)[places].tolist()
+        cuts = np.unique(total[self.ends[codes]])
+        low, high = np.searchsorted(cuts, bounds[:-1], side="right").tolist(), np.searchsorted(cuts, bounds[1:], side="left").tolist()
+        for s, e, a, b in zip(bounds, bounds[1:], low, high, strict=False):
+            yield np.append(ids[s:e], np.uint32(END)), np.append(cuts[a:b] - s, e - s + 1)
 
 
 _KEPT: dict[str, WordIds] = {}
