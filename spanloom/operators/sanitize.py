@@ -65,10 +65,24 @@ def with_shared_parts(entities: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFr
     return entities.select("doc_id", "entity_type", "canonical", "first").unionByName(more)
 
 
-def surfaces(entities: DataFrame, lexicon: Lexicon = DEFAULT, registry: DataFrame | None = None) -> DataFrame:
+def earlier_values(docs: DataFrame, entities: DataFrame) -> DataFrame:
+    """(doc_id, surface, replacement) of tokenised values that a document may hold and that first stood in an earlier one.
+
+    An as-of join: equal on the value's first word, the document where it first stood before this one. What it gives are
+    candidates; propagation looks for the whole value.
+    """
+    known = entities.where((F.col("action") == TOKENIZE) & (F.length("canonical") >= LEAST_SURFACE))
+    known = known.groupBy("replacement").agg(F.min_by("canonical", F.struct("doc_id", "first")).alias("surface"), F.min("doc_id").alias("first_doc"))
+    known = known.withColumn("word", F.regexp_extract("surface", r"(?U)\w+", 0))
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0)))).alias("word"))
+    return words.join(known, (words["word"] == known["word"]) & (known["first_doc"] < words["doc_id"])).select("doc_id", "surface", "replacement")
+
+
+def surfaces(entities: DataFrame, lexicon: Lexicon = DEFAULT, registry: DataFrame | None = None, docs: DataFrame | None = None) -> DataFrame:
     """(doc_id, surfaces): what propagates in each document; a null replacement marks a name part that several persons share.
 
-    Such a part has its token from the registry, if there is one, or gets one when it turns up.
+    Such a part has its token from the registry, if there is one, or gets one when it turns up. With a registry and the documents,
+    values of earlier documents are surfaces too.
 
     A surface belongs to the entity that appears first. A part that is itself a surface keeps that; a part of one
     person stands for the person.
@@ -86,8 +100,11 @@ def surfaces(entities: DataFrame, lexicon: Lexicon = DEFAULT, registry: DataFram
     else:
         parts = parts.withColumn("token", F.lit(None).cast("string"))
     parts = parts.select(
-        "doc_id", "surface", F.when(alone, F.col("r.replacement")).alias("replacement"), F.when(alone, F.col("r.confidence")).otherwise(PART_CONFIDENCE).alias("confidence"), F.lit(1).alias("part"), "token"
+        "doc_id", "surface", F.when(alone, F.col("r.replacement")).alias("replacement"), F.when(alone, F.col("r.confidence")).otherwise(PART_CONFIDENCE).alias("confidence"), F.when(alone, 1).otherwise(3).alias("part"), "token"
     )
+    if registry is not None and docs is not None:
+        before = earlier_values(docs, entities)
+        parts = parts.unionByName(before.select("doc_id", "surface", "replacement", F.lit(VAULT_CONFIDENCE).alias("confidence"), F.lit(2).alias("part"), F.lit(None).cast("string").alias("token")))
     both = own.unionByName(parts).groupBy("doc_id", "surface").agg(F.min_by(F.struct("replacement", "confidence", "token"), F.col("part")).alias("r"))
     return both.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("surface", "r.replacement", "r.confidence", "r.token"))).alias("surfaces"))
 
@@ -117,10 +134,16 @@ def applied(docs: DataFrame, policy: Policy) -> DataFrame:
             F.element_at("known", h["value"])["confidence"].alias("confidence"),
         ),
     )
-    rows = rows.withColumn("edits", F.array_sort(F.concat("base", found.cast(EDIT_SQL))))
+    rows = rows.withColumn("found", found.cast(EDIT_SQL)).withColumn("edits", F.array_sort(F.concat("base", "found")))
     tokenized = F.filter("entities", lambda e: e["action"] == TOKENIZE)
     vault = F.transform(tokenized, lambda e: F.struct(e["replacement"], e["entity_type"], e["canonical"], e["action"])).cast(VAULT_SQL)
     rows = rows.withColumns({"spliced": splice(F.col("t"), F.col("edits")), "vault": F.concat(vault, F.filter("minted", lambda m: m["action"] == TOKENIZE))})
+    # Tokens of other documents that this one uses are in its part of the vault as well.
+    held = F.transform("vault", lambda v: v["token"])
+    used = F.filter("found", lambda f: (f["replacement"] != REDACTED) & ~F.array_contains(held, f["replacement"]))
+    kind = lambda token: F.regexp_extract(token, r"^\[\[([A-Z_]+)_\d+\]\]$", 1)
+    borrowed = F.array_distinct(F.transform(used, lambda f: F.struct(f["replacement"], kind(f["replacement"]), F.substr(F.col("t"), f["start"] + 1, f["end"] - f["start"]), F.lit(TOKENIZE)))).cast(VAULT_SQL)
+    rows = rows.withColumn("vault", F.concat("vault", borrowed))
     # The sweep: a tokenised value that still stands as a whole word gives way to its first token.
     rows = rows.withColumn("sweep_values", F.filter("vault", lambda v: F.length(v["value"]) >= LEAST_SURFACE))
     rows = rows.withColumn("sweep_pattern", whole_words(F.transform("sweep_values", lambda v: v["value"])))
@@ -134,7 +157,7 @@ def applied(docs: DataFrame, policy: Policy) -> DataFrame:
             "num_tokenized": F.size(tokenized) + F.size(F.filter("minted", lambda m: m["action"] == TOKENIZE)),
             "num_redacted": F.size(F.filter("entities", lambda e: e["action"] != TOKENIZE)) + F.size(F.filter("minted", lambda m: m["action"] != TOKENIZE)),
         }
-    ).drop("t", "base", "pattern", "hits", "known", "shared", "minted", "spliced", "sweep_values", "sweep_pattern", "left", "surfaces")
+    ).drop("t", "base", "found", "pattern", "hits", "known", "shared", "minted", "spliced", "sweep_values", "sweep_pattern", "left", "surfaces")
 
 
 def sanitize(
@@ -160,7 +183,7 @@ def sanitize(
     fields = ("entity_type", "canonical", "idx", "action", "replacement", "confidence", "members")
     grouped = made.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", F.struct(*fields).alias("e")))).alias("es"))
     grouped = grouped.select("doc_id", F.transform("es", lambda x: x["e"]).alias("entities"))
-    rows = docs.select("doc_id", "text").join(grouped, "doc_id", "left").join(surfaces(made, lexicon, registry), "doc_id", "left")
+    rows = docs.select("doc_id", "text").join(grouped, "doc_id", "left").join(surfaces(made, lexicon, registry, docs), "doc_id", "left")
     out = applied(rows, policy)
     return scan(out, policy.recognizers) if run_leak_scan else out
 

@@ -246,6 +246,20 @@ f AS (SELECT entity_type, norm, min((c_custkey, first)) AS place FROM r GROUP BY
 SELECT entity_type, norm, '[[' || entity_type || '_' || lpad(CAST(row_number() OVER (PARTITION BY entity_type ORDER BY place, norm) AS VARCHAR), 3, '0') || ']]' AS token, place[1] AS first_doc FROM f
 """
 
+# As-of: a word that is common in its own document, and a name in an earlier one.
+
+def registry_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents before the first one with a titled name keep the bare word; those after it don't."""
+    rows = table(spark, sf_dir, "customer").selectExpr("c_custkey as doc_id", "case when c_custkey = 5 then 'Dr. Weber came' else 'a weber and Weber' end as text")
+    made = sanitize.sanitize(rows, policy.get_policy("maximum"), run_leak_scan=False, shared_tokens=tokens.registry)
+    return made.select("doc_id", "sanitized", F.size("vault").cast("long").alias("n_vault"))
+
+
+ASOF_SQL = """
+SELECT c_custkey AS doc_id, CASE WHEN c_custkey = 5 THEN 'Dr. [[PERSON_001]] came' WHEN c_custkey < 5 THEN 'a weber and Weber' ELSE 'a weber and [[PERSON_001]]' END AS sanitized,
+  CAST(CASE WHEN c_custkey < 5 THEN 0 ELSE 1 END AS BIGINT) AS n_vault FROM customer
+"""
+
 # Replies: clean, blanks inside, escaped, invented, dropped.
 
 REPLY = r"""case c_custkey % 5 when 0 then 'Hi [[PERSON_001]], mail [[EMAIL_001]].' when 1 then 'Hi [[ PERSON_001 ]] at [ [EMAIL_001]].' when 2 then 'Hi \\[\\[PERSON\\_001\\]\\] [[EMAIL_001]]'
@@ -394,6 +408,7 @@ QUERIES = {
     "preview_masked": preview_masked,
     "gateway_echo": gateway_echo,
     "registry_tokens": registry_tokens,
+    "registry_asof": registry_asof,
     "restore_replies": restore_replies,
     "validate_response": validate_replies,
     "leak_scan_report": leak_report,
@@ -420,6 +435,7 @@ ORACLES = {
     "preview_masked": PREVIEW_SQL,
     "gateway_echo": GATEWAY_SQL,
     "registry_tokens": REGISTRY_SQL,
+    "registry_asof": ASOF_SQL,
     "restore_replies": RESTORE_SQL,
     "validate_response": VALIDATE_SQL,
     "leak_scan_report": LEAK_SQL,

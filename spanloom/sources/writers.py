@@ -5,6 +5,7 @@ from __future__ import annotations
 import html
 import io
 import json
+import re
 import zipfile
 from xml.sax.saxutils import escape
 
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from spanloom.operators.leakscan import scan
 from spanloom.sources.readers import TEXT
 
-LINE_WIDTH = 95
+LINE_WIDTH, LINES_OF_PAGE = 95, 62
 
 
 class VerificationError(RuntimeError):
@@ -71,6 +72,27 @@ def wrapped(text: str, width: int = LINE_WIDTH) -> list[str]:
     return out
 
 
+def pdf_bytes(text: str) -> bytes:
+    """A plain PDF: A4 pages of LINES_OF_PAGE wrapped lines in a fixed-width font. Characters beyond Latin-1 are written as ?."""
+    lines = wrapped(text)
+    pages = [lines[k : k + LINES_OF_PAGE] for k in range(0, len(lines), LINES_OF_PAGE)]
+    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"", b"<< /Type /Font /Subtype /Type1 /BaseFont /Courier /Encoding /WinAnsiEncoding >>"]
+    kids = []
+    for page in pages:
+        shown = b" T* ".join(b"(" + re.sub(rb"([\\()])", rb"\\\1", line.encode("cp1252", "replace")) + b") Tj" for line in page)
+        stream = b"BT /F1 9 Tf 12 TL 40 800 Td " + shown + b" ET"
+        objects.append(b"<< /Length %d >>\nstream\n%b\nendstream" % (len(stream), stream))
+        objects.append(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 595 842] /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % len(objects))
+        kids.append(b"%d 0 R" % len(objects))
+    objects[1] = b"<< /Type /Pages /Kids [%b] /Count %d >>" % (b" ".join(kids), len(kids))
+    out, places = b"%PDF-1.4\n", []
+    for k, body in enumerate(objects, 1):
+        places.append(len(out))
+        out += b"%d 0 obj\n%b\nendobj\n" % (k, body)
+    table = b"".join(b"%010d 00000 n \n" % p for p in places)
+    return out + b"xref\n0 %d\n0000000000 65535 f \n%btrailer << /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF" % (len(objects) + 1, table, len(objects) + 1, len(out))
+
+
 def file_bytes(text: str, ext: str) -> bytes:
     """One document as a file of an extension."""
     ext = ext.lower().lstrip(".")
@@ -78,6 +100,8 @@ def file_bytes(text: str, ext: str) -> bytes:
         return text.encode()
     if ext == "docx":
         return docx_bytes(text)
+    if ext == "pdf":
+        return pdf_bytes(text)
     raise ValueError(f"can't write {ext!r} files")
 
 

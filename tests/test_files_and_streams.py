@@ -7,7 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from spanloom import cli
-from spanloom.operators import metrics, policy, sanitize
+from spanloom.operators import metrics, policy, sanitize, synth
+from spanloom.operators.detect import detect
+from spanloom.operators.kernel import resolved
 from spanloom.sources import readers, writers
 from spanloom.streaming import sanitizer
 
@@ -72,6 +74,25 @@ def test_sinks_verify(spark, tmp_path):
         writers.file_bytes("x", "exe")
 
 
+def test_pdf_has_a_page_for_each_lot_of_lines():
+    data = writers.pdf_bytes("\n".join(f"line {k} (a) \\ é日" for k in range(130)))
+    assert data.startswith(b"%PDF-1.4") and data.count(b"/Type /Page ") == 3 and b"(line 129 \\(a\\) \\\\ \xe9?) Tj" in data
+    assert int(data.rsplit(b"startxref\n", 1)[1].split(b"\n")[0]) == data.index(b"xref\n0 ") and writers.file_bytes("", "pdf").count(b"/Type /Page ") == 1
+
+
+def test_synthetic_documents_are_found_and_hidden(spark):
+    docs = synth.labelled(spark, 30, 7)
+    rows = docs.collect()
+    assert len(rows) == 30 and all(r.text[g.start : g.end] == g.value for r in rows for g in r.gold)
+    assert sorted(map(str, rows)) == sorted(map(str, synth.labelled(spark, 30, 7).repartition(5).collect()))
+    gold = docs.selectExpr("doc_id", "inline(gold)")
+    found = resolved(detect(docs.select("doc_id", "text"))).selectExpr("doc_id", "inline(resolved)")
+    assert metrics.overlap_recall(gold, found).first()["recall"] == 1.0
+    scores = metrics.typed_scores(gold, found).agg({"n_gold": "sum", "n_typed": "sum"}).first()
+    assert scores["sum(n_typed)"] >= 0.97 * scores["sum(n_gold)"] and metrics.overlap_precision(gold, found).first()["precision"] >= 0.9
+    assert metrics.leakage(gold, found).first()["leak_rate"] == 0.0
+
+
 def test_stream_matches_batch(spark, tmp_path):
     rows = spark.createDataFrame([(k, f"mail u{k}@x.org and 10.0.0.{k}") for k in range(6)], "doc_id long, text string")
     rows.repartition(3).write.parquet(f"{tmp_path}/in")

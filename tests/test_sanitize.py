@@ -151,6 +151,13 @@ def test_registry_gives_one_token_in_all_documents(spark):
     assert one("frank cook") in out[2] and one("frank cook") in out[3] and "Frank" not in out[2] + out[3]
 
 
+def test_values_of_earlier_documents_are_caught_and_of_later_ones_not(spark):
+    texts = ["a weber and Weber", "Dr. Weber came", "a weber and Weber"]
+    rows = sanitize.sanitize(docs_of(spark, texts), MAXIMUM, shared_tokens=tokens.registry)
+    out = {r.doc_id: (r.sanitized, [v.value for v in r.vault]) for r in rows.collect()}
+    assert out == {0: (texts[0], []), 1: ("Dr. [[PERSON_001]] came", ["Weber"]), 2: ("a weber and [[PERSON_001]]", ["Weber"])}
+
+
 def test_round_trip_of_single_surfaces(spark):
     texts = ["Write a@x.org, then b@y.org or a@x.org.", "Call +43 660 1234567 $5 \\ [x] 10.0.0.1", "no entity", "card 4111111111111111"]
     rows = sanitize.sanitize(docs_of(spark, texts), MAXIMUM)
