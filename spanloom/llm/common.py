@@ -4,39 +4,23 @@ from __future__ import annotations
 
 import gc
 import os
-import tempfile
-import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.sources.scratch import materialize as write_and_read
+from spanloom.sources.tables import table  # noqa: F401
+
 #: Stands for a null id inside the operators; the rows of the input keep their null.
 NULL_ID = -(2**63)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; one of our own only where the session names none."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="spanloom-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def materialize(df: DataFrame) -> DataFrame:
     """Write the rows to the shared folder and read them back: lineage ends here, and a lost
     executor costs only a new read."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/spanloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = write_and_read(df)
+    release(df.sparkSession)
+    return out
 
 
 def release(spark: SparkSession) -> None:

@@ -33,9 +33,12 @@ PREFIXES = (4, 5, 6, 7)
 MIN_SUPPORT, MIN_SHARE, MIN_PRECISION, MIN_UNLIKE = 6, 0.006, 0.75, 0.5
 FUZZY_LETTERS = 5
 FEW_WORDS = 40
-#: Share of a hit's weight that one edit leaves, and that a quoted or mentioned term leaves.
-EDIT_SHARE, QUOTED_SHARE = 0.8, 0.35
+#: Share of a hit's weight that one edit leaves (of a short term less, as other words come close to it), and that a quoted or
+#: mentioned term leaves.
+EDIT_SHARE, SHORT_EDIT_SHARE, SHORT_LETTERS, QUOTED_SHARE = 0.8, 0.5, 6, 0.35
 WINDOW = 6
+#: Weight of a made-up variant of a text in the fit, and ridge penalty for each text.
+VARIANT_WEIGHT, RIDGE = 0.1, 0.0002
 # Signs read as letters, quotation marks, words that speak of a word.
 LEET = str.maketrans("013457@$", "oieastas")
 QUOTES = "\"“”„«»‘’"
@@ -173,7 +176,7 @@ class Lexicon:
             node, state = stack.pop()
             term = node.get("word")
             if term and len(term) >= FUZZY_LETTERS and (d := automaton.accepts(state)):
-                best = max(best, (self.terms[term] * EDIT_SHARE, d))
+                best = max(best, (self.terms[term] * (SHORT_EDIT_SHARE if len(term) <= SHORT_LETTERS else EDIT_SHARE), d))
             for c, below in node.items():
                 if len(c) == 1 and (after := automaton.step(state, c)):
                     stack.append((below, after))
@@ -211,7 +214,7 @@ BLOCK_CHARS = 1_000_000
 
 
 def all_features(texts: Iterable[str | None], lexicon: Lexicon) -> Iterator[tuple[float, float, float]]:
-    """Of each text the heaviest hit, the log of the mass of all hits, and the same for each hundred words.
+    """Of each text the heaviest exact hit, the heaviest one with an edit, and the log of the mass of all hits.
 
     Texts go in blocks: each distinct word of a block is matched once, and only texts with a hit are looked at in detail.
     """
@@ -235,26 +238,23 @@ def _block_features(block: list[tuple[str, list[str]]], lexicon: Lexicon) -> Ite
         if possible(read) and match(read):
             hit.add(word)
     for text, words in block:
-        found = [w for _, _, w, _ in hits(text, lexicon)] if not hit.isdisjoint(words) else []
-        if not found:
-            yield 0.0, 0.0, 0.0
-            continue
-        mass = sum(found)
-        yield max(found), math.log1p(mass), math.log1p(100 * mass / len(words))
+        found = [(w, d) for _, _, w, d in hits(text, lexicon)] if not hit.isdisjoint(words) else []
+        yield max((w for w, d in found if not d), default=0.0), max((w for w, d in found if d), default=0.0), math.log1p(sum(w for w, _ in found))
 
 
 def features(text: str | None, lexicon: Lexicon) -> tuple[float, float, float]:
     return next(all_features([text], lexicon))
 
 
-def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 40) -> np.ndarray:
+def logistic(x: np.ndarray, y: np.ndarray, penalty: float = 1.0, rounds: int = 40, weight: np.ndarray | None = None) -> np.ndarray:
     """Coefficients of a ridge logistic regression, the intercept first, by Newton's method."""
+    weight = np.ones(len(x)) if weight is None else weight
     x = np.column_stack([np.ones(len(x)), x])
     w, ridge = np.zeros(x.shape[1]), np.eye(x.shape[1]) * penalty
     ridge[0, 0] = 1e-6
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge, x.T @ (y - p) - ridge @ w)
+        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, x.T @ (weight * (y - p)) - ridge @ w)
         w += step
         if np.abs(step).max() < 1e-8:
             break
@@ -348,7 +348,19 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_DOCS) -> Toxicit
     table = sample.select("text", F.col("y").cast("long").alias("y")).mapInArrow(figures, "a double, b double, c double, y long").toArrow()
     x = np.column_stack([table.column(k).to_numpy() for k in range(3)])
     y = table.column(3).to_numpy()
-    w = logistic(x, y)
+    # Toxic texts stand in once more with all their terms misspelled, still toxic, and once with all of them quoted, not toxic:
+    # the sample has hardly any such texts, and the score must tell them apart.
+    hit = x[(y == 1) & (x[:, 0] > 0)]
+    mass = lambda share: np.log1p(np.expm1(hit[:, 2]) * share)
+    misspelled = np.column_stack([np.zeros(len(hit)), hit[:, :2].max(axis=1) * EDIT_SHARE, mass(EDIT_SHARE)])
+    quoted = np.column_stack([hit[:, :2] * QUOTED_SHARE, mass(QUOTED_SHARE)])
+    more = np.full(2 * len(hit), VARIANT_WEIGHT)
+    w = logistic(
+        np.vstack([x, misspelled, quoted]),
+        np.concatenate([y, np.ones(len(hit)), np.zeros(len(hit))]),
+        penalty=len(x) * RIDGE,
+        weight=np.concatenate([np.ones(len(x)), more]),
+    )
     marks = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     shares = {r["toxic"]: r["count"] for r in marks.groupBy("toxic").count().collect()}
     w[0] += math.log(shares.get(1, toxic) / shares.get(0, other)) - math.log(toxic / other)
