@@ -164,12 +164,28 @@ def resolve_overlaps(spans: list[dict]) -> list[dict]:
     return sorted(kept, key=lambda s: s["start"])
 
 
+def on_lines(text: str, limit: int) -> Iterator[tuple[int, str]]:
+    """(place, part) of a text in parts of at most `limit` characters, cut after line feeds where a part has one."""
+    at = 0
+    while at < len(text):
+        end = min(at + limit, len(text))
+        if end < len(text):
+            end = text.rfind("\n", at, end) + 1 or end
+        yield at, text[at:end]
+        at = end
+
+
+def asked(provider: Callable[[str], list[dict]], text: str, limit: int) -> list[dict]:
+    """A model's spans of a text that may be longer than the model takes."""
+    return [{**s, "start": s["start"] + at, "end": s["end"] + at} for at, part in on_lines(text, limit) for s in provider(part)]
+
+
 def resolved(
-    docs: DataFrame, use_names: bool = True, lexicon: Lexicon = DEFAULT, provider: Callable[[str], list[dict]] | None = None, text: str = "text", spans: str = "spans", out: str = "resolved"
+    docs: DataFrame, use_names: bool = True, lexicon: Lexicon = DEFAULT, provider: Callable[[str], list[dict]] | None = None, text: str = "text", spans: str = "spans", out: str = "resolved", provider_chars: int = 900_000
 ) -> DataFrame:
     """`docs` with array<SPAN> of all spans after names are added and overlaps resolved; the columns pass unchanged.
 
-    provider: an optional model, text to spans, whose spans come before the heuristic's.
+    provider: an optional model, text to spans, whose spans come before the heuristic's; it gets at most provider_chars at once.
     """
 
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,7 +193,7 @@ def resolved(
             made = []
             for t, own in zip(batch.column(batch.schema.get_field_index(text)).to_pylist(), batch.column(batch.schema.get_field_index(spans)).to_pylist(), strict=True):
                 t = t or ""
-                found = [*(own or []), *((provider(t) or []) if provider and use_names else []), *(names(t, lexicon) if use_names else [])]
+                found = [*(own or []), *(asked(provider, t, provider_chars) if provider and use_names else []), *(names(t, lexicon) if use_names else [])]
                 made.append([{**s, "seq": k} for k, s in enumerate(resolve_overlaps(found))])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(ArrowSpan))], [*batch.schema.names, out])
 

@@ -20,6 +20,7 @@ from spanloom.operators.leakscan import scan
 from spanloom.operators.policy import KEEP, TOKENIZE, Policy
 from spanloom.operators.resolve import entities as resolve_entities
 from spanloom.operators.tokens import REDACTED, make_token
+from spanloom.sources.scratch import materialize
 
 NAME_WORD = r"[^\W\d_](?:[^\W\d_]|['’](?=[^\W\d_]{2})|-(?=[^\W\d_]))*"
 SURFACE_SQL = "array<struct<surface:string,replacement:string,confidence:double,token:string>>"
@@ -177,7 +178,8 @@ def sanitize(
     """
     spans = detect(docs.select("doc_id", "text"), policy.recognizers)
     spans = resolved(spans, use_names, lexicon, provider).drop("spans")
-    found = resolve_entities(spans, lexicon=lexicon)
+    # Surfaces, actions and the registry all read the entities: they are written once, so that no text is searched twice.
+    found = materialize(resolve_entities(spans, lexicon=lexicon))
     registry = shared_tokens(with_shared_parts(found, lexicon)) if shared_tokens else None
     made = acted(found, policy, registry)
     fields = ("entity_type", "canonical", "idx", "action", "replacement", "confidence", "members")

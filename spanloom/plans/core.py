@@ -134,6 +134,27 @@ e AS (SELECT doc_id, key, count(*) AS n_members, min(s) AS first, (list(value OR
 SELECT doc_id, 'PERSON' AS entity_type, canonical, row_number() OVER (PARTITION BY doc_id ORDER BY first, key) AS idx, n_members, CAST(first AS BIGINT) AS first FROM e
 """
 
+# Names and organisations by capitalisation: what should be found is known from how the text is put together.
+
+GIVEN = "case c_custkey % 3 when 0 then 'Łukasz' when 1 then 'Anne-Marie' else 'May' end"
+FAMILY_NAME = "case c_custkey % 4 when 0 then 'Škoda' when 1 then 'van der Berg' when 2 then 'O''Hara' else 'Keller' end"
+NAMED = f"'However it rained. Contact: ' || {GIVEN} || ' ' || {FAMILY_NAME} || ' of Westend General Hospital. The Court saw SMTP AND RFC, then Dr. ' || {GIVEN} || ' left.'"
+
+
+def name_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "customer").selectExpr("c_custkey as doc_id", f"{NAMED} as text")
+    found = resolved(detect(docs, only=["email"])).selectExpr("doc_id", "inline(resolved)")
+    return found.selectExpr("doc_id", "start as span_start", "`end` as span_end", "entity_type", "value")
+
+
+NAMES_SQL = f"""
+WITH n AS (SELECT c_custkey AS doc_id, {GIVEN} AS g, {GIVEN} || ' ' || {FAMILY_NAME} AS full_name FROM customer),
+s AS (SELECT doc_id, 28 AS s, full_name AS value, 'PERSON' AS entity_type FROM n
+  UNION ALL SELECT doc_id, 28 + length(full_name) + 4, 'Westend General Hospital', 'ORGANIZATION' FROM n
+  UNION ALL SELECT doc_id, 28 + length(full_name) + 4 + 24 + length('. The Court saw SMTP AND RFC, then Dr. '), g, 'PERSON' FROM n)
+SELECT doc_id, CAST(s AS INTEGER) AS span_start, CAST(s + length(value) AS INTEGER) AS span_end, entity_type, value FROM s
+"""
+
 # Policies.
 
 
@@ -400,6 +421,7 @@ QUERIES = {
     "iban_flags": iban_flags,
     "date_plausible": date_flags,
     "overlap_with_remainders": overlap_with_remainders,
+    "name_runs": name_runs,
     "person_coreference": person_coreference,
     "policy_matrix": policy_matrix,
     "sanitized_text": sanitized_text,
@@ -427,6 +449,7 @@ ORACLES = {
     "iban_flags": IBAN_SQL,
     "date_plausible": DATE_SQL,
     "overlap_with_remainders": OVERLAP_SQL,
+    "name_runs": NAMES_SQL,
     "person_coreference": COREFERENCE_SQL,
     "policy_matrix": POLICY_SQL,
     "sanitized_text": SANITIZED_SQL,

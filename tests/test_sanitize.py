@@ -1,6 +1,7 @@
 """Overlaps, names, entities, policies, sanitising, vault, leak scan, restore, gateway and modes."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -99,6 +100,19 @@ def test_organisations_need_a_distinguishing_word():
     assert kernel.names("met Zork", Lexicon(non_names=frozenset({"zork"}))) == []
 
 
+def test_model_spans_win_and_long_texts_go_in_parts(spark):
+    text = "Alejandro Martinez\nlives in Graz\n" * 3
+    assert "".join(p for _, p in kernel.on_lines(text, 25)) == text and max(len(p) for _, p in kernel.on_lines("x" * 60, 25)) == 25
+
+    def model(t):
+        found = re.finditer("Martinez", t)
+        return [{"seq": 0, "start": m.start(), "end": m.end(), "entity_type": "LOCATION", "value": m[0], "confidence": 0.85, "detector": "model"} for m in found]
+
+    docs = docs_of(spark, [text]).withColumn("spans", F.array().cast("array<struct<seq:int,start:int,end:int,entity_type:string,value:string,confidence:double,detector:string>>"))
+    found = kernel.resolved(docs, provider=model, provider_chars=25).first()["resolved"]
+    assert [(s.start, s.entity_type, s.value) for s in found if s.value != "Graz"] == [x for k in range(3) for x in ((33 * k, "PERSON", "Alejandro"), (33 * k + 10, "LOCATION", "Martinez"))]
+
+
 def test_letter(spark):
     text = "Dr. Anna Keller met Mr Keller in Vienna. Keller wrote to anna.k@x.org and ANNA.K@x.org; Keller's card 4111 1111 1111 1111."
     r = clean(spark, [text])[0]
