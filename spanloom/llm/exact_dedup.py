@@ -22,10 +22,14 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text.cast("string"), F.lit("")), WHITE, "")
 
 
-def survivors(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows whose `keys` occur more than once."""
-    many = rows.groupBy(*keys).agg(F.count("*").alias("_n")).where("_n > 1").select(*keys)
-    return rows.join(many, keys, "left_semi")
+def survivors(rows: DataFrame) -> DataFrame:
+    """(size, head) that several rows share, found length by length, then by prefix hash within a length.
+
+    Rows are counted by partial sums first, so many copies of a text are one row in the join on lengths.
+    """
+    pairs = rows.groupBy("size", "head").agg(F.count("*").alias("n"))
+    sizes = pairs.groupBy("size").agg(F.sum("n").alias("all")).where("all > 1")
+    return pairs.join(sizes, "size", "left_semi").where("n > 1").select("size", "head")
 
 
 def exact_groups(docs: DataFrame, carry: list[str] = (), prefix: int = PREFIX, hash_all: bool = True) -> DataFrame:
@@ -47,12 +51,12 @@ def exact_groups(docs: DataFrame, carry: list[str] = (), prefix: int = PREFIX, h
     small = base.select("id", "points", F.length("norm").alias("size"), F.xxhash64(F.substring("norm", 1, prefix)).alias("head"), *([sha.alias("full")] if hash_all else ["norm"]), *names)
     # Only digests are grouped; they are written once, so that no level reads the texts again.
     digests = materialize(small.drop(*names)) if hash_all else small.drop(*names)
-    left = survivors(digests, ["size"])
-    left = survivors(left, ["size", "head"])
-    if not hash_all:
-        left = left.withColumn("full", sha).drop("norm")
+    live = survivors(digests)
     best = F.min(F.struct(-F.col("points"), id_key(F.col("id"))))
+    left = digests if hash_all else digests.join(live, ["size", "head"], "left_semi").withColumn("full", sha).drop("norm")
     groups = left.groupBy("size", "head", "full").agg(F.count("*").alias("n"), best.alias("best")).where("n > 1")
+    if hash_all:
+        groups = groups.join(live, ["size", "head"], "left_semi")
     groups = groups.select("size", "head", "full", "n", F.col("best.col1").alias("most"), F.col("best.col2").alias("first"))
     if not hash_all:
         small = small.join(groups.select("size", "head").distinct().withColumn("hit", F.lit(True)), ["size", "head"], "left")
