@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from spanloom.llm import exact_dedup, packing, simhash, suffix_dedup, toxicity
+from spanloom.llm import exact_dedup, near_dedup, packing, suffix_dedup, toxicity
 from spanloom.llm.common import id_key, materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -27,8 +27,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the smallest doc_id stays."""
-    later = simhash.near_duplicates(docs).where(id_key(F.col("id")) != F.col("component")).select(id_key(F.col("id")).alias("k")).distinct()
+    """Of each group of near copies (five-word shingles, similarity of 0.8 at least) the smallest doc_id stays."""
+    later = near_dedup.near_copies(docs).where(id_key(F.col("id")) != F.col("component")).select(id_key(F.col("id")).alias("k")).distinct()
     return docs.join(later, id_key(docs["doc_id"]) == F.col("k"), "left_anti").select(COLUMNS)
 
 

@@ -10,7 +10,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from spanloom.llm import catalogue, exact_dedup, simhash, suffix_dedup
+from spanloom.llm import catalogue, exact_dedup, near_dedup, simhash, suffix_dedup
 
 SCHEMA = "doc_id long, text string, lang string, doc long, h long, id string, fp string"
 
@@ -211,3 +211,44 @@ def test_pipeline_decides_stage_by_stage(spark, tmp_path):
     assert set(seen[4]) == set(seen[3])
     run = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {(r.doc_id, r.start, r.ids_crc32) for r in run} == {(r.doc_id, r.start, r.ids_crc32) for r in docs.collect()}
+
+
+def five_word_sets(texts):
+    words = [(t or "").split() for t in texts]
+    return [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+
+
+def test_near_stage_drops_what_five_word_shingles_make_alike(spark, monkeypatch):
+    rng = random.Random(12)
+    pick = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    texts = [None, "", "one two", "one  two", "one three", "a b c d e f"]
+    for edits in (0, 1, 2, 3, 4, 5, 6, 8, 12):
+        base = pick(200)
+        for _ in range(4):
+            copy = list(base)
+            for k in rng.sample(range(200), edits):
+                copy[k] = f"n{rng.randrange(5000)}"
+            texts.append(" ".join(copy))
+    chain = pick(200)
+    for _ in range(30):  # a chain: neighbours are alike, its ends are not
+        texts.append(" ".join(chain))
+        chain = [*chain[12:], *pick(12)]
+    ids = rng.sample(range(1000), len(texts))
+    rows = [*zip(ids, texts, strict=True), (ids[-1], texts[-1])]
+    found = five_word_sets([t for _, t in rows])
+    root = list(range(len(rows)))
+    for i, a in enumerate(found):
+        for j in range(i):
+            if a == found[j] or a and 5 * len(a & found[j]) >= 4 * len(a | found[j]):
+                old, new = root[i], root[j]
+                root = [new if r == old else r for r in root]
+    least = [min(i for (i, _), r in zip(rows, root, strict=True) if r == k) for k in root]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()]
+    assert Counter(kept) == Counter(i for (i, _), k in zip(rows, least, strict=True) if i == k)
+    # The compared ends of a bucket alone don't decide: one bucket of all texts gives the same components.
+    one = lambda found: np.zeros(min(len(found), 1), np.uint64)
+    monkeypatch.setattr(near_dedup, "bands", one)
+    got = near_dedup.near_copies(docs).collect()
+    assert Counter((r.id, r.component) for r in got) == Counter((i, k) for (i, _), k in zip(rows, least, strict=True))
+    assert near_dedup.near_copies(docs.limit(0)).collect() == []
