@@ -23,6 +23,8 @@ from spanloom.llm.common import materialize, tokenizer_path
 from spanloom.llm.word_ids import VOCABULARY, word_ids
 
 CAPACITY = 4096
+#: Sequences whose matrices a task holds at once.
+SEQUENCES = 128
 
 
 class CapacityTree:
@@ -95,8 +97,11 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return out
 
 
-def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
-    """(doc_id, start, length, ids_crc32, doc_tokens, task, local rank of the length in the task[, ids]) of all documents."""
+def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False, narrow: bool = False) -> DataFrame:
+    """(doc_id, start, length, ids_crc32, doc_tokens, task, local rank of the length in the task[, ids]) of all documents.
+
+    ids are little-endian unsigned 32-bit numbers; narrow: 16-bit ones for documents whose ids all fit.
+    """
     path = vocabulary or tokenizer_path(VOCABULARY)
 
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,13 +112,14 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
             texts = (x.as_py() for x in batch.column(1))
             for doc, (ids, _) in zip(batch.column(0).to_pylist(), own.encode(texts), strict=True):
                 ids = ids.astype("<u4")
+                short = ids.astype("<u2") if narrow and ids.max() < 1 << 16 else ids
                 for s in range(0, len(ids), capacity):
                     part = ids[s : s + capacity].tobytes()
                     n = len(part) // 4
                     rows.append((doc, s, n, zlib.crc32(part), len(ids), task, seen[n]))
                     seen[n] += 1
                     if keep_ids:
-                        blobs.append(part)
+                        blobs.append(short[s : s + capacity].tobytes())
             if rows:
                 cols = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
                 more = [pa.array(blobs, pa.binary())] if keep_ids else []
@@ -124,13 +130,13 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
     return source.mapInArrow(batches, schema + ", ids binary" * keep_ids)
 
 
-def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False, narrow: bool = False) -> DataFrame:
     """Each piece with its sequence_id and offset; sequences hold at most `capacity` ids.
 
     Null and empty texts have one id, the closing one. Null doc_ids and repeated rows are pieces like any other; an empty
     table gives an empty one.
     """
-    made = materialize(pieces(docs, vocabulary, capacity, keep_ids))
+    made = materialize(pieces(docs, vocabulary, capacity, keep_ids, narrow))
     counts = made.groupBy("length", "task").agg((F.max("local") + 1).alias("n"))
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
@@ -157,30 +163,37 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
 
 
 def matrices(packed: DataFrame, capacity: int = CAPACITY, pad: int = 0) -> DataFrame:
-    """One row for each sequence of pack(..., keep_ids=True): input_ids, cu_seqlens (from 0 up to the ids used), position_ids.
+    """One row for each sequence of pack(..., keep_ids=True): input_ids, cu_seqlens (from 0 up to the ids used), position_ids,
+    and for each segment its doc_id and its start in the document.
 
-    All are little-endian unsigned 32-bit numbers in binary; input_ids and position_ids have `capacity` of them. Positions start again
-    with every piece. A sequence has at most `capacity` ids, so a group is always small.
+    The first three are little-endian unsigned 32-bit numbers in binary; input_ids and position_ids have `capacity` of them. Positions
+    start again with every piece. A sequence has at most `capacity` ids, so a group is always small.
     """
+    names = ["sequence_id", "input_ids", "cu_seqlens", "position_ids", "doc_ids", "starts"]
+    kinds = [pa.binary()] * 3 + [pa.list_(pa.int64())] * 2
+
+    def row(parts: list[dict]) -> tuple:
+        ids, places, cuts = np.full(capacity, pad, "<u4"), np.zeros(capacity, "<u4"), [0]
+        for x in parts:
+            s, n = x["offset"], x["length"]
+            ids[s : s + n] = np.frombuffer(x["ids"], "<u2" if len(x["ids"]) == 2 * n else "<u4")
+            places[s : s + n] = np.arange(n)
+            cuts.append(s + n)
+        return ids.tobytes(), np.array(cuts, "<u4").tobytes(), places.tobytes(), [x["doc_id"] for x in parts], [x["start"] for x in parts]
 
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in them:
-            rows = []
-            for parts in batch.column(1).to_pylist():
-                ids, places, cuts = np.full(capacity, pad, "<u4"), np.zeros(capacity, "<u4"), [0]
-                for x in parts:
-                    s, n = x["offset"], x["length"]
-                    ids[s : s + n] = np.frombuffer(x["ids"], "<u4")
-                    places[s : s + n] = np.arange(n)
-                    cuts.append(s + n)
-                rows.append((ids.tobytes(), np.array(cuts, "<u4").tobytes(), places.tobytes()))
-            cols = [pa.array(x, pa.binary()) for x in zip(*rows, strict=True)] if rows else [pa.array([], pa.binary())] * 3
-            yield pa.RecordBatch.from_arrays([batch.column(0), *cols], ["sequence_id", "input_ids", "cu_seqlens", "position_ids"])
-
-    grouped = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "length", "ids"))).alias("parts"))
-    return grouped.mapInArrow(batches, "sequence_id long, input_ids binary, cu_seqlens binary, position_ids binary")
+        for whole in them:
+            for at in range(0, whole.num_rows, SEQUENCES):
+                batch = whole.slice(at, SEQUENCES)
+                rows = map(row, batch.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, zip(*rows, strict=True), kinds)], names)
+
+    parts = F.array_sort(F.collect_list(F.struct("offset", "length", "ids", "doc_id", "start")))
+    grouped = packed.groupBy("sequence_id").agg(parts.alias("parts"))
+    schema = "sequence_id long, input_ids binary, cu_seqlens binary, position_ids binary, doc_ids array<long>, starts array<long>"
+    return grouped.mapInArrow(batches, schema)
 
 
 def write_matrices(docs: DataFrame, path: str, vocabulary: str | None = None, capacity: int = CAPACITY, pad: int = 0) -> None:
     """Pack `docs` and write the matrices as Parquet, one row for each sequence."""
-    matrices(pack(docs, vocabulary, capacity, keep_ids=True), capacity, pad).write.mode("overwrite").parquet(path)
+    matrices(pack(docs, vocabulary, capacity, keep_ids=True, narrow=True), capacity, pad).write.mode("overwrite").parquet(path)

@@ -11,7 +11,7 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from spanloom.llm import binpack, bpe, line_crf, line_quality, packing, toxicity, url_filter, word_ids
+from spanloom.llm import binpack, bpe, catalogue, line_crf, line_quality, packing, toxicity, url_filter, word_ids
 
 SCHEMA = "doc_id long, text string, lang string, words string, id string, h long"
 ODD = [None, "", " ", "\n\t", "a", "ÄÖ é ß x", "日本語。テスト", "x" * 5000, "ab " * 3000, "don't 'tis ΑΣ ΣΑΣ. İI ﬁ 12 3a'll\r\n\nq", "<|endoftext|> a", "é ́x a\u0085b\x1cc"]
@@ -117,6 +117,23 @@ def test_packed_matrices_give_the_ids_back(spark):
         assert ids[r.sequence_id][r.offset : r.offset + r.length].tolist() == np.frombuffer(bytes(r.ids), "<u4").tolist()
 
 
+def test_the_registered_packing_builds_the_matrices_of_all_documents(spark, tmp_path):
+    texts = [*ODD, *["word of %d " % k * (k * 11 % 130) for k in range(150)], "long text " * 5000]
+    frame(spark, texts).write.parquet(f"{tmp_path}/documents.parquet")
+    tokenizer, found, used = Tokenizer.from_file(public_tokenizers.path(word_ids.VOCABULARY)), {}, 0
+    for r in catalogue.queries()["op2_best_fit_packing"](spark, str(tmp_path)).collect():
+        row, cuts, places = (np.frombuffer(bytes(x), "<u4") for x in (r.input_ids, r.cu_seqlens, r.position_ids))
+        assert len(row) == len(places) == binpack.CAPACITY and len(cuts) == len(r.doc_ids) + 1 == len(r.starts) + 1
+        assert not row[cuts[-1] :].any() and not places[cuts[-1] :].any()
+        for s, e, doc, start in zip(cuts, cuts[1:], r.doc_ids, r.starts, strict=False):
+            assert places[s:e].tolist() == list(range(e - s))
+            found.setdefault(doc, []).append((start, row[s:e].tolist()))
+        used += int(cuts[-1])
+    got = {k: [x for _, part in sorted(parts) for x in part] for k, parts in found.items()}
+    assert got == {k: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for k, t in enumerate(texts)}
+    assert used == sum(map(len, got.values()))
+
+
 def test_plan_is_best_fit_decreasing():
     rng = random.Random(5)
     for _ in range(200):
