@@ -53,10 +53,9 @@ def exact_groups(docs: DataFrame, carry: list[str] = (), prefix: int = PREFIX, h
     digests = materialize(small.drop(*names)) if hash_all else small.drop(*names)
     live = survivors(digests)
     best = F.min(F.struct(-F.col("points"), id_key(F.col("id"))))
-    left = digests if hash_all else digests.join(live, ["size", "head"], "left_semi").withColumn("full", sha).drop("norm")
+    left = digests.join(live, ["size", "head"], "left_semi")
+    left = left if hash_all else left.withColumn("full", sha).drop("norm")
     groups = left.groupBy("size", "head", "full").agg(F.count("*").alias("n"), best.alias("best")).where("n > 1")
-    if hash_all:
-        groups = groups.join(live, ["size", "head"], "left_semi")
     groups = groups.select("size", "head", "full", "n", F.col("best.col1").alias("most"), F.col("best.col2").alias("first"))
     if not hash_all:
         small = small.join(groups.select("size", "head").distinct().withColumn("hit", F.lit(True)), ["size", "head"], "left")

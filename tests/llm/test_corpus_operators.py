@@ -252,3 +252,16 @@ def test_near_stage_drops_what_five_word_shingles_make_alike(spark, monkeypatch)
     got = near_dedup.near_copies(docs).collect()
     assert Counter((r.id, r.component) for r in got) == Counter((i, k) for (i, _), k in zip(rows, least, strict=True))
     assert near_dedup.near_copies(docs.limit(0)).collect() == []
+
+
+def test_only_survivors_of_length_and_prefix_are_grouped_by_full_hash(spark, monkeypatch):
+    rows = [(1, "a b"), (2, "ab"), (3, "cd"), (4, "long text")]
+    assert {r.doc_id: r.group_size for r in exact_dedup.exact_groups(frame(spark, rows)).collect()} == {1: 2, 2: 2, 3: 1, 4: 1}
+    grouped = []
+    kind = type(spark.range(0))
+    group_by = kind.groupBy
+    monkeypatch.setattr(kind, "groupBy", lambda self, *c: grouped.append((c, self)) or group_by(self, *c))
+    exact_dedup.exact_groups(frame(spark, rows))
+    monkeypatch.undo()
+    (by_full,) = [df for c, df in grouped if "full" in c]
+    assert sorted(r.id for r in by_full.collect()) == [1, 2]
