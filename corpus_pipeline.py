@@ -22,8 +22,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the longest original stays."""
-    return exact_dedup.exact_groups(docs, COLUMNS[1:]).where("kept").select(COLUMNS)
+    """Of equal texts the longest original stays; of rows that also share its doc_id, the least by the other columns."""
+    kept = exact_dedup.exact_groups(docs, COLUMNS[1:], ties=True).where("kept")
+    again = kept.where("ties > 1").groupBy("text_sha256").agg(F.min(F.struct(COLUMNS)).alias("row")).select("row.*")
+    return kept.where("ties = 1").select(COLUMNS).unionByName(again)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

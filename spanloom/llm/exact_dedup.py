@@ -32,7 +32,7 @@ def survivors(rows: DataFrame) -> DataFrame:
     return pairs.join(sizes, "size", "left_semi").where("n > 1").select("size", "head")
 
 
-def exact_groups(docs: DataFrame, carry: list[str] = (), prefix: int = PREFIX, hash_all: bool = True) -> DataFrame:
+def exact_groups(docs: DataFrame, carry: list[str] = (), prefix: int = PREFIX, hash_all: bool = True, ties: bool = False) -> DataFrame:
     """Each row with keep_id, group_size, kept, text_sha256 and the columns of `carry`.
 
     Of equal texts, the row with the most code points in the original text, then the smallest doc_id stays. Null counts as
@@ -41,6 +41,7 @@ def exact_groups(docs: DataFrame, carry: list[str] = (), prefix: int = PREFIX, h
 
     hash_all: text_sha256 is wanted for every row, so the one pass over the text takes it along; else it is null for
     rows decided before, and the full content is hashed for survivors alone.
+    ties: adds that column, how many rows the group keeps.
     """
     norm = normalised(F.col("text"))
     names = [f"c{k}" for k in range(len(carry))]
@@ -52,11 +53,12 @@ def exact_groups(docs: DataFrame, carry: list[str] = (), prefix: int = PREFIX, h
     # Only digests are grouped; they are written once, so that no level reads the texts again.
     digests = materialize(small.drop(*names)) if hash_all else small.drop(*names)
     live = survivors(digests)
-    best = F.min(F.struct(-F.col("points"), id_key(F.col("id"))))
+    best = F.min(F.struct((-F.col("points")).alias("most"), F.col("key").alias("first"), F.col("equal").alias("ties")))
     left = digests.join(live, ["size", "head"], "left_semi")
     left = left if hash_all else left.withColumn("full", sha).drop("norm")
-    groups = left.groupBy("size", "head", "full").agg(F.count("*").alias("n"), best.alias("best")).where("n > 1")
-    groups = groups.select("size", "head", "full", "n", F.col("best.col1").alias("most"), F.col("best.col2").alias("first"))
+    equal = left.groupBy("size", "head", "full", "points", id_key(F.col("id")).alias("key")).agg(F.count("*").alias("equal"))
+    groups = equal.groupBy("size", "head", "full").agg(F.sum("equal").alias("n"), best.alias("best")).where("n > 1")
+    groups = groups.select("size", "head", "full", "n", "best.most", "best.first", "best.ties")
     if not hash_all:
         small = small.join(groups.select("size", "head").distinct().withColumn("hit", F.lit(True)), ["size", "head"], "left")
         small = small.withColumn("full", F.when(F.col("hit"), sha)).drop("norm", "hit")
@@ -70,6 +72,7 @@ def exact_groups(docs: DataFrame, carry: list[str] = (), prefix: int = PREFIX, h
         F.coalesce(F.col("n"), F.lit(1)).cast("long").alias("group_size"),
         F.coalesce(mine, F.lit(True)).alias("kept"),
         F.col("full").alias("text_sha256"),
+        *([F.coalesce(F.col("ties"), F.lit(1)).alias("ties")] if ties else []),
         *[F.col(a).alias(x) for a, x in zip(names, carry, strict=True)],
     )
 

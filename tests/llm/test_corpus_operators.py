@@ -263,5 +263,12 @@ def test_only_survivors_of_length_and_prefix_are_grouped_by_full_hash(spark, mon
     monkeypatch.setattr(kind, "groupBy", lambda self, *c: grouped.append((c, self)) or group_by(self, *c))
     exact_dedup.exact_groups(frame(spark, rows))
     monkeypatch.undo()
-    (by_full,) = [df for c, df in grouped if "full" in c]
+    by_full = next(df for c, df in grouped if "full" in c)
     assert sorted(r.id for r in by_full.collect()) == [1, 2]
+
+
+def test_exact_stage_keeps_one_of_repeated_rows(spark):
+    rows = [*[(7, "twice told", "en")] * 40, (8, "twice told", "en"), (None, "no id", "en"), (None, "no id", "de"), (None, "no id", "de"), (1, "a b", "en"), (1, "b a", "en"), (2, "a  b", "en"), (None, None, "en"), (None, "", "en")]
+    docs = spark.createDataFrame([(i, t, x, "s", len(t or "")) for i, t, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, r.text, r.lang) for r in corpus_pipeline.drop_exact_copies(spark, docs, "").collect())
+    assert got == Counter([(7, "twice told", "en"), (None, "no id", "de"), (1, "b a", "en"), (2, "a  b", "en"), (None, None, "en")])
