@@ -109,8 +109,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "local"]
         for batch in them:
             rows, blobs = [], []
-            texts = (x.as_py() for x in batch.column(1))
-            for doc, (ids, _) in zip(batch.column(0).to_pylist(), own.encode(texts), strict=True):
+            for doc, (ids, _) in zip(batch.column(0).to_pylist(), own.encode(batch.column(1)), strict=True):
                 ids = ids.astype("<u4")
                 short = ids.astype("<u2") if narrow and ids.max() < 1 << 16 else ids
                 for s in range(0, len(ids), capacity):

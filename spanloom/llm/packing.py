@@ -5,10 +5,10 @@ cuts minimise padding plus a penalty for each cut inside a document. With best(j
 
     best(i) = penalty(i) + min over j with i - j <= CAPACITY of best(j) + CAPACITY - (i - j),
 
-so the inner minimum slides over best(j) + j and a monotone queue gives it in amortised constant time. Sentences of
-over GAP ids get extra boundaries at a higher penalty. Documents are dealt by ranges of ids; each range is solved
-in blocks whose open end goes on into the next block, and the range's last window is cut at powers of two, which
-need no padding.
+so the inner minimum slides over best(j) + j and a monotone queue gives it in amortised constant time. Only a sentence
+of over CAPACITY ids, which no window holds, gets boundaries inside, every GAP ids and at a higher penalty. Documents are
+dealt by ranges of ids; each range is solved in blocks whose open end goes on into the next block, and the range's
+last window is cut at powers of two, which need no padding.
 """
 
 from __future__ import annotations
@@ -64,10 +64,10 @@ def powers_of_two(n: int) -> list[int]:
     return [1 << k for k in range(n.bit_length() - 1, -1, -1) if n >> k & 1]
 
 
-def with_gaps_cut(ends: np.ndarray, penalty: np.ndarray, gap: int) -> tuple[np.ndarray, np.ndarray]:
-    """Boundaries with extra ones every `gap` ids where neighbours are further apart."""
+def with_gaps_cut(ends: np.ndarray, penalty: np.ndarray, capacity: int, gap: int) -> tuple[np.ndarray, np.ndarray]:
+    """Boundaries with extra ones every `gap` ids where neighbours are more than `capacity` apart."""
     starts = np.append(0, ends[:-1])
-    far = np.flatnonzero(ends - starts > gap)
+    far = np.flatnonzero(ends - starts > capacity)
     if not len(far):
         return ends, penalty
     extra = np.concatenate([np.arange(starts[k] + gap, ends[k], gap) for k in far])
@@ -87,20 +87,27 @@ class Packer:
         self.costs: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, doc, ids: np.ndarray, ends: np.ndarray) -> list[tuple]:
-        costs = np.full(len(ends), SENTENCE_CUT)
-        costs[-1] = 0
-        self.docs.append((doc, 0, len(ids), ids))
-        self.ends.append(ends + self.size)
-        self.costs.append(costs)
-        self.size += len(ids)
-        return self.solve(False) if self.size >= self.block else []
+    def add(self, doc, ids: np.ndarray, ends: np.ndarray) -> Iterator[list[tuple]]:
+        """Take in a document, a very long one in parts; gives the pieces that are settled by then."""
+        for s in range(0, len(ids), self.block):
+            part = ids[s : s + self.block]
+            own = ends[np.searchsorted(ends, s, side="right") : np.searchsorted(ends, s + len(part), side="right")]
+            costs = np.full(len(own), SENTENCE_CUT)
+            if s + len(part) == len(ids):
+                costs[-1] = 0
+            elif not len(own) or own[-1] < s + len(part):
+                own, costs = np.append(own, s + len(part)), np.append(costs, FORCED_CUT)
+            self.docs.append((doc, s, len(ids), part))
+            self.ends.append(own - s + self.size)
+            self.costs.append(costs)
+            self.size += len(part)
+            if self.size >= self.block:
+                yield self.solve(False)
 
     def solve(self, last: bool) -> list[tuple]:
         if not self.size:
             return []
-        gap = min(GAP, self.capacity)
-        ends, costs = with_gaps_cut(np.concatenate(self.ends), np.concatenate(self.costs), gap)
+        ends, costs = with_gaps_cut(np.concatenate(self.ends), np.concatenate(self.costs), self.capacity, min(GAP, self.capacity))
         cuts = best_cuts(ends.tolist(), costs.tolist(), self.capacity)
         if last:
             begin = cuts[-2] if len(cuts) > 1 else 0
@@ -157,10 +164,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
             return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*rows, strict=True)], list(COLUMNS))
 
         for batch in them:
-            texts = (x.as_py() for x in batch.column(1))
-            for doc, (ids, ends) in zip(batch.column(0).to_pylist(), own.encode(texts), strict=True):
-                rows = packer.add(doc, ids, ends)
-                if rows:
+            for doc, (ids, ends) in zip(batch.column(0).to_pylist(), own.encode(batch.column(1)), strict=True):
+                for rows in packer.add(doc, ids, ends):
                     yield out(rows)
         rows = packer.solve(True)
         if rows:

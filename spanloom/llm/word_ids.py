@@ -1,31 +1,33 @@
 """Token ids of whole texts by a `tokenizers` file, fast on repeated words.
 
-The vocabulary drops white space and never joins letters across it, so a text's ids are those of its pieces between
-spaces and line feeds. Pieces are encoded once and kept; ids of a text come from array gathers. A new piece that
-is a Latin word, with or without one closing mark, is looked up by its lower-cased word, and unknown words are encoded
-together in one text: each gives ids of which only the last one ends a word.
+The vocabulary lower-cases, drops white space and cuts where `chunks` says, so a text's ids are those of its chunks.
+Chunks are found and numbered by numpy and Arrow; each distinct one is encoded once and kept, and a text's ids come
+from array gathers. Unknown words of letters are encoded together in one text: each gives ids of which only the last one
+ends a word.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 
-#: Distinct pieces kept in a worker.
-KNOWN = 1_500_000
-#: Characters of text whose new pieces are encoded together.
-BLOCK_CHARS = 2_000_000
+from spanloom.llm.chunks import LETTER, SPACE, binaries, changes, classes, parts, ragged
+
+#: Distinct chunks kept in a worker.
+KNOWN = 600_000
+#: Bytes of text whose chunks are numbered together; a longer text is a block of its own.
+BLOCK_BYTES = 8_000_000
 #: Id that ends every document.
 END = 2
 VOCABULARY = "word_bpe_49k.json"
-SENTENCE_ENDS = tuple(".!?…。！？")
+SENTENCE_ENDS = tuple(x.encode() for x in ".!?…。！？")
 CLOSERS = "\"'”’»)]"
-WORD = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?]?)").fullmatch
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 0x20
 
 
 class WordIds:
@@ -34,122 +36,118 @@ class WordIds:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), known
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self.mark = {m: self._ids(m) for m in ".,;:!?"}
         self._forget()
 
-    def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
-
     def _forget(self) -> None:
-        self.code: dict[str, int] = {}
+        self.code: dict[bytes, int] = {}
         self.flat, self.start, self.size, self.ends = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
         self.used = 0
 
-    def _store(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+    def _store(self, chunks: list[bytes], ids: np.ndarray, sizes: np.ndarray, ends: list[bool] | bool) -> None:
         n = len(self.code)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros(max(1 << 16, len(self.flat)), np.uint32)])
-        while n + len(pieces) > len(self.start):
+        while n + len(chunks) > len(self.start):
             self.start, self.size, self.ends = (np.concatenate([x, np.zeros(max(1 << 14, len(x)), x.dtype)]) for x in (self.start, self.size, self.ends))
-        to = slice(n, n + len(pieces))
+        to = slice(n, n + len(chunks))
         self.flat[self.used : self.used + len(ids)] = ids
         self.size[to] = sizes
         self.start[to] = self.used + np.cumsum(sizes) - sizes
-        self.ends[to] = [p == "\n" or p.rstrip(CLOSERS).endswith(SENTENCE_ENDS) for p in pieces]
+        self.ends[to] = ends
         self.used += len(ids)
-        self.code.update(zip(pieces, range(n, n + len(pieces)), strict=True))
-
-    def _separately(self, pieces: list[str]) -> None:
-        made = [x.ids for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        self._store(pieces, np.array([i for x in made for i in x], np.uint32), np.array([len(x) for x in made], np.int64))
-
-    def _gather(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the pieces one after the other, and running counts."""
-        sizes = self.size[codes]
-        total = np.cumsum(sizes)
-        return self.flat[np.repeat(self.start[codes] - (total - sizes), sizes) + np.arange(total[-1])], total
-
-    def codes(self, pieces: list[str]) -> np.ndarray:
-        """Numbers of distinct pieces, all of them known from now on."""
-        found = list(map(self.code.get, pieces))
-        new = [p for p, k in zip(pieces, found, strict=True) if k is None]
-        if new:
-            if len(self.code) + 2 * len(new) > self.known:
-                self._forget()
-                new = pieces
-            self._learn(new)
-            found = list(map(self.code.__getitem__, pieces)) if new is pieces else [self.code[p] if k is None else k for p, k in zip(pieces, found, strict=True)]
-        return np.array(found, np.int64)
-
-    def _learn(self, new: list[str]) -> None:
-        odd, made, words = [], [], {}
-        for piece in new:
-            found = WORD(piece)
-            if found:
-                word = found[1].lower()
-                words[word] = None
-                if piece != word:
-                    made.append((piece, word, found[2]))
-            else:
-                odd.append(piece)
-        unknown = [w for w in words if w not in self.code]
-        if unknown:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(unknown)], add_special_tokens=False)[0].ids, np.int64)
+        self.code.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+
+    def _separately(self, chunks: list[bytes]) -> None:
+        texts = [c.decode() for c in chunks]
+        made = [x.ids for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        ends = [t.rstrip(CLOSERS).encode().endswith(SENTENCE_ENDS) for t in texts]
+        self._store(chunks, np.array([i for x in made for i in x], np.uint32), np.array([len(x) for x in made], np.int64), ends)
+
+    def _learn(self, new: list[bytes], word: list[bool]) -> None:
+        words, odd = [], []
+        for chunk, plain in zip(new, word, strict=True):
+            (words if plain else odd).append(chunk)
+        if words:
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, np.int64)
             ends = np.flatnonzero(self.closes[ids]) + 1
-            if len(ends) == len(unknown) and ends[-1] == len(ids):
-                self._store(unknown, ids, np.diff(ends, prepend=0))
+            if len(ends) == len(words) and ends[-1] == len(ids):
+                self._store(words, ids, np.diff(ends, prepend=0), False)
             else:
-                self._separately(unknown)
-        if made:
-            sizes = self.size[[self.code[w] for _, w, _ in made]]
-            marks = [self.mark[m] if m else [] for _, _, m in made]
-            more = np.array([len(m) for m in marks], np.int64)
-            ids, total = self._gather(np.array([self.code[w] for _, w, _ in made]))
-            full = np.insert(ids, np.repeat(total, more), [i for m in marks for i in m])
-            self._store([p for p, _, _ in made], full, sizes + more)
+                self._separately(words)
         if odd:
             self._separately(odd)
 
-    def encode(self, texts: Iterable[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Of each text its ids with END, as uint32, and the counts of ids after which a sentence ends, ascending, the last at the end.
+    def _codes(self, chunks: pa.Array) -> np.ndarray:
+        """Numbers of distinct chunks, all of them known from now on."""
+        names = chunks.to_pylist()
+        found = np.array(list(map(self.code.get, names, [-1] * len(names))), np.int64)
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            if len(self.code) + len(new) > self.known:
+                self._forget()
+                new = np.arange(len(names))
+            data, at = parts(chunks)
+            word = np.logical_and.reduceat(classes(data) == LETTER, at[:-1])
+            self._learn([names[k] for k in new.tolist()], word[new].tolist())
+            found[new] = [self.code[names[k]] for k in new.tolist()]
+        return found
+
+    def encode(self, column: pa.Array | list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Of each text of a string array or list its ids with END, as uint32, and the counts of ids after which a sentence ends,
+        ascending, the last at the end. A null is an empty text.
 
         A text that holds one of the file's own special strings is left to the tokenizer as a whole.
         """
-        block: list[str] = []
-        size = 0
-        for text in texts:
-            text = text or ""
-            if any(x in text for x in self.special):
-                yield from self._block(block)
-                block, size = [], 0
-                ids = np.array([*self._ids(text), END], np.uint32)
-                yield ids, np.array([len(ids)])
-                continue
-            block.append(text)
-            size += len(text)
-            if size > BLOCK_CHARS:
-                yield from self._block(block)
-                block, size = [], 0
-        yield from self._block(block)
-
-    def _block(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        if not texts:
-            return
-        # Pieces are cut and numbered by Arrow; only distinct ones become strings here.
-        pieces = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.string()), "\n", " \n "), " ")
-        numbered = pieces.values.dictionary_encode()
-        codes = self.codes(numbered.dictionary.to_pylist())[numbered.indices.to_numpy()]
-        ids, total = self._gather(codes)
-        places = pieces.offsets.to_numpy()
-        bounds = np.append(0, total)[places].tolist()
-        cuts = np.unique(total[self.ends[codes]])
+        data, at = parts(column if isinstance(column, pa.Array) else pa.array(column, pa.string()))
+        first = 0
+        while first < len(column):
+            last = max(first + 1, int(np.searchsorted(at, at[first] + BLOCK_BYTES, side="right")) - 1)
+            yield from self._block(data[at[first] : at[last]], at[first : last + 1] - at[first])
+            first = last
+
+    def _block(self, data: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        raw = data.tobytes()
+        whole = {}
+        if any(x in raw for x in self.special):
+            for k, (s, e) in enumerate(zip(at.tolist(), at[1:].tolist(), strict=False)):
+                if any(raw.find(x, s, e) >= 0 for x in self.special):
+                    whole[k] = np.array([*self.tokenizer.encode(raw[s:e].decode(), add_special_tokens=False).ids, END], np.uint32)
+        kind = classes(data)
+        black = kind != SPACE
+        begins = changes(kind) & black
+        begins[1:] |= black[1:] & ~black[:-1]
+        edge = at[:-1][at[:-1] < at[1:]]
+        begins[edge] = black[edge]
+        starts = np.flatnonzero(begins)
+        # White space goes, so that chunks fill the bytes.
+        seen = np.concatenate([[0], np.cumsum(black)])
+        close = _LOWER[data[black]]
+        if len(starts):
+            numbered = binaries(close, seen[starts]).dictionary_encode()
+            codes = self._codes(numbered.dictionary)[numbered.indices.to_numpy()]
+        else:
+            codes = np.zeros(0, np.int64)
+        run, total = ragged(self.start[codes], self.size[codes])
+        ids = self.flat[run]
+        # A sentence ends after a chunk that closes one and stands before white space, and at line feeds.
+        stop = np.append(starts[1:], len(data))
+        stop = np.minimum(stop, at[np.searchsorted(at, starts, side="right")])
+        size = seen[stop] - seen[starts]
+        lines = np.concatenate([[0], np.cumsum(data == 10)])
+        cuts = (self.ends[codes] & (stop - starts > size)) | (lines[stop] > lines[starts])
+        cuts = total[1:][cuts]
+        cuts = cuts[np.append(True, cuts[1:] > cuts[:-1])[: len(cuts)]]
+        bounds = total[np.searchsorted(starts, at)].tolist()
         low, high = np.searchsorted(cuts, bounds[:-1], side="right").tolist(), np.searchsorted(cuts, bounds[1:], side="left").tolist()
-        for s, e, a, b in zip(bounds, bounds[1:], low, high, strict=False):
-            yield np.append(ids[s:e], np.uint32(END)), np.append(cuts[a:b] - s, e - s + 1)
+        for k, (s, e, a, b) in enumerate(zip(bounds, bounds[1:], low, high, strict=False)):
+            if k in whole:
+                yield whole[k], np.array([len(whole[k])])
+            else:
+                yield np.append(ids[s:e], np.uint32(END)), np.append(cuts[a:b] - s, e - s + 1)
 
 
 _KEPT: dict[str, WordIds] = {}
