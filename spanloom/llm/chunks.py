@@ -60,3 +60,30 @@ def ragged(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarra
     """Indices of the runs [start, start + size) one after the other, and the running count with a leading 0."""
     total = np.concatenate([[0], np.cumsum(sizes)])
     return np.repeat(starts - total[:-1], sizes) + np.arange(total[-1]), total
+
+
+class Known:
+    """Ids of distinct chunks, numbered as they come: those of number k are flat[start[k] : start[k] + size[k]]."""
+
+    def __init__(self) -> None:
+        self.forget()
+
+    def forget(self) -> None:
+        self.code: dict[bytes, int] = {}
+        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.used = 0
+
+    def add(self, chunks: list[bytes], ids: np.ndarray, sizes: np.ndarray) -> slice:
+        """Take in new chunks with all their ids and the count of each; gives their numbers."""
+        n = len(self.code)
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros(max(1 << 14, len(self.flat)), np.uint32)])
+        while n + len(chunks) > len(self.start):
+            self.start, self.size = (np.concatenate([x, np.zeros(max(1 << 12, len(x)), np.int64)]) for x in (self.start, self.size))
+        to = slice(n, n + len(chunks))
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.size[to] = sizes
+        self.start[to] = self.used + np.cumsum(sizes) - sizes
+        self.used += len(ids)
+        self.code.update(zip(chunks, range(n, n + len(chunks)), strict=True))
+        return to

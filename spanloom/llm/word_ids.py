@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from spanloom.llm.chunks import LETTER, SPACE, binaries, changes, classes, parts, ragged
+from spanloom.llm.chunks import LETTER, SPACE, Known, binaries, changes, classes, parts, ragged
 
 #: Distinct chunks kept in a worker.
 KNOWN = 600_000
@@ -30,7 +30,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 0x20
 
 
-class WordIds:
+class WordIds(Known):
     def __init__(self, path: str, known: int = KNOWN):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer
@@ -40,26 +40,16 @@ class WordIds:
         vocabulary = self.tokenizer.get_vocab()
         self.closes = np.zeros(max(vocabulary.values()) + 1, bool)
         self.closes[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
-        self._forget()
+        super().__init__()
 
-    def _forget(self) -> None:
-        self.code: dict[bytes, int] = {}
-        self.flat, self.start, self.size, self.ends = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
-        self.used = 0
+    def forget(self) -> None:
+        super().forget()
+        self.ends = np.zeros(0, bool)
 
     def _store(self, chunks: list[bytes], ids: np.ndarray, sizes: np.ndarray, ends: list[bool] | bool) -> None:
-        n = len(self.code)
-        while self.used + len(ids) > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros(max(1 << 16, len(self.flat)), np.uint32)])
-        while n + len(chunks) > len(self.start):
-            self.start, self.size, self.ends = (np.concatenate([x, np.zeros(max(1 << 14, len(x)), x.dtype)]) for x in (self.start, self.size, self.ends))
-        to = slice(n, n + len(chunks))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.size[to] = sizes
-        self.start[to] = self.used + np.cumsum(sizes) - sizes
+        to = self.add(chunks, ids, sizes)
+        self.ends = np.concatenate([self.ends, np.zeros(len(self.start) - len(self.ends), bool)])
         self.ends[to] = ends
-        self.used += len(ids)
-        self.code.update(zip(chunks, range(n, n + len(chunks)), strict=True))
 
     def _separately(self, chunks: list[bytes]) -> None:
         texts = [c.decode() for c in chunks]
@@ -88,7 +78,7 @@ class WordIds:
         new = np.flatnonzero(found < 0)
         if len(new):
             if len(self.code) + len(new) > self.known:
-                self._forget()
+                self.forget()
                 new = np.arange(len(names))
             data, at = parts(chunks)
             word = np.logical_and.reduceat(classes(data) == LETTER, at[:-1])

@@ -54,10 +54,17 @@ def test_bpe_replays_lower_ranks_that_a_merge_opens():
     assert bpe.MergeReplay(ranks).encode([w.encode() for w in words]) == [known.encode_ordinary(w) for w in words]
 
 
-def test_bpe_forgets_when_it_knows_too_much(ranks, known):
-    own = bpe.Encoder(ranks, public_tokenizers.PATTERN, known=3)
-    for text in ("one two three four", "five six one two", "seven"):
-        assert list(own.encode([text])) == [known.encode_ordinary(text)]
+def test_bpe_forgets_when_it_knows_too_much_and_keeps_texts_over_blocks_whole(spark, known):
+    texts = [*ODD, "one two three four", "five six one two", "seven", "日本 語。 テ スト x", "ö ö　 ä b  c 'sé 's 's. x'.s"]
+    for block, most in ((1, 3), (40, 5), (4000, 10**6)):
+        got = {r.doc_id: r.ids for r in bpe.encode(frame(spark, texts), block=block, known=most).collect()}
+        assert got == {k: known.encode_ordinary(t or "") for k, t in enumerate(texts)}
+
+
+def test_bpe_of_an_empty_table_and_of_repeated_rows_without_ids(spark, known):
+    assert bpe.digests(frame(spark, []).where("doc_id is not null")).collect() == []
+    rows = bpe.digests(frame(spark, ["a b", "a b", None, ""], [None, None, 3, 3])).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens) for r in rows) == [(0, 2), (0, 2), (3, 0), (3, 0)]
 
 
 def test_word_ids_are_the_tokenizers():
