@@ -8,7 +8,7 @@
    Words are independent of each other, so this gives each word what a merge loop over that word alone gives.
 3. Ids go back to the blocks, whose texts are put together from them by array gathers.
 
-What is shuffled is packed: one row for a block and bucket, one row for a block's texts. A task holds one block, or a bucket's
+What is shuffled is packed: one row for a block and bucket, one row for a block's texts; a block's numbers move once. A task holds one block, or a bucket's
 distinct chunks up to KNOWN; memory grows with neither the corpus nor its vocabulary. A text longer than a block is a block of its own.
 """
 
@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.chunks import APOSTROPHE, LETTER, OTHER, SPACE, Known, binaries, changes, classes, parts, ragged
-from spanloom.llm.common import materialize, tokenizer_path
+from spanloom.llm.common import tokenizer_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Distinct chunks whose ids a bucket keeps.
@@ -37,9 +37,8 @@ KNOWN = 1_000_000
 BLOCK_BYTES = 16_000_000
 WINDOW_BYTES = 32_000_000
 REPLAY_WORDS = 200_000
-#: Bytes of a chunk that choose its bucket, blocks put together in as many tasks at most.
+#: Bytes of a chunk that choose its bucket.
 HASHED_BYTES = 32
-MOST_TASKS = 50_000
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -204,7 +203,7 @@ class _Blocks:
         self.buckets, self.block = buckets, block
 
     def __call__(self, them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, size = TaskContext.get().partitionId() << 24, 0
+        number, size = TaskContext.get().partitionId() << 24, 0  # a place in the input
         held: list[tuple[list, np.ndarray, np.ndarray]] = []
         for batch in them:
             data, at = parts(batch.column(1))
@@ -241,6 +240,10 @@ class _Blocks:
             for k, (s, e) in enumerate(zip(edges.tolist(), edges[1:].tolist(), strict=False))
             if s < e
         ]
+        # A block is named by its place and its chunks, so ids never meet texts of another cut.
+        name = hashlib.blake2b(number.to_bytes(8, "little") + b"".join(x[2] for x in rows), digest_size=8).digest()
+        number = int.from_bytes(name, "little", signed=True)
+        rows = [(number, *x[1:]) for x in rows]
         rows.append((number, self.buckets, squeezed(rank[codes]), squeezed(np.diff(np.searchsorted(starts, at))), squeezed(bucket), ids))
         return _packed(rows)
 
@@ -294,33 +297,27 @@ class _Replayed:
 
 
 class _Assembled:
-    """Ids and texts of blocks, ordered by block and bucket, to what `result` makes of (doc_ids, ids, bounds of the texts)."""
+    """Texts of blocks with the ids of their chunks to what `result` makes of (doc_ids, ids, bounds of the texts)."""
 
-    def __init__(self, buckets: int, result: Callable[[list, np.ndarray, np.ndarray], pa.RecordBatch]):
-        self.buckets, self.result = buckets, result
+    def __init__(self, result: Callable[[list, np.ndarray, np.ndarray], pa.RecordBatch]):
+        self.result = result
 
     def __call__(self, them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        made: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in them:
             for row in range(batch.num_rows):
-                _, bucket, body, sizes, buckets, ids = (batch.column(k)[row].as_py() for k in range(6))
-                if bucket < self.buckets:
-                    made.append((spread(body), spread(sizes)))
-                    continue
+                body, sizes, buckets, ids, parts_ = (batch.column(x)[row].as_py() for x in ("body", "sizes", "buckets", "ids", "parts"))
                 order = np.argsort(spread(buckets), kind="stable")
-                size = np.empty(len(order), np.int64)
-                start = np.empty(len(order), np.int64)
-                if len(order):
-                    flat, sized = (np.concatenate(x) for x in zip(*made, strict=True))
-                    size[order] = sized
-                    start[order] = np.cumsum(sized) - sized
-                else:
-                    flat = np.zeros(0, np.int64)
+                parts_ = sorted(parts_ or [], key=lambda x: x["bucket"])
+                flat = np.concatenate([np.zeros(0, np.int64), *(spread(x["body"]) for x in parts_)])
+                sized = np.concatenate([np.zeros(0, np.int64), *(spread(x["sizes"]) for x in parts_)])
+                if len(sized) != len(order):
+                    raise RuntimeError("the ids of a block are of another cut of the input; its rows came in another order when they were read again")
+                size, start = np.empty((2, len(order)), np.int64)
+                size[order], start[order] = sized, np.cumsum(sized) - sized
                 codes = spread(body)
                 run, total = ragged(start[codes], size[codes])
                 bounds = total[np.concatenate([[0], np.cumsum(spread(sizes))])]
                 yield self.result(ids, flat[run], bounds)
-                made = []
 
 
 _REPLAYERS: dict[str, MergeReplay] = {}
@@ -340,15 +337,19 @@ def _pattern() -> str:
 
 
 def _encoded(docs: DataFrame, path: str, pattern: str, result: Callable, schema: str, block: int, known: int = KNOWN) -> DataFrame:
-    """The three steps; `result` makes a block's rows."""
+    """The three steps; `result` makes a block's rows.
+
+    Blocks and chunks come from one exchange, which both branches read: neither a filter nor a pruned column may go
+    below it, so the filters hold a term that the optimizer can't move, and every column is asked for.
+    """
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = materialize(source.mapInArrow(_Blocks(buckets, block), PACKED_SQL))
-    texts = made.where(F.col("bucket") == buckets)
-    chunks = made.where(F.col("bucket") < buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
+    made = source.mapInArrow(_Blocks(buckets, block), PACKED_SQL).repartition(buckets, "block")
+    bucket = F.col("bucket") + F.rand(0) * 0
+    chunks = made.where(bucket < buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
     ids = chunks.mapInArrow(_Replayed(path, pattern, known), PACKED_SQL)
-    tasks = min(max(texts.count(), 1), MOST_TASKS)
-    return ids.unionByName(texts).repartition(tasks, "block").sortWithinPartitions("block", "bucket").mapInArrow(_Assembled(buckets, result), schema)
+    ids = ids.groupBy("block").agg(F.collect_list(F.struct("bucket", "body", "sizes")).alias("parts"))
+    return made.where(bucket >= buckets).join(ids, "block", "left").mapInArrow(_Assembled(result), schema)
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, block: int = BLOCK_BYTES, known: int = KNOWN) -> DataFrame:
