@@ -23,7 +23,8 @@ from spanloom.llm.common import materialize, tokenizer_path
 from spanloom.llm.word_ids import VOCABULARY, word_ids
 
 CAPACITY = 4096
-#: Sequences whose matrices a task holds at once.
+#: Ids of pieces, and sequences with their matrices, that a task gives out at once.
+OUT_IDS = 1 << 20
 SEQUENCES = 128
 
 
@@ -106,23 +107,30 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
 
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, task, seen = word_ids(path), TaskContext.get().partitionId(), Counter()
-        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "local"]
+        names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "local", *["ids"] * keep_ids]
+
+        def out(rows: list[tuple], blobs: list[bytes]) -> pa.RecordBatch:
+            cols = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
+            return pa.RecordBatch.from_arrays([*cols, *[pa.array(blobs, pa.binary())] * keep_ids], names)
+
         for batch in them:
-            rows, blobs = [], []
+            rows, blobs, size = [], [], 0
             for doc, (ids, _) in zip(batch.column(0).to_pylist(), own.encode(batch.column(1)), strict=True):
-                ids = ids.astype("<u4")
+                ids = ids.astype("<u4", copy=False)
                 short = ids.astype("<u2") if narrow and ids.max() < 1 << 16 else ids
                 for s in range(0, len(ids), capacity):
-                    part = ids[s : s + capacity].tobytes()
-                    n = len(part) // 4
+                    part = ids[s : s + capacity]
+                    n = len(part)
                     rows.append((doc, s, n, zlib.crc32(part), len(ids), task, seen[n]))
                     seen[n] += 1
                     if keep_ids:
                         blobs.append(short[s : s + capacity].tobytes())
+                size += len(ids)
+                if size > OUT_IDS:
+                    yield out(rows, blobs)
+                    rows, blobs, size = [], [], 0
             if rows:
-                cols = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
-                more = [pa.array(blobs, pa.binary())] if keep_ids else []
-                yield pa.RecordBatch.from_arrays([*cols, *more], [*names, *["ids"] * keep_ids])
+                yield out(rows, blobs)
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, local long"

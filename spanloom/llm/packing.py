@@ -136,7 +136,7 @@ class Packer:
                 part = ids[inside : inside + n]
                 fill = cuts[k] - begin
                 padded = fill if fill & (fill - 1) == 0 else self.capacity
-                out.append((doc, before + inside, n, zlib.crc32(part.astype("<u4").tobytes()), whole, self.sequence, at - begin, padded))
+                out.append((doc, before + inside, n, zlib.crc32(part.astype("<u4", copy=False)), whole, self.sequence, at - begin, padded))
                 inside += n
                 at += n
                 if at == cuts[k]:

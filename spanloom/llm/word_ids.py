@@ -17,9 +17,9 @@ import pyarrow as pa
 from spanloom.llm.chunks import LETTER, SPACE, Known, binaries, changes, classes, parts, ragged
 
 #: Distinct chunks kept in a worker.
-KNOWN = 600_000
+KNOWN = 500_000
 #: Bytes of text whose chunks are numbered together; a longer text is a block of its own.
-BLOCK_BYTES = 8_000_000
+BLOCK_BYTES = 4_000_000
 #: Id that ends every document.
 END = 2
 VOCABULARY = "word_bpe_49k.json"
@@ -114,7 +114,8 @@ class WordIds(Known):
         begins[edge] = black[edge]
         starts = np.flatnonzero(begins)
         # White space goes, so that chunks fill the bytes.
-        seen = np.concatenate([[0], np.cumsum(black)])
+        seen = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(black, dtype=np.int32, out=seen[1:])
         close = _LOWER[data[black]]
         if len(starts):
             numbered = binaries(close, seen[starts]).dictionary_encode()
@@ -127,8 +128,8 @@ class WordIds(Known):
         stop = np.append(starts[1:], len(data))
         stop = np.minimum(stop, at[np.searchsorted(at, starts, side="right")])
         size = seen[stop] - seen[starts]
-        lines = np.concatenate([[0], np.cumsum(data == 10)])
-        cuts = (self.ends[codes] & (stop - starts > size)) | (lines[stop] > lines[starts])
+        feeds = np.flatnonzero(data == 10)
+        cuts = (self.ends[codes] & (stop - starts > size)) | (np.searchsorted(feeds, stop) > np.searchsorted(feeds, starts))
         cuts = total[1:][cuts]
         cuts = cuts[np.append(True, cuts[1:] > cuts[:-1])[: len(cuts)]]
         bounds = total[np.searchsorted(starts, at)].tolist()
