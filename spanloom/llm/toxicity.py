@@ -24,9 +24,8 @@ from pyspark.sql import functions as F
 
 from spanloom.llm.common import held_out, labelled_sample, materialize
 
-#: Labelled texts of each class that the model is fitted on, at most, and terms that it keeps, at most.
+#: Labelled texts of each class that the model is fitted on, at most. Every term of theirs that qualifies is kept.
 SAMPLE_DOCS = 6000
-MAX_TERMS = 400
 PREFIXES = (4, 5, 6, 7)
 #: A term stands in so many toxic texts at least, and in such a share of them; so purely in toxic ones, and in
 #: texts that are this much unlike each other.
@@ -197,6 +196,24 @@ def lexicon_of(terms: dict[str, float]) -> Lexicon:
     return _LEXICONS[key]
 
 
+def is_quoted(text: str, low: int, start: int, end: int, high: int) -> bool:
+    """Whether [start, end) stands between quotation marks within [low, high): the last mark before it opens, the first after it closes.
+
+    A mark opens before a letter or digit and after none, and closes after something other than white space and before no letter or
+    digit. One between two letters is an apostrophe.
+    """
+
+    def kind(at: int) -> str | None:
+        before, after = text[at - 1 : at], text[at + 1 : at + 2]
+        if after.isalnum():
+            return None if before.isalnum() else "opens"
+        return "closes" if before and not before.isspace() else None
+
+    last = next((k for at in range(start - 1, low - 1, -1) if text[at] in QUOTES and (k := kind(at))), None)
+    first = next((k for at in range(end, min(high, len(text))) if text[at] in QUOTES and (k := kind(at))), None)
+    return last == "opens" and first == "closes"
+
+
 def hits(text: str, lexicon: Lexicon) -> Iterator[tuple[int, int, float, int]]:
     """(start, end, weight in its context, edits) of every hit."""
     tokens = [(m.start(), m.end(), letters(m[0])) for m in _TOKEN.finditer(text)]
@@ -204,8 +221,7 @@ def hits(text: str, lexicon: Lexicon) -> Iterator[tuple[int, int, float, int]]:
         if not lexicon.possible(word) or not (found := lexicon.match(word)):
             continue
         near = tokens[max(0, k - WINDOW) : k + WINDOW + 1]
-        left, right = text[near[0][0] : s], text[e : near[-1][1] + 1]
-        quoted = any(left.count(q) % 2 if q == '"' else q in left for q in QUOTES) and any(q in right for q in QUOTES)
+        quoted = is_quoted(text, max(0, near[0][0] - 1), s, e, near[-1][1] + 2)
         mentioned = any(w in MENTIONS for _, _, w in near)
         yield s, e, found[0] * (QUOTED_SHARE if quoted or mentioned else 1.0), found[1]
 
@@ -305,8 +321,7 @@ def learned_terms(counts: dict[str, tuple[int, int]], toxic: int, other: int) ->
         if term.endswith("*") and alone.get(term, 0) >= 0.9 * counts[term][0]:
             continue
         out[term] = weight(term)
-    best = sorted(out, key=lambda t: (-out[t] * counts[t][0], t))[:MAX_TERMS]
-    return {t: out[t] for t in best}
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_DOCS) -> ToxicityModel:
@@ -333,7 +348,8 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_DOCS) -> Toxicit
     share = F.col("a") / toxic / (F.col("a") / toxic + F.col("b") / other)
     pure = (share >= 0.9) & (F.col("a") >= MIN_PRECISION * (F.col("a") + F.col("b") * min(1.0, toxic / other * 8)))
     chosen = counted.where((F.col("a") >= max(MIN_SUPPORT, MIN_SHARE * toxic)) & (F.col("a") >= MIN_UNLIKE * F.col("all")) & pure)
-    rows = chosen.orderBy((F.col("a") * share).desc(), "term").limit(8 * MAX_TERMS).collect()
+    # Terms of at most 2 x bound texts, each in MIN_SUPPORT of them at least: their number is bounded by the sample.
+    rows = chosen.orderBy("term").collect()
     terms_ = learned_terms({r["term"]: (r["a"], r["b"]) for r in rows}, toxic, other)
     if not terms_:
         return ToxicityModel()
@@ -368,7 +384,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_DOCS) -> Toxicit
 
 
 def scored(docs: DataFrame, model: ToxicityModel, carry: list[str] = ()) -> DataFrame:
-    """(id, score) of every row and the columns of `carry`; null texts score as empty ones. The model has at most MAX_TERMS terms."""
+    """(id, score) of every row and the columns of `carry`; null texts score as empty ones. The model's terms are those of a bounded sample."""
     names = [f"c{k}" for k in range(len(carry))]
     carried = [F.col(f"`{x}`").alias(n) for n, x in zip(names, carry, strict=True)]
 
