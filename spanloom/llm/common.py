@@ -40,10 +40,10 @@ def held_out(doc_id: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
-    """(text, y) of at most `bound` labelled training rows of each class, those with the smallest hash of the id.
+    """(i, text, y) of at most `bound` labelled training rows of each class, those with the smallest hash of the id.
 
     Rows whose id is null or held out, whose label is null, or whose text is null never train. A label that
-    an id has more than once counts once, as its largest.
+    an id has more than once counts once, as its largest; an id that several rows have trains once, with the text of least hash.
     """
     marks = (
         labels.select(F.col("doc_id").cast("long").alias("i"), F.col(label).cast("int").alias("y"))
@@ -56,7 +56,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int)
     chosen = marks.where("y = 1").orderBy(*order).limit(bound).unionByName(marks.where("y = 0").orderBy(*order).limit(bound))
     texts = docs.select(F.col("doc_id").cast("long").alias("i"), "text").where("text is not null")
     # `chosen` has at most 2 x bound rows of two numbers, so it is always small enough to send to every task.
-    return texts.join(F.broadcast(chosen), "i").select("i", "text", "y")
+    return texts.join(F.broadcast(chosen), "i").groupBy("i", "y").agg(F.min_by("text", F.xxhash64("text")).alias("text")).select("i", "text", "y")
 
 
 def tokenizer_path(name: str) -> str:

@@ -10,7 +10,8 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 from operator import eq
 
@@ -22,9 +23,9 @@ from pyspark.sql import functions as F
 from spanloom.llm.common import held_out, labelled_sample
 from spanloom.llm.toxicity import logistic
 
-#: Labelled texts of each class that the field is fitted on, at most; texts of more lines than this don't train.
+#: Labelled texts of each class that the field is fitted on, at most. They train whole, in chains of at most CHAIN lines.
 SAMPLE_DOCS = 700
-TRAIN_LINES = 200
+CHAIN = 200
 STEPS, RATE, PENALTY = 80, 0.15, 1e-3
 
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -60,58 +61,99 @@ def line_features(line: str) -> list[float]:
     ]
 
 
-def sequence(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Features (own, before, after) of the lines that have a word, and their lengths."""
-    lines = [x for x in (text or "").split("\n") if x and not x.isspace()]
-    own = np.array([line_features(x) for x in lines], np.float64).reshape(-1, OWN)
-    none = np.zeros((min(1, len(own)), OWN))
-    x = np.hstack([own, np.vstack([none, own[:-1]]), np.vstack([own[1:], none])])
-    return x, np.array([len(line) for line in lines], np.float64)
+#: Lines of a text whose features are held at once when it is scored.
+SCORED_LINES = 4096
+WIDTH = 3 * OWN
 
 
-WIDTH = 3 * OWN
+def lines_of(text: str | None) -> Iterator[str]:
+    """Lines that have a word, one at a time."""
+    text, at = text or "", 0
+    while at <= len(text):
+        end = text.find("\n", at)
+        end = len(text) if end < 0 else end
+        line = text[at:end]
+        if line and not line.isspace():
+            yield line
+        at = end + 1
+
 
+def own_features(lines: Iterable[str]) -> np.ndarray:
+    return np.array([line_features(x) for x in lines], np.float64).reshape(-1, OWN)
 
-def marginals(x: np.ndarray, emission: np.ndarray, move: np.ndarray) -> np.ndarray:
-    """P(good) of each line. emission: WIDTH weights for good against bad; move: 2 x 2 scores from label to label."""
-    if not len(x):
+
+def with_neighbours(own: np.ndarray) -> np.ndarray:
+    """Features (own, before, after) of the lines of a text."""
+    none = np.zeros((min(1, len(own)), OWN))
+    return np.hstack([own, np.vstack([none, own[:-1]]), np.vstack([own[1:], none])])
+
+
+def sequence(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Features (own, before, after) of the lines that have a word, and their lengths."""
+    lines = list(lines_of(text))
+    return with_neighbours(own_features(lines)), np.array([len(line) for line in lines], np.float64)
+
+
+def potentials(text: str | None, emission: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Scores of good against bad of each line, and the lines' lengths; three numbers a line are held, never a text's features."""
+    shares = emission.reshape(3, OWN).T
+    scores, sizes, block = [np.zeros((0, 3))], array("d"), []
+    for line in lines_of(text):
+        block.append(line)
+        sizes.append(len(line))
+        if len(block) == SCORED_LINES:
+            scores.append(own_features(block) @ shares)
+            block = []
+    if block:
+        scores.append(own_features(block) @ shares)
+    each = np.concatenate(scores)
+    z = each[:, 0].copy()
+    z[1:] += each[:-1, 1]
+    z[:-1] += each[1:, 2]
+    return z, np.frombuffer(sizes, np.float64) if len(sizes) else np.zeros(0)
+
+
+def marginals(z: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """P(good) of each line. z: score of good against bad of each line; move: 2 x 2 scores from label to label."""
+    if not len(z):
         return np.zeros(0)
-    e = np.exp(np.clip(x @ emission, -30, 30)).tolist()
+    e = np.exp(np.clip(z, -30, 30))
     (bb, bg), (gb, gg) = np.exp(move).tolist()
-    ahead, b, g = [], 1.0, e[0]
-    for v in e[1:]:
-        s = b + g
-        b, g = b / s, g / s
-        ahead.append((b, g))
-        b, g = b * bb + g * gb, (b * bg + g * gg) * v
-    ahead.append((b, g))
-    out, rb, rg = [], 1.0, 1.0
-    for (b, g), v in zip(reversed(ahead), [*reversed(e[1:]), None], strict=True):
-        good, bad = g * rg, b * rb
-        out.append(good / (good + bad))
-        if v is not None:
-            rb, rg = bb * rb + bg * v * rg, gb * rb + gg * v * rg
-            s = rb + rg
-            rb, rg = rb / s, rg / s
-    return np.array(out[::-1])
+    ahead, good = array("d"), array("d")  # share of good so far in each line, from the left; from the right with what follows
+    share = 0.0
+    for k, v in enumerate(memoryview(e)):
+        b, g = (1.0, v) if not k else ((1 - share) * bb + share * gb, ((1 - share) * bg + share * gg) * v)
+        share = g / (b + g)
+        ahead.append(share)
+    rb = rg = 0.5
+    for k in range(len(e) - 1, -1, -1):
+        g, b = ahead[k] * rg, (1 - ahead[k]) * rb
+        good.append(g / (g + b))
+        v = e[k]
+        rb, rg = bb * rb + bg * v * rg, gb * rb + gg * v * rg
+        s = rb + rg
+        rb, rg = rb / s, rg / s
+    return np.frombuffer(good, np.float64)[::-1]
 
 
 def fit_field(docs: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """Emission and transition weights by maximum likelihood with Adam; texts are taken side by side, the longest first."""
-    docs = sorted((d for d in docs if len(d[0])), key=lambda d: -len(d[0]))
-    sizes = np.array([len(x) for x, _ in docs])
-    y = np.array([v for _, v in docs])
-    flat = np.vstack([x for x, _ in docs])
+    """Emission and transition weights by maximum likelihood with Adam. A text of more than CHAIN lines is several chains, which
+    share its weight; chains are taken side by side, the longest first."""
+    chains = [(x[s : s + CHAIN], v, 1 / len(x)) for x, v in docs for s in range(0, len(x), CHAIN)]
+    chains.sort(key=lambda c: -len(c[0]))
+    sizes = np.array([len(x) for x, _, _ in chains])
+    y, each = np.array([v for _, v, _ in chains]), np.array([w for _, _, w in chains])
+    flat = np.vstack([x for x, _, _ in chains])
     first = np.cumsum(sizes) - sizes
-    alive = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(int(sizes[0]))]  # texts with over t lines
+    alive = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(int(sizes[0]))]  # chains with over t lines
     at = [first[:n] + t for t, n in enumerate(alive)]
-    weight = np.repeat(1 / sizes, sizes)  # each text counts the same
+    weight, n_docs = np.repeat(each, sizes), sum(len(x) > 0 for x, _ in docs)  # each text counts the same
     emission, move = np.zeros(WIDTH), np.zeros((2, 2))
     slow = [np.zeros(WIDTH), np.zeros((2, 2))]
     fast = [np.zeros(WIDTH), np.zeros((2, 2))]
     labels = np.repeat(y, sizes)
     seen = np.zeros((2, 2))
-    np.add.at(seen, (y, y), (sizes - 1) / sizes)
+    np.add.at(seen, (y, y), (sizes - 1) * each)
     for step in range(1, STEPS + 1):
         z = np.clip(flat @ emission, -30, 30)
         e = np.column_stack([np.ones(len(z)), np.exp(z)])
@@ -131,7 +173,7 @@ def fit_field(docs: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarra
             beta[before] = back / back.sum(axis=1, keepdims=True)
         post = alpha * beta
         good = post[:, 1] / post.sum(axis=1)
-        gradients = [flat.T @ (weight * (labels - good)) / len(y) - PENALTY * emission, (seen - pairs) / len(y) - PENALTY * move]
+        gradients = [flat.T @ (weight * (labels - good)) / n_docs - PENALTY * emission, (seen - pairs) / n_docs - PENALTY * move]
         for k, g in enumerate(gradients):
             slow[k] = 0.9 * slow[k] + 0.1 * g
             fast[k] = 0.999 * fast[k] + 0.001 * g * g
@@ -143,9 +185,9 @@ def fit_field(docs: list[tuple[np.ndarray, int]]) -> tuple[np.ndarray, np.ndarra
     return emission, move
 
 
-def quality(x: np.ndarray, sizes: np.ndarray, emission: np.ndarray, move: np.ndarray) -> float:
+def quality(z: np.ndarray, sizes: np.ndarray, move: np.ndarray) -> float:
     """Mean marginal of good, weighted by length; 0 for a text without a line."""
-    return float(marginals(x, emission, move) @ sizes / sizes.sum()) if len(x) else 0.0
+    return float(marginals(z, move) @ sizes / sizes.sum()) if len(z) else 0.0
 
 
 @dataclass
@@ -155,7 +197,7 @@ class FieldModel:
     scale: tuple[float, float] = (0.0, 4.0)
 
     def score(self, text: str | None) -> float:
-        q = quality(*sequence(text), self.emission, self.move)
+        q = quality(*potentials(text, self.emission), self.move)
         return 1 / (1 + math.exp(-min(max(self.scale[0] + self.scale[1] * (q - 0.5), -30.0), 30.0)))
 
 
@@ -164,20 +206,23 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_DOCS) -> FieldMo
 
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in them:
-            rows = [(sequence(t), y) for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            rows = [(x.astype("<f8").tobytes(), s.astype("<f8").tobytes(), y) for (x, s), y in rows if 0 < len(x) <= TRAIN_LINES]
+            rows = []
+            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                lines = list(lines_of(t))
+                if lines:
+                    rows.append((own_features(lines).astype("<f4").tobytes(), np.array([len(x) for x in lines], "<f4").tobytes(), y))
             cols = list(zip(*rows, strict=True)) if rows else [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64())], ["x", "s", "y"])
 
     sample = labelled_sample(docs, labels, "quality", bound)
-    # At most 2 x bound texts of at most TRAIN_LINES lines each come to the driver, as numbers.
+    # At most 2 x bound texts come to the driver, as OWN + 1 short numbers for each line.
     rows = sample.orderBy("i").select("text", F.col("y").cast("long").alias("y")).mapInArrow(batches, "x binary, s binary, y long").collect()
-    made = [(np.frombuffer(r["x"], "<f8").reshape(-1, WIDTH), np.frombuffer(r["s"], "<f8"), r["y"]) for r in rows]
+    made = [(with_neighbours(np.frombuffer(r["x"], "<f4").reshape(-1, OWN).astype(np.float64)), np.frombuffer(r["s"], "<f4").astype(np.float64), r["y"]) for r in rows]
     marks = {y for _, _, y in made}
     if marks != {0, 1}:
         return FieldModel()
     emission, move = fit_field([(x, y) for x, _, y in made])
-    q = np.array([[quality(x, s, emission, move) - 0.5] for x, s, _ in made])
+    q = np.array([[quality(x @ emission, s, move) - 0.5] for x, s, _ in made])
     y = np.array([y for _, _, y in made])
     w = logistic(q, y)
     known = labels.where("doc_id is not null and quality is not null").where(~held_out(F.col("doc_id")))
@@ -201,7 +246,7 @@ def op10(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Query form: held_out, score and predicted of every document.
 
     A null doc_id is held out. Repeated rows get equal scores; an empty table gives an empty one; without labels of both
-    classes a text's score doesn't depend on its lines.
+    classes a text's score doesn't depend on its lines. Of a very long text three numbers a line are held.
     """
     made = scored(docs, fit(docs, labels))
     return made.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
