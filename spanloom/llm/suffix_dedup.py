@@ -40,6 +40,8 @@ SHALLOW = 48
 HOT_CONTEXTS = 1024
 #: Bytes of text hashed at once, and windows sorted at once; a group of anchors is never split.
 BLOCK = 1 << 20
+#: Anchor rows that a task of level 1 decides together.
+HOLD_ROWS = 250_000
 SORT_WINDOWS = 1 << 18
 
 _MUL = 0x9E3779B97F4A7C15
@@ -144,7 +146,7 @@ def _gone(doc: np.ndarray, tag: np.ndarray, first: np.ndarray, last: np.ndarray)
 class _Mapper:
     """Texts to anchor rows; repeats of a context within some batches are decided here."""
 
-    def __init__(self, length: int, gram: int, hold: int = 1_000_000):
+    def __init__(self, length: int, gram: int, hold: int = HOLD_ROWS):
         self.length, self.gram, self.hold = length, gram, hold
 
     def __call__(self, them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
