@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import id_key, materialize
+from spanloom.llm.common import materialize
 
 PREFIX = 64
 WHITE = " \t\n\x0b\x0c\r"
@@ -36,41 +36,45 @@ def exact_groups(docs: DataFrame, carry: list[str] = (), prefix: int = PREFIX, h
     """Each row with keep_id, group_size, kept, text_sha256 and the columns of `carry`.
 
     Of equal texts, the row with the most code points in the original text, then the smallest doc_id stays. Null counts as
-    empty, and all empty texts are equal. A null doc_id ranks before all others. Of rows that agree in
+    empty, and all empty texts are equal. A null doc_id ranks before all others and is a null keep_id. Of rows that agree in
     text and doc_id all are kept or dropped alike, as nothing tells them apart. An empty table gives an empty one.
 
     hash_all: text_sha256 is wanted for every row, so the one pass over the text takes it along; else it is null for
     rows decided before, and the full content is hashed for survivors alone.
     ties: adds that column, how many rows the group keeps.
     """
-    norm = normalised(F.col("text"))
     names = [f"c{k}" for k in range(len(carry))]
     carried = [F.col(f"`{x}`").alias(name) for name, x in zip(names, carry, strict=True)]
+    norm, sha = normalised(F.col("text")), F.sha2(normalised(F.col("text")).cast("binary"), 256)
     points = F.length(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    sha = F.sha2(F.col("norm").cast("binary"), 256)
-    base = docs.select(F.col("doc_id").cast("long").alias("id"), points.alias("points"), norm.alias("norm"), *carried)
-    small = base.select("id", "points", F.length("norm").alias("size"), F.xxhash64(F.substring("norm", 1, prefix)).alias("head"), *([sha.alias("full")] if hash_all else ["norm"]), *names)
-    # Only digests are grouped; they are written once, so that no level reads the texts again.
-    digests = materialize(small.drop(*names)) if hash_all else small.drop(*names)
-    live = survivors(digests)
-    best = F.min(F.struct((-F.col("points")).alias("most"), F.col("key").alias("first"), F.col("equal").alias("ties")))
-    left = digests.join(live, ["size", "head"], "left_semi")
-    left = left if hash_all else left.withColumn("full", sha).drop("norm")
-    equal = left.groupBy("size", "head", "full", "points", id_key(F.col("id")).alias("key")).agg(F.count("*").alias("equal"))
+    base = docs.select(F.col("doc_id").cast("long").alias("id"), points.alias("points"), F.col("text"), F.length(norm).alias("size"), F.xxhash64(F.substring(norm, 1, prefix)).alias("head"), *carried)
+    kind = ["id", "points", "size", "head"]
+    if hash_all:
+        # Only digests are grouped; they are written once, so that no level reads the texts again.
+        digests = materialize(base.select(*kind, sha.alias("full")))
+        left = digests.join(survivors(digests), ["size", "head"], "left_semi")
+        rows = base.select(*kind, sha.alias("full"), *names) if carry else digests
+        decided = None
+    else:
+        live = survivors(base.select("size", "head")).withColumn("hit", F.lit(True))
+        marked = materialize(base.join(live, ["size", "head"], "left").select(*kind, "text", *names, F.coalesce("hit", F.lit(False)).alias("hit")))
+        left = marked.where("hit").select(*kind, sha.alias("full"))
+        rows = marked.where("hit").select(*kind, sha.alias("full"), *names)
+        decided = marked.where("not hit").select(*kind, F.lit(None).cast("string").alias("full"), *names)
+    # Orders of structs have nulls first.
+    best = F.min(F.struct((-F.col("points")).alias("most"), F.col("id").alias("first"), F.col("equal").alias("ties")))
+    equal = left.groupBy("size", "head", "full", "points", "id").agg(F.count("*").alias("equal"))
     groups = equal.groupBy("size", "head", "full").agg(F.sum("equal").alias("n"), best.alias("best")).where("n > 1")
-    groups = groups.select("size", "head", "full", "n", "best.most", "best.first", "best.ties")
-    if not hash_all:
-        small = small.join(groups.select("size", "head").distinct().withColumn("hit", F.lit(True)), ["size", "head"], "left")
-        small = small.withColumn("full", F.when(F.col("hit"), sha)).drop("norm", "hit")
-    if hash_all and not carry:
-        small = digests
-    joined = small.join(groups, ["size", "head", "full"], "left")
-    mine = (F.col("points") == -F.col("most")) & (id_key(F.col("id")) == F.col("first"))
+    joined = rows.join(groups.select("size", "head", "full", "n", "best.most", "best.first", "best.ties"), ["size", "head", "full"], "left")
+    if decided is not None:
+        joined = joined.unionByName(decided, allowMissingColumns=True)
+    grouped = F.col("n").isNotNull()
+    mine = (F.col("points") == -F.col("most")) & F.col("id").eqNullSafe(F.col("first"))
     return joined.select(
         F.col("id").alias("doc_id"),
-        F.coalesce(F.col("first"), id_key(F.col("id"))).alias("keep_id"),
+        F.when(grouped, F.col("first")).otherwise(F.col("id")).alias("keep_id"),
         F.coalesce(F.col("n"), F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(mine, F.lit(True)).alias("kept"),
+        F.when(grouped, mine).otherwise(True).alias("kept"),
         F.col("full").alias("text_sha256"),
         *([F.coalesce(F.col("ties"), F.lit(1)).alias("ties")] if ties else []),
         *[F.col(a).alias(x) for a, x in zip(names, carry, strict=True)],

@@ -136,12 +136,13 @@ def confirmed(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
 def near_copies(docs: DataFrame, text: str = "text", id: str = "doc_id", words: int = SHINGLE_WORDS, least: float = LEAST) -> DataFrame:
     """(id, node, component): one row for each input row; component is the smallest id reachable through near copies.
 
-    Empty or null texts are equal to each other. Rows with a null id take part; an id that is null ranks as the smallest
-    long. Repeated rows get equal results; an empty table gives an empty one.
+    Empty or null texts are equal to each other. Rows with a null id take part; null ranks before all other ids, so it is the
+    component of what it reaches. Repeated rows get equal results; an empty table gives an empty one.
     """
     marked = materialize(sketches(docs, text, id, words))
-    nodes = marked.groupBy("node").agg(F.min(id_key(F.col("id"))).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
-    rows = nodes.select("node", "n", "first", F.explode("bands").alias("bucket"))
+    # The least id of a node; nulls are first in structs.
+    nodes = marked.groupBy("node").agg(F.min(F.struct("id")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    rows = nodes.select("node", "n", id_key(F.col("first.id")).alias("first"), F.explode("bands").alias("bucket"))
     ends = (F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high"))
     # Buckets of one node link nothing. Their counts come from partial sums.
     shared = rows.groupBy("bucket").agg(F.count("*").alias("count"), *ends).where("count > 1").drop("count")
@@ -163,5 +164,5 @@ def near_copies(docs: DataFrame, text: str = "text", id: str = "doc_id", words:
     tied = components(links.unionByName(more))
     merged = nodes.select("node", "first").join(tied, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     roots = merged.groupBy("root").agg(F.min("first").alias("component"))
-    named = merged.join(roots, "root").select("node", "component")
+    named = merged.join(roots, "root").select("node", F.col("component.id").alias("component"))
     return marked.select("id", "node").join(named, "node").select("id", "node", "component")

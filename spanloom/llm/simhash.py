@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import id_key, materialize
+from spanloom.llm.common import materialize
 
 RADIUS = 3
 SHINGLE_WORDS = 3
@@ -195,15 +195,15 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, text: str = "text", id: str = "doc_id", words: int = SHINGLE_WORDS, radius: int = RADIUS) -> DataFrame:
     """(id, fp, component): one row for each input row; component is the smallest id reachable through links.
 
-    Empty or null texts have fingerprint zero and link like any other. Rows with a null id take part; an id that is
-    null ranks as the smallest long. Repeated rows get equal results; an empty table gives an empty one.
+    Empty or null texts have fingerprint zero and link like any other. Rows with a null id take part; null ranks before
+    all other ids, so it is the component of what it reaches. Repeated rows get equal results; an empty table gives an empty one.
     """
     marked = materialize(fingerprints(docs, text, id, words))
-    lowest = marked.groupBy("fp").agg(F.min(id_key(F.col("id"))).alias("first"))
+    lowest = marked.groupBy("fp").agg(F.min(F.struct("id")).alias("first"))  # nulls are first in structs
     tied = components(links(marked, radius))
     merged = lowest.join(tied, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     roots = merged.groupBy("root").agg(F.min("first").alias("component"))
-    named = merged.select("fp", "root").join(roots, "root").select("fp", "component")
+    named = merged.select("fp", "root").join(roots, "root").select("fp", F.col("component.id").alias("component"))
     return marked.join(named, "fp").select("id", "fp", "component")
 
 
