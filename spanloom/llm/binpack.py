@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,10 +99,21 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return out
 
 
+def packed_ids(ids: np.ndarray) -> bytes:
+    """Ids by planes of equally significant bytes, compressed."""
+    planes = np.ascontiguousarray(ids.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpacked_ids(packed: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1)
+    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+
+
 def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False, narrow: bool = False) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens, task, local rank of the length in the task[, ids]) of all documents.
 
-    ids are little-endian unsigned 32-bit numbers; narrow: 16-bit ones for documents whose ids all fit.
+    ids are little-endian unsigned 32-bit numbers; narrow: as packed_ids has them.
     """
     path = vocabulary or tokenizer_path(VOCABULARY)
 
@@ -117,14 +129,13 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
             rows, blobs, size = [], [], 0
             for doc, (ids, _) in zip(batch.column(0).to_pylist(), own.encode(batch.column(1)), strict=True):
                 ids = ids.astype("<u4", copy=False)
-                short = ids.astype("<u2") if narrow and ids.max() < 1 << 16 else ids
                 for s in range(0, len(ids), capacity):
                     part = ids[s : s + capacity]
                     n = len(part)
                     rows.append((doc, s, n, zlib.crc32(part), len(ids), task, seen[n]))
                     seen[n] += 1
                     if keep_ids:
-                        blobs.append(short[s : s + capacity].tobytes())
+                        blobs.append(packed_ids(part) if narrow else part.tobytes())
                 size += len(ids)
                 if size > OUT_IDS:
                     yield out(rows, blobs)
@@ -169,8 +180,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     return ranked.mapInArrow(batches, f"{schema}, sequence_id long, offset long")
 
 
-def matrices(packed: DataFrame, capacity: int = CAPACITY, pad: int = 0) -> DataFrame:
-    """One row for each sequence of pack(..., keep_ids=True): input_ids, cu_seqlens (from 0 up to the ids used), position_ids,
+def matrices(packed: DataFrame, capacity: int = CAPACITY, pad: int = 0, narrow: bool = False) -> DataFrame:
+    """One row for each sequence of pack(..., keep_ids=True, narrow=narrow): input_ids, cu_seqlens (from 0 up to the ids used), position_ids,
     and for each segment its doc_id and its start in the document.
 
     The first three are little-endian unsigned 32-bit numbers in binary; input_ids and position_ids have `capacity` of them. Positions
@@ -183,7 +194,7 @@ def matrices(packed: DataFrame, capacity: int = CAPACITY, pad: int = 0) -> DataF
         ids, places, cuts = np.full(capacity, pad, "<u4"), np.zeros(capacity, "<u4"), [0]
         for x in parts:
             s, n = x["offset"], x["length"]
-            ids[s : s + n] = np.frombuffer(x["ids"], "<u2" if len(x["ids"]) == 2 * n else "<u4")
+            ids[s : s + n] = unpacked_ids(x["ids"]) if narrow else np.frombuffer(x["ids"], "<u4")
             places[s : s + n] = np.arange(n)
             cuts.append(s + n)
         return ids.tobytes(), np.array(cuts, "<u4").tobytes(), places.tobytes(), [x["doc_id"] for x in parts], [x["start"] for x in parts]
@@ -203,4 +214,4 @@ def matrices(packed: DataFrame, capacity: int = CAPACITY, pad: int = 0) -> DataF
 
 def write_matrices(docs: DataFrame, path: str, vocabulary: str | None = None, capacity: int = CAPACITY, pad: int = 0) -> None:
     """Pack `docs` and write the matrices as Parquet, one row for each sequence."""
-    matrices(pack(docs, vocabulary, capacity, keep_ids=True, narrow=True), capacity, pad).write.mode("overwrite").parquet(path)
+    matrices(pack(docs, vocabulary, capacity, keep_ids=True, narrow=True), capacity, pad, narrow=True).write.mode("overwrite").parquet(path)

@@ -18,7 +18,7 @@ def _over(name: str, operator: Callable[..., DataFrame], *more: str) -> Query:
 
 def op2(docs: DataFrame) -> DataFrame:
     """Query form of best-fit-decreasing packing: the matrices of every sequence, and which pieces lie in it."""
-    return binpack.matrices(binpack.pack(docs, keep_ids=True, narrow=True))
+    return binpack.matrices(binpack.pack(docs, keep_ids=True, narrow=True), narrow=True)
 
 
 def queries() -> dict[str, Query]:
