@@ -298,4 +298,55 @@ def test_marginals_match_enumeration():
         w = np.exp(sum(x[k] @ emission * y[k] for k in range(5)) + sum(move[a, b] for a, b in zip(y, y[1:], strict=False)))
         weight += w
         good += w * np.array(y)
-    assert np.allclose(line_crf.marginals(x, emission, move), good / weight)
+    assert np.allclose(line_crf.marginals(x @ emission, move), good / weight)
+
+
+def test_scores_of_a_long_text_dont_need_its_features_at_once(monkeypatch):
+    rng = np.random.default_rng(4)
+    emission, text = rng.normal(size=line_crf.WIDTH), "\n".join(["A line here.", "", " ", "nav | nav | nav", "more words!!", "é"] * 7) + "\n"
+    want, sizes = line_crf.sequence(text)
+    for block in (1, 3, 4096):
+        monkeypatch.setattr(line_crf, "SCORED_LINES", block)
+        z, n = line_crf.potentials(text, emission)
+        assert np.allclose(z, want @ emission) and n.tolist() == sizes.tolist()
+    assert [len(x) for x in line_crf.potentials(None, emission)] == [0, 0]
+
+
+def test_texts_of_many_lines_train_whole(spark):
+    texts = ["good words here now.\n" * 450, "bad | bad | bad\n" * 450] * 12
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(k, 1 - k % 2) for k in range(len(texts))], "doc_id long, quality int")
+    scores = {r.doc_id: r.score for r in line_crf.op10(docs, labels).collect()}
+    assert min(scores[k] for k in range(0, 24, 2)) > 0.5 > max(scores[k] for k in range(1, 24, 2))
+
+
+def test_repeated_ids_dont_raise_the_bound_of_a_sample(spark):
+    from spanloom.llm.common import labelled_sample
+
+    docs = frame(spark, ["a", "b", "c", "d"] * 20, [1, 2, 3, 4] * 20)
+    labels = spark.createDataFrame([(k, k % 2) for k in range(1, 5)], "doc_id long, toxic int")
+    rows = labelled_sample(docs, labels, "toxic", 1).collect()
+    assert len(rows) <= 2 and len({r.i for r in rows}) == len(rows)
+
+
+@pytest.mark.parametrize(
+    ("text", "quoted"),
+    [
+        ("you’re so vile, aren’t you", False),
+        ("you're so vile, aren't you", False),
+        ("he said “so vile” to her", True),
+        ("he said 'x' ‘so vile!’ to her", True),
+        ('he said "oh" and so vile "oh" to her', False),
+        ('the "vile" one', True),
+        ("students’ vile rules", False),
+    ],
+)
+def test_apostrophes_are_no_quotation_marks(text, quoted):
+    (_, _, weight, _), = toxicity.hits(text.replace("said", "saw"), toxicity.Lexicon({"vile": 2.0}))
+    assert weight == (2.0 * toxicity.QUOTED_SHARE if quoted else 2.0)
+
+
+def test_every_learned_term_is_kept():
+    letters = "abcdefghij"
+    counts = {f"{a}{b}{c}": (50, 0) for a in letters for b in letters for c in letters}
+    assert len(toxicity.learned_terms(counts, 100, 100)) == 1000
