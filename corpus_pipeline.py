@@ -10,39 +10,56 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from spanloom.llm import exact_dedup, near_dedup, packing, suffix_dedup, toxicity
-from spanloom.llm.common import id_key, materialize, table
+from spanloom.llm.common import materialize, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below one half; the model learns from the labels of `docs`."""
+    """Documents that score below one half; the model learns from the labels of `docs`.
+
+    Null and empty texts score like any other, rows with a null doc_id never train, repeated rows score alike, and an empty table
+    gives an empty one.
+    """
+    docs = docs.select(COLUMNS)
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
     return toxicity.scored(docs, model, COLUMNS[1:]).where("score < 0.5").select(COLUMNS)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the longest original stays; of rows that also share its doc_id, the least by the other columns."""
-    kept = exact_dedup.exact_groups(docs, COLUMNS[1:], ties=True).where("kept")
+    """Of equal texts the longest original stays; of rows that also share its doc_id, the least by the other columns.
+
+    Null texts are equal to empty ones, and a null doc_id ranks before all others. An empty table gives an empty one.
+    """
+    kept = exact_dedup.exact_groups(docs.select(COLUMNS), COLUMNS[1:], hash_all=False, ties=True).where("kept")
     again = kept.where("ties > 1").groupBy("text_sha256").agg(F.min(F.struct(COLUMNS)).alias("row")).select("row.*")
     return kept.where("ties = 1").select(COLUMNS).unionByName(again)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, similarity of 0.8 at least) the smallest doc_id stays."""
-    later = near_dedup.near_copies(docs).where(id_key(F.col("id")) != F.col("component")).select(id_key(F.col("id")).alias("k")).distinct()
-    return docs.join(later, id_key(docs["doc_id"]) == F.col("k"), "left_anti").select(COLUMNS)
+    """Of each group of near copies (five-word shingles, similarity of 0.8 at least) the smallest doc_id stays, null before all others.
+
+    Texts without a word are near copies of each other. Rows that repeat a doc_id stay or go together. An empty table gives an empty one.
+    """
+    docs = docs.select(COLUMNS)
+    later = near_dedup.near_copies(docs).where(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("later_id")).distinct()
+    return docs.join(later, F.col("doc_id").eqNullSafe(F.col("later_id")), "left_anti").select(COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without what occurred earlier; a document of which nothing is left goes. Characters stay whole."""
+    """Texts without what occurred earlier; a document of which nothing is left goes. Characters stay whole.
+
+    Null and empty texts have nothing to lose and stay. Rows that repeat a doc_id are versions of one document. An empty table gives
+    an empty one.
+    """
+    docs = docs.select(COLUMNS)
     cut = suffix_dedup.dedup(docs, ["lang", "source"])
     left = cut.where("n_removed = 0 or kept_text != ''").withColumn("n_chars", F.length("kept_text").cast("long"))
     return left.select("doc_id", F.col("kept_text").alias("text"), "lang", "source", "n_chars")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of token ids."""
+    """Pieces of the documents in sequences of token ids; null and empty texts have one id. An empty table gives no piece."""
     return packing.pack(docs)
 
 
