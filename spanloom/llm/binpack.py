@@ -20,7 +20,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import materialize, tokenizer_path
+from spanloom.llm.common import materialize, tidy, tokenizer_path
 from spanloom.llm.word_ids import VOCABULARY, word_ids
 
 CAPACITY = 4096
@@ -145,7 +145,7 @@ def pieces(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPAC
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task long, local long"
-    return source.mapInArrow(batches, schema + ", ids binary" * keep_ids)
+    return source.mapInArrow(tidy(batches), schema + ", ids binary" * keep_ids)
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACITY, keep_ids: bool = False, narrow: bool = False) -> DataFrame:
@@ -177,7 +177,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
 
     ranked = made.join(bases, ["length", "task"]).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * keep_ids, (F.col("base") + F.col("local")).alias("rank"))
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids
-    return ranked.mapInArrow(batches, f"{schema}, sequence_id long, offset long")
+    return ranked.mapInArrow(tidy(batches), f"{schema}, sequence_id long, offset long")
 
 
 def matrices(packed: DataFrame, capacity: int = CAPACITY, pad: int = 0, narrow: bool = False) -> DataFrame:
@@ -209,7 +209,7 @@ def matrices(packed: DataFrame, capacity: int = CAPACITY, pad: int = 0, narrow:
     parts = F.array_sort(F.collect_list(F.struct("offset", "length", "ids", "doc_id", "start")))
     grouped = packed.groupBy("sequence_id").agg(parts.alias("parts"))
     schema = "sequence_id long, input_ids binary, cu_seqlens binary, position_ids binary, doc_ids array<long>, starts array<long>"
-    return grouped.mapInArrow(batches, schema)
+    return grouped.mapInArrow(tidy(batches), schema)
 
 
 def write_matrices(docs: DataFrame, path: str, vocabulary: str | None = None, capacity: int = CAPACITY, pad: int = 0) -> None:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.chunks import APOSTROPHE, LETTER, OTHER, SPACE, Known, binaries, changes, classes, parts, ragged
-from spanloom.llm.common import tokenizer_path
+from spanloom.llm.common import tidy, tokenizer_path
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Distinct chunks whose ids a bucket keeps.
@@ -344,12 +344,12 @@ def _encoded(docs: DataFrame, path: str, pattern: str, result: Callable, schema:
     """
     buckets = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    made = source.mapInArrow(_Blocks(buckets, block), PACKED_SQL).repartition(buckets, "block")
+    made = source.mapInArrow(tidy(_Blocks(buckets, block)), PACKED_SQL).repartition(buckets, "block")
     bucket = F.col("bucket") + F.rand(0) * 0
     chunks = made.where(bucket < buckets).repartition(buckets, "bucket").sortWithinPartitions("bucket", "block")
-    ids = chunks.mapInArrow(_Replayed(path, pattern, known), PACKED_SQL)
+    ids = chunks.mapInArrow(tidy(_Replayed(path, pattern, known)), PACKED_SQL)
     ids = ids.groupBy("block").agg(F.collect_list(F.struct("bucket", "body", "sizes")).alias("parts"))
-    return made.where(bucket >= buckets).join(ids, "block", "left").mapInArrow(_Assembled(result), schema)
+    return made.where(bucket >= buckets).join(ids, "block", "left").mapInArrow(tidy(_Assembled(result)), schema)
 
 
 def encode(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, block: int = BLOCK_BYTES, known: int = KNOWN) -> DataFrame:
@@ -371,7 +371,7 @@ def decode(rows: DataFrame, vocabulary: str | None = None) -> DataFrame:
         for batch in them:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([own.decode(x or ()) for x in batch.column(1).to_pylist()], pa.binary())], ["doc_id", "bytes"])
 
-    return rows.select("doc_id", "ids").mapInArrow(batches, "doc_id long, bytes binary")
+    return rows.select("doc_id", "ids").mapInArrow(tidy(batches), "doc_id long, bytes binary")
 
 
 def digests(docs: DataFrame, vocabulary: str | None = None, pattern: str | None = None, block: int = BLOCK_BYTES) -> DataFrame:

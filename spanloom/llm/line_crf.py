@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import held_out, labelled_sample
+from spanloom.llm.common import held_out, labelled_sample, tidy
 from spanloom.llm.toxicity import logistic
 
 #: Labelled texts of each class that the field is fitted on, at most. They train whole, in chains of at most CHAIN lines.
@@ -216,7 +216,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_DOCS) -> FieldMo
 
     sample = labelled_sample(docs, labels, "quality", bound)
     # At most 2 x bound texts come to the driver, as OWN + 1 short numbers for each line.
-    rows = sample.orderBy("i").select("text", F.col("y").cast("long").alias("y")).mapInArrow(batches, "x binary, s binary, y long").collect()
+    rows = sample.orderBy("i").select("text", F.col("y").cast("long").alias("y")).mapInArrow(tidy(batches), "x binary, s binary, y long").collect()
     made = [(with_neighbours(np.frombuffer(r["x"], "<f4").reshape(-1, OWN).astype(np.float64)), np.frombuffer(r["s"], "<f4").astype(np.float64), r["y"]) for r in rows]
     marks = {y for _, _, y in made}
     if marks != {0, 1}:
@@ -239,7 +239,7 @@ def scored(docs: DataFrame, model: FieldModel) -> DataFrame:
             made = pa.array([model.score(t.as_py()) for t in batch.column(1)], pa.float64())
             yield pa.RecordBatch.from_arrays([batch.column(0), made], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(batches, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(tidy(batches), "doc_id long, score double")
 
 
 def op10(docs: DataFrame, labels: DataFrame) -> DataFrame:

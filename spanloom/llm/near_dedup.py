@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import id_key, materialize
+from spanloom.llm.common import id_key, materialize, tidy
 from spanloom.llm.simhash import components
 
 SHINGLE_WORDS = 5
@@ -101,7 +101,7 @@ def sketches(docs: DataFrame, text: str, id: str, words: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), _signed(nodes), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(ends, flat)], ["id", "node", "n", "bands"])
 
     source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(batches, "id long, node long, n long, bands array<long>")
+    return source.mapInArrow(tidy(batches), "id long, node long, n long, bands array<long>")
 
 
 def sets(docs: DataFrame, wanted: DataFrame, text: str, id: str, words: int) -> DataFrame:
@@ -115,7 +115,7 @@ def sets(docs: DataFrame, wanted: DataFrame, text: str, id: str, words: int) ->
 
     source = docs.select(id_key(F.col(id)).alias("first"), F.col(text).cast("string").alias("text"))
     chosen = source.join(wanted.select("first").distinct(), "first", "left_semi").select("text")
-    made = chosen.mapInArrow(batches, "node long, shingles binary").join(wanted.select("node"), "node", "left_semi")
+    made = chosen.mapInArrow(tidy(batches), "node long, shingles binary").join(wanted.select("node"), "node", "left_semi")
     return made.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
@@ -130,7 +130,7 @@ def confirmed(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
 
     left = known.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = known.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
-    return pairs.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(batches, "a long, b long")
+    return pairs.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(batches), "a long, b long")
 
 
 def near_copies(docs: DataFrame, text: str = "text", id: str = "doc_id", words: int = SHINGLE_WORDS, least: float = LEAST) -> DataFrame:

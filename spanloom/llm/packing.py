@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import tokenizer_path
+from spanloom.llm.common import tidy, tokenizer_path
 from spanloom.llm.word_ids import VOCABULARY, word_ids
 
 CAPACITY = 4096
@@ -174,4 +174,4 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # The bounds of the ranges are drawn from doc_id alone, so that this pass reads no text.
     ordered = source.repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.xxhash64("text"))
-    return ordered.mapInArrow(batches, ", ".join(f"{c} long" for c in COLUMNS))
+    return ordered.mapInArrow(tidy(batches), ", ".join(f"{c} long" for c in COLUMNS))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import materialize
+from spanloom.llm.common import materialize, tidy
 
 RADIUS = 3
 SHINGLE_WORDS = 3
@@ -64,7 +64,7 @@ def fingerprints(docs: DataFrame, text: str = "text", id: str = "doc_id", words:
             values = np.array([fingerprint(x.as_py(), words) for x in batch.column(1)], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values, pa.int64())], ["id", "fp"])
 
-    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(batches, "id long, fp long")
+    return docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text")).mapInArrow(tidy(batches), "id long, fp long")
 
 
 def forest(values: np.ndarray, radius: int = RADIUS, side: int = SQUARE) -> list[tuple[int, int]]:
@@ -160,7 +160,7 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
         .repartition("bucket", "x", "y")
         .sortWithinPartitions("bucket", "x", "y", "fp")
     )
-    return cold.mapInArrow(_forests(1, radius), "a long, b long").unionByName(hot.mapInArrow(_forests(3, radius), "a long, b long")).distinct()
+    return cold.mapInArrow(tidy(_forests(1, radius)), "a long, b long").unionByName(hot.mapInArrow(tidy(_forests(3, radius)), "a long, b long")).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:

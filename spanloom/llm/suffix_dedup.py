@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import id_key, materialize
+from spanloom.llm.common import id_key, materialize, tidy
 
 LENGTH = 100
 GRAM = 32
@@ -432,16 +432,16 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, ho
     docs: (doc, text, tag); doc without nulls, tag tells apart rows of one doc.
     """
     texts = docs.select("doc", "text", "tag")
-    rows = texts.mapInArrow(_Mapper(length, gram), ROWS_SQL)
-    rows = rows.repartition("h").sortWithinPartitions("h", "c", "doc", "at").mapInArrow(_Grouper(hot), ROWS_SQL)
+    rows = texts.mapInArrow(tidy(_Mapper(length, gram)), ROWS_SQL)
+    rows = rows.repartition("h").sortWithinPartitions("h", "c", "doc", "at").mapInArrow(tidy(_Grouper(hot)), ROWS_SQL)
     found = materialize(rows)
     wanted = (
         found.where(F.col("kind").isin(WANTED, WANTED_HOT))
         .groupBy("doc", "tag")
         .agg(F.collect_list(F.struct("h", "at", "lo", "hi", "kind")).alias("wanted"))
     )
-    pieces = texts.join(wanted, ["doc", "tag"]).select("doc", "tag", "text", "wanted").mapInArrow(_Extract(length), BYTES_SQL)
-    sorted_ = pieces.repartition("h").sortWithinPartitions("h", "doc", "at").mapInArrow(_Sort(length, shallow), ROWS_SQL)
+    pieces = texts.join(wanted, ["doc", "tag"]).select("doc", "tag", "text", "wanted").mapInArrow(tidy(_Extract(length)), BYTES_SQL)
+    sorted_ = pieces.repartition("h").sortWithinPartitions("h", "doc", "at").mapInArrow(tidy(_Sort(length, shallow)), ROWS_SQL)
     deep = materialize(sorted_.select("doc", "tag", "at", "hi"))
     return found.where(F.col("kind") == GONE).select("doc", "tag", "at", "hi").unionByName(deep)
 
@@ -515,7 +515,7 @@ def dedup(docs: DataFrame, carry: list[str] = (), keep_text: bool = True, length
     gone = repeated_windows(base, length, **options).groupBy("doc", "tag").agg(F.collect_list(F.struct("at", "hi")).alias("_ranges"))
     joined = base.join(gone, ["doc", "tag"], "left").select("id", *[f"c{k}" for k in range(len(carry))], F.col("text").alias("_text"), "_ranges")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in joined.schema.fields[:-2])
-    made = joined.mapInArrow(_Apply(length, keep_text), f"{schema}, {RESULT_SQL}")
+    made = joined.mapInArrow(tidy(_Apply(length, keep_text)), f"{schema}, {RESULT_SQL}")
     names = [F.col(f"c{k}").alias(x) for k, x in enumerate(carry)]
     return made.select(F.col("id").alias("doc_id"), *names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text")
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import held_out, labelled_sample, materialize
+from spanloom.llm.common import held_out, labelled_sample, materialize, tidy
 
 #: Labelled texts of each class that the model is fitted on, at most. Every term of theirs that qualifies is kept.
 SAMPLE_DOCS = 6000
@@ -342,7 +342,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_DOCS) -> Toxicit
                 kinds += [likeness(own)] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.string()), pa.array(marks, pa.int64()), pa.array(kinds, pa.int64())], ["term", "y", "kind"])
 
-    rows = sample.select("text", "y").mapInArrow(terms, "term string, y long, kind long")
+    rows = sample.select("text", "y").mapInArrow(tidy(terms), "term string, y long, kind long")
     # Near copies count once: a term is as frequent in toxic texts as there are unlike texts among them.
     counted = rows.groupBy("term").agg(F.count_distinct(F.when(F.col("y") == 1, F.col("kind"))).alias("a"), F.sum("y").alias("all"), F.sum(1 - F.col("y")).alias("b"))
     share = F.col("a") / toxic / (F.col("a") / toxic + F.col("b") / other)
@@ -361,7 +361,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_DOCS) -> Toxicit
             cols = [pa.array([m[k] for m in made], pa.float64()) for k in range(3)]
             yield pa.RecordBatch.from_arrays([*cols, batch.column(1)], ["a", "b", "c", "y"])
 
-    table = sample.select("text", F.col("y").cast("long").alias("y")).mapInArrow(figures, "a double, b double, c double, y long").toArrow()
+    table = sample.select("text", F.col("y").cast("long").alias("y")).mapInArrow(tidy(figures), "a double, b double, c double, y long").toArrow()
     x = np.column_stack([table.column(k).to_numpy() for k in range(3)])
     y = table.column(3).to_numpy()
     # Toxic texts stand in once more with all their terms misspelled, still toxic, and once with all of them quoted, not toxic:
@@ -385,19 +385,22 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE_DOCS) -> Toxicit
 
 def scored(docs: DataFrame, model: ToxicityModel, carry: list[str] = ()) -> DataFrame:
     """(id, score) of every row and the columns of `carry`; null texts score as empty ones. The model's terms are those of a bounded sample."""
-    names = [f"c{k}" for k in range(len(carry))]
-    carried = [F.col(f"`{x}`").alias(n) for n, x in zip(names, carry, strict=True)]
+    more = [x for x in carry if x != "text"]
+    names = [f"c{k}" for k in range(len(more))]
+    kept = ["text"] if "text" in carry else []
 
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = lexicon_of(model.terms)
         for batch in them:
             made = pa.array(list(model.scores((t.as_py() for t in batch.column(1)), lexicon)), pa.float64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), *batch.columns[2:], made], ["id", *names, "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *([batch.column(1)] if kept else []), *batch.columns[2:], made], ["id", *kept, *names, "score"])
 
+    carried = [F.col(f"`{x}`").alias(n) for n, x in zip(names, more, strict=True)]
     source = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"), *carried)
-    kinds = "".join(f", {n} {source.schema[n].dataType.simpleString()}" for n in names)
-    made = source.mapInArrow(batches, f"id long{kinds}, score double")
-    return made.select(F.col("id").alias("doc_id"), *[F.col(n).alias(x) for n, x in zip(names, carry, strict=True)], "score")
+    kinds = "".join(f", {n} {source.schema[n].dataType.simpleString()}" for n in (*kept, *names))
+    made = source.mapInArrow(tidy(batches), f"id long{kinds}, score double")
+    place = dict(zip(more, names, strict=True)) | {"text": "text"}
+    return made.select(F.col("id").alias("doc_id"), *[F.col(place[x]).alias(x) for x in carry], "score")
 
 
 def op7(docs: DataFrame, labels: DataFrame) -> DataFrame:

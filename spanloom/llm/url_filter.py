@@ -19,6 +19,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from spanloom.llm.common import tidy
+
 ORDER = 3
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789.-/_%"
 #: Start, the alphabet, anything else.
@@ -110,7 +112,7 @@ def _counts(train: DataFrame) -> dict[tuple[str, int], np.ndarray]:
             keys, n = np.unique(code * 4 + part[owner], return_counts=True) if len(code) else (code, code)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64())], ["k", "n"])
 
-    made = train.select("text", "verdict", "fold").mapInArrow(batches, "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
+    made = train.select("text", "verdict", "fold").mapInArrow(tidy(batches), "k long, n long").groupBy("k").agg(F.sum("n").alias("n")).toArrow()
     keys, n = made.column("k").to_numpy(), made.column("n").to_numpy()
     out = {}
     for part, key in enumerate([(ALLOW, 0), (ALLOW, 1), (BLOCK, 0), (BLOCK, 1)]):
@@ -136,7 +138,7 @@ def fit(rows: DataFrame) -> UrlModel:
             yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(bins, pa.int64())], ["verdict", "bin"])
 
     # At most two times BINS rows.
-    seen = train.select("text", "verdict", "fold").mapInArrow(batches, "verdict string, bin long").groupBy("verdict", "bin").count().collect()
+    seen = train.select("text", "verdict", "fold").mapInArrow(tidy(batches), "verdict string, bin long").groupBy("verdict", "bin").count().collect()
     histogram = {v: np.zeros(BINS) for v in (ALLOW, BLOCK)}
     for r in seen:
         histogram[r["verdict"]][r["bin"]] = r["count"]
@@ -167,7 +169,7 @@ def judge(pages: DataFrame, rules=RULES, model: UrlModel | None = None) -> DataF
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(made, pa.float64())], ["page_id", "host", "path", "rule", "verdict", "score"])
 
     kind = rows.schema["page_id"].dataType.simpleString()
-    scored = rows.mapInArrow(batches, f"page_id {kind}, host string, path string, rule string, verdict string, score double")
+    scored = rows.mapInArrow(tidy(batches), f"page_id {kind}, host string, path string, rule string, verdict string, score double")
     own = F.when(F.col("score") >= model.threshold, ALLOW).otherwise(BLOCK)
     return scored.select("page_id", "host", "path", "rule", F.coalesce("verdict", own).alias("verdict"), "score")
 
