@@ -1,4 +1,4 @@
-"""What the built-in detectors match, in Java's syntax.
+"""What the built-in detectors match.
 
 (detector, entity type, confidence, pattern, cheap test that a text must pass). Where a pattern has a group, the group ends
 the match and is the span.
@@ -6,6 +6,8 @@ the match and is the span.
 
 from __future__ import annotations
 
+import re
+
 STREET_TYPES = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Boulevard|Blvd|Drive|Dr|Way|Court|Ct|Place|Pl|Square|Sq|Terrace|Ter|Parkway|Pkwy|Highway|Hwy|Close|Crescent"
 STREET_WORD = r"(?:[A-ZÄÖÜ][A-Za-zäöüß.'\-]*|\d{1,3}(?:st|nd|rd|th))"
 MONTH_NAMES = "January February March April May June July August September October November December".split()
@@ -24,6 +26,7 @@ DATE = (
 )
 LABELS = "patient|case|file|account|acct|reference|ref|invoice|policy|member|customer|tax|vat|nino|nhs|passport|licence|license|driver|dl"
 LABELLED = rf"(?i)\b(?:{LABELS})\b(?:\s+(?:number|no\.?|id|ref|is|was|of))*\s*[:#\-]?\s*((?-i:[A-Z]{{0,4}})[\s\-]?\d(?:[\d\-/]|\.(?=\d)){{2,}})"
+LABEL = re.compile(f"(?:{LABELS})", re.IGNORECASE)
 LABEL_TYPES = {
     "patient": "PATIENT_ID",
     "case": "CASE_ID",
@@ -41,7 +44,7 @@ LABEL_TYPES = {
     "dl": "GOV_ID",
 }
 IBAN_START = r"[A-Z](?=[A-Z]\d{2}(?: ?[A-Z0-9]{1,4}){2,8}\b)"
-IBAN_WHOLE = r"^([A-Z]{2}\d{2}(?: ?[A-Z0-9]{1,4}){2,8})\b"
+IBAN_WHOLE = r"([A-Z]{2}\d{2}(?: ?[A-Z0-9]{1,4}){2,8})\b"
 CARD = r"(?<!\d)\d(?:[ \-]?\d){12,18}(?!\d)"
 PHONE = r"(?<![\d.])\+?\d[\d \t().\-]{5,17}\d(?!\d)"
 INITIALS = r"\b(?:[^\W\d_]\.){2,3}"
@@ -103,3 +106,5 @@ SIMPLE = (
         None,
     ),
 )
+#: Detectors whose matches may have no digit.
+WITHOUT_DIGITS = frozenset(("email", "url", "ipv6", "bic", "mac", "eth", "initials"))

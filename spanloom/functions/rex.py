@@ -1,42 +1,91 @@
-"""Regular-expression matches with their places, and text edits, as column expressions.
+"""Matches with their places, and text edits, as columns: one linear Arrow pass over the texts of a batch.
 
-Places are code points from 0; ends are exclusive. Patterns are Java's, with Unicode classes switched on.
+Places are code points from 0; ends are exclusive. Patterns are Python's. Only the texts and what is looked for go to the
+worker, so the other columns of a row stay where they are.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterable, Iterator, Sequence
+
+import ahocorasick
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from spanloom.schemas import MATCH_SQL
 
-UNICODE = "(?U)"
+Match = tuple[int, int, str]
+MATCHES = {"start": pa.int32(), "end": pa.int32(), "value": pa.string()}
+
+
+def struct_lists(rows: Iterable[Sequence[tuple] | None], fields: dict[str, pa.DataType]) -> pa.Array:
+    """One list of structs for each row; None gives null."""
+    places, flat, missing = [0], [], []
+    for row in rows:
+        flat += row or ()
+        missing.append(row is None)
+        places.append(len(flat))
+    columns = zip(*flat, strict=True) if flat else [()] * len(fields)
+    structs = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, fields.values(), strict=True)], list(fields))
+    return pa.ListArray.from_arrays(pa.array(places, pa.int32()), structs, mask=pa.array(missing, pa.bool_()))
+
+
+def rex(text: Column, pattern: str) -> Column:
+    """array<struct<start, end, value>> of all matches; null text gives null."""
+
+    @F.arrow_udf(f"array<{MATCH_SQL}>")
+    def matches(texts: pa.Array) -> pa.Array:
+        find = re.compile(pattern).finditer
+        return struct_lists((None if t is None else [(m.start(), m.end(), m[0]) for m in find(t)] for t in texts.to_pylist()), MATCHES)
 
+    return matches(text)
 
-def rex(text: Column, pattern: str | Column) -> Column:
-    """array<struct<start, end, value>> of all matches; the pattern must not match the empty string.
 
-    The gaps between matches come from split, so places are running sums of lengths. Null text gives null.
-    """
-    p = F.lit(UNICODE + pattern) if isinstance(pattern, str) else pattern
-    found = F.regexp_extract_all(text, p, F.lit(0))
-    parts = F.arrays_zip(F.split(text, p, -1).alias("gap"), found.alias("hit"))
+def automaton(values: Iterable[str]) -> ahocorasick.Automaton | None:
+    """Automaton of the strings, or none where there is none."""
+    out = ahocorasick.Automaton()
+    for v in values:
+        if v:
+            out.add_word(v, len(v))
+    if not len(out):
+        return None
+    out.make_automaton()
+    return out
 
-    def step(acc: Column, part: Column) -> Column:
-        start = acc["at"] + F.length(part["0"])
-        end = start + F.length(part["1"])
-        hit = F.struct(start.alias("start"), end.alias("end"), part["1"].alias("value"))
-        return F.when(part["1"].isNull(), acc).otherwise(F.struct(end.alias("at"), F.concat(acc["out"], F.array(hit)).alias("out")))
 
-    parts = parts.cast("array<struct<`0`:string,`1`:string>>")
-    first = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{MATCH_SQL}>").alias("out"))
-    return F.aggregate(parts, first, step, lambda acc: acc["out"])
+def is_word(char: str) -> bool:
+    return char.isalnum() or char == "_"
 
 
-def tail(match: Column, pattern: str, group: int = 1) -> Column:
-    """The match cut to a group that ends it."""
-    part = F.regexp_extract(match["value"], UNICODE + pattern, group)
-    return F.struct((match["end"] - F.length(part)).alias("start"), match["end"].alias("end"), part.alias("value"))
+def whole_hits(text: str, strings: ahocorasick.Automaton | None) -> Iterator[Match]:
+    """Whole-word places of the strings, disjoint, in order; where several begin at one place the longest counts."""
+    if strings is None:
+        return
+    found: dict[int, int] = {}
+    for last, n in strings.iter(text):
+        start, end = last - n + 1, last + 1
+        if (start and is_word(text[start - 1])) or (end < len(text) and is_word(text[end])):
+            continue
+        if found.get(start, 0) < end:
+            found[start] = end
+    at = 0
+    for start in sorted(found):
+        if start >= at:
+            at = found[start]
+            yield start, at, text[start:at]
+
+
+def whole_values(text: Column, values: Column) -> Column:
+    """array<struct<start, end, value>> of the whole-word places of an array's strings in the text; null text or values give null."""
+
+    @F.arrow_udf(f"array<{MATCH_SQL}>")
+    def hits(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        pairs = zip(texts.to_pylist(), lists.to_pylist(), strict=True)
+        return struct_lists((None if t is None or v is None else list(whole_hits(t, automaton(v))) for t, v in pairs), MATCHES)
+
+    return hits(text, values)
 
 
 def quoted(value: Column) -> Column:
@@ -44,30 +93,27 @@ def quoted(value: Column) -> Column:
     return F.regexp_replace(value, r"([\\.\[\]{}()*+?^$|])", r"\\$1")
 
 
-def whole_words(values: Column) -> Column:
-    """Pattern of any of an array's strings as whole words, the longest first, then by the string.
-
-    An empty array gives a pattern that never matches.
-    """
-    ordered = F.transform(
-        F.array_sort(F.transform(F.array_distinct(values), lambda v: F.struct((-F.length(v)).alias("n"), v.alias("v")))),
-        lambda x: quoted(x["v"]),
-    )
-    return F.when(F.size(values) > 0, F.concat(F.lit("(?U)(?<!\\w)(?:"), F.array_join(ordered, "|"), F.lit(")(?!\\w)"))).otherwise(F.lit("(?!)x"))
+def spliced(text: str, edits: Iterable[tuple[int, int, str]]) -> str:
+    """The text with ordered edits (start, end, replacement) put in; those that begin inside an earlier one are skipped."""
+    out, at = [], 0
+    for start, end, replacement in edits:
+        if start >= at:
+            out += text[at:start], replacement
+            at = end
+    out.append(text[at:])
+    return "".join(out)
 
 
 def splice(text: Column, edits: Column) -> Column:
     """The text with array<struct<start, end, replacement>> put in; edits that begin inside an earlier one are skipped."""
-    by_place = F.array_sort(F.transform(edits, lambda e: F.struct(e["start"].alias("start"), e["end"].alias("end"), e["replacement"].alias("replacement"))))
+    bare = F.transform(edits, lambda e: F.struct(e["start"].cast("int").alias("start"), e["end"].cast("int").alias("end"), e["replacement"].alias("replacement")))
 
-    def step(acc: Column, e: Column) -> Column:
-        gap = F.substr(text, acc["at"] + 1, e["start"] - acc["at"])
-        made = F.struct(e["end"].alias("at"), F.concat(acc["parts"], F.array(gap, e["replacement"])).alias("parts"))
-        return F.when(e["start"] < acc["at"], acc).otherwise(made)
+    @F.arrow_udf("string")
+    def made(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        rows = zip(texts.to_pylist(), lists.to_pylist(), strict=True)
+        return pa.array([None if t is None or own is None else spliced(t, sorted((e["start"], e["end"], e["replacement"]) for e in own)) for t, own in rows], pa.string())
 
-    first = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-    rest = lambda acc: F.concat(F.array_join(acc["parts"], ""), F.substr(text, acc["at"] + 1, F.length(text)))
-    return F.aggregate(by_place, first, step, rest)
+    return made(text, bare)
 
 
 def overlaps(a: Column, b: Column) -> Column:

@@ -1,139 +1,129 @@
-"""Detectors: text to array<SPAN>, as column expressions over the document row, without a shuffle."""
+"""Detectors: text to array<SPAN> in one linear Arrow pass with every pattern compiled once; nothing is shuffled."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import re
+from collections.abc import Callable, Iterator, Sequence
+from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions import patterns as P
-from spanloom.functions.places import alternation
-from spanloom.functions.rex import UNICODE, rex, tail
-from spanloom.functions.validators import digits, iban_valid, luhn_valid, plausible_date, plausible_phone
+from spanloom.functions.places import PLACES
+from spanloom.functions.rex import Match, automaton, struct_lists, whole_hits
+from spanloom.functions.validators import date_ok, iban_ok, luhn_ok, phone_ok
 from spanloom.operators.recognizers import Recognizer
-from spanloom.schemas import MATCH_SQL, SPANS_SQL
+from spanloom.schemas import SPAN_ARROW, SPANS_SQL
 
 BLOCKING = 0.85
+Found = tuple[int, int, str, str, float, str]
+DIGIT = re.compile(r"\d")
 
 
-def _spans(matches: Column, entity_type: str | Column, confidence: float, detector: str) -> Column:
-    kind = F.lit(entity_type) if isinstance(entity_type, str) else entity_type
-    return F.transform(
-        matches,
-        lambda m: F.struct(F.lit(0).alias("seq"), m["start"].alias("start"), m["end"].alias("end"), kind.alias("entity_type"), m["value"].alias("value"), F.lit(confidence).alias("confidence"), F.lit(detector).alias("detector")),
-    )
+def initials_ok(value: str) -> bool:
+    return value.isupper() and value not in P.INITIALS_STOP
 
 
-def _none() -> Column:
-    return F.array().cast(f"array<{MATCH_SQL}>")
+#: What a match of a pattern must also be.
+TESTS: dict[str, Callable[[str], bool]] = {"date": date_ok, "initials": initials_ok}
 
 
-def _if(test: Column, matches: Column) -> Column:
-    return F.when(test, matches).otherwise(_none())
+def matches(pattern: re.Pattern, text: str, test: Callable[[str], bool] | None = None) -> Iterator[Match]:
+    """Places of the pattern, or of its first group where it has one."""
+    group = 1 if pattern.groups else 0
+    for m in pattern.finditer(text):
+        if test is None or test(m[group]):
+            yield *m.span(group), m[group]
 
 
-def simple(text: Column, name: str) -> Column:
-    """Matches of one of the plain detectors."""
-    detector, _, _, pattern, test = next(p for p in P.SIMPLE if p[0] == name)
-    found = rex(text, pattern)
-    if detector in ("us_state_zip", "zip_labelled", "zip_after_unit", "bic"):
-        found = F.transform(found, lambda m: tail(m, pattern))
-    elif detector == "date":
-        found = F.filter(found, lambda m: plausible_date(m["value"]))
-    elif detector == "initials":
-        stop = F.array(*[F.lit(x) for x in P.INITIALS_STOP])
-        found = F.filter(found, lambda m: (m["value"] == F.upper(m["value"])) & (F.lower(m["value"]) != m["value"]) & ~F.array_contains(stop, F.upper(m["value"])))
-    return _if(text.contains(test), found) if test else found
-
-
-def ibans(text: Column) -> Column:
+def ibans(start: re.Pattern, whole: re.Pattern, text: str) -> Iterator[Match]:
     """Valid candidates at every start; those that begin inside one already found are skipped."""
-
-    def whole(m: Column) -> Column:
-        value = F.regexp_extract(F.substr(text, m["start"] + 1, F.lit(46)), UNICODE + P.IBAN_WHOLE, 1)
-        return F.struct(m["start"].alias("start"), (m["start"] + F.length(value)).alias("end"), value.alias("value"))
-
-    valid = F.filter(F.transform(rex(text, P.IBAN_START), whole), lambda m: iban_valid(m["value"]))
-    first = F.struct(F.lit(-1).alias("end"), _none().alias("out"))
-    step = lambda acc, m: F.when(m["start"] < acc["end"], acc).otherwise(F.struct(m["end"].alias("end"), F.concat(acc["out"], F.array(m)).alias("out")))
-    return F.aggregate(valid, first, step, lambda acc: acc["out"])
-
-
-def labelled(text: Column) -> Column:
-    """array<SPAN> of labelled identifiers; the label gives the type, and the value is stripped while the place is not."""
-    types = F.create_map(*[F.lit(x) for pair in P.LABEL_TYPES.items() for x in pair])
-
-    def span(m: Column) -> Column:
-        part = F.regexp_extract(m["value"], UNICODE + P.LABELLED, 1)
-        label = F.lower(F.regexp_extract(m["value"], f"(?i)^({P.LABELS})", 1))
-        kind = F.coalesce(F.try_element_at(types, label), F.lit("ACCOUNT_ID"))
-        return F.struct(
-            F.lit(0).alias("seq"),
-            (m["end"] - F.length(part)).alias("start"),
-            m["end"].alias("end"),
-            kind.alias("entity_type"),
-            F.regexp_replace(part, r"(?U)^\s+|\s+$", "").alias("value"),
-            F.lit(0.85).alias("confidence"),
-            F.lit("labelled_id").alias("detector"),
-        )
-
-    return F.transform(rex(text, P.LABELLED), span)
-
-
-def deterministic(text: Column) -> dict[str, Column]:
-    """array<SPAN> by detector, in the order of emission."""
-    has_digit = text.rlike("(?U)\\d")
-    out = {name: _spans(simple(text, name), kind, confidence, name) for name, kind, confidence, _, _ in P.SIMPLE}
-    out["iban"] = _spans(_if(has_digit, ibans(text)), "IBAN", 0.99, "iban")
-    cards = _if(has_digit, rex(text, P.CARD))
-    out["card_luhn"] = F.transform(
-        cards,
-        lambda m: F.struct(
-            F.lit(0).alias("seq"),
-            m["start"].alias("start"),
-            m["end"].alias("end"),
-            F.lit("CREDIT_CARD").alias("entity_type"),
-            m["value"].alias("value"),
-            F.when(luhn_valid(digits(m["value"])), 0.97).otherwise(0.6).alias("confidence"),
-            F.when(luhn_valid(digits(m["value"])), "card_luhn").otherwise("card_format").alias("detector"),
-        ),
-    )
-    out["phone"] = _spans(_if(has_digit, F.filter(rex(text, P.PHONE), lambda m: plausible_phone(m["value"]))), "PHONE", 0.6, "phone")
-    out["labelled_id"] = F.when(has_digit, labelled(text)).otherwise(F.array().cast(SPANS_SQL))
-    return out
-
-
-def gazetteer(text: Column, places: Sequence[str] | None = None) -> Column:
-    """Known place names as whole words, the longest first."""
-    return _spans(rex(text, alternation(places) if places else alternation()), "LOCATION", 0.52, "gazetteer")
-
-
-def custom(text: Column, recognizers: Sequence[Recognizer]) -> list[Column]:
-    return [_spans(r.matches(text), r.entity_type, float(r.confidence), f"custom:{r.name}") for r in recognizers]
-
-
-def numbered(spans: Column) -> Column:
-    """Spans with their order of emission."""
-    fields = ("start", "end", "entity_type", "value", "confidence", "detector")
-    return F.transform(spans, lambda s, k: F.struct(k.alias("seq"), *[s[f].alias(f) for f in fields])).cast(SPANS_SQL)
+    at = 0
+    for m in start.finditer(text):
+        found = whole.match(text, m.start()) if m.start() >= at else None
+        if found and iban_ok(found[1]):
+            at = found.end(1)
+            yield *found.span(1), found[1]
+
+
+class Detectors:
+    """The wanted detectors over one text at a time. `only` names detectors; custom ones are `custom:` and their name."""
+
+    def __init__(self, recognizers: Sequence[Recognizer] = (), places: Sequence[str] | None = PLACES, only: Sequence[str] | None = None):
+        self.recognizers, self.places, self.only = tuple(recognizers), tuple(places or ()), only
+
+    def wants(self, name: str) -> bool:
+        return self.only is None or name in self.only
+
+    @cached_property
+    def plain(self) -> list[tuple]:
+        """(name, type, confidence, pattern, string that a text must hold, whether it must hold a digit, test)."""
+        return [(name, kind, confidence, re.compile(pattern), need or "", name not in P.WITHOUT_DIGITS, TESTS.get(name)) for name, kind, confidence, pattern, need in P.SIMPLE if self.wants(name)]
+
+    @cached_property
+    def compiled(self) -> dict[str, re.Pattern]:
+        return {"start": re.compile(P.IBAN_START), "whole": re.compile(P.IBAN_WHOLE), "card": re.compile(P.CARD), "phone": re.compile(P.PHONE), "labelled": re.compile(P.LABELLED)}
+
+    @cached_property
+    def gazetteer(self):
+        return automaton(self.places) if self.wants("gazetteer") else None
+
+    @cached_property
+    def custom(self) -> list[tuple[Recognizer, re.Pattern]]:
+        return [(r, r.compiled()) for r in self.recognizers]
+
+    def __call__(self, text: str) -> list[Found]:
+        """(start, end, type, value, confidence, detector) in the order of emission."""
+        out: list[Found] = []
+        digits = DIGIT.search(text) is not None
+        for name, kind, confidence, pattern, need, numeric, test in self.plain:
+            if need in text and (digits or not numeric):
+                out += ((s, e, kind, v, confidence, name) for s, e, v in matches(pattern, text, test))
+        if digits:
+            out += self._numbers(text)
+        out += ((s, e, "LOCATION", v, 0.52, "gazetteer") for s, e, v in whole_hits(text, self.gazetteer))
+        for r, pattern in self.custom:
+            group = r.group or 0
+            spans = ((*m.span(group), m[group]) for m in pattern.finditer(text))
+            out += ((s, e, r.entity_type, v, float(r.confidence), f"custom:{r.name}") for s, e, v in spans if v)
+        return out
+
+    def _numbers(self, text: str) -> Iterator[Found]:
+        """Checked and labelled numbers."""
+        of = self.compiled
+        if self.wants("iban"):
+            for s, e, v in ibans(of["start"], of["whole"], text):
+                yield s, e, "IBAN", v, 0.99, "iban"
+        if self.wants("card_luhn") or self.wants("card_format"):
+            for s, e, v in matches(of["card"], text):
+                yield (s, e, "CREDIT_CARD", v, 0.97, "card_luhn") if luhn_ok(v) else (s, e, "CREDIT_CARD", v, 0.6, "card_format")
+        if self.wants("phone"):
+            for s, e, v in matches(of["phone"], text, phone_ok):
+                yield s, e, "PHONE", v, 0.6, "phone"
+        if self.wants("labelled_id"):
+            for m in of["labelled"].finditer(text):
+                label = P.LABEL.match(m[0])[0].lower()
+                yield *m.span(1), P.LABEL_TYPES.get(label, "ACCOUNT_ID"), m[1].strip(), 0.85, "labelled_id"
+
+
+def spans_column(text: Column, detectors: Detectors, threshold: float = 0.0) -> Column:
+    """array<SPAN> of at least `threshold` in the text, numbered in the order of emission; null text gives an empty one."""
+
+    @F.arrow_udf(SPANS_SQL)
+    def spans(texts: pa.Array) -> pa.Array:
+        found = ([f for f in detectors(t or "") if f[4] >= threshold] for t in texts.to_pylist())
+        return struct_lists(([(k, *f) for k, f in enumerate(own)] for own in found), SPAN_ARROW)
+
+    return spans(text)
 
 
 def detect(docs: DataFrame, recognizers: Sequence[Recognizer] = (), places: bool = True, only: Sequence[str] | None = None, text: str = "text", out: str = "spans") -> DataFrame:
-    """`docs` with array<SPAN> of all native detectors, or of those named in `only`. Null text gives no spans.
-
-    Detectors share one projection; places and spans stay on the document row.
-    """
-    column = F.coalesce(F.col(text), F.lit(""))
-    found = deterministic(column)
-    wanted = [c for n, c in found.items() if only is None or n in only or (n == "card_luhn" and "card_format" in only)]
-    if places and (only is None or "gazetteer" in only):
-        wanted.append(gazetteer(column))
-    wanted += custom(column, recognizers)
-    return docs.withColumn(out, numbered(F.concat(*[w.cast(SPANS_SQL) for w in wanted])))
+    """`docs` with array<SPAN> of all native detectors, or of those named in `only`, and of the recognizers. Null text gives no spans."""
+    return docs.withColumn(out, spans_column(F.col(text), Detectors(recognizers, PLACES if places else None, only)))
 
 
 def blocking(docs: DataFrame, recognizers: Sequence[Recognizer] = (), threshold: float = BLOCKING, text: str = "text", out: str = "fresh") -> DataFrame:
     """Spans of deterministic and custom detectors of at least `threshold`."""
-    made = detect(docs, recognizers, places=False, text=text, out=out)
-    return made.withColumn(out, F.filter(F.col(out), lambda s: s["confidence"] >= threshold))
+    return docs.withColumn(out, spans_column(F.col(text), Detectors(recognizers, None), threshold))

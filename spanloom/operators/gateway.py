@@ -15,8 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.operators.policy import Policy
-from spanloom.operators.restore import restore
-from spanloom.operators.sanitize import sanitize, vault_of
+from spanloom.operators.restore import restore_rows
+from spanloom.operators.sanitize import sanitize
 from spanloom.sources.scratch import materialize
 
 
@@ -84,14 +84,17 @@ def run(docs: DataFrame, policy: Policy, service: Callable[[str], str] = echo, *
 
     Blocked documents aren't sent: their response is null. strict raises LeakBlocked for the first of them instead.
     """
-    # Texts and replies are written once: the service is asked once for each document, whatever reads them later.
-    made = materialize(sanitize(docs, policy, **options))
+    made = sanitize(docs, policy, **options)
     if strict and block_on_leak:
         first = made.where("leak.blocked").select("doc_id", "leak").orderBy("doc_id").head(1)
         if first:
             raise LeakBlocked(first[0]["doc_id"], first[0]["leak"].asDict())
     blocked = F.col("leak.blocked") if block_on_leak else F.lit(False)
+    # Replies are written once: the service is asked once for each document, whatever reads them later. Neither they nor what was
+    # asked holds a value; originals and vault are made again from the documents and never written.
     replies = materialize(asked(made.where(~blocked), service))
-    back = restore(replies, vault_of(made)).select("doc_id", F.col("text").alias("restored"), F.col("restored").alias("restored_tokens"), "invented", "dropped")
-    out = made.select("doc_id", "text", "sanitized", blocked.alias("blocked")).join(replies, "doc_id", "left").join(back, "doc_id", "left")
-    return out.select("doc_id", "text", "sanitized", "response", "restored", "restored_tokens", "invented", "dropped", "blocked")
+    issued = F.map_from_entries(F.transform("vault", lambda v: F.struct(v["token"], v["value"])))
+    rows = made.select("doc_id", F.col("text").alias("original"), "sanitized", blocked.alias("blocked"), issued.alias("issued")).join(replies, "doc_id", "left")
+    back = restore_rows(rows.withColumn("reply", F.col("response"))).withColumnRenamed("restored", "restored_tokens")
+    sent = lambda c: F.when(~F.col("blocked"), F.col(c)).alias(c)
+    return back.select("doc_id", F.col("original").alias("text"), "sanitized", F.col("reply").alias("response"), F.col("text").alias("restored"), *map(sent, ("restored_tokens", "invented", "dropped")), "blocked")

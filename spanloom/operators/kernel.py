@@ -12,9 +12,11 @@ from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from spanloom.functions.lexicon import DEFAULT, Lexicon
-from spanloom.schemas import SPANS_SQL
+from spanloom.functions.rex import struct_lists
+from spanloom.schemas import SPAN_ARROW, SPANS_SQL
 
 # A name word, lower-case words that mark common words, longest run, digits and letters that a remainder needs.
 NAME_WORD = re.compile(r"[^\W\d_](?:[^\W\d_]|['’](?=[^\W\d_]{2})|-(?=[^\W\d_]))*")
@@ -24,7 +26,6 @@ DIGIT_TYPES, LEAST_DIGITS, LEAST_ALNUM = {"PHONE", "CREDIT_CARD"}, 4, 2
 PLAIN_GAP, TITLE_GAP = re.compile(r"[ \t]{1,2}"), re.compile(r"\.?[ \t]{1,3}")
 SENTENCE_BEFORE = re.compile(r"(?:^|[.!?…\n\r])[ \t]*\Z")
 
-ArrowSpan = pa.struct([("seq", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("entity_type", pa.string()), ("value", pa.string()), ("confidence", pa.float64()), ("detector", pa.string())])
 
 
 class Word(NamedTuple):
@@ -180,22 +181,25 @@ def asked(provider: Callable[[str], list[dict]], text: str, limit: int) -> list[
     return [{**s, "start": s["start"] + at, "end": s["end"] + at} for at, part in on_lines(text, limit) for s in provider(part)]
 
 
+def disjoint(text: str, found: list[dict], use_names: bool = True, lexicon: Lexicon = DEFAULT, provider: Callable[[str], list[dict]] | None = None, provider_chars: int = 900_000) -> list[dict]:
+    """All spans of one text, numbered, after names are added and overlaps resolved."""
+    if use_names:
+        found = [*found, *(asked(provider, text, provider_chars) if provider else []), *names(text, lexicon)]
+    return [{**s, "seq": k} for k, s in enumerate(resolve_overlaps(found))]
+
+
 def resolved(
     docs: DataFrame, use_names: bool = True, lexicon: Lexicon = DEFAULT, provider: Callable[[str], list[dict]] | None = None, text: str = "text", spans: str = "spans", out: str = "resolved", provider_chars: int = 900_000
 ) -> DataFrame:
-    """`docs` with array<SPAN> of all spans after names are added and overlaps resolved; the columns pass unchanged.
+    """`docs` with array<SPAN> of all spans after names are added and overlaps resolved; null text has no name, null spans are none.
 
     provider: an optional model, text to spans, whose spans come before the heuristic's; it gets at most provider_chars at once.
     """
 
-    def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in them:
-            made = []
-            for t, own in zip(batch.column(batch.schema.get_field_index(text)).to_pylist(), batch.column(batch.schema.get_field_index(spans)).to_pylist(), strict=True):
-                t = t or ""
-                found = [*(own or []), *(asked(provider, t, provider_chars) if provider and use_names else []), *(names(t, lexicon) if use_names else [])]
-                made.append([{**s, "seq": k} for k, s in enumerate(resolve_overlaps(found))])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.list_(ArrowSpan))], [*batch.schema.names, out])
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(batches, f"{fields}, `{out}` {SPANS_SQL}")
+    @F.arrow_udf(SPANS_SQL)
+    def made(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        rows = zip(texts.to_pylist(), lists.to_pylist(), strict=True)
+        kept = (disjoint(t or "", own or [], use_names, lexicon, provider, provider_chars) for t, own in rows)
+        return struct_lists(([tuple(s[f] for f in SPAN_ARROW) for s in own] for own in kept), SPAN_ARROW)
+
+    return docs.withColumn(out, made(F.col(text), F.col(spans)))

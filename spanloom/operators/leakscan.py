@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.rex import inside, quoted
-from spanloom.operators.detect import BLOCKING, blocking
+from spanloom.functions.rex import automaton, inside, is_word, quoted
+from spanloom.operators.detect import BLOCKING, Detectors
 from spanloom.operators.recognizers import Recognizer
-from spanloom.operators.tokens import find_tokens
+from spanloom.operators.tokens import TOKEN_FINDER, find_tokens
+from spanloom.schemas import SPAN_ARROW, SPANS_SQL
+
+REPORT = {"clean": pa.bool_(), "blocked": pa.bool_(), "residual": pa.list_(pa.struct(list(SPAN_ARROW.items()))), "leaked": pa.list_(pa.string()), "summary": pa.string()}
+REPORT_SQL = f"struct<clean:boolean,blocked:boolean,residual:{SPANS_SQL},leaked:array<string>,summary:string>"
+LEAST_VALUE = 2
 
 
 def present_as_token(value: Column, text: Column) -> Column:
@@ -20,29 +26,53 @@ def present_as_token(value: Column, text: Column) -> Column:
     return F.regexp_like(text, F.concat(left, quoted(value), right))
 
 
+def present(text: str, values: Iterable[str]) -> list[str]:
+    """Those of the values that present_as_token finds, sorted; one pass over the text."""
+    strings, found = automaton(values), set()
+    for last, n in strings.iter(text) if strings else ():
+        start, end = last - n + 1, last + 1
+        before = start and is_word(text[start]) and is_word(text[start - 1])
+        after = end < len(text) and is_word(text[last]) and is_word(text[end])
+        if not before and not after:
+            found.add(text[start:end])
+    return sorted(found)
+
+
+def report(text: str, values: Iterable[str], detectors: Detectors, threshold: float) -> tuple:
+    """A row of REPORT. Spans inside a token, and known values of one character, don't count."""
+    tokens = [m.span() for m in TOKEN_FINDER.finditer(text)]
+    residual, at = [], 0
+    for k, f in enumerate(x for x in sorted(detectors(text), key=lambda x: x[0]) if x[4] >= threshold):
+        while at < len(tokens) and tokens[at][1] <= f[0]:
+            at += 1
+        if not (at < len(tokens) and tokens[at][0] <= f[0] and f[1] <= tokens[at][1]):
+            residual.append(dict(zip(SPAN_ARROW, (k, *f), strict=True)))
+    leaked = present(text, (v for v in values if len(v) >= LEAST_VALUE))
+    clean = not residual and not leaked
+    return clean, not clean, residual, leaked, "clean" if clean else f"{len(residual)} residual spans, {len(leaked)} leaked values"
+
+
 def scan(docs: DataFrame, recognizers: Sequence[Recognizer] = (), threshold: float = BLOCKING, text: str = "sanitized", vault: str | None = "vault") -> DataFrame:
     """`docs` with `leak`: struct<clean, blocked, residual, leaked, summary>. Null text is clean."""
-    rows = blocking(docs, recognizers, threshold, text, "fresh").withColumn("tokens", F.coalesce(find_tokens(F.col(text)), F.array().cast("array<struct<start:int,end:int,value:string>>")))
-    residual = F.filter("fresh", lambda s: ~F.exists("tokens", lambda t: inside(s, t)))
-    values = F.array_distinct(F.transform(F.filter(vault, lambda v: F.length(v["value"]) >= 2), lambda v: v["value"])) if vault else F.array().cast("array<string>")
-    rows = rows.withColumns({"residual": residual, "values": F.coalesce(values, F.array().cast("array<string>"))})
-    leaked = F.filter("values", lambda v: F.coalesce(present_as_token(v, F.col(text)), F.lit(False)))
-    rows = rows.withColumn("leaked", F.array_sort(leaked))
-    clean = (F.size("residual") == 0) & (F.size("leaked") == 0)
-    words = F.when(clean, "clean").otherwise(F.format_string("%d residual spans, %d leaked values", F.size("residual"), F.size("leaked")))
-    report = F.struct(clean.alias("clean"), (~clean).alias("blocked"), F.col("residual"), F.col("leaked"), words.alias("summary"))
-    return rows.withColumn("leak", report).drop("fresh", "tokens", "residual", "values", "leaked")
-
-
-def verify(docs: DataFrame, policy=None, vault: str | None = None, text: str = "text") -> DataFrame:
+    detectors = Detectors(recognizers, None)
+
+    @F.arrow_udf(REPORT_SQL)
+    def made(texts: pa.Array, lists: pa.Array) -> pa.Array:
+        rows = [report(t or "", own or (), detectors, threshold) for t, own in zip(texts.to_pylist(), lists.to_pylist(), strict=True)]
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(REPORT.values())], list(REPORT))
+
+    values = F.filter(F.transform(vault, lambda v: v["value"]), lambda v: v.isNotNull()) if vault else F.array().cast("array<string>")
+    return docs.withColumn("leak", made(F.col(text), values))
+
+
+def verify(docs: DataFrame, policy=None, text: str = "text") -> DataFrame:
     """(doc_id, entity_type, n): entities still in a text that are in no token, whatever the policy; entities with any member in a token are left out."""
     from spanloom.operators.detect import detect
     from spanloom.operators.kernel import resolved
-    from spanloom.operators.resolve import entities
+    from spanloom.operators.resolve import entity_column
 
     rows = docs.select("doc_id", F.col(text).alias("text"))
     spans = resolved(detect(rows, policy.recognizers if policy else ())).drop("spans")
-    tokens = rows.select("doc_id", find_tokens(F.col("text")).alias("tokens"))
-    found = entities(spans).join(tokens, "doc_id")
-    open_ = found.where(~F.exists("members", lambda m: F.exists("tokens", lambda t: inside(m, t))))
-    return open_.groupBy("doc_id", "entity_type").agg(F.count("*").alias("n"))
+    found = spans.select("doc_id", entity_column(F.col("resolved")).alias("entities"), find_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    open_ = F.filter("entities", lambda e: ~F.exists(e["members"], lambda m: F.exists("tokens", lambda t: inside(m, t))))
+    return found.select("doc_id", F.inline(open_)).groupBy("doc_id", "entity_type").agg(F.count("*").alias("n"))

@@ -5,10 +5,15 @@ gold and predicted are span tables: doc_id, start, end, entity_type (gold also v
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+from collections.abc import Iterable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.rex import rex
+from spanloom.functions.rex import struct_lists
 
 # Types that count as one another.
 FAMILIES = {"DOB": "DATE", "PATIENT_ID": "GOV_ID", "CASE_ID": "GOV_ID", "ACCOUNT_ID": "GOV_ID"}
@@ -56,18 +61,47 @@ def typed_scores(gold: DataFrame, predicted: DataFrame) -> DataFrame:
     return out.withColumns({"recall": _ratio(F.col("n_found"), F.col("n_gold")), "type_accuracy": _ratio(F.col("n_typed"), F.col("n_found"))})
 
 
+def joined_ranges(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Disjoint ranges in order; those that touch are one."""
+    out: list[list[int]] = []
+    for s, e in sorted(ranges):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
+        else:
+            out.append([s, e])
+    return [(s, e) for s, e in out]
+
+
 def coverage(spans: DataFrame) -> DataFrame:
     """(doc_id, covered): each document's spans as disjoint ranges in order."""
-    ordered = spans.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("s"))
-    first = F.array().cast("array<struct<start:int,end:int>>")
 
-    def step(acc: Column, x: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        joined = F.concat(F.slice(acc, F.lit(1), F.size(acc) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], x["end"]).alias("end"))))
-        new = F.concat(acc, F.array(F.struct(x["start"].alias("start"), x["end"].alias("end"))))
-        return F.when(F.size(acc) == 0, new).when(x["start"] <= last["end"], joined).otherwise(new)
+    @F.arrow_udf("array<struct<start:int,end:int>>")
+    def made(lists: pa.Array) -> pa.Array:
+        return struct_lists((joined_ranges((x["start"], x["end"]) for x in own) for own in lists.to_pylist()), {"start": pa.int32(), "end": pa.int32()})
+
+    return spans.groupBy("doc_id").agg(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"))).alias("s")).select("doc_id", made("s").alias("covered"))
+
+
+WORD, EDGES = re.compile(r"\S+"), re.compile(r"^\W+|\W+$")
+
 
-    return ordered.select("doc_id", F.aggregate(F.expr("transform(s, x -> struct(cast(x.start as int) as start, cast(x.end as int) as end))"), first, step).alias("covered"))
+def words_left(value: str, start: int, covered: list[dict], ignore: frozenset[str]) -> tuple[int, int]:
+    """Words of a gold span's value, and those with a letter or digit that no range covers."""
+    n = left = 0
+    ends = [c["end"] for c in covered]
+    for m in WORD.finditer(value):
+        core = EDGES.sub("", m[0])
+        if not core or core.lower() in ignore:
+            continue
+        n += 1
+        k = bisect_right(ends, start + m.start())
+        for at, char in enumerate(m[0], start + m.start()):
+            while k < len(covered) and ends[k] <= at:
+                k += 1
+            if char.isalnum() and not (k < len(covered) and covered[k]["start"] <= at):
+                left += 1
+                break
+    return n, left
 
 
 def leaked_words(gold: DataFrame, predicted: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:
@@ -75,16 +109,15 @@ def leaked_words(gold: DataFrame, predicted: DataFrame, ignore: tuple[str, ...]
 
     Words are runs without blanks, without punctuation at their ends; words in `ignore` don't count.
     """
-    joined = gold.join(coverage(predicted), "doc_id", "left").withColumn("covered", F.coalesce("covered", F.array().cast("array<struct<start:int,end:int>>")))
-    cut = lambda m: F.regexp_replace(m["value"], r"(?U)^[^\w]+|[^\w]+$", "")
-    words = F.filter(rex(F.col("value"), r"\S+"), lambda m: (cut(m) != "") & ~F.array_contains(F.array(*[F.lit(x) for x in ignore]).cast("array<string>"), F.lower(cut(m))))
-    rows = joined.withColumn("words", words)
+    never = frozenset(ignore)
 
-    def open_(m: Column) -> Column:
-        places = F.filter(F.sequence(m["start"], m["end"] - 1), lambda k: F.substr(F.col("value"), k + 1, F.lit(1)).rlike(r"(?U)[\p{L}\p{N}]"))
-        return F.exists(places, lambda k: ~F.exists("covered", lambda c: (c["start"] <= F.col("start") + k) & (F.col("start") + k < c["end"])))
+    @F.arrow_udf("struct<n_words:long,n_leaked:long>")
+    def made(values: pa.Array, starts: pa.Array, lists: pa.Array) -> pa.Array:
+        rows = [words_left(v or "", s, own or [], never) for v, s, own in zip(values.to_pylist(), starts.to_pylist(), lists.to_pylist(), strict=True)]
+        return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(2)], ["n_words", "n_leaked"])
 
-    return rows.select("doc_id", "start", "end", F.size("words").cast("long").alias("n_words"), F.size(F.filter("words", open_)).cast("long").alias("n_leaked"))
+    joined = gold.join(coverage(predicted), "doc_id", "left")
+    return joined.select("doc_id", "start", "end", made("value", "start", "covered").alias("r")).select("doc_id", "start", "end", "r.*")
 
 
 def leakage(gold: DataFrame, predicted: DataFrame, ignore: tuple[str, ...] = ()) -> DataFrame:

@@ -25,20 +25,22 @@ POOLS = {
     "IP": "192.0.2.1,192.0.2.2,192.0.2.3".split(","),
     "URL": "https://example.com/a,https://example.com/b".split(","),
 }
-# What a value of a type is in general.
+# What a value of a type is in general; the other types give their own name.
 GENERAL = {
-    "PERSON": "[a person]",
-    "EMAIL": "[an email address]",
-    "PHONE": "[a phone number]",
-    "ADDRESS": "[an address]",
-    "ORGANIZATION": "[an organization]",
-    "LOCATION": "[a place]",
-    "IBAN": "[a bank account]",
-    "CREDIT_CARD": "[a card number]",
-    "IP": "[an IP address]",
-    "URL": "[a web address]",
-    "AGE": "[an age]",
-    "TIME": "[a time]",
+    "PERSON": "a person",
+    "ORGANIZATION": "an organisation",
+    "LOCATION": "a place",
+    "ADDRESS": "an address",
+    "EMAIL": "an email",
+    "PHONE": "a phone number",
+    "IBAN": "a bank account",
+    "CREDIT_CARD": "a card number",
+    "IP": "an IP address",
+    "GOV_ID": "an ID",
+    "PATIENT_ID": "a patient ID",
+    "CASE_ID": "a case number",
+    "ACCOUNT_ID": "an account",
+    "CRYPTO": "a wallet",
 }
 
 
@@ -61,9 +63,9 @@ def synthetic(entity_type: Column, ordinal: Column) -> Column:
 
 
 def generalized(entity_type: Column, value: Column) -> Column:
-    year = F.regexp_extract(value, r"(\d{4})", 1)
-    other = F.concat(F.lit("["), F.lower(F.translate(entity_type, "_", " ")), F.lit("]"))
-    named = _by_type({t: F.lit(x) for t, x in GENERAL.items()}, entity_type, other)
+    """What the value is in general; of a date its year, if it is of the last or this century."""
+    year = F.regexp_extract(value, r"\b((?:19|20)[0-9]{2})\b", 1)
+    named = F.concat(F.lit("["), _by_type({t: F.lit(x) for t, x in GENERAL.items()}, entity_type, F.lower(entity_type)), F.lit("]"))
     return F.when(entity_type.isin("DATE", "DOB"), F.when(year != "", year).otherwise("[a date]")).otherwise(named)
 
 

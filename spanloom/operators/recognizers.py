@@ -5,19 +5,15 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
-from spanloom.functions.rex import UNICODE, rex
 from spanloom.schemas import ENTITY_TYPES
 
 FIELDS = frozenset({"name", "pattern", "entity_type", "confidence", "group", "ignore_case"})
-NAME = re.compile(r"[A-Za-z][A-Za-z0-9_.\-]{0,63}")
+NAME = re.compile(r"[A-Za-z][A-Za-z0-9_\-]{0,63}")
 
 
 @dataclass(frozen=True)
 class Recognizer:
-    """Matches of `pattern` (Python syntax) or of its `group` are spans of `entity_type`."""
+    """Matches of `pattern` or of its `group` are spans of `entity_type`; a group that is absent or empty gives none."""
 
     name: str
     pattern: str
@@ -28,7 +24,7 @@ class Recognizer:
 
     def __post_init__(self) -> None:
         if not isinstance(self.name, str) or not NAME.fullmatch(self.name):
-            raise ValueError(f"recognizer name {self.name!r} must be 1 to 64 letters, digits, _ . or -, a letter first")
+            raise ValueError(f"recognizer name {self.name!r} must be 1 to 64 letters, digits, _ or -, a letter first")
         if self.entity_type not in ENTITY_TYPES:
             raise ValueError(f"{self.name}: unknown entity type {self.entity_type!r}")
         if isinstance(self.confidence, bool) or not isinstance(self.confidence, int | float) or not 0 <= self.confidence <= 1:
@@ -36,7 +32,7 @@ class Recognizer:
         if not isinstance(self.pattern, str) or not self.pattern:
             raise ValueError(f"{self.name}: pattern must be a string")
         try:
-            compiled = re.compile(self.pattern, re.IGNORECASE if self.ignore_case else 0)
+            compiled = self.compiled()
         except re.error as wrong:
             raise ValueError(f"{self.name}: bad pattern: {wrong}") from wrong
         if compiled.match(""):
@@ -56,28 +52,5 @@ class Recognizer:
             raise ValueError(f"missing recognizer fields: {sorted(missing)}")
         return cls(**{**data, "entity_type": str(data["entity_type"]).upper()})
 
-    @property
-    def number(self) -> int:
-        compiled = re.compile(self.pattern)
-        return compiled.groupindex[self.group] if isinstance(self.group, str) else int(self.group or 0)
-
-    def java(self) -> str:
-        """The pattern for Java: named groups become plain ones, which keep their numbers."""
-        plain = re.sub(r"\(\?P<\w+>", "(", self.pattern)
-        numbers = re.compile(self.pattern).groupindex
-        plain = re.sub(r"\(\?P=(\w+)\)", lambda m: rf"\{numbers[m[1]]}", plain)
-        return ("(?i)" if self.ignore_case else "") + plain
-
-    def matches(self, text: Column) -> Column:
-        """array<struct<start, end, value>> of the spans; absent and empty groups give none."""
-        whole = rex(text, self.java())
-        if not self.number:
-            return whole
-
-        def cut(m: Column) -> Column:
-            part = F.regexp_extract(m["value"], UNICODE + self.java(), self.number)
-            # The group's place in the match is the first place of its text.
-            start = m["start"] + F.position(part, m["value"]) - 1
-            return F.struct(start.alias("start"), (start + F.length(part)).alias("end"), part.alias("value"))
-
-        return F.filter(F.transform(whole, cut), lambda m: F.length(m["value"]) > 0)
+    def compiled(self) -> re.Pattern:
+        return re.compile(self.pattern, re.IGNORECASE if self.ignore_case else 0)

@@ -1,14 +1,29 @@
-"""Entity resolution: mentions of one entity in a document share a row, by aggregation, an equi-join on name parts and a window.
-
-All keys begin with the document, so one exchange by doc_id serves every step.
-"""
+"""Entity resolution: mentions of one entity in a document. It needs nothing beyond the row, so it runs where the spans are, without a shuffle."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import re
+from collections import defaultdict
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.lexicon import DEFAULT, Lexicon
+from spanloom.functions.rex import struct_lists
+from spanloom.schemas import ENTITY_SQL, SPAN_ARROW
+
+_BLANKS = re.compile(r"\s+")
+_SEPARATORS = re.compile(r"[\s\-.()]")
+ENTITY = {
+    "entity_type": pa.string(),
+    "entity_key": pa.string(),
+    "canonical": pa.string(),
+    "idx": pa.int32(),
+    "first": pa.int32(),
+    "confidence": pa.float64(),
+    "members": pa.list_(pa.struct(list(SPAN_ARROW.items()))),
+}
 
 
 def norm_value(entity_type: Column, value: Column) -> Column:
@@ -21,46 +36,77 @@ def norm_value(entity_type: Column, value: Column) -> Column:
     )
 
 
-def name_parts(value: Column, lexicon: Lexicon = DEFAULT) -> Column:
+def norm(kind: str, value: str) -> str:
+    """norm_value of one value."""
+    if kind in ("EMAIL", "URL"):
+        return value.strip().lower()
+    if kind in ("IBAN", "CREDIT_CARD", "PHONE"):
+        return _SEPARATORS.sub("", value)
+    return _BLANKS.sub(" ", value.strip().lower())
+
+
+def name_parts(value: str, lexicon: Lexicon = DEFAULT) -> list[str]:
     """Lower-case parts of a name without a leading honorific, dots at their ends removed."""
-    titles = "|".join(sorted(lexicon.titles, key=lambda t: (-len(t), t)))
-    bare = F.regexp_replace(F.regexp_replace(value, r"(?U)^\s+|\s+$", ""), rf"(?iU)^(?:{titles})\.?\s+", "")
-    return F.transform(F.filter(F.split(bare, r"(?U)\s+"), lambda p: p != ""), lambda p: F.regexp_replace(F.lower(p), r"^\.+|\.+$", ""))
+    words = value.split()
+    if len(words) > 1 and words[0].lower().removesuffix(".") in lexicon.titles:
+        words = words[1:]
+    return [w.lower().strip(".") for w in words]
 
 
-def mentions(docs: DataFrame, spans: str = "resolved", lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """(doc_id, entity_type, entity_key, partial, span fields) of every span.
+def document_entities(spans: list[dict], lexicon: Lexicon = DEFAULT) -> list[dict]:
+    """Entities of one document in the order of first appearance: entity_type, entity_key, canonical, idx, first, confidence, members.
 
     Persons of two parts and more are keyed by their full name. A one-part mention takes the key of the only full name of
-    its document that has the part; with none or several it is its own entity.
+    its document that has the part; with none or several it is its own entity. canonical: the longest surface,
+    full names before parts, the earliest on a tie. idx: order of first appearance within the type, from 1.
     """
-    rows = docs.select("doc_id", F.explode(spans).alias("s")).select("doc_id", "s.*").repartition("doc_id")
-    parts = F.when(F.col("entity_type") == "PERSON", name_parts(F.col("value"), lexicon))
-    rows = rows.withColumn("parts", parts)
-    joined = F.array_join("parts", " ")
-    many = F.size("parts") >= 2
-    rows = rows.withColumn("partial", F.col("parts").isNotNull() & ~many).withColumn(
-        "own_key", F.when(F.col("parts").isNull(), F.concat(F.lit("v:"), norm_value(F.col("entity_type"), F.col("value")))).when(many, F.concat(F.lit("f:"), joined)).otherwise(F.concat(F.lit("p:"), joined))
-    )
-    index = rows.where(many).select("doc_id", "own_key", F.explode(F.array_distinct("parts")).alias("part")).distinct()
-    owners = index.groupBy("doc_id", "part").agg(F.count("*").alias("n"), F.min("own_key").alias("full_key")).where("n = 1").drop("n")
-    rows = rows.withColumn("part", F.when(F.col("partial"), F.coalesce(F.get("parts", 0), F.lit(""))))
-    out = rows.join(owners, ["doc_id", "part"], "left")
-    return out.withColumn("entity_key", F.coalesce("full_key", "own_key")).drop("parts", "part", "own_key", "full_key")
+    parts = [name_parts(s["value"], lexicon) if s["entity_type"] == "PERSON" else None for s in spans]
+    owners: dict[str, set[str]] = defaultdict(set)
+    for own in parts:
+        if own and len(own) > 1:
+            for part in own:
+                owners[part].add("f:" + " ".join(own))
+    groups: dict[tuple[str, str], list[tuple[dict, bool]]] = defaultdict(list)
+    for span, own in zip(spans, parts, strict=True):
+        partial = own is not None and len(own) < 2
+        if own is None:
+            key = "v:" + norm(span["entity_type"], span["value"])
+        elif not partial:
+            key = "f:" + " ".join(own)
+        else:
+            full = owners.get(own[0] if own else "", ())
+            key = next(iter(full)) if len(full) == 1 else "p:" + " ".join(own)
+        groups[span["entity_type"], key].append((span, partial))
+    out, counts = [], defaultdict(int)
+    for (kind, key), mentions in sorted(groups.items(), key=lambda g: (min(s["start"] for s, _ in g[1]), g[0][1], g[0][0])):
+        counts[kind] += 1
+        best = max(mentions, key=lambda m: (len(m[0]["value"]), not m[1], -m[0]["start"]))[0]
+        members = sorted((s for s, _ in mentions), key=lambda s: (s["start"], s["seq"]))
+        out.append(
+            {
+                "entity_type": kind,
+                "entity_key": key,
+                "canonical": best["value"],
+                "idx": counts[kind],
+                "first": members[0]["start"],
+                "confidence": max(s["confidence"] for s in members),
+                "members": members,
+            }
+        )
+    return out
 
 
-def entities(docs: DataFrame, spans: str = "resolved", lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """(doc_id, entity_type, entity_key, canonical, idx, first, confidence, members) of every entity.
+def entity_column(spans: Column, lexicon: Lexicon = DEFAULT) -> Column:
+    """The entities of a row's array<SPAN>; null spans have none."""
 
-    canonical: the longest surface, the earliest on a tie, full names before parts. idx: order of first appearance
-    within document and type, from 1.
-    """
-    best = F.max_by("value", F.struct(F.length("value"), ~F.col("partial"), -F.col("start")))
-    member = F.struct("seq", "start", "end", "entity_type", "value", "confidence", "detector")
-    grouped = (
-        mentions(docs, spans, lexicon)
-        .groupBy("doc_id", "entity_type", "entity_key")
-        .agg(best.alias("canonical"), F.min("start").alias("first"), F.max("confidence").alias("confidence"), F.array_sort(F.collect_list(F.struct("start", member.alias("m")))).alias("ms"))
-    )
-    order = Window.partitionBy("doc_id", "entity_type").orderBy("first", "entity_key")
-    return grouped.select("doc_id", "entity_type", "entity_key", "canonical", F.row_number().over(order).alias("idx"), "first", "confidence", F.transform("ms", lambda x: x["m"]).alias("members"))
+    @F.arrow_udf(f"array<{ENTITY_SQL}>")
+    def made(lists: pa.Array) -> pa.Array:
+        found = (document_entities(own or [], lexicon) for own in lists.to_pylist())
+        return struct_lists(([tuple(e.values()) for e in own] for own in found), ENTITY)
+
+    return made(spans)
+
+
+def entities(docs: DataFrame, spans: str = "resolved", lexicon: Lexicon = DEFAULT) -> DataFrame:
+    """(doc_id, entity_type, entity_key, canonical, idx, first, confidence, members) of every entity of each row."""
+    return docs.select("doc_id", F.inline(entity_column(F.col(spans), lexicon)))

@@ -14,8 +14,9 @@ INNER = r"^([A-Z][A-Z_]*)_(\d{3,})$"
 
 
 def _issued(vault: DataFrame, keys: list[str]) -> DataFrame:
-    """One map of tokens to values for each document (or session); of a token issued twice the first value counts."""
-    first = vault.groupBy(*keys, "token").agg(F.min("value").alias("value"))
+    """One map of tokens to values for each document (or session). A token with several values stands for none of them:
+    it is as if it had not been issued, so nobody's value comes back in another's place."""
+    first = vault.groupBy(*keys, "token").agg(F.min("value").alias("value"), F.max("value").alias("other")).where("value = other")
     return first.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("token", "value"))).alias("issued"))
 
 
@@ -34,13 +35,8 @@ def _report(rows: DataFrame, text: Column, seen: Column) -> DataFrame:
     )
 
 
-def restore(replies: DataFrame, vault: DataFrame, on: str = "doc_id") -> DataFrame:
-    """(on, text, restored, invented, dropped) of each reply (on, response).
-
-    A token may have blanks inside and escaped brackets or underscores. restored and invented are in order of first
-    appearance, dropped is sorted. Null replies stay null.
-    """
-    rows = _with_issued(replies.select(on, "response"), vault, [on])
+def restore_rows(rows: DataFrame) -> DataFrame:
+    """Rows (response, issued: map of tokens to values, and other columns) with text, restored, invented and dropped for them."""
 
     def region(m: Column) -> Column:
         inner = F.translate(F.regexp_extract(m["value"], "(?U)" + REGION, 1), "\\ \t", "")
@@ -52,6 +48,15 @@ def restore(replies: DataFrame, vault: DataFrame, on: str = "doc_id") -> DataFra
     return _report(rows, splice(F.col("response"), edits), F.array_distinct(F.transform("regions", lambda r: r["token"])))
 
 
+def restore(replies: DataFrame, vault: DataFrame, on: str = "doc_id") -> DataFrame:
+    """(on, text, restored, invented, dropped) of each reply (on, response).
+
+    A token may have blanks inside and escaped brackets or underscores. restored and invented are in order of first
+    appearance, dropped is sorted. Null replies stay null.
+    """
+    return restore_rows(_with_issued(replies.select(on, "response"), vault, [on]))
+
+
 def validate_response(replies: DataFrame, vault: DataFrame, on: str = "doc_id") -> DataFrame:
     """The same report without a change, for tokens in their strict shape only."""
     rows = _with_issued(replies.select(on, "response"), vault, [on])

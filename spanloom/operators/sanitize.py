@@ -1,164 +1,243 @@
 """Sanitising: entities to tokens, edits, propagation of known surfaces, and a final sweep.
 
-The document row carries text, spans, edits and result as arrays. Entities leave it for resolution and come back as one
-array for each document, so a document costs one exchange by doc_id each way.
+All of it happens within a document, so it is one Arrow pass over the document row without a shuffle. Only a registry of
+tokens that documents share needs exchanges: entities go out for it, and a document's tokens come back.
 """
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
 from collections.abc import Callable
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.lexicon import DEFAULT, Lexicon
 from spanloom.functions.places import PLACE_WORDS
-from spanloom.functions.rex import overlaps, rex, splice, whole_words
-from spanloom.operators.detect import detect
-from spanloom.operators.kernel import resolved
+from spanloom.functions.rex import automaton, splice, spliced, whole_hits
+from spanloom.operators.detect import Detectors
+from spanloom.operators.kernel import NAME_WORD, disjoint
 from spanloom.operators.leakscan import scan
 from spanloom.operators.policy import KEEP, TOKENIZE, Policy
-from spanloom.operators.resolve import entities as resolve_entities
-from spanloom.operators.tokens import REDACTED, make_token
-from spanloom.sources.scratch import materialize
+from spanloom.operators.resolve import document_entities
+from spanloom.operators.tokens import REDACTED, TOKEN_FINDER, token_of
+from spanloom.schemas import SPAN_ARROW, SPANS_SQL
 
-NAME_WORD = r"[^\W\d_](?:[^\W\d_]|['’](?=[^\W\d_]{2})|-(?=[^\W\d_]))*"
-SURFACE_SQL = "array<struct<surface:string,replacement:string,confidence:double,token:string>>"
-EDIT_SQL = "array<struct<start:int,end:int,replacement:string,confidence:double>>"
-VAULT_SQL = "array<struct<token:string,entity_type:string,value:string,action:string>>"
 # Shortest surface and name part that propagate, confidence of a propagated shared part and vault value.
 LEAST_SURFACE, LEAST_PART, PART_CONFIDENCE, VAULT_CONFIDENCE = 2, 3, 0.5, 0.9
 
-
-def name_words(canonical: Column, lexicon: Lexicon) -> Column:
-    """Words of a person's name that may stand for the person alone; none unless the name has a title or two real words."""
-    words = F.regexp_extract_all(canonical, F.lit(f"(?U){NAME_WORD}"), F.lit(0))
-    listed = lambda values, w: F.array_contains(F.array(*[F.lit(v) for v in sorted(values)]), w)
-    title = lambda w: listed(lexicon.titles, F.lower(w))
-    never = lexicon.non_names | lexicon.titles | lexicon.particles | PLACE_WORDS
-    real = F.filter(words, lambda w: ~title(w))
-    fit = F.filter(real, lambda w: (F.length(w) >= LEAST_PART) & ~listed(never, F.lower(w)))
-    return F.when(F.exists(words, title) | (F.size(real) >= 2), F.array_distinct(fit)).otherwise(F.array().cast("array<string>"))
-
-
-def acted(entities: DataFrame, policy: Policy, registry: DataFrame | None = None) -> DataFrame:
-    """Entities that the policy doesn't keep, with action and replacement. registry: tokens shared by all documents."""
-    made = entities.withColumn("action", policy.action(F.col("entity_type"))).where(F.col("action") != KEEP)
-    token = make_token(F.col("entity_type"), F.col("idx"))
-    if registry is not None:
-        norm = F.regexp_replace(F.lower(F.trim("canonical")), r"(?U)\s+", " ")
-        made = made.withColumn("norm", norm).join(registry.select("entity_type", "norm", F.col("token").alias("shared")), ["entity_type", "norm"], "left").drop("norm")
-        token = F.coalesce("shared", token)
-    made = made.withColumn("replacement", F.when(F.col("action") == TOKENIZE, token).otherwise(REDACTED))
-    return made.drop("shared") if registry is not None else made
+EDIT = {"start": pa.int32(), "end": pa.int32(), "replacement": pa.string(), "confidence": pa.float64()}
+ENTRY = {"token": pa.string(), "entity_type": pa.string(), "value": pa.string(), "action": pa.string()}
+ACTED = {
+    "entity_type": pa.string(),
+    "canonical": pa.string(),
+    "idx": pa.int32(),
+    "action": pa.string(),
+    "replacement": pa.string(),
+    "confidence": pa.float64(),
+    "members": pa.list_(pa.struct(list(SPAN_ARROW.items()))),
+}
+RESULT = {
+    "sanitized": pa.string(),
+    "entities": pa.list_(pa.struct(list(ACTED.items()))),
+    "edits": pa.list_(pa.struct(list(EDIT.items()))),
+    "vault": pa.list_(pa.struct(list(ENTRY.items()))),
+    "swept_count": pa.int32(),
+    "num_tokenized": pa.int32(),
+    "num_redacted": pa.int32(),
+}
+ACTED_SQL = f"struct<entity_type:string,canonical:string,idx:int,action:string,replacement:string,confidence:double,members:{SPANS_SQL}>"
+VAULT_SQL = "array<struct<token:string,entity_type:string,value:string,action:string>>"
+RESULT_SQL = (
+    f"struct<sanitized:string,entities:array<{ACTED_SQL}>,edits:array<struct<start:int,end:int,replacement:string,confidence:double>>,"
+    f"vault:{VAULT_SQL},swept_count:int,num_tokenized:int,num_redacted:int>"
+)
+#: What a registry is asked for: an entity's type and value, or a part of a name that several persons share.
+ASKED = {"entity_type": pa.string(), "canonical": pa.string(), "first": pa.int32()}
+ASKED_SQL = "struct<entity_type:string,canonical:string,first:int>"
+LATE = 2**31 - 1
 
 
-def name_parts_of(entities: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """(doc_id, surface, n, r): parts of persons' names, by how many persons of the document have them, and the first of those."""
-    parts = entities.where("entity_type = 'PERSON'").select("doc_id", "first", "replacement", "confidence", F.explode(name_words(F.col("canonical"), lexicon)).alias("surface"))
-    return parts.groupBy("doc_id", "surface").agg(F.count_distinct("replacement").alias("n"), F.min_by(F.struct("replacement", "confidence"), F.col("first")).alias("r"))
+def registry_norm(value: str) -> str:
+    """What the registry compares: lower case, blanks collapsed."""
+    return re.sub(r"\s+", " ", value.strip(" ").lower())
 
 
-def with_shared_parts(entities: DataFrame, lexicon: Lexicon = DEFAULT) -> DataFrame:
-    """(doc_id, entity_type, canonical, first) of entities, and of the name parts that several persons of a document share, for a registry."""
-    parts = name_parts_of(entities.withColumn("replacement", F.col("entity_key")), lexicon).where("n > 1")
-    more = parts.select("doc_id", F.lit("PERSON").alias("entity_type"), F.col("surface").alias("canonical"), F.lit(2**31 - 1).alias("first"))
-    return entities.select("doc_id", "entity_type", "canonical", "first").unionByName(more)
+def name_words(canonical: str, lexicon: Lexicon = DEFAULT) -> list[str]:
+    """Words of a person's name that may stand for the person alone; none unless the name has a title or two real words."""
+    words = NAME_WORD.findall(canonical)
+    real = [w for w in words if w.lower() not in lexicon.titles]
+    if len(real) == len(words) < 2:
+        return []
+    never = lexicon.non_names | lexicon.titles | lexicon.particles | PLACE_WORDS
+    return list(dict.fromkeys(w for w in real if len(w) >= LEAST_PART and w.lower() not in never))
+
+
+@dataclass(frozen=True)
+class Sanitizer:
+    """The steps over one document; picklable, so that it goes to the workers once."""
+
+    policy: Policy
+    use_names: bool = True
+    lexicon: Lexicon = DEFAULT
+    provider: Callable[[str], list[dict]] | None = None
+
+    def acted(self, text: str, detectors: Detectors) -> list[dict]:
+        """Entities that the policy doesn't keep, with their action, in the order of first appearance."""
+        found = [dict(zip(SPAN_ARROW, (k, *f), strict=True)) for k, f in enumerate(detectors(text))]
+        entities = document_entities(disjoint(text, found, self.use_names, self.lexicon, self.provider), self.lexicon)
+        return [{**e, "action": a} for e in entities if (a := self.policy.action_for(e["entity_type"])) != KEEP]
+
+    def parts(self, entities: list[dict]) -> dict[str, dict[str, dict]]:
+        """Parts of persons' names, with the entity that has them, by its key; the first to appear comes first."""
+        out: dict[str, dict[str, dict]] = {}
+        for e in entities:
+            if e["entity_type"] == "PERSON":
+                for part in name_words(e["canonical"], self.lexicon):
+                    out.setdefault(part, {}).setdefault(e["replacement"] if "replacement" in e else e["entity_key"], e)
+        return out
+
+    def asked(self, text: str, detectors: Detectors) -> list[tuple]:
+        """What the registry has to know of a document."""
+        entities = self.acted(text, detectors)
+        shared = [("PERSON", part, LATE) for part, owners in self.parts(entities).items() if len(owners) > 1]
+        return [*((e["entity_type"], e["canonical"], e["first"]) for e in entities), *shared]
+
+    def surfaces(self, entities: list[dict], tokens: dict[tuple[str, str], str], earlier: list[tuple[str, str]]) -> dict[str, tuple[str | None, float, str | None]]:
+        """surface to (replacement, confidence, token): what propagates in a document. A null replacement marks a name part
+        that several persons share; it has its token from the registry, if there is one, or gets one when it turns up.
+
+        A surface belongs to the entity that appears first. A part of one person stands for the person unless it is
+        itself a surface; values of earlier documents come after that, shared parts last.
+        """
+        out: dict[str, tuple[str | None, float, str | None]] = {}
+        for e in entities:
+            for surface in sorted({m["value"] for m in e["members"]} | {e["canonical"]}):
+                if len(surface) >= LEAST_SURFACE:
+                    out.setdefault(surface, (e["replacement"], e["confidence"], None))
+        parts = self.parts(entities)
+        for part, owners in parts.items():
+            if len(owners) == 1:
+                (replacement, e), = owners.items()
+                out.setdefault(part, (replacement, e["confidence"], None))
+        for surface, replacement in sorted(earlier):
+            out.setdefault(surface, (replacement, VAULT_CONFIDENCE, None))
+        for part in parts:
+            out.setdefault(part, (None, PART_CONFIDENCE, tokens.get(("PERSON", registry_norm(part)))))
+        return out
+
+    def __call__(self, text: str | None, detectors: Detectors, tokens: dict[tuple[str, str], str] | None = None, earlier: list[tuple[str, str]] = ()) -> tuple:
+        """A row of RESULT."""
+        whole, tokens = text or "", tokens or {}
+        entities = self.acted(whole, detectors)
+        for e in entities:
+            shared = tokens.get((e["entity_type"], registry_norm(e["canonical"])))
+            e["replacement"] = (shared or token_of(e["entity_type"], e["idx"])) if e["action"] == TOKENIZE else REDACTED
+        base = sorted((m["start"], m["end"], e["replacement"], m["confidence"]) for e in entities for m in e["members"])
+        surfaces = self.surfaces(entities, tokens, earlier)
+        vault = {e["replacement"]: (e["entity_type"], e["canonical"], e["action"]) for e in entities if e["action"] == TOKENIZE}
+        person = self.policy.action_for("PERSON")
+        last = max((e["idx"] for e in entities if e["entity_type"] == "PERSON"), default=0)
+        minted: dict[str, str] = {}
+        found = []
+        starts = [b[0] for b in base]
+        for s, e, value in whole_hits(whole, automaton(surfaces)):
+            at = bisect_right(starts, s) - 1
+            if (at >= 0 and base[at][1] > s) or (at + 1 < len(base) and base[at + 1][0] < e):
+                continue  # another edit is there
+            replacement, confidence, token = surfaces[value]
+            if replacement is None:
+                if value not in minted:
+                    minted[value] = (token or token_of("PERSON", last + len(minted) + 1)) if person == TOKENIZE else REDACTED
+                    if person == TOKENIZE:
+                        vault.setdefault(minted[value], ("PERSON", value, person))
+                replacement = minted[value]
+            elif replacement != REDACTED and replacement not in vault:  # a token of another document, used here
+                vault[replacement] = (TOKEN_FINDER.match(replacement)[1], value, TOKENIZE)
+            found.append((s, e, replacement, confidence))
+        edits = sorted([*base, *found])
+        out = spliced(whole, (x[:3] for x in edits))
+        # The sweep: a tokenised value that still stands as a whole word gives way to its first token.
+        first: dict[str, str] = {}
+        for token, (_, value, _) in vault.items():
+            if len(value) >= LEAST_SURFACE:
+                first.setdefault(value, token)
+        left = [(s, e, first[v]) for s, e, v in whole_hits(out, automaton(first))]
+        entries = [(token, *entry) for token, entry in vault.items()]
+        as_dicts = [{f: e[f] for f in ACTED} for e in entities]
+        n = sum(e["action"] == TOKENIZE for e in entities)
+        more = len(minted) * (person == TOKENIZE)
+        return (
+            None if text is None else spliced(out, left),
+            as_dicts,
+            [dict(zip(EDIT, x, strict=True)) for x in edits],
+            [dict(zip(ENTRY, x, strict=True)) for x in entries],
+            len(left),
+            n + more,
+            len(entities) - n + len(minted) - more,
+        )
+
+
+def struct_column(rows: list[tuple], fields: dict[str, pa.DataType]) -> pa.Array:
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pa.StructArray.from_arrays([pa.array(list(c), t) for c, t in zip(columns, fields.values(), strict=True)], list(fields))
 
 
 def earlier_values(docs: DataFrame, entities: DataFrame) -> DataFrame:
     """(doc_id, surface, replacement) of tokenised values that a document may hold and that first stood in an earlier one.
 
-    An as-of join: equal on the value's first word, the document where it first stood before this one. What it gives are
-    candidates; propagation looks for the whole value.
+    An as-of join: equal on all words of the value, by a hash of them, and the document where it first stood before this
+    one. A document gives the runs of words of the lengths that values have; there are few lengths, so a
+    common word brings no candidates beyond the values that it is. Propagation looks for the value itself.
     """
-    known = entities.where((F.col("action") == TOKENIZE) & (F.length("canonical") >= LEAST_SURFACE))
+    words = lambda c: F.regexp_extract_all(c, F.lit(r"(?U)\w+"), F.lit(0))
+    known = entities.where(F.length("canonical") >= LEAST_SURFACE)
     known = known.groupBy("replacement").agg(F.min_by("canonical", F.struct("doc_id", "first")).alias("surface"), F.min("doc_id").alias("first_doc"))
-    known = known.withColumn("word", F.regexp_extract("surface", r"(?U)\w+", 0))
-    words = docs.select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?U)\w+"), F.lit(0)))).alias("word"))
-    return words.join(known, (words["word"] == known["word"]) & (known["first_doc"] < words["doc_id"])).select("doc_id", "surface", "replacement")
-
+    known = known.withColumn("words", words(F.col("surface"))).where(F.size("words") > 0)
+    known = known.select("replacement", "surface", "first_doc", F.size("words").alias("n"), F.xxhash64(F.array_join("words", " ")).alias("run"))
+    lengths = sorted(r["n"] for r in known.select("n").distinct().collect())  # numbers of words, not values
+    own = docs.select(F.col("doc_id"), words(F.coalesce(F.col("text"), F.lit(""))).alias("w"))
+    runs = [F.transform(F.sequence(F.lit(1), F.size("w") - n + 1), lambda k, n=n: F.xxhash64(F.array_join(F.slice("w", k, n), " "))) for n in lengths]
+    none = F.array().cast("array<bigint>")
+    each = [F.when(F.size("w") >= n, r).otherwise(none) for n, r in zip(lengths, runs, strict=True)]
+    held = own.select("doc_id", F.explode(F.array_distinct(F.concat(none, *each))).alias("run"))
+    return held.join(known, (held["run"] == known["run"]) & (known["first_doc"] < held["doc_id"])).select("doc_id", "surface", "replacement")
 
-def surfaces(entities: DataFrame, lexicon: Lexicon = DEFAULT, registry: DataFrame | None = None, docs: DataFrame | None = None) -> DataFrame:
-    """(doc_id, surfaces): what propagates in each document; a null replacement marks a name part that several persons share.
 
-    Such a part has its token from the registry, if there is one, or gets one when it turns up. With a registry and the documents,
-    values of earlier documents are surfaces too.
+def shared_results(docs: DataFrame, sanitizer: Sanitizer, detectors: Detectors, shared_tokens: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(doc_id, text, r) with tokens of a registry over all documents.
 
-    A surface belongs to the entity that appears first. A part that is itself a surface keeps that; a part of one
-    person stands for the person.
+    Documents are searched once for the registry and once for their edits; nothing of them is written in between.
     """
-    values = F.array_distinct(F.concat(F.transform("members", lambda m: m["value"]), F.array("canonical")))
-    own = entities.select("doc_id", "first", "replacement", "confidence", F.explode(values).alias("surface")).where(F.length("surface") >= LEAST_SURFACE)
-    pick = F.min_by(F.struct("replacement", "confidence"), F.col("first")).alias("r")
-    own = own.groupBy("doc_id", "surface").agg(pick).select("doc_id", "surface", "r.replacement", "r.confidence", F.lit(0).alias("part"))
-    own = own.withColumn("token", F.lit(None).cast("string"))
-    parts = name_parts_of(entities, lexicon)
-    alone = F.col("n") == 1
-    if registry is not None:
-        tokens = registry.where("entity_type = 'PERSON'").select("norm", "token")
-        parts = parts.withColumn("norm", F.when(~alone, F.lower("surface"))).join(tokens, "norm", "left")
-    else:
-        parts = parts.withColumn("token", F.lit(None).cast("string"))
-    parts = parts.select(
-        "doc_id", "surface", F.when(alone, F.col("r.replacement")).alias("replacement"), F.when(alone, F.col("r.confidence")).otherwise(PART_CONFIDENCE).alias("confidence"), F.when(alone, 1).otherwise(3).alias("part"), "token"
-    )
-    if registry is not None and docs is not None:
-        before = earlier_values(docs, entities)
-        parts = parts.unionByName(before.select("doc_id", "surface", "replacement", F.lit(VAULT_CONFIDENCE).alias("confidence"), F.lit(2).alias("part"), F.lit(None).cast("string").alias("token")))
-    both = own.unionByName(parts).groupBy("doc_id", "surface").agg(F.min_by(F.struct("replacement", "confidence", "token"), F.col("part")).alias("r"))
-    return both.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("surface", "r.replacement", "r.confidence", "r.token"))).alias("surfaces"))
-
-
-def applied(docs: DataFrame, policy: Policy) -> DataFrame:
-    """Document rows (text, entities, surfaces) with edits, minted tokens, the sanitized text and the vault, all row by row."""
-    nothing = lambda sql: F.array().cast(sql)
-    rows = docs.withColumns({"surfaces": F.coalesce("surfaces", nothing(SURFACE_SQL)), "entities": F.coalesce("entities", F.array().cast(docs.schema["entities"].dataType)), "t": F.coalesce("text", F.lit(""))})
-    base = F.flatten(F.transform("entities", lambda e: F.transform(e["members"], lambda m: F.struct(m["start"].alias("start"), m["end"].alias("end"), e["replacement"].alias("replacement"), m["confidence"].alias("confidence")))))
-    rows = rows.withColumns({"base": F.coalesce(base, nothing(EDIT_SQL)).cast(EDIT_SQL), "pattern": whole_words(F.transform("surfaces", lambda s: s["surface"]))})
-    rows = rows.withColumn("hits", F.when(F.size("surfaces") > 0, rex(F.col("t"), F.col("pattern"))).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>")))
-    rows = rows.withColumn("hits", F.filter("hits", lambda h: ~F.exists("base", lambda b: overlaps(h, b))))
-    known = F.map_from_entries(F.transform("surfaces", lambda s: F.struct(s["surface"], F.struct(s["replacement"], s["confidence"], s["token"]))))
-    rows = rows.withColumn("known", known)
-    shared = F.filter("hits", lambda h: F.element_at("known", h["value"])["replacement"].isNull())
-    rows = rows.withColumn("shared", F.array_distinct(F.transform(shared, lambda h: h["value"])))
-    last = F.coalesce(F.array_max(F.transform(F.filter("entities", lambda e: e["entity_type"] == "PERSON"), lambda e: e["idx"])), F.lit(0))
-    token = policy.action_for("PERSON") == TOKENIZE
-    minted = F.transform("shared", lambda v, k: F.struct(F.coalesce(F.element_at("known", v)["token"], F.format_string("[[PERSON_%03d]]", last + k + 1)) if token else F.lit(REDACTED), F.lit("PERSON"), v, F.lit(policy.action_for("PERSON"))))
-    rows = rows.withColumn("minted", minted.cast(VAULT_SQL))
-    found = F.transform(
-        "hits",
-        lambda h: F.struct(
-            h["start"].alias("start"),
-            h["end"].alias("end"),
-            F.coalesce(F.element_at("known", h["value"])["replacement"], F.get(F.filter("minted", lambda m: m["value"] == h["value"]), 0)["token"]).alias("replacement"),
-            F.element_at("known", h["value"])["confidence"].alias("confidence"),
-        ),
-    )
-    rows = rows.withColumn("found", found.cast(EDIT_SQL)).withColumn("edits", F.array_sort(F.concat("base", "found")))
-    tokenized = F.filter("entities", lambda e: e["action"] == TOKENIZE)
-    vault = F.transform(tokenized, lambda e: F.struct(e["replacement"], e["entity_type"], e["canonical"], e["action"])).cast(VAULT_SQL)
-    rows = rows.withColumns({"spliced": splice(F.col("t"), F.col("edits")), "vault": F.concat(vault, F.filter("minted", lambda m: m["action"] == TOKENIZE))})
-    # Tokens of other documents that this one uses are in its part of the vault as well.
-    held = F.transform("vault", lambda v: v["token"])
-    used = F.filter("found", lambda f: (f["replacement"] != REDACTED) & ~F.array_contains(held, f["replacement"]))
-    kind = lambda token: F.regexp_extract(token, r"^\[\[([A-Z_]+)_\d+\]\]$", 1)
-    borrowed = F.array_distinct(F.transform(used, lambda f: F.struct(f["replacement"], kind(f["replacement"]), F.substr(F.col("t"), f["start"] + 1, f["end"] - f["start"]), F.lit(TOKENIZE)))).cast(VAULT_SQL)
-    rows = rows.withColumn("vault", F.concat("vault", borrowed))
-    # The sweep: a tokenised value that still stands as a whole word gives way to its first token.
-    rows = rows.withColumn("sweep_values", F.filter("vault", lambda v: F.length(v["value"]) >= LEAST_SURFACE))
-    rows = rows.withColumn("sweep_pattern", whole_words(F.transform("sweep_values", lambda v: v["value"])))
-    left = F.when(F.size("sweep_values") > 0, rex(F.col("spliced"), F.col("sweep_pattern"))).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
-    rows = rows.withColumn("left", left)
-    swept = F.transform("left", lambda h: F.struct(h["start"].alias("start"), h["end"].alias("end"), F.get(F.filter("sweep_values", lambda v: v["value"] == h["value"]), 0)["token"].alias("replacement")))
-    return rows.withColumns(
-        {
-            "sanitized": F.when(F.col("text").isNotNull(), F.when(F.size("left") > 0, splice(F.col("spliced"), swept)).otherwise(F.col("spliced"))),
-            "swept_count": F.size("left"),
-            "num_tokenized": F.size(tokenized) + F.size(F.filter("minted", lambda m: m["action"] == TOKENIZE)),
-            "num_redacted": F.size(F.filter("entities", lambda e: e["action"] != TOKENIZE)) + F.size(F.filter("minted", lambda m: m["action"] != TOKENIZE)),
-        }
-    ).drop("t", "base", "found", "pattern", "hits", "known", "shared", "minted", "spliced", "sweep_values", "sweep_pattern", "left", "surfaces")
+
+    @F.arrow_udf(f"array<{ASKED_SQL}>")
+    def asked(texts: pa.Array) -> pa.Array:
+        kind = pa.list_(pa.struct(list(ASKED.items())))
+        return pa.array([[dict(zip(ASKED, x, strict=True)) for x in sanitizer.asked(t or "", detectors)] for t in texts.to_pylist()], kind)
+
+    found = docs.select("doc_id", F.inline(asked(F.col("text"))))
+    registry = shared_tokens(found)
+    norm = F.regexp_replace(F.lower(F.trim("canonical")), r"(?U)\s+", " ")
+    held = found.withColumn("norm", norm).join(registry.select("entity_type", "norm", "token"), ["entity_type", "norm"])
+    tokenized = [t for t in sorted({*sanitizer.policy.actions, "PERSON"}) if sanitizer.policy.action_for(t) == TOKENIZE]
+    acted = F.lit(True) if sanitizer.policy.default == TOKENIZE else F.col("entity_type").isin(*tokenized)
+    values = held.where(acted & (F.col("first") < LATE)).select("doc_id", "canonical", "first", F.col("token").alias("replacement"))
+    tokens = held.groupBy("doc_id").agg(F.collect_set(F.struct("entity_type", "norm", "token")).alias("tokens"))
+    before = earlier_values(docs, values).groupBy("doc_id").agg(F.collect_set(F.struct("surface", "replacement")).alias("earlier"))
+
+    @F.arrow_udf(RESULT_SQL)
+    def made(texts: pa.Array, tokens: pa.Array, earlier: pa.Array) -> pa.Array:
+        rows = []
+        for t, own, old in zip(texts.to_pylist(), tokens.to_pylist(), earlier.to_pylist(), strict=True):
+            known = {(x["entity_type"], x["norm"]): x["token"] for x in own or ()}
+            rows.append(sanitizer(t, detectors, known, [(x["surface"], x["replacement"]) for x in old or ()]))
+        return struct_column(rows, RESULT)
+
+    joined = docs.select("doc_id", "text").join(tokens, "doc_id", "left").join(before, "doc_id", "left")
+    return joined.select("doc_id", "text", made("text", "tokens", "earlier").alias("r"))
 
 
 def sanitize(
@@ -173,20 +252,21 @@ def sanitize(
 ) -> DataFrame:
     """doc_id, text, sanitized, entities, edits, vault, counters and leak report of every row of `docs` (doc_id, text).
 
-    doc_id names a document. Null text stays null and has no entity. shared_tokens: from entities to a registry, for tokens that
-    are the same in all documents; without it tokens count from 1 in each document.
+    A row is a document. Null text stays null and has no entity. shared_tokens: from (doc_id, entity_type, canonical, first)
+    to a registry, for tokens that are the same in all documents; without it tokens count from 1 in each document, and
+    nothing is shuffled.
     """
-    spans = detect(docs.select("doc_id", "text"), policy.recognizers)
-    spans = resolved(spans, use_names, lexicon, provider).drop("spans")
-    # Surfaces, actions and the registry all read the entities: they are written once, so that no text is searched twice.
-    found = materialize(resolve_entities(spans, lexicon=lexicon))
-    registry = shared_tokens(with_shared_parts(found, lexicon)) if shared_tokens else None
-    made = acted(found, policy, registry)
-    fields = ("entity_type", "canonical", "idx", "action", "replacement", "confidence", "members")
-    grouped = made.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("first", F.struct(*fields).alias("e")))).alias("es"))
-    grouped = grouped.select("doc_id", F.transform("es", lambda x: x["e"]).alias("entities"))
-    rows = docs.select("doc_id", "text").join(grouped, "doc_id", "left").join(surfaces(made, lexicon, registry, docs), "doc_id", "left")
-    out = applied(rows, policy)
+    sanitizer, detectors = Sanitizer(policy, use_names, lexicon, provider), Detectors(policy.recognizers)
+
+    @F.arrow_udf(RESULT_SQL)
+    def made(texts: pa.Array) -> pa.Array:
+        return struct_column([sanitizer(t, detectors) for t in texts.to_pylist()], RESULT)
+
+    if shared_tokens:
+        rows = shared_results(docs, sanitizer, detectors, shared_tokens)
+    else:
+        rows = docs.select("doc_id", "text", made("text").alias("r"))
+    out = rows.select("doc_id", "text", "r.*")
     return scan(out, policy.recognizers) if run_leak_scan else out
 
 

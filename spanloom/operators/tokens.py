@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,7 @@ from spanloom.functions.rex import rex
 # A token's shape.
 TOKEN = r"\[\[([A-Z][A-Z_]*)_(\d{3,})\]\]"
 REDACTED = "[REDACTED]"
+TOKEN_FINDER = re.compile(TOKEN)
 
 
 def make_token(entity_type: Column, index: Column) -> Column:
@@ -17,6 +20,11 @@ def make_token(entity_type: Column, index: Column) -> Column:
     return F.when(entity_type.rlike("^[A-Z][A-Z_]*$") & (index >= 1), F.format_string("[[%s_%03d]]", entity_type, index))
 
 
+def token_of(entity_type: str, index: int) -> str:
+    """make_token of one entity."""
+    return f"[[{entity_type}_{index:03d}]]"
+
+
 def parse_token(token: Column) -> Column:
     """struct<entity_type, index>, or null."""
     whole = f"^{TOKEN}$"
@@ -36,8 +44,9 @@ def registry(entities: DataFrame, order: str = "doc_id") -> DataFrame:
     """
     norm = F.regexp_replace(F.lower(F.trim("canonical")), r"(?U)\s+", " ")
     firsts = entities.groupBy("entity_type", norm.alias("norm")).agg(F.min(F.struct(F.col(order).alias("doc"), "first")).alias("at"))
-    spread = firsts.repartitionByRange("entity_type", "at", "norm").sortWithinPartitions("entity_type", "at", "norm")
-    spread = spread.withColumn("part", F.spark_partition_id())
+    spread = firsts.repartitionByRange("entity_type", "at", "norm").withColumn("part", F.spark_partition_id())
+    # Both branches below must see the same parts, so these are fixed once; the plan has no place where they could differ.
+    spread = spread.persist()
     within = F.row_number().over(Window.partitionBy("part", "entity_type").orderBy("at", "norm"))
     earlier = Window.partitionBy("entity_type").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = spread.groupBy("entity_type", "part").count().select("entity_type", "part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("base"))

@@ -23,12 +23,12 @@ def session_id() -> str:
 
 
 def merged(*vaults: DataFrame) -> DataFrame:
-    """One row for each document and token: the first value stays, occurrences add up."""
-    rows = vaults[0]
-    for v in vaults[1:]:
-        rows = rows.unionByName(v)
+    """One row for each document and token: the value of the first vault that has it stays, occurrences add up."""
+    rows = vaults[0].withColumn("rank", F.lit(0))
+    for k, v in enumerate(vaults[1:], 1):
+        rows = rows.unionByName(v.withColumn("rank", F.lit(k)))
     found = rows.groupBy("doc_id", "token").agg(
-        F.min(F.struct("value", "entity_type", "action")).alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("occurrences")))).alias("occurrences")
+        F.min_by(F.struct("value", "entity_type", "action"), F.struct("rank", "value")).alias("r"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("occurrences")))).alias("occurrences")
     )
     return found.select("doc_id", "token", "r.entity_type", "r.value", "r.action", "occurrences")
 
@@ -57,6 +57,11 @@ def _key(passphrase: str, salt: bytes) -> bytes:
     return hashlib.scrypt(passphrase.encode(), salt=salt, **SCRYPT)
 
 
+def _with_key(rows: DataFrame, key: bytes) -> DataFrame:
+    """The rows with the key as a column `key`, from a table of one row: as a literal it would show in plans and event logs."""
+    return rows.crossJoin(F.broadcast(rows.sparkSession.createDataFrame([(bytearray(key),)], "key binary")))
+
+
 def save(vault: DataFrame, path: str, passphrase: str | None = None, *, allow_plaintext: bool = False, session: str | None = None) -> str:
     """Write the vault as a table of sealed documents; refuses plain text unless it is asked for. Gives the session's id."""
     session = session or session_id()
@@ -68,8 +73,8 @@ def save(vault: DataFrame, path: str, passphrase: str | None = None, *, allow_pl
         return session
     salt = os.urandom(SALT_BYTES)
     # Spark draws a new nonce for every row and puts it before the cipher text.
-    sealed = F.aes_encrypt(F.col("json").cast("binary"), F.lit(_key(passphrase, salt)), F.lit("GCM"))
-    documents.select("doc_id", F.lit(True).alias("encrypted"), F.lit(salt).alias("salt"), sealed.alias("data")).write.parquet(path)
+    sealed = F.aes_encrypt(F.col("json").cast("binary"), F.col("key"), F.lit("GCM"))
+    _with_key(documents, _key(passphrase, salt)).select("doc_id", F.lit(True).alias("encrypted"), F.lit(salt).alias("salt"), sealed.alias("data")).write.parquet(path)
     return session
 
 
@@ -83,8 +88,8 @@ def load(spark: SparkSession, path: str, passphrase: str | None = None) -> DataF
     if first[0]["encrypted"]:
         if passphrase is None:
             raise ValueError("the vault is encrypted: a passphrase is needed")
-        key = _key(passphrase, bytes(first[0]["salt"]))
-        data = F.try_aes_decrypt("data", F.lit(key), F.lit("GCM"))
+        sealed = _with_key(sealed, _key(passphrase, bytes(first[0]["salt"])))
+        data = F.try_aes_decrypt("data", F.col("key"), F.lit("GCM"))
         if sealed.select(data.alias("d")).where("d is null").head(1):
             raise ValueError("wrong passphrase, or the vault was changed")
     return from_documents(sealed.select(data.cast("string").alias("json")))
@@ -96,7 +101,8 @@ def envelope(payload: dict, passphrase: str | None, spark: SparkSession) -> str:
     if passphrase is None:
         return json.dumps({"magic": MAGIC, "encrypted": False, "data": json.loads(body)})
     salt = os.urandom(SALT_BYTES)
-    row = spark.range(1).select(F.aes_encrypt(F.lit(body).cast("binary"), F.lit(_key(passphrase, salt)), F.lit("GCM")).alias("x")).first()
+    one = _with_key(spark.createDataFrame([(bytearray(body.encode()),)], "body binary"), _key(passphrase, salt))
+    row = one.select(F.aes_encrypt("body", F.col("key"), F.lit("GCM")).alias("x")).first()
     raw, b64 = bytes(row["x"]), lambda x: base64.b64encode(x).decode()
     return json.dumps({"magic": MAGIC, "encrypted": True, "kdf": "scrypt", "salt": b64(salt), "nonce": b64(raw[:NONCE_BYTES]), "ct": b64(raw[NONCE_BYTES:])})
 
@@ -111,7 +117,7 @@ def opened(text: str, passphrase: str | None, spark: SparkSession) -> dict:
         raise ValueError("the vault is encrypted: a passphrase is needed")
     key = _key(passphrase, base64.b64decode(data["salt"]))
     raw = base64.b64decode(data["nonce"]) + base64.b64decode(data["ct"])
-    row = spark.range(1).select(F.try_aes_decrypt(F.lit(raw), F.lit(key), F.lit("GCM")).alias("x")).first()
+    row = _with_key(spark.createDataFrame([(bytearray(raw),)], "raw binary"), key).select(F.try_aes_decrypt("raw", F.col("key"), F.lit("GCM")).alias("x")).first()
     if row["x"] is None:
         raise ValueError("wrong passphrase, or the vault was changed")
     return json.loads(bytes(row["x"]))

@@ -365,7 +365,7 @@ FROM customer JOIN (VALUES (0, 'none', ''), (1, 'low', 'age'), (2, 'medium', 'se
 MODE_TEXT = {
     "semantic": CLEAN,
     "synthetic": "'Dr. Alex Morgan met Sam Rivera and Robin Clarke. Alex Morgan wrote to person1@example.com about card Credit Card 1. Jamie Novak and Mr Sam Rivera agreed with person1@example.com.'",
-    "generalize": "'Dr. [a person] met [a person] and [a person]. [a person] wrote to [an email address] about card [a card number]. [a person] and Mr [a person] agreed with [an email address].'",
+    "generalize": "'Dr. [a person] met [a person] and [a person]. [a person] wrote to [an email] about card [a card number]. [a person] and Mr [a person] agreed with [an email].'",
     "total": "'Dr. [REDACTED] met [REDACTED] and [REDACTED]. [REDACTED] wrote to [REDACTED] about card [REDACTED]. [REDACTED] and Mr [REDACTED] agreed with [REDACTED].'",
     "blackout": (
         "'Dr. ' || repeat('█', 10) || ' met ' || repeat('█', 10) || ' and ' || repeat('█', 9) || '. ' || repeat('█', 6) || ' wrote to ' || repeat('█', 16) || ' about card ' || repeat('█', 16)"

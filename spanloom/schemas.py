@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
+import pyarrow as pa
 
 # The closed set of entity types.
 ENTITY_TYPES = (
@@ -13,15 +13,5 @@ SPAN_SQL = "struct<seq:int,start:int,end:int,entity_type:string,value:string,con
 SPANS_SQL = f"array<{SPAN_SQL}>"
 MATCH_SQL = "struct<start:int,end:int,value:string>"
 
-SPAN = T.StructType(
-    [
-        T.StructField("seq", T.IntegerType()),
-        T.StructField("start", T.IntegerType()),
-        T.StructField("end", T.IntegerType()),
-        T.StructField("entity_type", T.StringType()),
-        T.StructField("value", T.StringType()),
-        T.StructField("confidence", T.DoubleType()),
-        T.StructField("detector", T.StringType()),
-    ]
-)
-SPANS = T.ArrayType(SPAN)
+SPAN_ARROW = {"seq": pa.int32(), "start": pa.int32(), "end": pa.int32(), "entity_type": pa.string(), "value": pa.string(), "confidence": pa.float64(), "detector": pa.string()}
+ENTITY_SQL = f"struct<entity_type:string,entity_key:string,canonical:string,idx:int,first:int,confidence:double,members:{SPANS_SQL}>"

@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share; they go when the application ends, or before by `clean`."""
 
 from __future__ import annotations
 
@@ -7,18 +7,37 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+PREFIX = "spanloom-"
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a folder of our own only where none is set."""
+    """The session's spark.checkpoint.dir. Only where none is set and all runs in one process, a folder of our own; on a cluster a
+    folder of one machine would lose rows, so that is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        found = tempfile.mkdtemp(prefix="spanloom-")
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        found = tempfile.mkdtemp(prefix=PREFIX)
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
     """Write the rows and read them back: lineage ends here, and a lost executor costs only a new read."""
-    path = f"{shared_dir(df.sparkSession)}/spanloom-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/{PREFIX}{uuid.uuid4().hex}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> int:
+    """Delete the tables that are still in the shared folder, once nothing reads them any more; gives their number."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{PREFIX}*")
+    files = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
+    left = [s.getPath() for s in files.globStatus(pattern) or []]
+    for path in left:
+        files.delete(path, True)
+    return len(left)

@@ -1,13 +1,15 @@
 """Matches with places, validators, detectors, places and recognizers."""
 
+import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import patterns
-from spanloom.functions.rex import quoted, rex, splice, whole_words
-from spanloom.functions.validators import iban_valid, luhn_valid, plausible_date, plausible_phone
+from spanloom.functions.rex import automaton, quoted, rex, splice, spliced, whole_hits, whole_values
+from spanloom.functions.validators import date_ok, iban_ok, iban_valid, luhn_ok, luhn_valid, phone_ok, plausible_date, plausible_phone
 from spanloom.operators import detect as D
 from spanloom.operators.recognizers import Recognizer
 
@@ -39,11 +41,25 @@ def test_rex_of_null_is_null(spark):
 @pytest.mark.parametrize("value", ["+43 660 (x)", "a.b@c.de", "[x]", "$5", "Škoda", r"back\slash", "{a}|^b*"])
 def test_quoted_values_match_themselves_as_whole_words(spark, value):
     text = f"n {value} {value}, m"
-    assert [m.value for m in one(spark, text, lambda t: rex(t, F.concat(F.lit("(?U)"), quoted(F.lit(value)))))] == [value, value]
-    words = one(spark, "Ann Anna Annab Škoda koda", lambda t: rex(t, whole_words(F.array(F.lit("Ann"), F.lit("Anna"), F.lit("koda")))))
+    assert one(spark, text, lambda t: F.regexp_extract_all(t, F.concat(F.lit("(?U)"), quoted(F.lit(value))), F.lit(0))) == [value, value]
+    words = one(spark, "Ann Anna Annab Škoda koda", lambda t: whole_values(t, F.array(F.lit("Ann"), F.lit("Anna"), F.lit("koda"))))
     assert [w.value for w in words] == ["Ann", "Anna", "koda"]
 
 
+def test_whole_words_are_those_of_an_alternation_longest_first():
+    rng = random.Random(2)
+    for _ in range(500):
+        values = {"".join(rng.choice("ab -_é.") for _ in range(rng.randrange(1, 5))) for _ in range(rng.randrange(1, 6))}
+        text = "".join(rng.choice("ab -_é.") for _ in range(30))
+        pattern = r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(values, key=lambda v: (-len(v), v)))) + r")(?!\w)"
+        assert list(whole_hits(text, automaton(values))) == [(*m.span(), m[0]) for m in re.finditer(pattern, text)]
+    assert list(whole_hits("a", automaton([]))) == [] and one_empty(automaton(["", "a"]))
+
+
+def one_empty(strings):
+    return list(whole_hits("a a", strings)) == [(0, 1, "a"), (2, 3, "a")]
+
+
 def test_splice_takes_dollars_and_skips_overlaps(spark):
     edits = F.array(*[F.struct(F.lit(s).alias("start"), F.lit(e).alias("end"), F.lit(r).alias("replacement")) for s, e, r in [(4, 6, r"$1\2"), (0, 2, "😀"), (1, 3, "no")]])
     assert one(spark, "abcdefgh", lambda t: splice(t, edits)) == r"😀cd$1\2gh"
@@ -101,12 +117,44 @@ def test_null_and_empty_texts_have_no_spans(spark):
     assert found(spark, [None, ""]) == [set(), set()]
 
 
-def test_java_and_python_read_the_patterns_alike(spark):
-    corpus = ["Škoda 12 a.b@ç.de ١٢٣-١٢-١٢٣٤ 123-45-6789", "x" * 30 + " 0x" + "aF" * 20 + " é4e:b8:7f:2f:e4:72", "14 März 2026, 3rd May, may 3rd; 1.2.26 99/99", "Apt. 259, Unit 4B; Suite 709, 48188\n10:30:00 AM"]
+def test_detectors_find_what_their_patterns_find(spark):
+    """The tests that a text must pass first change nothing."""
+    corpus = ["Škoda 12 a.b@ç.de ١٢٣-١٢-١٢٣٤ 123-45-6789", "x" * 30 + " 0x" + "aF" * 20 + " é4e:b8:7f:2f:e4:72", "14 März 2026, 3rd May, may 3rd; 1.2.26 99/99", "Apt. 259, Unit 4B; Suite 709, 48188\n10:30:00 AM", "ab:cd:ef:ab:cd:ef fe80::a SWIFT DEUTDEFF A.B. a.b@c.de https://x"]
     for name, _, _, pattern, _ in patterns.SIMPLE:
-        rows = spark.createDataFrame([(t,) for t in corpus], "t string").select("t", rex(F.col("t"), pattern).alias("m")).collect()
-        for r in rows:
-            assert [(m.start, m.end) for m in r.m] == [m.span() for m in re.finditer(pattern, r.t)], name
+        test = D.TESTS.get(name, lambda v: True)
+        for text in corpus:
+            want = [(m.span(m.re.groups and 1), m[m.re.groups and 1]) for m in re.finditer(pattern, text)]
+            got = [((s, e), v) for s, e, _, v, _, _ in D.Detectors(only=[name], places=None)(text)]
+            assert got == [(p, v) for p, v in want if test(v)], name
+
+
+def test_checks_of_one_value_are_those_of_a_column(spark):
+    rng = random.Random(1)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(rng.randrange(n)))
+    values = ["gb82 WEST 1234 5698 7654 32", "GB82", "4111 1111-1111 1111", "2012-2013", "417 (2023) 55", "978-3-16-148410-0", "+43 660 1234567", "31.12.26", "12/31/2026", "51.02.538", "0.1.26", "March"]
+    values += [draw("0123456789", 20) for _ in range(300)] + [draw("0123456789 ()-+.", 20) for _ in range(300)] + [f"{rng.randrange(40)}.{rng.randrange(40)}.{rng.randrange(100):02d}" for _ in range(100)]
+    values += [f"GB{rng.randrange(100):02d}WEST{rng.randrange(10**14):014d}" for _ in range(300)]
+    rows = spark.createDataFrame([(v,) for v in values], "v string").select("v", luhn_valid(F.col("v")), iban_valid(F.col("v")), plausible_date(F.col("v")), plausible_phone(F.col("v"))).collect()
+    for v, luhn, iban, date, phone in rows:
+        assert (luhn, iban, date, phone) == (luhn_ok(v), iban_ok(v), date_ok(v), phone_ok(v)), v
+
+
+def test_time_grows_with_the_matches_and_no_more():
+    text = "u1@mail.example.org 10.1.2.3 Vienna " * 32_000
+    detectors = D.Detectors()
+    detectors("u1@mail.example.org 1")
+    began = time.process_time()
+    spans = detectors(text)
+    assert len(spans) >= 96_000 and time.process_time() - began < 10
+    began = time.process_time()
+    assert len(spliced(text, [(s, e, "x") for s, e, *_ in sorted(spans)])) < len(text) and time.process_time() - began < 1
+
+
+def test_recognizers_see_what_is_around_a_match_and_where_their_group_is(spark):
+    rules = [Recognizer("after", r"(?<=ref )(\d+)", "CASE_ID", group=1), Recognizer("last", r"id 1 of (?P<x>1)", "ACCOUNT_ID", group="x"), Recognizer("again", r"(a+)-(a+)", "CASE_ID", group=2)]
+    docs = spark.createDataFrame([(0, "ref 77 or id 1 of 1 and a-a 55")], "doc_id long, text string")
+    spans = D.detect(docs, rules, only=["none"]).first()["spans"]
+    assert [(s.start, s.end, s.value, s.detector) for s in spans] == [(4, 6, "77", "custom:after"), (18, 19, "1", "custom:last"), (26, 27, "a", "custom:again")]
 
 
 def test_recognizer_groups(spark):
