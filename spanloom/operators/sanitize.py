@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Callable
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.lexicon import DEFAULT, Lexicon
 from spanloom.functions.places import PLACE_WORDS
-from spanloom.functions.rex import automaton, splice, spliced, whole_hits
+from spanloom.functions.rex import Match, automaton, splice, spliced, whole_hits
 from spanloom.operators.detect import Detectors
 from spanloom.operators.kernel import NAME_WORD, disjoint
 from spanloom.operators.leakscan import scan
@@ -76,6 +76,16 @@ def name_words(canonical: str, lexicon: Lexicon = DEFAULT) -> list[str]:
     return list(dict.fromkeys(w for w in real if len(w) >= LEAST_PART and w.lower() not in never))
 
 
+def free_hits(text: str, entities: list[dict], surfaces: Iterable[str]) -> Iterator[Match]:
+    """Whole-word places of the surfaces that no mention of an entity touches."""
+    base = sorted((m["start"], m["end"]) for e in entities for m in e["members"])
+    starts = [s for s, _ in base]
+    for s, e, value in whole_hits(text, automaton(surfaces)):
+        at = bisect_right(starts, s) - 1
+        if not (at >= 0 and base[at][1] > s) and not (at + 1 < len(base) and starts[at + 1] < e):
+            yield s, e, value
+
+
 @dataclass(frozen=True)
 class Sanitizer:
     """The steps over one document; picklable, so that it goes to the workers once."""
@@ -92,19 +102,20 @@ class Sanitizer:
         return [{**e, "action": a} for e in entities if (a := self.policy.action_for(e["entity_type"])) != KEEP]
 
     def parts(self, entities: list[dict]) -> dict[str, dict[str, dict]]:
-        """Parts of persons' names, with the entity that has them, by its key; the first to appear comes first."""
+        """Parts of persons' names, with the entities that have them by their replacements; the first to appear comes first."""
         out: dict[str, dict[str, dict]] = {}
         for e in entities:
             if e["entity_type"] == "PERSON":
                 for part in name_words(e["canonical"], self.lexicon):
-                    out.setdefault(part, {}).setdefault(e["replacement"] if "replacement" in e else e["entity_key"], e)
+                    out.setdefault(part, {}).setdefault(e["replacement"], e)
         return out
 
     def asked(self, text: str, detectors: Detectors) -> list[tuple]:
-        """What the registry has to know of a document."""
-        entities = self.acted(text, detectors)
-        shared = [("PERSON", part, LATE) for part, owners in self.parts(entities).items() if len(owners) > 1]
-        return [*((e["entity_type"], e["canonical"], e["first"]) for e in entities), *shared]
+        """What the registry has to know of a document: its entities, then the shared parts of names that stand alone in it."""
+        entities = [{**e, "replacement": e["entity_key"]} for e in self.acted(text, detectors)]
+        surfaces = self.surfaces(entities, {}, [])
+        alone = dict.fromkeys(v for _, _, v in free_hits(text, entities, surfaces) if surfaces[v][0] is None)
+        return [*((e["entity_type"], e["canonical"], e["first"]) for e in entities), *(("PERSON", v, LATE) for v in alone)]
 
     def surfaces(self, entities: list[dict], tokens: dict[tuple[str, str], str], earlier: list[tuple[str, str]]) -> dict[str, tuple[str | None, float, str | None]]:
         """surface to (replacement, confidence, token): what propagates in a document. A null replacement marks a name part
@@ -143,11 +154,7 @@ class Sanitizer:
         last = max((e["idx"] for e in entities if e["entity_type"] == "PERSON"), default=0)
         minted: dict[str, str] = {}
         found = []
-        starts = [b[0] for b in base]
-        for s, e, value in whole_hits(whole, automaton(surfaces)):
-            at = bisect_right(starts, s) - 1
-            if (at >= 0 and base[at][1] > s) or (at + 1 < len(base) and base[at + 1][0] < e):
-                continue  # another edit is there
+        for s, e, value in free_hits(whole, entities, surfaces):
             replacement, confidence, token = surfaces[value]
             if replacement is None:
                 if value not in minted:
@@ -224,7 +231,7 @@ def shared_results(docs: DataFrame, sanitizer: Sanitizer, detectors: Detectors,
     held = found.withColumn("norm", norm).join(registry.select("entity_type", "norm", "token"), ["entity_type", "norm"])
     tokenized = [t for t in sorted({*sanitizer.policy.actions, "PERSON"}) if sanitizer.policy.action_for(t) == TOKENIZE]
     acted = F.lit(True) if sanitizer.policy.default == TOKENIZE else F.col("entity_type").isin(*tokenized)
-    values = held.where(acted & (F.col("first") < LATE)).select("doc_id", "canonical", "first", F.col("token").alias("replacement"))
+    values = held.where(acted).select("doc_id", "canonical", "first", F.col("token").alias("replacement"))
     tokens = held.groupBy("doc_id").agg(F.collect_set(F.struct("entity_type", "norm", "token")).alias("tokens"))
     before = earlier_values(docs, values).groupBy("doc_id").agg(F.collect_set(F.struct("surface", "replacement")).alias("earlier"))
 

@@ -26,16 +26,28 @@ def shared_dir(spark: SparkSession) -> str:
 def materialize(df: DataFrame) -> DataFrame:
     """Write the rows and read them back: lineage ends here, and a lost executor costs only a new read."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{PREFIX}{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{PREFIX}{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that `materialize` wrote, once nothing reads them any more."""
+    for table in tables:
+        spark = table.sparkSession
+        folders = {name.rpartition("/")[0] for name in table.inputFiles()}
+        for folder in folders:
+            if not folder.rpartition("/")[2].startswith(PREFIX):
+                raise ValueError(f"{folder} is no scratch table")
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def clean(spark: SparkSession) -> int:
-    """Delete the tables that are still in the shared folder, once nothing reads them any more; gives their number."""
-    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{PREFIX}*")
+    """Delete the tables of this application that are still in the shared folder, once nothing reads them any more; gives their number."""
+    pattern = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{PREFIX}{spark.sparkContext.applicationId}-*")
     files = pattern.getFileSystem(spark._jsc.hadoopConfiguration())
     left = [s.getPath() for s in files.globStatus(pattern) or []]
     for path in left:

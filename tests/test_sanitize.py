@@ -6,7 +6,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from spanloom.functions.lexicon import Lexicon
+from spanloom.functions.lexicon import DEFAULT, Lexicon, common_words, learned
 from spanloom.operators import gateway, kernel, leakscan, modes, policy, restore, sanitize, tokens, vault
 from spanloom.operators.recognizers import Recognizer
 
@@ -263,3 +263,66 @@ def test_overrides_keep_and_tag(spark):
     with pytest.raises(ValueError):
         modes.rendered(docs, spans, "nope")
     assert modes.keep_uncertain(spans).count() == 2
+
+
+def test_a_corpus_says_which_words_are_no_names(spark):
+    texts = ["the applicant said, Anna met the applicant", "our applicant, Anna, saw an applicant", "an applicant and Anna; one Applicant", "x Anna Zork, Zork"]
+    rows = {r.word: (r.n, r.lower) for r in common_words(docs_of(spark, [*texts, None, ""]), least=3).collect()}
+    assert rows["applicant"] == (6, 5) and "anna" not in rows and "zork" not in rows
+    own = learned(docs_of(spark, texts), least=3)
+    assert "applicant" in own.non_names and DEFAULT.non_names < own.non_names
+    assert [s["value"] for s in kernel.names("met Applicant Keller")] == ["Applicant Keller"]
+    assert [s["value"] for s in kernel.names("met Applicant Keller", own)] == ["Keller"]
+
+
+def test_a_token_with_several_values_restores_none_of_them(spark):
+    replies = spark.createDataFrame([(0, "Dear [[PERSON_001]] and [[PERSON_002]]")], "doc_id long, response string")
+    rows = [(0, "[[PERSON_001]]", "Anna"), (0, "[[PERSON_001]]", "Boris"), (0, "[[PERSON_002]]", "Carla"), (0, "[[PERSON_002]]", "Carla")]
+    row = restore.restore(replies, spark.createDataFrame(rows, "doc_id long, token string, value string")).first()
+    assert (row.text, row.restored, row.invented) == ("Dear [[PERSON_001]] and Carla", ["[[PERSON_002]]"], ["[[PERSON_001]]"])
+
+
+def test_the_first_vault_keeps_its_value(spark):
+    make = lambda value, at: spark.createDataFrame([(0, "[[PERSON_001]]", "PERSON", value, "tokenize", [(at, at + 2)])], vault.ROW_SQL)
+    row = vault.merged(make("Zoe", 5), make("Anna", 9), make("Zoe", 5)).first()
+    assert row.value == "Zoe" and [(o.start, o.end) for o in row.occurrences] == [(5, 7), (9, 11)]
+
+
+def test_plans_of_a_vault_dont_show_the_key(spark, tmp_path, monkeypatch):
+    rows = spark.createDataFrame([(0, "[[PERSON_001]]", "PERSON", "Zoe", "tokenize", [(1, 3)])], vault.ROW_SQL)
+    key = vault._key("secret", b"0" * 16)
+    made = vault._with_key(rows, key)._jdf.queryExecution().toString()
+    assert key.hex() not in made.lower()
+
+
+def test_a_common_first_word_brings_no_candidates(spark):
+    texts = ["Contact: Anna Keller and Anna Novak"] + ["the word Anna, then Anna Novak"] * 3 + ["Contact: Anna Larsen, with Anna Keller"]
+    docs = docs_of(spark, texts)
+    held = spark.createDataFrame([(0, "Anna Keller", 1, "[[PERSON_001]]"), (0, "Anna Novak", 2, "[[PERSON_002]]"), (4, "Anna Larsen", 1, "[[PERSON_003]]")], "doc_id long, canonical string, first int, replacement string")
+    rows = {(r.doc_id, r.surface) for r in sanitize.earlier_values(docs, held).collect()}
+    assert rows == {(1, "Anna Novak"), (2, "Anna Novak"), (3, "Anna Novak"), (4, "Anna Keller")}
+
+
+def test_documents_that_share_tokens_do_so_in_order(spark):
+    texts = ["Contact: Anna Keller, a@x.org", "mail A@X.ORG now", "saw Anna Keller", None, "Contact: Boris Stone and Boris Weber. Boris left", "Boris came"]
+    rows = clean(spark, texts, shared_tokens=tokens.registry)
+    assert [r.sanitized for r in rows] == [
+        "Contact: [[PERSON_001]], [[EMAIL_001]]",
+        "mail [[EMAIL_001]] now",
+        "saw [[PERSON_001]]",
+        None,
+        "Contact: [[PERSON_002]] and [[PERSON_003]]. [[PERSON_004]] left",
+        "[[PERSON_004]] came",
+    ]
+    assert all(r.leak.clean for r in rows)
+
+
+def test_a_redacted_type_never_comes_back_from_the_sweep(spark):
+    chosen = policy.policy_from_dict({"name": "own", "actions": {"PERSON": "redact", "EMAIL": "tokenize"}})
+    r = clean(spark, ["Frank Baker saw Frank Cook. Frank wrote to f@x.org, f@x.org"], chosen)[0]
+    assert r.sanitized == "[REDACTED] saw [REDACTED]. [REDACTED] wrote to [[EMAIL_001]], [[EMAIL_001]]" and [v.token for v in r.vault] == ["[[EMAIL_001]]"]
+
+
+def test_sanitising_shuffles_nothing(spark):
+    plan = sanitize.sanitize(docs_of(spark, ["Anna"]), MAXIMUM)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
