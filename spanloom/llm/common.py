@@ -11,6 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.sources.scratch import drop  # noqa: F401
 from spanloom.sources.scratch import materialize as write_and_read
 from spanloom.sources.tables import table  # noqa: F401
 

@@ -54,20 +54,17 @@ def exact_groups(docs: DataFrame, carry: list[str] = (), prefix: int = PREFIX, h
         digests = materialize(base.select(*kind, sha.alias("full")))
         left = digests.join(survivors(digests), ["size", "head"], "left_semi")
         rows = base.select(*kind, sha.alias("full"), *names) if carry else digests
-        decided = None
     else:
-        live = survivors(base.select("size", "head")).withColumn("hit", F.lit(True))
-        marked = materialize(base.join(live, ["size", "head"], "left").select(*kind, "text", *names, F.coalesce("hit", F.lit(False)).alias("hit")))
-        left = marked.where("hit").select(*kind, sha.alias("full"))
-        rows = marked.where("hit").select(*kind, sha.alias("full"), *names)
-        decided = marked.where("not hit").select(*kind, F.lit(None).cast("string").alias("full"), *names)
+        # Written, so that the planner knows their sizes: small ones go to the texts, and texts move only to large ones.
+        live = materialize(survivors(base.select("size", "head")).withColumn("hit", F.lit(True)))
+        marked = base.join(live, ["size", "head"], "left").select(*kind, F.when(F.col("hit"), sha).alias("full"), *names)
+        left, rows = marked.where("full is not null").select(*kind, "full"), marked
     # Orders of structs have nulls first.
     best = F.min(F.struct((-F.col("points")).alias("most"), F.col("id").alias("first"), F.col("equal").alias("ties")))
     equal = left.groupBy("size", "head", "full", "points", "id").agg(F.count("*").alias("equal"))
     groups = equal.groupBy("size", "head", "full").agg(F.sum("equal").alias("n"), best.alias("best")).where("n > 1")
-    joined = rows.join(groups.select("size", "head", "full", "n", "best.most", "best.first", "best.ties"), ["size", "head", "full"], "left")
-    if decided is not None:
-        joined = joined.unionByName(decided, allowMissingColumns=True)
+    groups = materialize(groups.select("size", "head", "full", "n", "best.most", "best.first", "best.ties"))
+    joined = rows.join(groups, ["size", "head", "full"], "left")
     grouped = F.col("n").isNotNull()
     mine = (F.col("points") == -F.col("most")) & F.col("id").eqNullSafe(F.col("first"))
     return joined.select(

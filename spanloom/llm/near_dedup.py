@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import id_key, materialize, tidy
+from spanloom.llm.common import drop, id_key, materialize, tidy
 from spanloom.llm.simhash import components
 
 SHINGLE_WORDS = 5
@@ -114,7 +114,7 @@ def sets(docs: DataFrame, wanted: DataFrame, text: str, id: str, words: int) ->
                 yield pa.RecordBatch.from_arrays([_signed([node(x) for x in made]), pa.array([x.astype("<u8").tobytes() for x in made], pa.binary())], ["node", "shingles"])
 
     source = docs.select(id_key(F.col(id)).alias("first"), F.col(text).cast("string").alias("text"))
-    chosen = source.join(wanted.select("first").distinct(), "first", "left_semi").select("text")
+    chosen = source.join(wanted.select("first"), "first", "left_semi").select("text")
     made = chosen.mapInArrow(tidy(batches), "node long, shingles binary").join(wanted.select("node"), "node", "left_semi")
     return made.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
@@ -144,10 +144,12 @@ def near_copies(docs: DataFrame, text: str = "text", id: str = "doc_id", words:
     nodes = marked.groupBy("node").agg(F.min(F.struct("id")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
     rows = nodes.select("node", "n", id_key(F.col("first.id")).alias("first"), F.explode("bands").alias("bucket"))
     ends = (F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high"))
-    # Buckets of one node link nothing. Their counts come from partial sums.
-    shared = rows.groupBy("bucket").agg(F.count("*").alias("count"), *ends).where("count > 1").drop("count")
+    # Buckets of one node link nothing. Their counts come from partial sums. Tables that are joined with all texts or all buckets
+    # are written first, so that the planner knows their sizes and moves the others only to large ones.
+    shared = materialize(rows.groupBy("bucket").agg(F.count("*").alias("count"), *ends).where("count > 1").drop("count"))
     live = materialize(rows.join(shared, "bucket"))
-    known = materialize(sets(docs, live.select("node", "first").distinct(), text, id, words))
+    wanted = materialize(live.select("node", "first").distinct())
+    known = materialize(sets(docs, wanted, text, id, words))
     alike = lambda x, y: F.least(x, y) / F.greatest(x, y) >= least  # noqa: E731  no set is nearer to another than their sizes
     stars = live.where((F.col("node") != F.col("low.node")) & alike(F.col("n"), F.col("low.n"))).select(F.col("low.node").alias("a"), F.col("node").alias("b"))
     stars = stars.unionByName(live.where((F.col("node") != F.col("high.node")) & alike(F.col("n"), F.col("high.n"))).select(F.col("node").alias("a"), F.col("high.node").alias("b")))
@@ -162,6 +164,7 @@ def near_copies(docs: DataFrame, text: str = "text", id: str = "doc_id", words:
     pairs = open_.join(other, "bucket").where((F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & alike(F.col("n"), F.col("n2")))
     more = materialize(confirmed(pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")), known, least))
     tied = components(links.unionByName(more))
+    drop(shared, live, wanted, known, links, open_, more)
     merged = nodes.select("node", "first").join(tied, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     roots = merged.groupBy("root").agg(F.min("first").alias("component"))
     named = merged.join(roots, "root").select("node", F.col("component.id").alias("component"))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import materialize, tidy
+from spanloom.llm.common import drop, materialize, tidy
 
 RADIUS = 3
 SHINGLE_WORDS = 3
@@ -184,7 +184,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             .unionByName(lowest.select("u", F.col("m").alias("v")))
             .distinct()
         )
-        high = materialize(small)
+        last, high = high, materialize(small)
+        drop(last)
         now = high.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             return high.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(high.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -39,9 +39,10 @@ GRAM = 32
 SHALLOW = 48
 HOT_CONTEXTS = 1024
 #: Bytes of text hashed at once, and windows sorted at once; a group of anchors is never split.
-BLOCK = 1 << 20
-#: Anchor rows that a task of level 1 decides together.
+BLOCK = 1 << 18
+#: Anchor rows that a task of level 1 decides together, and documents that are put together in one batch of results.
 HOLD_ROWS = 250_000
+OUT_ROWS = 1000
 SORT_WINDOWS = 1 << 18
 
 _MUL = 0x9E3779B97F4A7C15
@@ -481,25 +482,30 @@ class _Apply:
         self.length, self.text = length, text
 
     def __call__(self, them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in them:
-            made: list[tuple] = []
-            for text, ranges in zip(batch.column("_text").to_pylist(), batch.column("_ranges").to_pylist(), strict=True):
-                data = (text or "").encode()
-                cuts = spans([(x["at"], x["hi"]) for x in ranges or ()], self.length)
-                at, left = 0, []
-                for s, e in cuts:
-                    left.append(data[at:s])
-                    at = e
-                left.append(data[at:])
-                digest = hashlib.sha256()
-                for x in left:
-                    digest.update(x)
-                kept = None if text is None or not self.text else kept_text(data, cuts)
-                made.append((len(data), sum(e - s for s, e in cuts), len(cuts), digest.hexdigest(), kept))
-            cols = [batch.column(k) for k in range(batch.num_columns - 2)]
-            names = batch.schema.names[: len(cols)]
-            new = [pa.array(x, t) for x, t in zip(zip(*made, strict=True) if made else [()] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([*cols, *new], [*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
+        for whole in them:
+            for first in range(0, whole.num_rows, OUT_ROWS):
+                yield self._made(whole.slice(first, OUT_ROWS))
+
+    def _made(self, batch: pa.RecordBatch) -> pa.RecordBatch:
+        made: list[tuple] = []
+        for text, ranges in zip(batch.column("_text"), batch.column("_ranges"), strict=True):
+            text, ranges = text.as_py(), ranges.as_py()
+            data = (text or "").encode()
+            cuts = spans([(x["at"], x["hi"]) for x in ranges or ()], self.length)
+            at, left = 0, []
+            for s, e in cuts:
+                left.append(data[at:s])
+                at = e
+            left.append(data[at:])
+            digest = hashlib.sha256()
+            for x in left:
+                digest.update(x)
+            kept = None if text is None or not self.text else kept_text(data, cuts)
+            made.append((len(data), sum(e - s for s, e in cuts), len(cuts), digest.hexdigest(), kept))
+        cols = [batch.column(k) for k in range(batch.num_columns - 2)]
+        names = batch.schema.names[: len(cols)]
+        new = [pa.array(x, t) for x, t in zip(zip(*made, strict=True) if made else [()] * 5, (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
+        return pa.RecordBatch.from_arrays([*cols, *new], [*names, "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept_text"])
 
 
 def dedup(docs: DataFrame, carry: list[str] = (), keep_text: bool = True, length: int = LENGTH, **options) -> DataFrame:
