@@ -43,6 +43,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     """
     docs = docs.select(COLUMNS)
     later = near_dedup.near_copies(docs).where(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("later_id")).distinct()
+    later = materialize(later)  # its size is known then, and texts move only if it is large
     return docs.join(later, F.col("doc_id").eqNullSafe(F.col("later_id")), "left_anti").select(COLUMNS)
 
 
