@@ -26,6 +26,9 @@ def initials_ok(value: str) -> bool:
     return value.isupper() and value not in P.INITIALS_STOP
 
 
+#: Confidence of a detector's spans.
+CONFIDENCE = {name: confidence for name, _, confidence, _, _ in P.SIMPLE} | {"iban": 0.99, "card_luhn": 0.97, "card_format": 0.6, "phone": 0.6, "labelled_id": 0.85, "gazetteer": 0.52}
+
 #: What a match of a pattern must also be.
 TESTS: dict[str, Callable[[str], bool]] = {"date": date_ok, "initials": initials_ok}
 
@@ -49,13 +52,17 @@ def ibans(start: re.Pattern, whole: re.Pattern, text: str) -> Iterator[Match]:
 
 
 class Detectors:
-    """The wanted detectors over one text at a time. `only` names detectors; custom ones are `custom:` and their name."""
+    """The wanted detectors over one text at a time: all, or those that `only` names, or whose spans have the least confidence.
+
+    Recognizers count in any case, as far as their confidence does.
+    """
 
-    def __init__(self, recognizers: Sequence[Recognizer] = (), places: Sequence[str] | None = PLACES, only: Sequence[str] | None = None):
-        self.recognizers, self.places, self.only = tuple(recognizers), tuple(places or ()), only
+    def __init__(self, recognizers: Sequence[Recognizer] = (), places: Sequence[str] | None = PLACES, only: Sequence[str] | None = None, least: float = 0.0):
+        self.recognizers, self.places = tuple(r for r in recognizers if r.confidence >= least), tuple(places or ())
+        self.only, self.least = only, least
 
     def wants(self, name: str) -> bool:
-        return self.only is None or name in self.only
+        return (self.only is None or name in self.only) and CONFIDENCE[name] >= self.least
 
     @cached_property
     def plain(self) -> list[tuple]:
@@ -83,7 +90,7 @@ class Detectors:
                 out += ((s, e, kind, v, confidence, name) for s, e, v in matches(pattern, text, test))
         if digits:
             out += self._numbers(text)
-        out += ((s, e, "LOCATION", v, 0.52, "gazetteer") for s, e, v in whole_hits(text, self.gazetteer))
+        out += ((s, e, "LOCATION", v, CONFIDENCE["gazetteer"], "gazetteer") for s, e, v in whole_hits(text, self.gazetteer))
         for r, pattern in self.custom:
             group = r.group or 0
             spans = ((*m.span(group), m[group]) for m in pattern.finditer(text))
@@ -95,25 +102,27 @@ class Detectors:
         of = self.compiled
         if self.wants("iban"):
             for s, e, v in ibans(of["start"], of["whole"], text):
-                yield s, e, "IBAN", v, 0.99, "iban"
-        if self.wants("card_luhn") or self.wants("card_format"):
-            for s, e, v in matches(of["card"], text):
-                yield (s, e, "CREDIT_CARD", v, 0.97, "card_luhn") if luhn_ok(v) else (s, e, "CREDIT_CARD", v, 0.6, "card_format")
+                yield s, e, "IBAN", v, CONFIDENCE["iban"], "iban"
+        cards = [name for name in ("card_luhn", "card_format") if self.wants(name)]
+        for s, e, v in matches(of["card"], text) if cards else ():
+            name = "card_luhn" if luhn_ok(v) else "card_format"
+            if name in cards:
+                yield s, e, "CREDIT_CARD", v, CONFIDENCE[name], name
         if self.wants("phone"):
             for s, e, v in matches(of["phone"], text, phone_ok):
-                yield s, e, "PHONE", v, 0.6, "phone"
+                yield s, e, "PHONE", v, CONFIDENCE["phone"], "phone"
         if self.wants("labelled_id"):
             for m in of["labelled"].finditer(text):
                 label = P.LABEL.match(m[0])[0].lower()
-                yield *m.span(1), P.LABEL_TYPES.get(label, "ACCOUNT_ID"), m[1].strip(), 0.85, "labelled_id"
+                yield *m.span(1), P.LABEL_TYPES.get(label, "ACCOUNT_ID"), m[1].strip(), CONFIDENCE["labelled_id"], "labelled_id"
 
 
-def spans_column(text: Column, detectors: Detectors, threshold: float = 0.0) -> Column:
-    """array<SPAN> of at least `threshold` in the text, numbered in the order of emission; null text gives an empty one."""
+def spans_column(text: Column, detectors: Detectors) -> Column:
+    """array<SPAN> of the text, numbered in the order of emission; null text gives an empty one."""
 
     @F.arrow_udf(SPANS_SQL)
     def spans(texts: pa.Array) -> pa.Array:
-        found = ([f for f in detectors(t or "") if f[4] >= threshold] for t in texts.to_pylist())
+        found = (detectors(t or "") for t in texts.to_pylist())
         return struct_lists(([(k, *f) for k, f in enumerate(own)] for own in found), SPAN_ARROW)
 
     return spans(text)
@@ -126,4 +135,4 @@ def detect(docs: DataFrame, recognizers: Sequence[Recognizer] = (), places: bool
 
 def blocking(docs: DataFrame, recognizers: Sequence[Recognizer] = (), threshold: float = BLOCKING, text: str = "text", out: str = "fresh") -> DataFrame:
     """Spans of deterministic and custom detectors of at least `threshold`."""
-    return docs.withColumn(out, spans_column(F.col(text), Detectors(recognizers, None), threshold))
+    return docs.withColumn(out, spans_column(F.col(text), Detectors(recognizers, None, least=threshold)))

@@ -39,11 +39,12 @@ class Word(NamedTuple):
 
 
 def words_of(text: str, lexicon: Lexicon) -> list[Word]:
-    out = []
+    titles, particles, out = lexicon.titles, lexicon.particles, []
     for m in NAME_WORD.finditer(text):
         w = m[0]
-        bare = w.lower().rstrip(".")
-        out.append(Word(m.start(), m.end(), w, bare, w[0].isupper(), bare in lexicon.titles, w.lower() in lexicon.particles))
+        low = w.lower()
+        s, e = m.span()
+        out.append(Word(s, e, w, low, w[0].isupper(), low in titles, low in particles))
     return out
 
 

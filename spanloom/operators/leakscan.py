@@ -38,11 +38,11 @@ def present(text: str, values: Iterable[str]) -> list[str]:
     return sorted(found)
 
 
-def report(text: str, values: Iterable[str], detectors: Detectors, threshold: float) -> tuple:
+def report(text: str, values: Iterable[str], detectors: Detectors) -> tuple:
     """A row of REPORT. Spans inside a token, and known values of one character, don't count."""
     tokens = [m.span() for m in TOKEN_FINDER.finditer(text)]
     residual, at = [], 0
-    for k, f in enumerate(x for x in sorted(detectors(text), key=lambda x: x[0]) if x[4] >= threshold):
+    for k, f in enumerate(sorted(detectors(text), key=lambda x: x[0])):
         while at < len(tokens) and tokens[at][1] <= f[0]:
             at += 1
         if not (at < len(tokens) and tokens[at][0] <= f[0] and f[1] <= tokens[at][1]):
@@ -54,11 +54,11 @@ def report(text: str, values: Iterable[str], detectors: Detectors, threshold: fl
 
 def scan(docs: DataFrame, recognizers: Sequence[Recognizer] = (), threshold: float = BLOCKING, text: str = "sanitized", vault: str | None = "vault") -> DataFrame:
     """`docs` with `leak`: struct<clean, blocked, residual, leaked, summary>. Null text is clean."""
-    detectors = Detectors(recognizers, None)
+    detectors = Detectors(recognizers, None, least=threshold)
 
     @F.arrow_udf(REPORT_SQL)
     def made(texts: pa.Array, lists: pa.Array) -> pa.Array:
-        rows = [report(t or "", own or (), detectors, threshold) for t, own in zip(texts.to_pylist(), lists.to_pylist(), strict=True)]
+        rows = [report(t or "", own or (), detectors) for t, own in zip(texts.to_pylist(), lists.to_pylist(), strict=True)]
         return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(REPORT.values())], list(REPORT))
 
     values = F.filter(F.transform(vault, lambda v: v["value"]), lambda v: v.isNotNull()) if vault else F.array().cast("array<string>")

@@ -104,6 +104,6 @@ def handler(service: Service) -> type[BaseHTTPRequestHandler]:
     return Handler
 
 
-def serve(spark: SparkSession, host: str = "127.0.0.1", port: int = 8765) -> ThreadingHTTPServer:
+def serve(spark: SparkSession, host: str = "127.0.0.1", port: int = 8765, policies: policy.Registry | None = None) -> ThreadingHTTPServer:
     """A server that the caller runs with serve_forever()."""
-    return ThreadingHTTPServer((host, port), handler(Service(spark)))
+    return ThreadingHTTPServer((host, port), handler(Service(spark, policies)))

@@ -1,4 +1,4 @@
-"""Documents from files: text, bytes by extension, DOCX, and hooks for PDF and image text."""
+"""Documents from files: text, bytes by extension, DOCX, plain PDF, and hooks for other PDF readers and for image text."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.sources.pdf import pdf_pages
+
 # Extensions by kind, and characters of a page below which it looks scanned.
 TEXT = ("txt", "md", "text", "csv", "tsv", "log", "json")
 IMAGES = ("png", "jpg", "jpeg", "tif", "tiff", "bmp", "webp")
@@ -81,9 +83,7 @@ def extract(data: bytes, ext: str, ocr: str = "auto", pdf: PdfReader | None = No
             raise RuntimeError("no reader of images is installed")
         return image(data), [0]
     if ext == "pdf":
-        if pdf is None:
-            raise RuntimeError("no reader of PDF is installed")
-        texts = pdf(data)
+        texts = (pdf or pdf_pages)(data)
         wanted = [k for k, t in enumerate(texts) if ocr == "always" or (ocr == "auto" and _scanned(t))]
         if not wanted or image is None or pages is None:
             return "\n".join(texts), []

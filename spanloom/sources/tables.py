@@ -1,9 +1,17 @@
-"""Tables of a data folder."""
+"""The tables of a folder."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+#: A table of fewer files than cores and of so many bytes is dealt to all cores when it is read: its files may be one row group
+#: each, which one task would have to take. Larger tables are never moved; their files have row groups enough.
+SPREAD_FROM, SPREAD_TO = 64 << 10, 256 << 20
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    small = SPREAD_FROM <= size <= SPREAD_TO and len(rows.inputFiles()) < cores
+    return rows.repartition(cores) if small else rows

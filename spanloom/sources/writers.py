@@ -5,17 +5,19 @@ from __future__ import annotations
 import html
 import io
 import json
-import re
+import os
 import zipfile
+from collections.abc import Iterator
 from xml.sax.saxutils import escape
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.operators.leakscan import scan
-from spanloom.sources.readers import TEXT
-
-LINE_WIDTH, LINES_OF_PAGE = 95, 62
+from spanloom.operators.detect import BLOCKING, Detectors
+from spanloom.operators.leakscan import report, scan
+from spanloom.sources.pdf import pdf_bytes, wrapped  # noqa: F401
+from spanloom.sources.readers import TEXT, extract
 
 
 class VerificationError(RuntimeError):
@@ -60,44 +62,11 @@ def docx_bytes(text: str) -> bytes:
     return out.getvalue()
 
 
-def wrapped(text: str, width: int = LINE_WIDTH) -> list[str]:
-    """Lines of at most `width` characters, cut at blanks where a line has one; nothing but the blanks at cuts is lost."""
-    out = []
-    for line in text.split("\n"):
-        while len(line) > width:
-            at = line.rfind(" ", 1, width + 1)
-            out.append(line[: at if at > 0 else width])
-            line = line[at + 1 :] if at > 0 else line[width:]
-        out.append(line)
-    return out
-
-
-def pdf_bytes(text: str) -> bytes:
-    """A plain PDF: A4 pages of LINES_OF_PAGE wrapped lines in a fixed-width font. Characters beyond Latin-1 are written as ?."""
-    lines = wrapped(text)
-    pages = [lines[k : k + LINES_OF_PAGE] for k in range(0, len(lines), LINES_OF_PAGE)]
-    objects = [b"<< /Type /Catalog /Pages 2 0 R >>", b"", b"<< /Type /Font /Subtype /Type1 /BaseFont /Courier /Encoding /WinAnsiEncoding >>"]
-    kids = []
-    for page in pages:
-        shown = b" T* ".join(b"(" + re.sub(rb"([\\()])", rb"\\\1", line.encode("cp1252", "replace")) + b") Tj" for line in page)
-        stream = b"BT /F1 9 Tf 12 TL 40 800 Td " + shown + b" ET"
-        objects.append(b"<< /Length %d >>\nstream\n%b\nendstream" % (len(stream), stream))
-        objects.append(b"<< /Type /Page /Parent 2 0 R /MediaBox [0 0 595 842] /Resources << /Font << /F1 3 0 R >> >> /Contents %d 0 R >>" % len(objects))
-        kids.append(b"%d 0 R" % len(objects))
-    objects[1] = b"<< /Type /Pages /Kids [%b] /Count %d >>" % (b" ".join(kids), len(kids))
-    out, places = b"%PDF-1.4\n", []
-    for k, body in enumerate(objects, 1):
-        places.append(len(out))
-        out += b"%d 0 obj\n%b\nendobj\n" % (k, body)
-    table = b"".join(b"%010d 00000 n \n" % p for p in places)
-    return out + b"xref\n0 %d\n0000000000 65535 f \n%btrailer << /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF" % (len(objects) + 1, table, len(objects) + 1, len(out))
-
-
 def file_bytes(text: str, ext: str) -> bytes:
     """One document as a file of an extension."""
     ext = ext.lower().lstrip(".")
     if ext in ("", *TEXT):
-        return text.encode()
+        return text.encode("utf-8", "replace")
     if ext == "docx":
         return docx_bytes(text)
     if ext == "pdf":
@@ -105,6 +74,46 @@ def file_bytes(text: str, ext: str) -> bytes:
     raise ValueError(f"can't write {ext!r} files")
 
 
+def checked_file(text: str, ext: str, values: list[str], detectors: Detectors) -> tuple[bytes, str | None]:
+    """A document as a file of an extension, and what leaks in it when it is read back; lines of a PDF are read as one."""
+    data = file_bytes(text, ext)
+    back = extract(data, ext or "txt", "never")[0]
+    clean, _, _, _, summary = report(back.replace("\n", " ") if ext == "pdf" else back, values, detectors)
+    return data, None if clean else summary
+
+
+def rendered(sanitized: DataFrame, recognizers=()) -> DataFrame:
+    """(doc_id, ext, content, leaks, error) of (doc_id, sanitized, vault, ext): each document as a file, read back and scanned where it is made."""
+    detectors = Detectors(recognizers, None, least=BLOCKING)
+    kinds = [pa.string(), pa.binary(), pa.string(), pa.string()]
+
+    def one(text: str | None, vault: list[dict] | None, ext: str) -> tuple:
+        try:
+            return ext, *checked_file(text or "", ext, [v["value"] for v in vault or ()], detectors), None
+        except ValueError as wrong:  # one document that can't be such a file doesn't end the job; it is reported
+            return ext, None, None, str(wrong)
+
+    def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in them:
+            rows = [one(*(c[k].as_py() for c in batch.columns[1:])) for k in range(batch.num_rows)]
+            cols = list(zip(*rows, strict=True)) if rows else [()] * 4
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, t) for c, t in zip(cols, kinds, strict=True))], ["doc_id", "ext", "content", "leaks", "error"])
+
+    source = sanitized.select("doc_id", "sanitized", "vault", F.lower(F.ltrim(F.col("ext"), F.lit("."))).alias("ext"))
+    kind = source.schema["doc_id"].dataType.simpleString()
+    return source.mapInArrow(batches, f"doc_id {kind}, ext string, content binary, leaks string, error string")
+
+
+def write_file(path: str, text: str, values: list[str] = (), recognizers=(), verify: bool = True) -> None:
+    """One document as a file by the extension of its path; a leak in what is read back raises before anything is written."""
+    ext = os.path.splitext(path)[1].lower().lstrip(".")
+    data, leaks = checked_file(text, ext, list(values), Detectors(recognizers, None, least=BLOCKING))
+    if verify and leaks:
+        raise VerificationError(leaks)
+    with open(path, "wb") as file:
+        file.write(data)
+
+
 def json_report(sanitized: DataFrame) -> DataFrame:
     """(doc_id, report): counters, entities and leak report as JSON; values stay out of it."""
     entity = F.transform("entities", lambda e: F.struct(e["entity_type"].alias("type"), e["replacement"].alias("token"), e["action"].alias("action"), F.size(e["members"]).alias("mentions"), F.bround(e["confidence"], 2).alias("confidence")))

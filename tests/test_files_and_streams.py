@@ -10,7 +10,7 @@ from spanloom import cli
 from spanloom.operators import metrics, policy, sanitize, synth
 from spanloom.operators.detect import detect
 from spanloom.operators.kernel import resolved
-from spanloom.sources import readers, writers
+from spanloom.sources import pdf, readers, scratch, writers
 from spanloom.streaming import sanitizer
 
 
@@ -75,8 +75,14 @@ def test_sinks_verify(spark, tmp_path):
 
 
 def test_pdf_has_a_page_for_each_lot_of_lines():
-    data = writers.pdf_bytes("\n".join(f"line {k} (a) \\ é日" for k in range(130)))
-    assert data.startswith(b"%PDF-1.4") and data.count(b"/Type /Page ") == 3 and b"(line 129 \\(a\\) \\\\ \xe9?) Tj" in data
+    text = "\n".join(f"line {k} (a) \\ é" for k in range(130))
+    data = writers.pdf_bytes(text)
+    assert data.startswith(b"%PDF-1.4") and data.count(b"/Type /Page ") == 3 and b"(line 129 \\(a\\) \\\\ \xe9) Tj" in data
+    assert "\n".join(pdf.pdf_pages(data)) == text and readers.extract(data, "pdf") == (text, [])
+    with pytest.raises(ValueError):
+        writers.pdf_bytes("a 日")  # no character is lost without a word
+    with pytest.raises(ValueError):
+        pdf.pdf_pages(data.replace(b"/Encoding /WinAnsiEncoding", b"/Encoding /Identity-H"))
     assert int(data.rsplit(b"startxref\n", 1)[1].split(b"\n")[0]) == data.index(b"xref\n0 ") and writers.file_bytes("", "pdf").count(b"/Type /Page ") == 1
 
 
@@ -114,6 +120,68 @@ def test_command_line(spark, folder, capsys):
     assert cli.main(["batch", f"{folder}/in", f"{folder}/out2"], spark) == 64
 
 
+def test_deflated_pages_of_another_writer_are_read():
+    import zlib
+
+    stream = zlib.compress(b"BT /F1 9 Tf 40 800 Td [(Mail ) -20 (a@x.org)] TJ 0 -12 Td <48692e> Tj (\\050x\\)) ' ET")
+    data = b"%PDF-1.5\n1 0 obj <</Type /Catalog /Pages 2 0 R>> endobj\n2 0 obj <</Type/Pages /Kids [3 0 R] /Count 1>> endobj\n3 0 obj <</Type/Page /Contents [4 0 R]>> endobj\n"
+    data += b"4 0 obj <</Filter /FlateDecode /Length %d>>\nstream\n%b\nendstream endobj\n" % (len(stream), stream)
+    assert pdf.pdf_pages(data) == ["Mail a@x.org\nHi.\n(x)"]
+    for bad in (b"", b"%PDF-1.4 nothing", data.replace(b"FlateDecode", b"LZWDecode"), data + b"/Encrypt"):
+        with pytest.raises(ValueError):
+            pdf.pdf_pages(bad)
+
+
+def test_files_are_read_back_before_they_count(spark, tmp_path):
+    rows = [(1, "mail [[EMAIL_001]]", "txt"), (2, "still a@x.org", "docx"), (3, "Anna x", "pdf"), (4, "日", "pdf"), (5, None, "md"), (6, "x", "exe")]
+    vault = "array(named_struct('token', 't', 'entity_type', 'PERSON', 'value', 'Anna', 'action', 'tokenize')) as vault"
+    docs = spark.createDataFrame(rows, "doc_id long, sanitized string, ext string").selectExpr("*", vault)
+    got = {r.doc_id: r for r in writers.rendered(docs).collect()}
+    assert bytes(got[1].content) == b"mail [[EMAIL_001]]" and got[1].leaks is None and got[5].content == b""
+    assert got[2].leaks and got[3].leaks and got[4].error and got[6].error and not got[1].error
+    writers.write_file(f"{tmp_path}/a.docx", "first\nsecond")
+    assert readers.docx_text(open(f"{tmp_path}/a.docx", "rb").read()) == "first\nsecond"
+    with pytest.raises(writers.VerificationError):
+        writers.write_file(f"{tmp_path}/b.docx", "x a@x.org")
+    assert not os.path.exists(f"{tmp_path}/b.docx")
+
+
+def test_one_file_goes_out_and_comes_back(spark, tmp_path, capsys):
+    text = "Contact: Anna Keller, anna@x.org. Keller called."
+    (tmp_path / "a.txt").write_text(text)
+    run = lambda *args: cli.main([str(a) for a in args], spark)
+    assert run("sanitize", tmp_path / "a.txt", "--out", tmp_path / "b.docx", "--vault", tmp_path / "v.json") == 64
+    assert run("sanitize", tmp_path / "a.txt", "--out", tmp_path / "b.docx", "--vault", tmp_path / "v.json", "--passphrase", "pw") == 0
+    hidden = readers.docx_text((tmp_path / "b.docx").read_bytes())
+    assert hidden == "Contact: [[PERSON_001]], [[EMAIL_001]]. [[PERSON_001]] called." and "Anna" not in (tmp_path / "v.json").read_text()
+    assert run("restore", tmp_path / "b.docx", tmp_path / "v.json", "--passphrase", "pw", "--out", tmp_path / "c.txt") == 0
+    assert (tmp_path / "c.txt").read_text() == text.replace("Keller called", "Anna Keller called")
+    assert run("restore", tmp_path / "b.docx", tmp_path / "v.json", "--passphrase", "no") == 64
+    (tmp_path / "d.txt").write_text("call 12 anna@x.org")
+    capsys.readouterr()
+    assert run("verify", tmp_path / "d.txt", "--vault", tmp_path / "v.json", "--passphrase", "pw") == 2 and "anna@x.org" in capsys.readouterr().out
+    assert run("review", tmp_path / "a.txt", "--out", tmp_path / "r.html") == 0 and "<mark" in (tmp_path / "r.html").read_text()
+    assert run("benchmark", "--documents", 12) == 0
+
+
+def test_a_batch_writes_files_in_the_format_of_their_source(spark, folder):
+    (folder / "in/d.png").unlink()
+    assert cli.main(["batch", f"{folder}/in", f"{folder}/out", "--passphrase", "pw", "--files", "--shared-vault"], spark) == 0
+    assert sorted(os.listdir(f"{folder}/out/files")) == ["a.txt", "sub__b.csv", "sub__c.docx"]
+    assert readers.docx_text(open(f"{folder}/out/files/sub__c.docx", "rb").read()).startswith("first & <b>\nsecond [[EMAIL_00")
+
+
+def test_scratch_tables_go(spark, tmp_path):
+    made = scratch.materialize(spark.range(5))
+    place = made.inputFiles()[0].rpartition("/")[0].removeprefix("file:").replace("///", "/")
+    assert made.count() == 5 and os.path.isdir(place)
+    scratch.drop(made)
+    assert not os.path.isdir(place)
+    spark.range(1).write.parquet(f"{tmp_path}/own")
+    with pytest.raises(ValueError):
+        scratch.drop(spark.read.parquet(f"{tmp_path}/own"))
+
+
 def test_metrics_of_nothing(spark):
     gold = spark.createDataFrame([], "doc_id long, start int, end int, entity_type string, value string")
     assert metrics.overlap_precision(gold, gold).first()["n_predicted"] == 0
