@@ -4,7 +4,7 @@ Method. Every text gets a 64-bit fingerprint. Distinct fingerprints are dealt to
 bit blocks: two fingerprints that differ in at most three bits agree on at least two of five blocks, so each link
 shows in some bucket. A bucket is compared exactly in tiles with exclusive-or and bit counts; its rows are ordered by
 population count and tile pairs whose counts differ by more than the radius are skipped. A bucket of more than
-TILE_ROWS fingerprints is dealt to tile pairs in separate groups, so that no task holds more than two tiles.
+TILE_ROWS fingerprints is dealt to pairs of tiles of near population counts, in separate groups, so that no task holds more than two tiles.
 Each group reports a spanning forest of its links, not all pairs; components come from star contraction.
 """
 
@@ -148,19 +148,23 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     rows = fps.select("fp").distinct().select("fp", F.explode(keys).alias("bucket"))
     # Counts of buckets come from partial sums; buckets of one fingerprint have no link and go no further.
     sizes = rows.groupBy("bucket").count().where("count > 1")
-    rows = rows.join(sizes, "bucket")
+    rows = materialize(rows.join(sizes, "bucket"))
     cold = rows.where(F.col("count") <= TILE_ROWS).select("bucket", "fp").repartition("bucket").sortWithinPartitions("bucket", "fp")
-    n = F.ceil(F.col("count") / TILE_ROWS).cast("int")
-    tile = F.pmod(F.xxhash64("fp"), n).cast("int")
-    other = F.explode(F.sequence(F.lit(0), n - 1))
-    hot = (
-        rows.where(F.col("count") > TILE_ROWS)
-        .select("bucket", "fp", tile.alias("t"), other.alias("o"))
-        .select("bucket", F.least("t", "o").cast("long").alias("x"), F.greatest("t", "o").cast("long").alias("y"), "fp")
-        .repartition("bucket", "x", "y")
-        .sortWithinPartitions("bucket", "x", "y", "fp")
-    )
-    return cold.mapInArrow(tidy(_forests(1, radius)), "a long, b long").unionByName(hot.mapInArrow(tidy(_forests(3, radius)), "a long, b long")).distinct()
+    # A hot bucket's tiles have one population count each, dealt by a hash where that has too many rows. Only pairs of tiles whose
+    # counts differ by the radius at most are made, and a row goes to its tile's pairs alone.
+    hot = rows.where(F.col("count") > TILE_ROWS).select("bucket", "fp", F.bit_count("fp").cast("long").alias("pop"))
+    levels = hot.groupBy("bucket", "pop").agg(F.ceil(F.count("*") / TILE_ROWS).alias("n"))
+    tile = lambda pop, part: pop * F.lit(1 << 32) + part
+    other = levels.select("bucket", F.col("pop").alias("pop2"), F.col("n").alias("n2"))
+    near = levels.join(other, "bucket").where((F.col("pop") <= F.col("pop2")) & (F.col("pop2") <= F.col("pop") + radius))
+    near = near.select("bucket", "pop", "pop2", "n2", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"))
+    near = near.select("bucket", tile(F.col("pop"), F.col("part")).alias("x"), "pop2", F.explode(F.sequence(F.lit(0), F.col("n2") - 1)).alias("part2"))
+    near = near.select("bucket", "x", tile(F.col("pop2"), F.col("part2")).alias("y")).where("x <= y")
+    dealt = hot.join(levels, ["bucket", "pop"]).select("bucket", "fp", tile(F.col("pop"), F.pmod(F.xxhash64("fp"), F.col("n"))).alias("t"))
+    left = dealt.withColumnRenamed("t", "x").join(near, ["bucket", "x"]).select("bucket", "x", "y", "fp")
+    right = dealt.withColumnRenamed("t", "y").join(near.where("x < y"), ["bucket", "y"]).select("bucket", "x", "y", "fp")
+    pairs_ = left.unionByName(right).repartition("bucket", "x", "y").sortWithinPartitions("bucket", "x", "y", "fp")
+    return cold.mapInArrow(tidy(_forests(1, radius)), "a long, b long").unionByName(pairs_.mapInArrow(tidy(_forests(3, radius)), "a long, b long")).distinct()
 
 
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
