@@ -13,6 +13,7 @@ from spanloom.functions.validators import iban_valid, luhn_valid, plausible_date
 from spanloom.operators import gateway, leakscan, modes, policy, resolve, restore, risk, sanitize, tokens, vault
 from spanloom.operators.detect import detect
 from spanloom.operators.kernel import resolved
+from spanloom.operators.recognizers import Recognizer
 from spanloom.plans.notes import ACCOUNT, CARD, CHECK, IBAN_REST, digits, number
 from spanloom.schemas import ENTITY_TYPES
 from spanloom.sources.tables import table
@@ -338,10 +339,13 @@ SELECT c_custkey AS doc_id, c_custkey % 4 IN (0, 2) AS clean, c_custkey % 4 IN (
 
 def verify_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "customer").selectExpr("c_custkey as doc_id", f"{LEAKY} as text")
-    return leakscan.verify(rows).where("entity_type = 'EMAIL'")
+    return leakscan.verify(rows)
 
 
-VERIFY_SQL = "SELECT c_custkey AS doc_id, 'EMAIL' AS entity_type, CAST(1 AS BIGINT) AS n FROM customer WHERE c_custkey % 4 = 3"
+VERIFY_SQL = """
+SELECT c_custkey AS doc_id, entity_type, CAST(1 AS BIGINT) AS n
+FROM customer JOIN (VALUES (1, 'PERSON'), (2, 'PERSON'), (3, 'PERSON'), (3, 'EMAIL')) AS v(k, entity_type) ON c_custkey % 4 = v.k
+"""
 
 # Re-identification risk.
 
@@ -417,6 +421,83 @@ def document_sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.length("sanitized").alias("n_chars"), "num_tokenized", "num_redacted", F.size("edits").alias("n_edits"), "leak.clean")
 
 
+# Spans in the real documents against plain SQL: addresses, dotted quads, and runs of digits with Luhn's sum.
+
+CHECKED = ("email", "ipv4", "card_luhn", "card_format")
+
+
+def document_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document has each e-mail address, IPv4 address and card number, before overlaps are resolved."""
+    found = detect(table(spark, sf_dir, "documents").select("doc_id", "text"), only=CHECKED).select("doc_id", F.inline("spans"))
+    return found.groupBy("doc_id", "detector", "value").agg(F.count("*").alias("n"))
+
+
+# Every other digit from the right counts double, less nine where that has two digits.
+DOUBLED_SUM = "list_sum([CASE WHEN (len(d) - k) % 2 = 1 THEN (2 * d[k]) % 10 + (2 * d[k]) // 10 ELSE d[k] END for k in range(1, len(d) + 1)])"
+SPANS_SQL = rf"""
+WITH e AS (SELECT doc_id, 'email' AS detector, unnest(regexp_extract_all(text, '\b{EMAIL}\b')) AS value FROM documents),
+q AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)+')) AS value FROM documents),
+i AS (SELECT doc_id, 'ipv4' AS detector, value FROM q WHERE regexp_full_match(value, '(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){{3}}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])')),
+r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9](?:[ -]?[0-9])*')) AS value FROM documents),
+n AS (SELECT doc_id, value, [CAST(x AS INTEGER) for x in string_split(regexp_replace(value, '[ -]', '', 'g'), '')] AS d FROM r WHERE length(regexp_replace(value, '[ -]', '', 'g')) BETWEEN 13 AND 19),
+c AS (SELECT doc_id, CASE WHEN {DOUBLED_SUM} % 10 = 0 THEN 'card_luhn' ELSE 'card_format' END AS detector, value FROM n)
+SELECT doc_id, detector, value, count(*) AS n FROM (SELECT * FROM e UNION ALL SELECT * FROM i UNION ALL SELECT * FROM c) GROUP BY ALL
+""".replace("\\\\", "\\")
+
+# The sweep: a value glued to a card number is no word of its own until the card is a token.
+
+TAG = "chr(cast(97 + c_custkey % 26 as int)) || 'qx' || chr(cast(97 + c_custkey % 7 as int)) || 'zv'"
+GLUED = f"'badge ' || {TAG} || ', card' || {CARD_GOOD} || {TAG} || ' and ' || {TAG} || 'x'"
+BADGE = Recognizer("badge", r"badge (?P<tag>[a-z]{6})", "ACCOUNT_ID", group="tag")
+
+
+def final_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "customer").selectExpr("c_custkey as doc_id", f"{GLUED} as text")
+    made = sanitize.sanitize(docs, policy.get_policy("maximum").with_recognizers([BADGE]))
+    return made.select("doc_id", "sanitized", F.col("swept_count").cast("long").alias("n_swept"), F.size("edits").cast("long").alias("n_edits"), F.col("leak.clean").alias("clean"))
+
+
+SWEEP_SQL = f"SELECT c_custkey AS doc_id, 'badge [[ACCOUNT_ID_001]], card[[CREDIT_CARD_001]][[ACCOUNT_ID_001]] and ' || {TAG} || 'x' AS sanitized, CAST(1 AS BIGINT) AS n_swept, CAST(2 AS BIGINT) AS n_edits, true AS clean FROM customer"
+
+# Propagation: a titled name once, then its bare word so often as the key says, twice as part of longer words, once in lower case.
+
+TIMES = "cast(c_custkey % 5 as int)"
+REPEATED = f"'Dr. Weber-' || {LAST} || ' came' || repeat('; said Weber-' || {LAST} || ', yes', {TIMES}) || '. Weber-' || {LAST} || 's, xWeber-' || {LAST} || ' and weber.'"
+
+
+def propagated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "customer").selectExpr("c_custkey as doc_id", f"{REPEATED} as text")
+    made = sanitize.sanitize(docs, policy.get_policy("personal"))
+    places = F.transform(F.filter("edits", lambda e: e["replacement"] == "[[PERSON_001]]"), lambda e: e["start"])
+    return made.select("doc_id", F.array_join(F.transform(places, lambda p: p.cast("string")), ",").alias("places"))
+
+
+PROPAGATED_SQL = f"""
+WITH w AS (SELECT c_custkey, length('Weber-' || {LAST}) AS n, {TIMES} AS times FROM customer)
+SELECT c_custkey AS doc_id, array_to_string(list_prepend('4', [CAST(4 + n + 5 + 7 + k * (n + 12) AS VARCHAR) for k in range(0, times)]), ',') AS places FROM w
+"""
+
+# Two more letters: a redacting policy over bank data, and a German note with an organisation, a place and a date.
+
+NOTE_DE = f"'Herr Łukasz Novak, Hauptstraße ' || {number('c_custkey % 900 + 1')} || ', traf am ' || {number('c_custkey % 28 + 1')} || '.3.2021 die Westend Bank in Vienna. Novak zahlte.'"
+PAID = f"'Pay IBAN GB' || lpad({number(IBAN_REST)}, 2, '0') || 'WEST' || {ACCOUNT} || ', then GB' || lpad({number(IBAN_REST)}, 2, '0') || 'WEST' || {ACCOUNT} || ' once more, ip 10.0.' || {number('c_custkey % 256')} || '.7'"
+REDACTING = policy.policy_from_dict({"name": "bank", "actions": {"IBAN": "redact", "IP": "tokenize"}})
+
+
+def other_letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "customer")
+    german = sanitize.sanitize(rows.selectExpr("c_custkey as doc_id", f"{NOTE_DE} as text"), policy.get_policy("legal"))
+    paid = sanitize.sanitize(rows.selectExpr("c_custkey as doc_id", f"{PAID} as text"), REDACTING)
+    columns = ("doc_id", "sanitized", F.col("num_tokenized").cast("long").alias("num_tokenized"), F.col("num_redacted").cast("long").alias("num_redacted"), F.col("leak.clean").alias("clean"))
+    return german.select(F.lit("german").alias("letter"), *columns).unionByName(paid.select(F.lit("bank").alias("letter"), *columns))
+
+
+LETTERS_SQL = """
+SELECT 'german' AS letter, c_custkey AS doc_id, 'Herr [[PERSON_001]], [[ADDRESS_001]], traf am [[DATE_001]] die [[ORGANIZATION_001]] in [[LOCATION_001]]. [[PERSON_001]] zahlte.' AS sanitized,
+  CAST(5 AS BIGINT) AS num_tokenized, CAST(0 AS BIGINT) AS num_redacted, true AS clean FROM customer
+UNION ALL SELECT 'bank', c_custkey, 'Pay IBAN [REDACTED], then [REDACTED] once more, ip [[IP_001]]', 1, 1, true FROM customer
+"""
+
 QUERIES = {
     "sanitize_email_roundtrip": email_roundtrip,
     "luhn_flags": luhn_flags,
@@ -441,6 +522,10 @@ QUERIES = {
     **{f"mode_{m}": _mode(m) for m in MODE_TEXT},
     "mode_mapping": mode_mapping,
     "document_email_counts": document_email_counts,
+    "document_spans": document_spans,
+    "final_sweep": final_sweep,
+    "propagated_occurrences": propagated,
+    "other_letters": other_letters,
     "document_detector_counts": document_detector_counts,
     "document_sanitized": document_sanitized,
 }
@@ -469,4 +554,8 @@ ORACLES = {
     **{f"mode_{m}": f"SELECT c_custkey AS doc_id, {t} AS text FROM customer" for m, t in MODE_TEXT.items()},
     "mode_mapping": MAPPING_SQL,
     "document_email_counts": COUNTS_SQL,
+    "document_spans": SPANS_SQL,
+    "final_sweep": SWEEP_SQL,
+    "propagated_occurrences": PROPAGATED_SQL,
+    "other_letters": LETTERS_SQL,
 }

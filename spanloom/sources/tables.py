@@ -12,6 +12,6 @@ SPREAD_FROM, SPREAD_TO = 64 << 10, 256 << 20
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
     cores = spark.sparkContext.defaultParallelism
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     small = SPREAD_FROM <= size <= SPREAD_TO and len(rows.inputFiles()) < cores
     return rows.repartition(cores) if small else rows
