@@ -3,8 +3,9 @@
 Method. A text is the set of its shingles' 64-bit hashes; texts with equal sets are one node. A sketch of BANDS keys, each
 of ROWS minima of the set, deals nodes to buckets, so two nodes of similarity J share one with probability 1 - (1 - J^ROWS)^BANDS:
 at J = 0.8 three pairs in a million are missed, fewer above. Nothing is linked by its sketch: each link is confirmed on the whole sets.
-In each bucket every node is first compared with the smallest and the largest one; then only nodes that these links left
-in different components are compared with each other, so a large group of copies costs a few comparisons a node.
+Every node is first compared with the smallest end of its buckets; then, in each bucket, with the smallest and the largest one, where
+they are in different components; then only nodes that these links left in different components are compared with each
+other. So a large group of copies costs a few comparisons a node, and no bucket gives all its pairs.
 Links within a component need no test, as they would change nothing.
 
 A SimHash radius can't take this part: at J = 0.8 fingerprints differ in about ten of 64 bits, and up to nineteen.
@@ -151,9 +152,19 @@ def near_copies(docs: DataFrame, text: str = "text", id: str = "doc_id", words:
     wanted = materialize(live.select("node", "first").distinct())
     known = materialize(sets(docs, wanted, text, id, words))
     alike = lambda x, y: F.least(x, y) / F.greatest(x, y) >= least  # noqa: E731  no set is nearer to another than their sizes
-    stars = live.where((F.col("node") != F.col("low.node")) & alike(F.col("n"), F.col("low.n"))).select(F.col("low.node").alias("a"), F.col("node").alias("b"))
-    stars = stars.unionByName(live.where((F.col("node") != F.col("high.node")) & alike(F.col("n"), F.col("high.n"))).select(F.col("node").alias("a"), F.col("high.node").alias("b")))
-    links = materialize(confirmed(stars, known, least))
+    # First one comparison for each node, with the smallest of its buckets' ends: a large group of copies shares that one.
+    end = F.min(F.struct("low.node", "low.n")).alias("end")
+    once = live.where((F.col("node") != F.col("low.node")) & alike(F.col("n"), F.col("low.n"))).groupBy("node").agg(end)
+    first = materialize(confirmed(once.select(F.col("end.node").alias("a"), F.col("node").alias("b")), known, least))
+    tied = components(first)
+    # Then with both ends of each bucket, where that left them in different components.
+    placed = live
+    for name, at in (("r", "node"), ("s", "low.node"), ("t", "high.node")):
+        roots = tied.select(F.col("node").alias("of"), F.col("root").alias(name))
+        placed = placed.join(roots, F.col(at) == F.col("of"), "left").drop("of").withColumn(name, F.coalesce(name, at))
+    stars = placed.where((F.col("r") != F.col("s")) & alike(F.col("n"), F.col("low.n"))).select(F.col("low.node").alias("a"), F.col("node").alias("b"))
+    stars = stars.unionByName(placed.where((F.col("r") != F.col("t")) & alike(F.col("n"), F.col("high.n"))).select(F.col("node").alias("a"), F.col("high.node").alias("b")))
+    links = materialize(first.unionByName(confirmed(stars, known, least)))
     tied = components(links)
     open_ = live.join(tied, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
     # The ends of a bucket have met all its nodes.
@@ -164,7 +175,7 @@ def near_copies(docs: DataFrame, text: str = "text", id: str = "doc_id", words:
     pairs = open_.join(other, "bucket").where((F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & alike(F.col("n"), F.col("n2")))
     more = materialize(confirmed(pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")), known, least))
     tied = components(links.unionByName(more))
-    drop(shared, live, wanted, known, links, open_, more)
+    drop(shared, live, wanted, known, first, links, open_, more)
     merged = nodes.select("node", "first").join(tied, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     roots = merged.groupBy("root").agg(F.min("first").alias("component"))
     named = merged.join(roots, "root").select("node", F.col("component.id").alias("component"))
