@@ -272,3 +272,25 @@ def test_exact_stage_keeps_one_of_repeated_rows(spark):
     docs = spark.createDataFrame([(i, t, x, "s", len(t or "")) for i, t, x in rows], "doc_id long, text string, lang string, source string, n_chars long")
     got = Counter((r.doc_id, r.text, r.lang) for r in corpus_pipeline.drop_exact_copies(spark, docs, "").collect())
     assert got == Counter([(7, "twice told", "en"), (None, "no id", "de"), (1, "b a", "en"), (2, "a  b", "en"), (None, None, "en")])
+
+
+def test_stages_take_clashing_columns_null_ids_and_empty_tables(spark, tmp_path):
+    text = "one two three four five six seven eight nine ten " * 4
+    rows = [(None, None), (None, text), (3, text), (3, text), (4, ""), (5, text + "x")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), 1, "x", "y") for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, k long, id string, later_id string")
+    spark.createDataFrame([(3, 0, 1)], "doc_id long, toxic int, quality int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = {}
+    for name, stage in corpus_pipeline.STAGES:
+        made = stage(spark, docs, str(tmp_path))
+        kept[name] = Counter(r.doc_id for r in made.collect())
+        assert name == "packing" or made.columns == corpus_pipeline.COLUMNS
+        assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
+    assert kept["toxicity"] == kept["packing"] == Counter(i for i, _ in rows)
+    assert kept["suffix_dedup"] == Counter([None, None, 4, 5])  # nothing is left of the rows with id 3
+    assert kept["exact_dedup"] == Counter([None, None, 5]) and kept["simhash"] == Counter([None, None])
+
+
+def test_null_ids_are_no_number(spark):
+    rows = [(None, "a b"), (-(2**63), "c d"), (5, "a b"), (6, "c d")]
+    assert {(r.doc_id, r.keep_id) for r in exact_dedup.op6(frame(spark, rows)).collect()} == {(None, None), (5, None), (-(2**63), -(2**63)), (6, -(2**63))}
+    assert {(r.doc_id, r.component_id) for r in simhash.op4(frame(spark, rows)).collect()} == {(None, None), (5, None), (-(2**63), -(2**63)), (6, -(2**63))}

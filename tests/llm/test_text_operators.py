@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -350,3 +351,127 @@ def test_every_learned_term_is_kept():
     letters = "abcdefghij"
     counts = {f"{a}{b}{c}": (50, 0) for a in letters for b in letters for c in letters}
     assert len(toxicity.learned_terms(counts, 100, 100)) == 1000
+
+
+ODD_ROWS = [(None, None), (None, ""), (None, "same words here."), (7, "same words here."), (7, "same words here."), (7, None), (8, "a 日本 " * 30), (9, " \n\t\x0b")]
+
+
+def odd_frame(spark):
+    return frame(spark, [t for _, t in ODD_ROWS], [i for i, _ in ODD_ROWS])
+
+
+def test_packings_take_null_and_repeated_ids_and_empty_tables(spark):
+    docs = odd_frame(spark)
+    tokenizer = Tokenizer.from_file(public_tokenizers.path(word_ids.VOCABULARY))
+    total = sum(len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in ODD_ROWS)
+    for made in (packing.pack(docs, capacity=16), binpack.pack(docs, capacity=16)):
+        rows = made.collect()
+        assert sum(r.length for r in rows) == total and {r.doc_id for r in rows} == {None, 7, 8, 9}
+        assert sum(r.start == 0 for r in rows) == len(ODD_ROWS)
+    for made in (packing.pack(docs.limit(0)), binpack.pack(docs.limit(0)), catalogue.op2(docs.limit(0))):
+        assert made.collect() == []
+
+
+def test_very_long_texts_are_cut_in_parts(spark):
+    text = "No end of it " * 4000 + "." + " One more. " * 4000
+    pieces_hold(packing.pack(frame(spark, [text, "short", text]), block=5000).collect(), [text, "short", text], 4096)
+    assert [r.n_tokens for r in bpe.digests(frame(spark, [text]), block=1000).collect()] == [len(bpe_ids(text))]
+
+
+def bpe_ids(text):
+    known = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path(bpe.VOCABULARY)), special_tokens={})
+    return known.encode_ordinary(text)
+
+
+def test_cuts_stand_inside_a_sentence_only_where_no_window_holds_it():
+    ends, costs = packing.with_gaps_cut(np.array([10, 110, 350, 360]), np.array([4, 4, 4, 0]), 100, 48)
+    assert ends.tolist() == [10, 110, 158, 206, 254, 302, 350, 360] and costs.tolist() == [4, 4, 12, 12, 12, 12, 4, 0]
+
+
+def test_scores_and_rules_of_odd_rows(spark):
+    docs = odd_frame(spark)
+    labels = spark.createDataFrame([(7, 1, 0), (8, 0, 1), (None, 1, 1), (7, 0, 1)], "doc_id long, toxic int, quality int")
+    for made in (toxicity.op7(docs, labels), line_crf.op10(docs, labels), line_quality.op3(docs)):
+        assert Counter(r.doc_id for r in made.collect()) == Counter(i for i, _ in ODD_ROWS)
+    for made in (toxicity.op7(docs.limit(0), labels.limit(0)), line_crf.op10(docs.limit(0), labels.limit(0)), line_quality.op3(docs.limit(0))):
+        assert made.collect() == []
+
+
+def test_hosts_paths_and_rules_match_sql(spark):
+    import duckdb
+
+    urls = ["https://A.Example.COM/en/1?x", "http://www.example.com/en/2", "http://x.net/es/", "net", None, "", "http://com", "ftp://a.net/fr/1#t", "http://notcom/x", "http://b.com/y?a/b", "://com/z", "a://b://c.com/d", "x://COM?q", "x://É.com/É#", "http://net/fr", "http://a.b.net/fr/x/y"]
+    pages = spark.createDataFrame([(None if k == 3 else k, u, "h") for k, u in enumerate([*urls, *urls])], "page_id long, url string, rule string")
+    got = Counter((r.page_id, r.host, r.path, r.rule, r.verdict if r.rule else None) for r in url_filter.op1(pages).collect())
+    con = duckdb.connect()
+    con.execute("create table pages (page_id bigint, url varchar)")
+    con.executemany("insert into pages values (?, ?)", [(None if k == 3 else k, u) for k, u in enumerate([*urls, *urls])])
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in url_filter.RULES)
+    con.execute(f"create table rules as select * from (values {rules}) as r(verdict, host, path)")
+    want = con.execute("""
+        with p as (select page_id, url, row_number() over () as k, case when strpos(url, '://') > 0 then substr(url, strpos(url, '://') + 3) else '' end as rest from pages),
+        h as (select *, translate(regexp_extract(coalesce(rest, ''), '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+          regexp_extract(coalesce(rest, ''), '^[^/?#]*([^?#]*)', 1) as path from p),
+        f as (select h.k, arg_max(r.host || r.path, length(r.host || r.path)) as rule, arg_max(r.verdict, length(r.host || r.path)) as verdict
+          from h join rules r on (h.host = r.host or ends_with(h.host, '.' || r.host)) and starts_with(h.path, r.path) group by h.k)
+        select page_id, host, path, rule, verdict from h left join f using (k)
+    """).fetchall()
+    assert got == Counter(want)
+
+
+def test_url_model_matches_counts_by_hand(spark):
+    """Witten-Bell probabilities over dictionaries of contexts, and the threshold over all edges of the score's bins."""
+    rng = random.Random(9)
+    letters = "ab/.é"
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))) for _ in range(60)]
+    symbols = lambda t: ["^"] * url_filter.ORDER + ["?" if b > 127 or chr(b) not in url_filter.ALPHABET else chr(b) for b in t.encode()]
+    seen = {}
+    for t in texts:
+        s = symbols(t)
+        for k in range(url_filter.ORDER, len(s)):
+            for n in range(url_filter.ORDER + 1):
+                own = seen.setdefault(tuple(s[k - n : k]), {})
+                own[s[k]] = own.get(s[k], 0) + 1
+
+    def probability(context, symbol):
+        if context is None:
+            return 1 / url_filter.SYMBOLS
+        shorter = probability(context[1:] if context else None, symbol)
+        own = seen.get(tuple(context), {})
+        total, kinds = sum(own.values()), len(own)
+        return (own.get(symbol, 0) + kinds * shorter) / (total + kinds) if total else shorter
+
+    counts = np.bincount(url_filter.grams(texts)[0], minlength=url_filter.SYMBOLS ** (url_filter.ORDER + 1))
+    table = url_filter.log_probabilities(counts)
+    for t in texts[:20] + ["zz/a", "é"]:
+        s = symbols(t)
+        want = np.mean([np.log(probability(s[k - url_filter.ORDER : k], s[k])) for k in range(url_filter.ORDER, len(s))])
+        assert np.isclose(url_filter.score([t], table)[0], want, atol=1e-4)
+
+
+def test_lexicon_matches_what_automata_find_in_the_whole_lexicon():
+    rng = random.Random(11)
+    letters = "abcde"
+    terms = {"".join(rng.choice(letters) for _ in range(rng.randrange(3, 9))) + rng.choice(["", "", "*"]): rng.randrange(1, 9) / 2 for _ in range(60)}
+    lexicon = toxicity.Lexicon(terms)
+    for _ in range(4000):
+        base = rng.choice(list(terms)).rstrip("*")
+        word = list(base)
+        for _ in range(rng.randrange(3)):
+            k = rng.randrange(len(word) + 1)
+            word[k : k + rng.randrange(2)] = rng.choice(["", *letters])
+        word = "".join(word)
+        if not word:
+            continue
+        exact = [w for t, w in terms.items() if t == word or (t.endswith("*") and word.startswith(t[:-1]))]
+        near = []
+        for t, w in terms.items():
+            if not t.endswith("*") and len(t) >= toxicity.FUZZY_LETTERS:
+                automaton = toxicity.Levenshtein(t, 1)
+                state = automaton.start()
+                for c in word:
+                    state = automaton.step(state, c)
+                if automaton.accepts(state) == 1:
+                    near.append(w * (toxicity.SHORT_EDIT_SHARE if len(t) <= toxicity.SHORT_LETTERS else toxicity.EDIT_SHARE))
+        want = (max(exact), 0) if exact else (max(near), 1) if near else None
+        assert (lexicon.match(word) if lexicon.possible(word) else None) == want, word
