@@ -285,7 +285,7 @@ def test_stages_take_clashing_columns_null_ids_and_empty_tables(spark, tmp_path)
         kept[name] = Counter(r.doc_id for r in made.collect())
         assert name == "packing" or made.columns == corpus_pipeline.COLUMNS
         assert stage(spark, docs.limit(0), str(tmp_path)).collect() == []
-    assert kept["toxicity"] == kept["packing"] == Counter(i for i, _ in rows)
+    assert kept["toxicity"] == Counter(i for i, _ in rows) and set(kept["packing"]) == {i for i, _ in rows}  # one row for each piece
     assert kept["suffix_dedup"] == Counter([None, None, 4, 5])  # nothing is left of the rows with id 3
     assert kept["exact_dedup"] == Counter([None, None, 5]) and kept["simhash"] == Counter([None, None])
 
