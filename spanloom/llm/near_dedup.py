@@ -1,14 +1,16 @@
 """Near copies by similarity: texts whose sets of word shingles have a Jaccard similarity of LEAST at least.
 
+SimHash goes first: fingerprints of the same shingles, linked within its radius by the tiled exact comparison of `simhash`. What
+that radius can't reach (at J = 0.8 fingerprints differ in about ten of 64 bits, and up to nineteen) comes from sketches.
+
 Method. A text is the set of its shingles' 64-bit hashes; texts with equal sets are one node. A sketch of BANDS keys, each
 of ROWS minima of the set, deals nodes to buckets, so two nodes of similarity J share one with probability 1 - (1 - J^ROWS)^BANDS:
-at J = 0.8 three pairs in a million are missed, fewer above. Nothing is linked by its sketch: each link is confirmed on the whole sets.
+at J = 0.8 three pairs in a million are missed, fewer above. Nothing is linked by its fingerprint or its sketch: each link is
+confirmed on the whole sets.
 Every node is first compared with the smallest end of its buckets; then, in each bucket, with the smallest and the largest one, where
 they are in different components; then only nodes that these links left in different components are compared with each
 other. So a large group of copies costs a few comparisons a node, and no bucket gives all its pairs.
 Links within a component need no test, as they would change nothing.
-
-A SimHash radius can't take this part: at J = 0.8 fingerprints differ in about ten of 64 bits, and up to nineteen.
 """
 
 from __future__ import annotations
@@ -22,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import drop, id_key, materialize, tidy
-from spanloom.llm.simhash import components
+from spanloom.llm.simhash import components, majority
+from spanloom.llm.simhash import links as links_within
 
 SHINGLE_WORDS = 5
 LEAST = 0.8
@@ -87,22 +90,23 @@ def _signed(values) -> pa.Array:
 
 
 def sketches(docs: DataFrame, text: str, id: str, words: int) -> DataFrame:
-    """(id, node, n, bands): the number of the text's set, its size and its bucket keys, one row for each input row."""
+    """(id, node, n, fp, bands): the number of the text's set, its size, SimHash and bucket keys, one row for each input row."""
 
     def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in them:
-            nodes, sizes, keys = [], [], []
+            nodes, sizes, marks, keys = [], [], [], []
             for x in batch.column(1):
                 found = shingles(x.as_py(), words)
                 nodes.append(node(found))
                 sizes.append(len(found))
+                marks.append(majority(found) if len(found) else 0)
                 keys.append(bands(found).view(np.int64))
             flat = pa.array(np.concatenate([*keys, np.empty(0, np.int64)]), pa.int64())
             ends = pa.array(np.cumsum([0, *map(len, keys)]), pa.int32())
-            yield pa.RecordBatch.from_arrays([batch.column(0), _signed(nodes), pa.array(sizes, pa.int64()), pa.ListArray.from_arrays(ends, flat)], ["id", "node", "n", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _signed(nodes), pa.array(sizes, pa.int64()), _signed(marks), pa.ListArray.from_arrays(ends, flat)], ["id", "node", "n", "fp", "bands"])
 
     source = docs.select(F.col(id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return source.mapInArrow(tidy(batches), "id long, node long, n long, bands array<long>")
+    return source.mapInArrow(tidy(batches), "id long, node long, n long, fp long, bands array<long>")
 
 
 def sets(docs: DataFrame, wanted: DataFrame, text: str, id: str, words: int) -> DataFrame:
@@ -142,20 +146,29 @@ def near_copies(docs: DataFrame, text: str = "text", id: str = "doc_id", words:
     """
     marked = materialize(sketches(docs, text, id, words))
     # The least id of a node; nulls are first in structs.
-    nodes = marked.groupBy("node").agg(F.min(F.struct("id")).alias("first"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    nodes = marked.groupBy("node").agg(F.min(F.struct("id")).alias("first"), F.first("n").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    # Nodes of one fingerprint meet its least node; fingerprints within the radius meet by their least nodes.
+    marks = nodes.where("n > 0").select("node", "fp", id_key(F.col("first.id")).alias("first"))
+    heads = marks.groupBy("fp").agg(F.min(F.struct("node", "first")).alias("head"))
+    head = lambda fp: heads.select(F.col("fp").alias(fp), F.col("head").alias(f"h{fp}"))
+    same = marks.join(heads, "fp").where("node != head.node").select("head", F.struct("node", "first").alias("tail"))
+    linked = links_within(marks).join(head("a"), "a").join(head("b"), "b").select(F.col("ha").alias("head"), F.col("hb").alias("tail"))
+    close = materialize(same.unionByName(linked))
     rows = nodes.select("node", "n", id_key(F.col("first.id")).alias("first"), F.explode("bands").alias("bucket"))
     ends = (F.min(F.struct("node", "n")).alias("low"), F.max(F.struct("node", "n")).alias("high"))
     # Buckets of one node link nothing. Their counts come from partial sums. Tables that are joined with all texts or all buckets
     # are written first, so that the planner knows their sizes and moves the others only to large ones.
     shared = materialize(rows.groupBy("bucket").agg(F.count("*").alias("count"), *ends).where("count > 1").drop("count"))
     live = materialize(rows.join(shared, "bucket"))
-    wanted = materialize(live.select("node", "first").distinct())
+    wanted = materialize(live.select("node", "first").unionByName(close.select("head.*")).unionByName(close.select("tail.*")).distinct())
     known = materialize(sets(docs, wanted, text, id, words))
     alike = lambda x, y: F.least(x, y) / F.greatest(x, y) >= least  # noqa: E731  no set is nearer to another than their sizes
-    # First one comparison for each node, with the smallest of its buckets' ends: a large group of copies shares that one.
+    # First what SimHash links, and one comparison for each node, with the smallest of its buckets' ends: a large group of copies
+    # shares that one.
     end = F.min(F.struct("low.node", "low.n")).alias("end")
     once = live.where((F.col("node") != F.col("low.node")) & alike(F.col("n"), F.col("low.n"))).groupBy("node").agg(end)
-    first = materialize(confirmed(once.select(F.col("end.node").alias("a"), F.col("node").alias("b")), known, least))
+    once = once.select(F.col("end.node").alias("a"), F.col("node").alias("b")).unionByName(close.select(F.col("head.node").alias("a"), F.col("tail.node").alias("b")))
+    first = materialize(confirmed(once, known, least))
     tied = components(first)
     # Then with both ends of each bucket, where that left them in different components.
     placed = live
@@ -175,7 +188,7 @@ def near_copies(docs: DataFrame, text: str = "text", id: str = "doc_id", words:
     pairs = open_.join(other, "bucket").where((F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & alike(F.col("n"), F.col("n2")))
     more = materialize(confirmed(pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")), known, least))
     tied = components(links.unionByName(more))
-    drop(shared, live, wanted, known, first, links, open_, more)
+    drop(close, shared, live, wanted, known, first, links, open_, more)
     merged = nodes.select("node", "first").join(tied, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     roots = merged.groupBy("root").agg(F.min("first").alias("component"))
     named = merged.join(roots, "root").select("node", F.col("component.id").alias("component"))

@@ -32,6 +32,15 @@ SQUARE = 256
 COUNT_ROWS = 1 << 16
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are set in over half of some 64-bit hashes."""
+    ones = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), COUNT_ROWS):
+        part = hashes[at : at + COUNT_ROWS].astype("<u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
     """Unsigned 64-bit SimHash of the `words`-word shingles, repeats included; zero if there is no word.
 
@@ -49,11 +58,7 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS) -> int:
         starts = (ends - sizes)[: len(found) - words + 1].tolist()
         digest = xxhash.xxh64_intdigest
         hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends[words - 1 :].tolist(), strict=True)], dtype=np.uint64)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), COUNT_ROWS):
-        part = hashes[at : at + COUNT_ROWS].astype("<u8").view(np.uint8).reshape(-1, 8)
-        ones += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, text: str = "text", id: str = "doc_id", words: int = SHINGLE_WORDS) -> DataFrame:
