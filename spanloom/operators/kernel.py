@@ -178,8 +178,14 @@ def on_lines(text: str, limit: int) -> Iterator[tuple[int, str]]:
 
 
 def asked(provider: Callable[[str], list[dict]], text: str, limit: int) -> list[dict]:
-    """A model's spans of a text that may be longer than the model takes."""
-    return [{**s, "start": s["start"] + at, "end": s["end"] + at} for at, part in on_lines(text, limit) for s in provider(part)]
+    """A model's spans of a text that may be longer than the model takes. A span that isn't in its text raises ValueError."""
+    out = []
+    for at, part in on_lines(text, limit):
+        for s in provider(part):
+            if not 0 <= s["start"] < s["end"] <= len(part):
+                raise ValueError(f"a model's span from {s['start']} to {s['end']} in a text of {len(part)} characters")
+            out.append({**s, "start": s["start"] + at, "end": s["end"] + at})
+    return out
 
 
 def disjoint(text: str, found: list[dict], use_names: bool = True, lexicon: Lexicon = DEFAULT, provider: Callable[[str], list[dict]] | None = None, provider_chars: int = 900_000) -> list[dict]:

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from spanloom.sources import ocr as ocr_engines
 from spanloom.sources.pdf import pdf_pages
 
 # Extensions by kind, and characters of a page below which it looks scanned.
@@ -42,6 +43,15 @@ def looks_scanned(text: Column, pages: Column | int = 1) -> Column:
     return n < SCANNED_CHARS * F.greatest(F.lit(1), pages if isinstance(pages, Column) else F.lit(pages))
 
 
+def without_markers(text: Column, start: str = "*** START OF", end: str = "*** END OF") -> Column:
+    """The text between the line with the first start marker and the first end marker after it; what lacks a marker isn't cut there."""
+    at = F.instr(text, start)
+    rest = F.when(at > 0, F.substring_index(F.substr(text, at), "\n", 1)).otherwise("")
+    body = F.when(at > 0, F.substr(text, at + F.length(rest) + 1)).otherwise(text)
+    stop = F.instr(body, end)
+    return F.trim(F.when(stop > 0, F.substr(body, F.lit(1), stop - 1)).otherwise(body), F.lit(" \t\r\n"))
+
+
 def read_text(spark: SparkSession, path: str, known_only: bool = False) -> DataFrame:
     """(path, text): one row for each file below `path`; files of unknown extension are read as text unless known_only."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
@@ -79,12 +89,12 @@ def extract(data: bytes, ext: str, ocr: str = "auto", pdf: PdfReader | None = No
     if ext in IMAGES:
         if ocr == "never":
             return "", []
-        if image is None:
-            raise RuntimeError("no reader of images is installed")
-        return image(data), [0]
+        return (image or ocr_engines.reader())(data), [0]
     if ext == "pdf":
         texts = (pdf or pdf_pages)(data)
         wanted = [k for k, t in enumerate(texts) if ocr == "always" or (ocr == "auto" and _scanned(t))]
+        if image is None and ocr_engines.available():
+            image = ocr_engines.reader()
         if not wanted or image is None or pages is None:
             return "\n".join(texts), []
         drawn = pages(data)

@@ -6,6 +6,7 @@ import html
 import io
 import json
 import os
+import re
 import zipfile
 from collections.abc import Iterator
 from xml.sax.saxutils import escape
@@ -120,13 +121,18 @@ def json_report(sanitized: DataFrame) -> DataFrame:
     return sanitized.select("doc_id", F.to_json(F.struct("num_tokenized", "num_redacted", entity.alias("entities"), F.col("leak.clean").alias("clean"), F.col("leak.summary").alias("leaks"))).alias("report"))
 
 
-PAGE = """<!doctype html><meta charset="utf-8"><title>{title}</title>
-<style>mark{{background:#fe8}}mark.unsure{{background:#f9a}}</style>
-<h1>{title}</h1><p class="leak">{leak}</p><p class="risk">{risk}</p><pre>{body}</pre>
-<script type="application/json" id="spans">{data}</script>
+PAGE = """<!doctype html><meta charset="utf-8"><title>@@TITLE@@</title>
+<style>mark{background:#fe8}mark.unsure{background:#f9a}</style>
+<h1>@@TITLE@@</h1><p class="leak">@@LEAK@@</p><p class="risk">@@RISK@@</p><pre>@@BODY@@</pre>
+<script type="application/json" id="spans">@@DATA@@</script>
 """
 
 
+def filled(template: str, slots: dict[str, str]) -> str:
+    """The template with its @@NAME@@ slots filled in one pass, so that a value is never read as a slot; a slot without a value raises KeyError."""
+    return re.sub(r"@@([A-Z_]+)@@", lambda m: slots[m[1]], template)
+
+
 def review_page(text: str, edits: list[dict], leak: str, risk: str, title: str = "Review", unsure: float = 0.6) -> str:
     """A page that marks every edit; data for scripts can't close its element."""
     out, at = [], 0
@@ -137,4 +143,4 @@ def review_page(text: str, edits: list[dict], leak: str, risk: str, title: str =
         at = e["end"]
     out.append(html.escape(text[at:]))
     data = json.dumps(edits).replace("<", "\\u003c")
-    return PAGE.format(title=html.escape(title), leak=html.escape(leak), risk=html.escape(risk), body="".join(out), data=data)
+    return filled(PAGE, {"TITLE": html.escape(title), "LEAK": html.escape(leak), "RISK": html.escape(risk), "BODY": "".join(out), "DATA": data})

@@ -10,7 +10,7 @@ from spanloom import cli
 from spanloom.operators import metrics, policy, sanitize, synth
 from spanloom.operators.detect import detect
 from spanloom.operators.kernel import resolved
-from spanloom.sources import pdf, readers, scratch, writers
+from spanloom.sources import ocr, pdf, readers, scratch, writers
 from spanloom.streaming import sanitizer
 
 
@@ -50,6 +50,47 @@ def test_looks_scanned(spark):
     assert (row.a, row.b, row.c) == (True, False, True)
 
 
+def test_image_readers_are_chosen_once(monkeypatch):
+    made = []
+
+    def loader(name, missing=False):
+        def load():
+            if missing:
+                raise ImportError(name)
+            made.append(name)
+            return lambda data: f"{name}:{data.decode()}"
+
+        return load
+
+    monkeypatch.setattr(ocr, "_loaders", {})
+    monkeypatch.delenv(ocr.VARIABLE, raising=False)
+    assert not ocr.available()
+    ocr.register("big", loader("big"), heavy=True)
+    ocr.register("gone", loader("gone", True))
+    assert not ocr.available() and ocr.available("big")
+    ocr.register("small", loader("small"))
+    assert readers.extract(b"x", "png") == ("small:x", [0]) and ocr.reader()(b"y") == "small:y" and made == ["big", "small"]
+    monkeypatch.setenv(ocr.VARIABLE, "big")
+    assert ocr.reader()(b"z") == "big:z"
+    ocr.reset()
+    assert ocr.reader()(b"z") == "big:z" and made == ["big", "small", "big"]
+    with pytest.raises(RuntimeError):
+        ocr.reader("none")
+    ocr.reset()
+
+
+def test_markers_are_stripped(spark):
+    texts = ["head\n*** START OF THE BOOK ***\n one\ntwo \n*** END OF THE BOOK ***\ntail", "plain", "a *** END OF", "*** START OF", None, "x\n*** START OF y\nrest"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").select(readers.without_markers(F.col("t")).alias("x")).collect()
+    assert [r.x for r in rows] == ["one\ntwo", "plain", "a", "", None, "rest"]
+
+
+def test_slots_are_filled_in_one_pass():
+    assert writers.filled("@@A@@-@@B@@", {"A": "@@B@@", "B": "b"}) == "@@B@@-b"
+    with pytest.raises(KeyError):
+        writers.filled("@@NOPE@@", {})
+
+
 def test_gold_readers(spark, tmp_path):
     mention = {"start_offset": 0, "end_offset": 4, "entity_type": "PERSON", "identifier_type": "DIRECT"}
     (tmp_path / "t.json").write_text(json.dumps([{"doc_id": "d", "text": "Anna x", "annotations": {"b": {"entity_mentions": []}, "a": {"entity_mentions": [mention]}}}]))

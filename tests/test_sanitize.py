@@ -326,3 +326,9 @@ def test_a_redacted_type_never_comes_back_from_the_sweep(spark):
 def test_sanitising_shuffles_nothing(spark):
     plan = sanitize.sanitize(docs_of(spark, ["Anna"]), MAXIMUM)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+@pytest.mark.parametrize("place", [(0, 0), (-1, 2), (1, 99), (2, 1)])
+def test_spans_of_a_model_must_be_in_their_text(place):
+    with pytest.raises(ValueError):
+        kernel.asked(lambda t: [span(*place, "PERSON", 0.9, "x")], "short", 100)
