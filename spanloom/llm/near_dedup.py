@@ -8,9 +8,10 @@ of ROWS minima of the set, deals nodes to buckets, so two nodes of similarity J
 at J = 0.8 three pairs in a million are missed, fewer above. Nothing is linked by its fingerprint or its sketch: each link is
 confirmed on the whole sets.
 Every node is first compared with the smallest end of its buckets; then, in each bucket, with the smallest and the largest one, where
-they are in different components; then only nodes that these links left in different components are compared with each
-other. So a large group of copies costs a few comparisons a node, and no bucket gives all its pairs.
-Links within a component need no test, as they would change nothing.
+they are in different components. The nodes of buckets that still have several components are compared with each other on
+their sets, by tiles: common shingles are counted for all pairs of two tiles at once, and only links come out, never the pairs.
+So a large group costs a few comparisons a node, and a passage that many texts share makes work but no rows. Links
+within a component need no test, as they would change nothing.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.common import drop, id_key, materialize, tidy
@@ -34,8 +35,11 @@ BANDS = 32
 ROWS = 5
 #: Shingles that are hashed at once for the minima.
 COUNT_ROWS = 512
-#: Pairs of sets that are compared, or sets that are made, in one batch of results.
+#: Sets that are made in one batch of results.
 OUT_ROWS = 256
+#: Sets and shingles in a tile of a bucket; a shingle of more sets than MANY is counted by a product of matrices of so many columns.
+TILE_SETS, TILE_SHINGLES = 1024, 1 << 18
+MANY, MATRIX_COLUMNS = 16, 1024
 
 _DRAW = np.random.default_rng(SEED)
 _TIMES = _DRAW.integers(0, 2**64, BANDS * ROWS, dtype=np.uint64) | np.uint64(1)
@@ -138,6 +142,108 @@ def confirmed(pairs: DataFrame, known: DataFrame, least: float) -> DataFrame:
     return pairs.select("a", "b").distinct().join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(batches), "a long, b long")
 
 
+def alike(x: str, y: str, least: float) -> Column:
+    """Whether sets of two sizes can be that similar."""
+    return F.least(x, y) / F.greatest(x, y) >= least
+
+
+def mixed(rows: DataFrame, tied: DataFrame) -> DataFrame:
+    """(key, node, n, root, low, high) of the keys of `rows` (key, node, n) whose nodes are in several components; low and high are a key's ends."""
+    placed = rows.join(tied, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    end = F.struct("node", "n", "root")
+    ends = placed.groupBy("key").agg(F.min(end).alias("low"), F.max(end).alias("high"), F.min("root").alias("r"), F.max("root").alias("s"))
+    return placed.join(ends.where("r != s").drop("r", "s"), "key")
+
+
+def with_ends(rows: DataFrame, tied: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b) of the nodes with both ends of their keys, across components."""
+    open_ = mixed(rows, tied)
+    low = open_.where((F.col("root") != F.col("low.root")) & alike("n", "low.n", least)).select(F.col("low.node").alias("a"), F.col("node").alias("b"))
+    high = open_.where((F.col("root") != F.col("high.root")) & alike("n", "high.n", least)).select(F.col("node").alias("a"), F.col("high.node").alias("b"))
+    return low.unionByName(high)
+
+
+def linked(sets_: list[np.ndarray], root: np.ndarray, least: float) -> list[tuple[int, int]]:
+    """Places (i, j) of sets of that similarity in different components; enough of them to span what they connect.
+
+    Common shingles are counted for all pairs at once: those of many sets by products of 0/1 matrices, the others pair by pair.
+    """
+    count = len(sets_)
+    sizes = np.array([len(x) for x in sets_], np.int64)
+    owner = np.repeat(np.arange(count), sizes)
+    _, code, df = np.unique(np.concatenate(sets_), return_inverse=True, return_counts=True)
+    order = np.argsort(code, kind="stable")
+    owner, df_of = owner[order], df[code[order]]  # the owners of a shingle stand together
+    common = np.zeros((count, count), np.float32)
+    many = df_of > MANY
+    column = np.unique(code[order][many], return_inverse=True)[1]
+    for s in range(0, int(column[-1]) + 1 if len(column) else 0, MATRIX_COLUMNS):
+        own = (column >= s) & (column < s + MATRIX_COLUMNS)
+        part = np.zeros((count, MATRIX_COLUMNS), np.float32)
+        part[owner[many][own], column[own] - s] = 1
+        common += part @ part.T
+    pairs = [np.zeros(0, np.int64)]
+    for d in range(2, MANY + 1):
+        owners = owner[df_of == d].reshape(-1, d)  # ascending in each row
+        pairs += [owners[:, i] * count + owners[:, j] for i in range(d) for j in range(i + 1, d)]
+    few = np.bincount(np.concatenate(pairs), minlength=count * count).reshape(count, count)
+    common += few + few.T
+    either = sizes[:, None] + sizes[None, :] - common
+    near = (common >= least * either - 1e-6) & (root[:, None] != root[None, :])
+    out, seen = [], np.zeros(count, bool)
+    for first in range(count):
+        stack = [] if seen[first] else [first]
+        seen[stack] = True
+        while stack:
+            i = stack.pop()
+            for j in np.flatnonzero(near[i] & ~seen).tolist():
+                out.append((i, j))
+                seen[j] = True
+                stack.append(j)
+            same = np.flatnonzero((root == root[i]) & ~seen)
+            seen[same] = True
+            stack += same.tolist()
+    return out
+
+
+def _runs(them: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int], list[int], list[np.ndarray]]]:
+    """(nodes, roots, sets) of each run of rows that agree in the first three columns; the rows come ordered by them."""
+    key, held = None, ([], [], [])
+    for batch in them:
+        keys = zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)
+        for (*now, node_, root), data in zip(keys, batch.column(5), strict=True):
+            if now != key:
+                if len(held[0]) > 1:
+                    yield held
+                key, held = now, ([], [], [])
+            for into, value in zip(held, (node_, root, np.frombuffer(data.as_buffer(), "<u8").copy()), strict=True):
+                into.append(value)
+    if len(held[0]) > 1:
+        yield held
+
+
+def compared(rows: DataFrame, tied: DataFrame, known: DataFrame, least: float) -> DataFrame:
+    """Links (a, b) between the nodes of each key of `rows` (key, node, n), but for its ends, across components.
+
+    A key's nodes are dealt to tiles of at most about TILE_SETS sets and TILE_SHINGLES shingles, and every pair of tiles is a group of its
+    own, so a key with many nodes is spread over many tasks and none holds more than two tiles.
+    """
+
+    def batches(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for nodes, roots, found in _runs(them):
+            out = linked(found, np.array(roots, np.int64), least)
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([nodes[p[k]] for p in out], pa.int64()) for k in range(2)], ["a", "b"])
+
+    inner = mixed(rows, tied).where("node != low.node and node != high.node").select("key", "node", "n", "root")
+    tiles = F.greatest(F.ceil(F.count("*") / TILE_SETS), F.ceil(F.sum("n") / TILE_SHINGLES)).cast("int")
+    sized = inner.groupBy("key").agg(tiles.alias("tiles"), F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("key", "tiles")
+    dealt = inner.join(sized, "key").withColumn("t", F.pmod(F.xxhash64("node"), "tiles").cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    dealt = dealt.select("key", F.least("t", "o").alias("x"), F.greatest("t", "o").alias("y"), "node", "root").join(known, "node")
+    dealt = dealt.select("key", "x", "y", "node", "root", "shingles").repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "node")
+    return dealt.mapInArrow(tidy(batches), "a long, b long").distinct()
+
+
 def near_copies(docs: DataFrame, text: str = "text", id: str = "doc_id", words: int = SHINGLE_WORDS, least: float = LEAST) -> DataFrame:
     """(id, node, component): one row for each input row; component is the smallest id reachable through near copies.
 
@@ -162,33 +268,21 @@ def near_copies(docs: DataFrame, text: str = "text", id: str = "doc_id", words:
     live = materialize(rows.join(shared, "bucket"))
     wanted = materialize(live.select("node", "first").unionByName(close.select("head.*")).unionByName(close.select("tail.*")).distinct())
     known = materialize(sets(docs, wanted, text, id, words))
-    alike = lambda x, y: F.least(x, y) / F.greatest(x, y) >= least  # noqa: E731  no set is nearer to another than their sizes
     # First what SimHash links, and one comparison for each node, with the smallest of its buckets' ends: a large group of copies
     # shares that one.
     end = F.min(F.struct("low.node", "low.n")).alias("end")
-    once = live.where((F.col("node") != F.col("low.node")) & alike(F.col("n"), F.col("low.n"))).groupBy("node").agg(end)
+    once = live.where((F.col("node") != F.col("low.node")) & alike("n", "low.n", least)).groupBy("node").agg(end)
     once = once.select(F.col("end.node").alias("a"), F.col("node").alias("b")).unionByName(close.select(F.col("head.node").alias("a"), F.col("tail.node").alias("b")))
     first = materialize(confirmed(once, known, least))
     tied = components(first)
-    # Then with both ends of each bucket, where that left them in different components.
-    placed = live
-    for name, at in (("r", "node"), ("s", "low.node"), ("t", "high.node")):
-        roots = tied.select(F.col("node").alias("of"), F.col("root").alias(name))
-        placed = placed.join(roots, F.col(at) == F.col("of"), "left").drop("of").withColumn(name, F.coalesce(name, at))
-    stars = placed.where((F.col("r") != F.col("s")) & alike(F.col("n"), F.col("low.n"))).select(F.col("low.node").alias("a"), F.col("node").alias("b"))
-    stars = stars.unionByName(placed.where((F.col("r") != F.col("t")) & alike(F.col("n"), F.col("high.n"))).select(F.col("node").alias("a"), F.col("high.node").alias("b")))
-    links = materialize(first.unionByName(confirmed(stars, known, least)))
+    # Then both ends of each bucket, across components.
+    rows = live.select(F.col("bucket").alias("key"), "node", "n")
+    links = materialize(first.unionByName(confirmed(with_ends(rows, tied, least), known, least)))
     tied = components(links)
-    open_ = live.join(tied, "node", "left").select("bucket", "node", "n", F.coalesce("root", "node").alias("root"))
-    # The ends of a bucket have met all its nodes.
-    open_ = open_.join(shared.select("bucket", F.col("low.node").alias("lo"), F.col("high.node").alias("hi")), "bucket").where("node != lo and node != hi").drop("lo", "hi")
-    mixed = open_.groupBy("bucket").agg(F.min("root").alias("r"), F.max("root").alias("s")).where("r != s").select("bucket")
-    open_ = materialize(open_.join(mixed, "bucket", "left_semi"))
-    other = open_.select("bucket", *[F.col(c).alias(f"{c}2") for c in ("node", "n", "root")])
-    pairs = open_.join(other, "bucket").where((F.col("node") < F.col("node2")) & (F.col("root") != F.col("root2")) & alike(F.col("n"), F.col("n2")))
-    more = materialize(confirmed(pairs.select(F.col("node").alias("a"), F.col("node2").alias("b")), known, least))
-    tied = components(links.unionByName(more))
-    drop(close, shared, live, wanted, known, first, links, open_, more)
+    # Nodes of buckets that still have several components are compared on their sets, tile by tile; only links come out.
+    last = materialize(links.unionByName(compared(rows, tied, known, least)))
+    tied = components(last)
+    drop(close, shared, live, wanted, known, first, links, last)
     merged = nodes.select("node", "first").join(tied, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
     roots = merged.groupBy("root").agg(F.min("first").alias("component"))
     named = merged.join(roots, "root").select("node", F.col("component.id").alias("component"))
