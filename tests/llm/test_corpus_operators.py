@@ -251,9 +251,40 @@ def test_near_stage_drops_what_five_word_shingles_make_alike(spark, monkeypatch)
     monkeypatch.setattr(near_dedup, "bands", one)
     got = near_dedup.near_copies(docs).collect()
     assert Counter((r.id, r.component) for r in got) == Counter((i, k) for (i, _), k in zip(rows, least, strict=True))
+    # So do tiles of a few sets each.
+    monkeypatch.setattr(near_dedup, "TILE_SETS", 7)
+    monkeypatch.setattr(near_dedup, "MATRIX_COLUMNS", 5)
+    got = near_dedup.near_copies(docs).collect()
+    assert Counter((r.id, r.component) for r in got) == Counter((i, k) for (i, _), k in zip(rows, least, strict=True))
     assert near_dedup.near_copies(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("many", [2, 5, 16])
+def test_linked_sets_span_what_all_pairs_link(monkeypatch, many):
+    monkeypatch.setattr(near_dedup, "MANY", many)
+    rng = np.random.default_rng(many)
+    found = []
+    for _ in range(12):
+        base = rng.integers(0, 400, 60)
+        for _ in range(6):
+            copy = base.copy()
+            copy[rng.integers(0, 60, rng.integers(0, 9))] = rng.integers(0, 400)
+            found.append(np.unique(copy).astype(np.uint64))
+    root = np.arange(len(found))
+    root[1] = 0  # known to be together
+    alike = [[near_dedup.jaccard(a, b) >= 0.8 for b in found] for a in found]
+
+    def spread(pairs):
+        own = root.copy()
+        for i, j in pairs:
+            own[own == own[j]] = own[i]
+        return {tuple(np.flatnonzero(own == r)) for r in own}
+
+    links = near_dedup.linked(found, root, 0.8)
+    assert all(alike[i][j] for i, j in links) and len(links) < len(found)
+    assert spread(links) == spread([(i, j) for i in range(len(found)) for j in range(i) if alike[i][j]])
+
+
 def test_only_survivors_of_length_and_prefix_are_grouped_by_full_hash(spark, monkeypatch):
     rows = [(1, "a b"), (2, "ab"), (3, "cd"), (4, "long text")]
     assert {r.doc_id: r.group_size for r in exact_dedup.exact_groups(frame(spark, rows)).collect()} == {1: 2, 2: 2, 3: 1, 4: 1}
