@@ -99,14 +99,17 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
     return out
 
 
+_PACK, _UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def packed_ids(ids: np.ndarray) -> bytes:
     """Ids by planes of equally significant bytes, compressed."""
     planes = np.ascontiguousarray(ids.astype("<u4", copy=False).view(np.uint8).reshape(-1, 4).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+    return _PACK.compress(planes)
 
 
 def unpacked_ids(packed: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(4, -1)
+    planes = np.frombuffer(_UNPACK.decompress(packed), np.uint8).reshape(4, -1)
     return np.ascontiguousarray(planes.T).view("<u4").ravel()
 
 
@@ -157,7 +160,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = CAPACIT
     made = materialize(pieces(docs, vocabulary, capacity, keep_ids, narrow))
     counts = made.groupBy("length", "task").agg((F.max("local") + 1).alias("n"))
     earlier = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
-    bases = counts.select("length", "task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base"))
+    # Written, so that the planner knows its size: a small one goes to the pieces, and pieces move only to a large one.
+    bases = materialize(counts.select("length", "task", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("base")))
     # At most `capacity` rows come to the driver, whatever the number of documents.
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     table = np.array(sorted(plan(histogram, capacity)), np.int64).reshape(-1, 6)
