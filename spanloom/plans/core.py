@@ -421,7 +421,8 @@ def document_sanitized(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", F.length("sanitized").alias("n_chars"), "num_tokenized", "num_redacted", F.size("edits").alias("n_edits"), "leak.clean")
 
 
-# Spans in the real documents against plain SQL: addresses, dotted quads, and runs of digits with Luhn's sum.
+# Spans in the real documents against plain SQL: addresses, dotted quads, and runs of digits with Luhn's sum; a run too long for one card
+# is one card for each of its parts, as any two of those are too long together.
 
 CHECKED = ("email", "ipv4", "card_luhn", "card_format")
 
@@ -438,7 +439,8 @@ SPANS_SQL = rf"""
 WITH e AS (SELECT doc_id, 'email' AS detector, unnest(regexp_extract_all(text, '\b{EMAIL}\b')) AS value FROM documents),
 q AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9]+(?:\.[0-9]+)+')) AS value FROM documents),
 i AS (SELECT doc_id, 'ipv4' AS detector, value FROM q WHERE regexp_full_match(value, '(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){{3}}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])')),
-r AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9](?:[ -]?[0-9])*')) AS value FROM documents),
+w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[0-9](?:[ -]?[0-9])*')) AS run FROM documents),
+r AS (SELECT doc_id, unnest(CASE WHEN length(regexp_replace(run, '[ -]', '', 'g')) <= 19 THEN [run] ELSE regexp_split_to_array(run, '[ -]') END) AS value FROM w),
 n AS (SELECT doc_id, value, [CAST(x AS INTEGER) for x in string_split(regexp_replace(value, '[ -]', '', 'g'), '')] AS d FROM r WHERE length(regexp_replace(value, '[ -]', '', 'g')) BETWEEN 13 AND 19),
 c AS (SELECT doc_id, CASE WHEN {DOUBLED_SUM} % 10 = 0 THEN 'card_luhn' ELSE 'card_format' END AS detector, value FROM n)
 SELECT doc_id, detector, value, count(*) AS n FROM (SELECT * FROM e UNION ALL SELECT * FROM i UNION ALL SELECT * FROM c) GROUP BY ALL
