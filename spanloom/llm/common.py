@@ -33,11 +33,19 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Rows of an Arrow batch, where the session has Spark's default: whole documents are long, and a batch of 10,000 takes tens of
+#: megabytes on both sides of every running task.
+BATCH_SETTING, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
+
 Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
 def tidy(batches: Batches) -> Batches:
-    """A mapper whose worker gives back what a task's arrays took: an idle worker holds its caches and no more."""
+    """A mapper whose worker gives back what a task's arrays took: an idle worker holds its caches and no more. The session's Arrow
+    batches become shorter, unless it has a setting of its own."""
+    session = SparkSession.getActiveSession()
+    if session and session.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
+        session.conf.set(BATCH_SETTING, BATCH_ROWS)
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
