@@ -41,9 +41,9 @@ HOT_CONTEXTS = 1024
 #: Bytes of text hashed at once, and windows sorted at once; a group of anchors is never split.
 BLOCK = 1 << 18
 #: Anchor rows that a task of level 1 decides together, and documents that are put together in one batch of results.
-HOLD_ROWS = 250_000
+HOLD_ROWS = 100_000
 OUT_ROWS = 1000
-SORT_WINDOWS = 1 << 18
+SORT_WINDOWS = 1 << 17
 
 _MUL = 0x9E3779B97F4A7C15
 _INV = pow(_MUL, -1, 2**64)
@@ -289,10 +289,10 @@ class _Extract:
                         else:  # of equal windows in one task only the earliest goes on; the others are decided
                             earliest[own], late = (row, known) if row[1:4:2] < known[1:4:2] else (known, row)
                             rows.append((late[1], *late[1:4], 0, b""))
-                if len(earliest) > 100_000:
+                if len(earliest) > 30_000:
                     rows += earliest.values()
                     earliest = {}
-                if len(rows) > 20_000:
+                if len(rows) > 5_000:
                     yield self._out(rows)
                     rows = []
         rows += earliest.values()
