@@ -17,9 +17,9 @@ import pyarrow as pa
 from spanloom.llm.chunks import LETTER, SPACE, Known, binaries, changes, classes, parts, ragged
 
 #: Distinct chunks kept in a worker.
-KNOWN = 400_000
+KNOWN = 600_000
 #: Bytes of text whose chunks are numbered together; a longer text is a block of its own.
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 4_000_000
 #: Id that ends every document.
 END = 2
 VOCABULARY = "word_bpe_49k.json"
