@@ -7,7 +7,7 @@ worker, so the other columns of a row stay where they are.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import ahocorasick
 import pyarrow as pa
@@ -18,6 +18,26 @@ from spanloom.schemas import MATCH_SQL
 
 Match = tuple[int, int, str]
 MATCHES = {"start": pa.int32(), "end": pa.int32(), "value": pa.string()}
+#: Rows of a batch that are Python objects at one time.
+SLICE = 500
+
+
+def arrow_pass(kind: str) -> Callable[[Callable[..., pa.Array]], Callable[..., Column]]:
+    """Decorator: an Arrow function as a column function that runs once, where it stands, over slices of a batch.
+
+    It counts as nondeterministic, though it isn't: otherwise a filter on what it makes (every explode brings one) would run it a
+    second time, below the step that deals a small table to all cores, so that one task made all of it.
+    """
+
+    def wrapped(made: Callable[..., pa.Array]) -> Callable[..., Column]:
+        def sliced(*arrays: pa.Array) -> pa.Array:
+            n = len(arrays[0])
+            parts = [made(*(a.slice(k, SLICE) for a in arrays)) for k in range(0, n, SLICE)]
+            return pa.concat_arrays(parts) if len(parts) > 1 else parts[0] if parts else made(*arrays)
+
+        return F.arrow_udf(sliced, kind).asNondeterministic()
+
+    return wrapped
 
 
 def struct_lists(rows: Iterable[Sequence[tuple] | None], fields: dict[str, pa.DataType]) -> pa.Array:
@@ -35,7 +55,7 @@ def struct_lists(rows: Iterable[Sequence[tuple] | None], fields: dict[str, pa.Da
 def rex(text: Column, pattern: str) -> Column:
     """array<struct<start, end, value>> of all matches; null text gives null."""
 
-    @F.arrow_udf(f"array<{MATCH_SQL}>")
+    @arrow_pass(f"array<{MATCH_SQL}>")
     def matches(texts: pa.Array) -> pa.Array:
         find = re.compile(pattern).finditer
         return struct_lists((None if t is None else [(m.start(), m.end(), m[0]) for m in find(t)] for t in texts.to_pylist()), MATCHES)
@@ -80,7 +100,7 @@ def whole_hits(text: str, strings: ahocorasick.Automaton | None) -> Iterator[Mat
 def whole_values(text: Column, values: Column) -> Column:
     """array<struct<start, end, value>> of the whole-word places of an array's strings in the text; null text or values give null."""
 
-    @F.arrow_udf(f"array<{MATCH_SQL}>")
+    @arrow_pass(f"array<{MATCH_SQL}>")
     def hits(texts: pa.Array, lists: pa.Array) -> pa.Array:
         pairs = zip(texts.to_pylist(), lists.to_pylist(), strict=True)
         return struct_lists((None if t is None or v is None else list(whole_hits(t, automaton(v))) for t, v in pairs), MATCHES)
@@ -108,7 +128,7 @@ def splice(text: Column, edits: Column) -> Column:
     """The text with array<struct<start, end, replacement>> put in; edits that begin inside an earlier one are skipped."""
     bare = F.transform(edits, lambda e: F.struct(e["start"].cast("int").alias("start"), e["end"].cast("int").alias("end"), e["replacement"].alias("replacement")))
 
-    @F.arrow_udf("string")
+    @arrow_pass("string")
     def made(texts: pa.Array, lists: pa.Array) -> pa.Array:
         rows = zip(texts.to_pylist(), lists.to_pylist(), strict=True)
         return pa.array([None if t is None or own is None else spliced(t, sorted((e["start"], e["end"], e["replacement"]) for e in own)) for t, own in rows], pa.string())

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.rex import automaton, inside, is_word, quoted
+from spanloom.functions.rex import arrow_pass, automaton, inside, is_word, quoted
 from spanloom.operators.detect import BLOCKING, Detectors
 from spanloom.operators.recognizers import Recognizer
 from spanloom.operators.tokens import TOKEN_FINDER, find_tokens
@@ -56,7 +56,7 @@ def scan(docs: DataFrame, recognizers: Sequence[Recognizer] = (), threshold: flo
     """`docs` with `leak`: struct<clean, blocked, residual, leaked, summary>. Null text is clean."""
     detectors = Detectors(recognizers, None, least=threshold)
 
-    @F.arrow_udf(REPORT_SQL)
+    @arrow_pass(REPORT_SQL)
     def made(texts: pa.Array, lists: pa.Array) -> pa.Array:
         rows = [report(t or "", own or (), detectors) for t, own in zip(texts.to_pylist(), lists.to_pylist(), strict=True)]
         return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(REPORT.values())], list(REPORT))

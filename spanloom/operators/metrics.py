@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.functions.rex import struct_lists
+from spanloom.functions.rex import arrow_pass, struct_lists
 
 # Types that count as one another.
 FAMILIES = {"DOB": "DATE", "PATIENT_ID": "GOV_ID", "CASE_ID": "GOV_ID", "ACCOUNT_ID": "GOV_ID"}
@@ -75,7 +75,7 @@ def joined_ranges(ranges: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
 def coverage(spans: DataFrame) -> DataFrame:
     """(doc_id, covered): each document's spans as disjoint ranges in order."""
 
-    @F.arrow_udf("array<struct<start:int,end:int>>")
+    @arrow_pass("array<struct<start:int,end:int>>")
     def made(lists: pa.Array) -> pa.Array:
         return struct_lists((joined_ranges((x["start"], x["end"]) for x in own) for own in lists.to_pylist()), {"start": pa.int32(), "end": pa.int32()})
 
@@ -111,7 +111,7 @@ def leaked_words(gold: DataFrame, predicted: DataFrame, ignore: tuple[str, ...]
     """
     never = frozenset(ignore)
 
-    @F.arrow_udf("struct<n_words:long,n_leaked:long>")
+    @arrow_pass("struct<n_words:long,n_leaked:long>")
     def made(values: pa.Array, starts: pa.Array, lists: pa.Array) -> pa.Array:
         rows = [words_left(v or "", s, own or [], never) for v, s, own in zip(values.to_pylist(), starts.to_pylist(), lists.to_pylist(), strict=True)]
         return pa.StructArray.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(2)], ["n_words", "n_leaked"])

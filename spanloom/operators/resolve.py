@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.lexicon import DEFAULT, Lexicon
-from spanloom.functions.rex import struct_lists
+from spanloom.functions.rex import arrow_pass, struct_lists
 from spanloom.schemas import ENTITY_SQL, SPAN_ARROW
 
 _BLANKS = re.compile(r"\s+")
@@ -99,7 +99,7 @@ def document_entities(spans: list[dict], lexicon: Lexicon = DEFAULT) -> list[dic
 def entity_column(spans: Column, lexicon: Lexicon = DEFAULT) -> Column:
     """The entities of a row's array<SPAN>; null spans have none."""
 
-    @F.arrow_udf(f"array<{ENTITY_SQL}>")
+    @arrow_pass(f"array<{ENTITY_SQL}>")
     def made(lists: pa.Array) -> pa.Array:
         found = (document_entities(own or [], lexicon) for own in lists.to_pylist())
         return struct_lists(([tuple(e.values()) for e in own] for own in found), ENTITY)

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from spanloom.functions.lexicon import DEFAULT, Lexicon
 from spanloom.functions.places import PLACE_WORDS
-from spanloom.functions.rex import Match, automaton, splice, spliced, whole_hits
+from spanloom.functions.rex import Match, arrow_pass, automaton, splice, spliced, whole_hits
 from spanloom.operators.detect import Detectors
 from spanloom.operators.kernel import NAME_WORD, disjoint
 from spanloom.operators.leakscan import scan
@@ -220,7 +220,7 @@ def shared_results(docs: DataFrame, sanitizer: Sanitizer, detectors: Detectors,
     Documents are searched once for the registry and once for their edits; nothing of them is written in between.
     """
 
-    @F.arrow_udf(f"array<{ASKED_SQL}>")
+    @arrow_pass(f"array<{ASKED_SQL}>")
     def asked(texts: pa.Array) -> pa.Array:
         kind = pa.list_(pa.struct(list(ASKED.items())))
         return pa.array([[dict(zip(ASKED, x, strict=True)) for x in sanitizer.asked(t or "", detectors)] for t in texts.to_pylist()], kind)
@@ -235,7 +235,7 @@ def shared_results(docs: DataFrame, sanitizer: Sanitizer, detectors: Detectors,
     tokens = held.groupBy("doc_id").agg(F.collect_set(F.struct("entity_type", "norm", "token")).alias("tokens"))
     before = earlier_values(docs, values).groupBy("doc_id").agg(F.collect_set(F.struct("surface", "replacement")).alias("earlier"))
 
-    @F.arrow_udf(RESULT_SQL)
+    @arrow_pass(RESULT_SQL)
     def made(texts: pa.Array, tokens: pa.Array, earlier: pa.Array) -> pa.Array:
         rows = []
         for t, own, old in zip(texts.to_pylist(), tokens.to_pylist(), earlier.to_pylist(), strict=True):
@@ -265,7 +265,7 @@ def sanitize(
     """
     sanitizer, detectors = Sanitizer(policy, use_names, lexicon, provider), Detectors(policy.recognizers)
 
-    @F.arrow_udf(RESULT_SQL)
+    @arrow_pass(RESULT_SQL)
     def made(texts: pa.Array) -> pa.Array:
         return struct_column([sanitizer(t, detectors) for t in texts.to_pylist()], RESULT)
 

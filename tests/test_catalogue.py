@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 from spanloom.plans import catalogue
+from spanloom.sources import tables
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents".split()
@@ -49,3 +50,20 @@ def test_entry_imports_without_the_optional_part(tmp_path):
     shutil.copy(f"{root}/__spark_entry__.py", tmp_path)
     code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and q and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+
+
+@pytest.mark.parametrize("name", ["entity_report", "gateway_echo", "mode_blackout", "mode_mapping", "vault_rows", "name_runs", "sanitize_email_roundtrip"])
+def test_passes_run_once_after_the_rows_are_dealt(spark, monkeypatch, name):
+    """Filters on what an Arrow pass makes neither repeat it nor move it below the repartition of a small table."""
+    monkeypatch.setattr(tables, "SPREAD_FROM", 0)
+    plan = catalogue.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    dealt = [k for k, line in enumerate(plan) if "Repartition 4, true" in line]
+    assert dealt
+    depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+    for k in dealt:
+        for line in plan[k + 1 :]:
+            if depth(line) <= depth(plan[k]):
+                break
+            assert "EvalPython" not in line
+    if name in ("entity_report", "vault_rows", "mode_mapping"):
+        assert sum("EvalPython" in line for line in plan) == 1
