@@ -8,12 +8,13 @@ from __future__ import annotations
 
 import calendar
 from dataclasses import dataclass, replace
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.patterns import LABELS, STREET_TYPES
-from spanloom.functions.places import COUNTRIES
+from spanloom.functions.places import COUNTRIES, PLACE_WORDS
 from spanloom.schemas import ENTITY_TYPES
 
 # Honorifics, closing words of organisations, particles between name words, capitalised function words.
@@ -65,6 +66,11 @@ class Lexicon:
     openers: frozenset[str] = frozenset(OPENERS) | {w.lower() for w in STOPWORDS}
     non_names: frozenset[str] = by_rule()
 
+    @cached_property
+    def never_alone(self) -> frozenset[str]:
+        """Words that never stand for a person alone."""
+        return self.non_names | self.titles | self.particles | PLACE_WORDS
+
 
 DEFAULT = Lexicon()
 

@@ -10,14 +10,14 @@ import re
 from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from operator import itemgetter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.lexicon import DEFAULT, Lexicon
-from spanloom.functions.places import PLACE_WORDS
-from spanloom.functions.rex import Match, arrow_pass, automaton, splice, spliced, whole_hits
+from spanloom.functions.rex import Match, arrow_pass, automaton, splice, spliced, struct_lists, whole_hits
 from spanloom.operators.detect import Detectors
 from spanloom.operators.kernel import NAME_WORD, disjoint
 from spanloom.operators.leakscan import scan
@@ -72,8 +72,7 @@ def name_words(canonical: str, lexicon: Lexicon = DEFAULT) -> list[str]:
     real = [w for w in words if w.lower() not in lexicon.titles]
     if len(real) == len(words) < 2:
         return []
-    never = lexicon.non_names | lexicon.titles | lexicon.particles | PLACE_WORDS
-    return list(dict.fromkeys(w for w in real if len(w) >= LEAST_PART and w.lower() not in never))
+    return list(dict.fromkeys(w for w in real if len(w) >= LEAST_PART and w.lower() not in lexicon.never_alone))
 
 
 def free_hits(text: str, entities: list[dict], surfaces: Iterable[str]) -> Iterator[Match]:
@@ -141,7 +140,7 @@ class Sanitizer:
         return out
 
     def __call__(self, text: str | None, detectors: Detectors, tokens: dict[tuple[str, str], str] | None = None, earlier: list[tuple[str, str]] = ()) -> tuple:
-        """A row of RESULT."""
+        """A row of RESULT: entities as dicts, edits and vault entries as tuples."""
         whole, tokens = text or "", tokens or {}
         entities = self.acted(whole, detectors)
         for e in entities:
@@ -174,23 +173,36 @@ class Sanitizer:
                 first.setdefault(value, token)
         left = [(s, e, first[v]) for s, e, v in whole_hits(out, automaton(first))]
         entries = [(token, *entry) for token, entry in vault.items()]
-        as_dicts = [{f: e[f] for f in ACTED} for e in entities]
         n = sum(e["action"] == TOKENIZE for e in entities)
         more = len(minted) * (person == TOKENIZE)
         return (
             None if text is None else spliced(out, left),
-            as_dicts,
-            [dict(zip(EDIT, x, strict=True)) for x in edits],
-            [dict(zip(ENTRY, x, strict=True)) for x in entries],
+            entities,
+            edits,
+            entries,
             len(left),
             n + more,
             len(entities) - n + len(minted) - more,
         )
 
 
-def struct_column(rows: list[tuple], fields: dict[str, pa.DataType]) -> pa.Array:
-    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
-    return pa.StructArray.from_arrays([pa.array(list(c), t) for c, t in zip(columns, fields.values(), strict=True)], list(fields))
+def entity_lists(rows: Iterable[list[dict]]) -> pa.Array:
+    """One list of ACTED for each row of entities."""
+    places, flat = [0], []
+    for own in rows:
+        flat += own
+        places.append(len(flat))
+    plain = [pa.array([e[f] for e in flat], t) for f, t in ACTED.items() if f != "members"]
+    member = itemgetter(*SPAN_ARROW)
+    members = struct_lists(([member(m) for m in e["members"]] for e in flat), SPAN_ARROW)
+    return pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.StructArray.from_arrays([*plain, members], list(ACTED)))
+
+
+def result_column(rows: list[tuple]) -> pa.Array:
+    """Rows of RESULT as a column, each field from flat values: dicts of dicts would take longer than the search."""
+    made = {"entities": entity_lists, "edits": lambda c: struct_lists(c, EDIT), "vault": lambda c: struct_lists(c, ENTRY)}
+    columns = zip(*rows, strict=True) if rows else [()] * len(RESULT)
+    return pa.StructArray.from_arrays([made[f](c) if f in made else pa.array(c, t) for c, (f, t) in zip(columns, RESULT.items(), strict=True)], list(RESULT))
 
 
 def earlier_values(docs: DataFrame, entities: DataFrame) -> DataFrame:
@@ -241,7 +253,7 @@ def shared_results(docs: DataFrame, sanitizer: Sanitizer, detectors: Detectors,
         for t, own, old in zip(texts.to_pylist(), tokens.to_pylist(), earlier.to_pylist(), strict=True):
             known = {(x["entity_type"], x["norm"]): x["token"] for x in own or ()}
             rows.append(sanitizer(t, detectors, known, [(x["surface"], x["replacement"]) for x in old or ()]))
-        return struct_column(rows, RESULT)
+        return result_column(rows)
 
     joined = docs.select("doc_id", "text").join(tokens, "doc_id", "left").join(before, "doc_id", "left")
     return joined.select("doc_id", "text", made("text", "tokens", "earlier").alias("r"))
@@ -267,7 +279,7 @@ def sanitize(
 
     @arrow_pass(RESULT_SQL)
     def made(texts: pa.Array) -> pa.Array:
-        return struct_column([sanitizer(t, detectors) for t in texts.to_pylist()], RESULT)
+        return result_column([sanitizer(t, detectors) for t in texts.to_pylist()])
 
     if shared_tokens:
         rows = shared_results(docs, sanitizer, detectors, shared_tokens)

@@ -182,3 +182,28 @@ def test_recognizer_groups(spark):
 def test_bad_recognizers_are_refused(wrong):
     with pytest.raises(ValueError):
         Recognizer.from_dict(wrong)
+
+
+def test_hints_leave_out_no_match():
+    """Texts put together from pieces of what detectors look for, also in letters that only (?i) takes for those of the pattern."""
+    draw = random.Random(5)
+    pieces = (
+        "1.2.3.4|10.|2001:db8:0:0:0:0:77:1|::1|fe80::|123-45-6789|12 Baker Street|7b Mill Rd.|Hauptstraße 5|Ringweg 9|SW1A 1AA|, IL 12345|zip code 12345|ZİP 12345|poſtal 54321|Suite 12, 12345|SUITE 7|ſuite 7|fl 3|"
+        "bıc: DEUTDEFF|SWIFT DEUTDEFF|4e:b8:7f:00:11:02|[1.5,-2.25]|12.3456, 7.8901|AZ 12 C 34/26|1234/97|A.B.|J.R.R.|14 March 1990|ſep 2020|2020-01-02|3.4.21|May 5|aged 44|44 yearſ old|9-year-old|10:30 PM|9 a.m.|"
+        "Patient No: 12345678|lıcenſe 1234|dl 9999|member: AB 123|1|.|:|-| |,|\n|x|A"
+    ).split("|")
+    plain, hinted = D.Detectors(), D.Detectors()
+    plain.may_have = lambda name, text, low: True
+    for _ in range(3000):
+        text = "".join(draw.choice(pieces) + draw.choice(["", " ", ". "]) for _ in range(draw.randrange(1, 7)))
+        assert hinted(text) == plain(text), text
+
+
+def test_hints_spare_patterns(monkeypatch):
+    """A short letter runs few patterns: what its text can't have isn't looked for."""
+    letter = "Dr. Anna Keller met Frank Baker. Keller wrote to user1@mail.example.org about card 4000000000000010."
+    ran = []
+    detectors = D.Detectors()
+    monkeypatch.setattr(D, "matches", lambda pattern, text, test=None: ran.append(pattern) or iter(()))
+    detectors(letter)
+    assert len(ran) < 10
