@@ -46,6 +46,8 @@ LABEL_TYPES = {
 IBAN_START = r"[A-Z](?=[A-Z]\d{2}(?: ?[A-Z0-9]{1,4}){2,8}\b)"
 IBAN_WHOLE = r"([A-Z]{2}\d{2}(?: ?[A-Z0-9]{1,4}){2,8})\b"
 CARD = r"(?<!\d)\d(?:[ \-]?\d){12,18}(?!\d)"
+DIGIT_RUN, MOST_CARD_DIGITS = r"(?<!\d)\d(?:[ \-]?\d){12,}", 19
+CARD_PART = r"(?<!\d)\d{13,19}(?!\d)"
 PHONE = r"(?<![\d.])\+?\d[\d \t().\-]{5,17}\d(?!\d)"
 INITIALS = r"\b(?:[^\W\d_]\.){2,3}"
 INITIALS_STOP = "U.S. U.K. U.N. E.U. A.M. P.M. B.C. A.D. I.E. E.G. N.B. P.S. U.S.A. D.C. A.K.A. E.T.C.".split()

@@ -67,3 +67,13 @@ def test_passes_run_once_after_the_rows_are_dealt(spark, monkeypatch, name):
             assert "EvalPython" not in line
     if name in ("entity_report", "vault_rows", "mode_mapping"):
         assert sum("EvalPython" in line for line in plan) == 1
+
+
+def test_document_spans_in_runs_too_long_for_a_card(spark, tmp_path):
+    texts = ["+1 (836) 555-9331 4913187196670932 53.121.55.90", "4000 0000 0000 0010 12345", "x 4000 0000 0000 0010 y", None, "1 22-4913187196670932 4111111111111111"]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.sql(f"select doc_id, detector, value, n from ({catalogue.oracle_sql()['document_spans']})").fetchall()
+    got = catalogue.queries()["document_spans"](spark, str(tmp_path)).select("doc_id", "detector", "value", "n").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and len(want) == 5

@@ -207,3 +207,19 @@ def test_hints_spare_patterns(monkeypatch):
     monkeypatch.setattr(D, "matches", lambda pattern, text, test=None: ran.append(pattern) or iter(()))
     detectors(letter)
     assert len(ran) < 10
+
+
+@pytest.mark.parametrize(
+    ("text", "cards"),
+    [
+        ("+1 (836) 555-9331 4913187196670932 53.121.55.90", [("4913187196670932", "card_luhn")]),
+        ("4913187196670932 53", [("4913187196670932 53", "card_format")]),
+        ("4000 0000 0000 0010 12345", [("4000 0000 0000 0010", "card_luhn")]),
+        ("4000 0000 0000 0010-4913187196670932 4111111111111111 12", [("4000 0000 0000 0010", "card_luhn"), ("4913187196670932", "card_luhn"), ("4111111111111111", "card_luhn")]),
+        ("12345678901234567890", []),
+    ],
+)
+def test_cards_in_runs_of_digits(text, cards):
+    """A number that is whole by itself takes no digits of its neighbours in a run that is too long for one card."""
+    got = [(v, name) for _, _, kind, v, _, name in D.Detectors()(text) if kind == "CREDIT_CARD"]
+    assert got == cards
