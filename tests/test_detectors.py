@@ -4,11 +4,12 @@ import random
 import re
 import time
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from spanloom.functions import patterns
-from spanloom.functions.rex import automaton, quoted, rex, splice, spliced, whole_hits, whole_values
+from spanloom.functions.rex import SLICE, arrow_pass, automaton, quoted, rex, splice, spliced, whole_hits, whole_values
 from spanloom.functions.validators import date_ok, iban_ok, iban_valid, luhn_ok, luhn_valid, phone_ok, plausible_date, plausible_phone
 from spanloom.operators import detect as D
 from spanloom.operators.recognizers import Recognizer
@@ -223,3 +224,19 @@ def test_cards_in_runs_of_digits(text, cards):
     """A number that is whole by itself takes no digits of its neighbours in a run that is too long for one card."""
     got = [(v, name) for _, _, kind, v, _, name in D.Detectors()(text) if kind == "CREDIT_CARD"]
     assert got == cards
+
+
+def test_a_pass_holds_a_slice_of_a_batch(spark):
+    """A pass sees at most SLICE rows at once, in order, whatever the session's batches are; a filter on it runs it no second time."""
+
+    @arrow_pass("long")
+    def size(ids):
+        return pa.array([len(ids)] * len(ids), pa.int64())
+
+    @arrow_pass("long")
+    def same(ids):
+        return ids
+
+    rows = spark.range(0, 3 * SLICE + 1, numPartitions=1).select("id", size("id").alias("n"), same("id").alias("same"))
+    assert sorted(r["n"] for r in rows.collect()) == [1] + [SLICE] * 3 * SLICE
+    assert rows.where("same != id").count() == 0 and rows.where("id < 0").collect() == []
