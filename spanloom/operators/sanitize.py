@@ -85,6 +85,18 @@ def free_hits(text: str, entities: list[dict], surfaces: Iterable[str]) -> Itera
             yield s, e, value
 
 
+def finished(text: str, edits: Iterable[tuple[int, int, str]], vault: Iterable[tuple[str, str]]) -> tuple[str, int]:
+    """The text with its ordered edits and after the sweep, where a tokenised value of (token, value) that still stands as a whole word
+    gives way to its first token; and the number of those."""
+    first: dict[str, str] = {}
+    for token, value in vault:
+        if len(value) >= LEAST_SURFACE:
+            first.setdefault(value, token)
+    out = spliced(text, edits)
+    left = [(s, e, first[v]) for s, e, v in whole_hits(out, automaton(first))]
+    return spliced(out, left), len(left)
+
+
 @dataclass(frozen=True)
 class Sanitizer:
     """The steps over one document; picklable, so that it goes to the workers once."""
@@ -165,22 +177,16 @@ class Sanitizer:
                 vault[replacement] = (TOKEN_FINDER.match(replacement)[1], value, TOKENIZE)
             found.append((s, e, replacement, confidence))
         edits = sorted([*base, *found])
-        out = spliced(whole, (x[:3] for x in edits))
-        # The sweep: a tokenised value that still stands as a whole word gives way to its first token.
-        first: dict[str, str] = {}
-        for token, (_, value, _) in vault.items():
-            if len(value) >= LEAST_SURFACE:
-                first.setdefault(value, token)
-        left = [(s, e, first[v]) for s, e, v in whole_hits(out, automaton(first))]
+        sanitized, swept = finished(whole, (x[:3] for x in edits), ((token, value) for token, (_, value, _) in vault.items()))
         entries = [(token, *entry) for token, entry in vault.items()]
         n = sum(e["action"] == TOKENIZE for e in entities)
         more = len(minted) * (person == TOKENIZE)
         return (
-            None if text is None else spliced(out, left),
+            None if text is None else sanitized,
             entities,
             edits,
             entries,
-            len(left),
+            swept,
             n + more,
             len(entities) - n + len(minted) - more,
         )

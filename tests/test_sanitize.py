@@ -253,6 +253,28 @@ def test_gateway_holds_back_leaks_and_never_shows_the_vault(spark):
         gateway.run(docs, policy.Policy("none"), service, strict=True)
     assert gateway.dig({"a": [{"b": "c"}]}, "a.0.b") == "c"
 
+def test_gateway_searches_a_document_once_and_writes_no_value(spark, monkeypatch):
+    seen, written, write = spark.sparkContext.accumulator(0), [], gateway.materialize
+
+    class Counting(policy.Policy):
+        def action_for(self, entity_type):
+            seen.add(entity_type == "PERSON")  # once for each search of a text without persons
+            return super().action_for(entity_type)
+
+    plain = ["mail a@x.org", "b@y.org and b@y.org", "nothing"]
+    assert {r.restored for r in gateway.run(docs_of(spark, plain), Counting("all", {}, "tokenize")).collect()} == set(plain)
+    assert seen.value == len(plain)
+    monkeypatch.setattr(gateway, "materialize", lambda df: written.append(write(df)) or written[-1])
+    texts = ["Dr. Anna Kellér met Zoë Baker. Kellér wrote to ünï@x.org, a@x.org", "", None, "Ärzte: b@y.org 𝒳 b@y.org und B@y.org", "nothing"]
+    rows = {r.doc_id: r for r in gateway.run(docs_of(spark, texts), MAXIMUM).collect()}
+    want = {r.doc_id: r for r in sanitize.sanitize(docs_of(spark, texts), MAXIMUM).collect()}
+    for k, t in enumerate(texts):
+        assert rows[k].text == t and rows[k].sanitized == want[k].sanitized == rows[k].response and not rows[k].dropped
+        assert sorted(rows[k].restored_tokens) == sorted(v.token for v in want[k].vault)
+    assert "Kellér" not in str(written[0].collect()) and "y.org" not in str(written[0].collect())
+    two = spark.createDataFrame([(7, "mail a@x.org"), (7, "b@y.org wrote"), (None, "c@z.org")], "doc_id long, text string")
+    assert sorted(r.restored for r in gateway.run(two, MAXIMUM).collect()) == ["b@y.org wrote", "c@z.org", "mail a@x.org"]
+
 
 def test_overrides_keep_and_tag(spark):
     docs = docs_of(spark, ["mail a@x.org and b@y.org about Zed"])
