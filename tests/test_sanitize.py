@@ -276,6 +276,17 @@ def test_gateway_searches_a_document_once_and_writes_no_value(spark, monkeypatch
     assert sorted(r.restored for r in gateway.run(two, MAXIMUM).collect()) == ["b@y.org wrote", "c@z.org", "mail a@x.org"]
 
 
+def test_modes_of_sanitized_rows_equal_those_of_their_spans(spark):
+    texts = ["Dr. Anna Kellér met Zoë Baker on 3 May 2011. Kellér wrote to ünï@x.org", "", None, "nothing"]
+    for p in (MAXIMUM, policy.Policy("mixed", {"PERSON": "redact", "EMAIL": "tokenize"})):
+        made = sanitize.sanitize(docs_of(spark, texts), p, run_leak_scan=False)
+        for mode in modes.MODES:
+            want = {r.doc_id: r.text for r in modes.rendered(docs_of(spark, texts), modes.spans_of(made), mode).collect()}
+            rows = modes.rendered_rows(made, mode)
+            assert {r.doc_id: r.text for r in rows.collect()} == want
+            assert "Join" not in (plan := rows._jdf.queryExecution().optimizedPlan().toString()) and "Aggregate" not in plan
+
+
 def test_overrides_keep_and_tag(spark):
     docs = docs_of(spark, ["mail a@x.org and b@y.org about Zed"])
     spans = modes.spans_of(sanitize.sanitize(docs, policy.get_policy("personal"), use_names=False))
