@@ -66,6 +66,14 @@ class Lexicon:
     openers: frozenset[str] = frozenset(OPENERS) | {w.lower() for w in STOPWORDS}
     non_names: frozenset[str] = by_rule()
 
+    @cached_property
+    def kinds(self) -> dict[str, tuple]:
+        """What a worker remembers of words that it has met (`kernel.words_of`)."""
+        return {}
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "kinds"}
+
     @cached_property
     def never_alone(self) -> frozenset[str]:
         """Words that never stand for a person alone."""

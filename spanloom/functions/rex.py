@@ -84,9 +84,12 @@ def whole_hits(text: str, strings: ahocorasick.Automaton | None) -> Iterator[Mat
     if strings is None:
         return
     found: dict[int, int] = {}
+    most = len(text)
     for last, n in strings.iter(text):
         start, end = last - n + 1, last + 1
-        if (start and is_word(text[start - 1])) or (end < len(text) and is_word(text[end])):
+        if start and ((c := text[start - 1]).isalnum() or c == "_"):
+            continue
+        if end < most and ((c := text[end]).isalnum() or c == "_"):
             continue
         if found.get(start, 0) < end:
             found[start] = end

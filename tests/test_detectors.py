@@ -240,3 +240,12 @@ def test_a_pass_holds_a_slice_of_a_batch(spark):
     rows = spark.range(0, 3 * SLICE + 1, numPartitions=1).select("id", size("id").alias("n"), same("id").alias("same"))
     assert sorted(r["n"] for r in rows.collect()) == [1] + [SLICE] * 3 * SLICE
     assert rows.where("same != id").count() == 0 and rows.where("id < 0").collect() == []
+
+
+def test_words_that_are_in_no_run_take_no_place():
+    from spanloom.functions.lexicon import DEFAULT
+    from spanloom.operators import kernel
+
+    words = kernel.words_of("the long road to Anna van der Berg, then dr Zed and so on", DEFAULT)
+    assert [w and w.text for w in words] == ["Anna", "van", "der", "Berg", None, "dr", "Zed", None]
+    assert [s["value"] for s in kernel.names("we met Anna  Berg, Anna   Cook and Dr.   Zed")] == ["Anna  Berg", "Anna", "Cook", "Zed"]
