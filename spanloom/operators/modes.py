@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from spanloom.functions.rex import splice
+from spanloom.functions.rex import arrow_pass, splice, spliced, struct_lists
+from spanloom.operators.detect import Detectors
+from spanloom.operators.policy import Policy
 from spanloom.operators.resolve import norm_value
+from spanloom.operators.sanitize import Sanitizer
 from spanloom.operators.tokens import REDACTED, make_token
 
 MODES = ("semantic", "synthetic", "generalize", "total", "blackout")
 BLOCK, LONGEST_BLOCK = "█", 16
 UNCERTAIN = 0.6
+YEAR, SPACE = re.compile(r"\b(?:19|20)[0-9]{2}\b"), re.compile(r"[^\S\x1c-\x1f]")
 
 #: Invented stand-ins by type; a type without a pool gets its name and number.
 POOLS = {
@@ -44,6 +52,11 @@ GENERAL = {
 }
 
 
+def _known(mode: str) -> None:
+    if mode not in MODES:
+        raise ValueError(f"unknown mode {mode!r}; choose one of {', '.join(MODES)}")
+
+
 def _by_type(table: dict[str, Column], entity_type: Column, other: Column) -> Column:
     out = other
     for name, value in table.items():
@@ -76,12 +89,83 @@ def blackout(value: Column) -> Column:
 
 def replacement(mode: str, entity_type: Column, value: Column, token: Column, ordinal: Column) -> Column:
     """What stands for a value; an entity that the policy redacts is redacted in every mode."""
-    if mode not in MODES:
-        raise ValueError(f"unknown mode {mode!r}; choose one of {', '.join(MODES)}")
+    _known(mode)
     made = {"semantic": token, "synthetic": synthetic(entity_type, ordinal), "generalize": generalized(entity_type, value), "total": F.lit(REDACTED), "blackout": blackout(value)}[mode]
     return F.when(token == REDACTED, REDACTED).otherwise(made)
 
 
+def _synthetic(kind: str, value: str, token: str) -> str:
+    ordinal = int(token[token.rindex("_") + 1 : -2])
+    if kind not in POOLS:
+        return " ".join(w[:1].upper() + w[1:].lower() for w in kind.split("_")) + f" {ordinal}"
+    turn, k = divmod(ordinal - 1, len(POOLS[kind]))
+    return POOLS[kind][k] + (f" {turn + 1}" if turn else "")
+
+
+def _generalized(kind: str, value: str, token: str) -> str:
+    if kind in ("DATE", "DOB"):
+        year = YEAR.search(value)
+        return year[0] if year else "[a date]"
+    return f"[{GENERAL.get(kind) or kind.lower()}]"
+
+
+def _blackout(kind: str, value: str, token: str) -> str:
+    return BLOCK * min(max(len(SPACE.sub("", value)), 1), LONGEST_BLOCK)
+
+
+#: `replacement` of one entity's type, value and token.
+STAND_INS: dict[str, Callable[[str, str, str], str]] = {
+    "semantic": lambda kind, value, token: token,
+    "synthetic": _synthetic,
+    "generalize": _generalized,
+    "total": lambda kind, value, token: REDACTED,
+    "blackout": _blackout,
+}
+
+
+def edits_in_mode(text: str, sanitizer: Sanitizer, detectors: Detectors, mode: str) -> Iterator[tuple[int, int, str]]:
+    """The ordered edits of one text with what stands for their values in a mode."""
+    stand_in = STAND_INS[mode]
+    _, edits, vault, _ = sanitizer.edited(text, detectors)
+    for s, e, token, _ in edits:
+        yield s, e, token if token == REDACTED else stand_in(vault[token][0], text[s:e], token)
+
+
+def in_mode(docs: DataFrame, policy: Policy, mode: str, **options) -> DataFrame:
+    """(doc_id, text): what `rendered_rows` makes of sanitized documents, in the one pass that searches them; only texts leave it.
+
+    options: those of a Sanitizer.
+    """
+    _known(mode)
+    sanitizer, detectors = Sanitizer(policy, **options), Detectors(policy.recognizers)
+
+    @arrow_pass("string")
+    def made(texts: pa.Array) -> pa.Array:
+        return pa.array([t and spliced(t, edits_in_mode(t, sanitizer, detectors, mode)) for t in texts.to_pylist()], pa.string())
+
+    return docs.select("doc_id", made("text").alias("text"))
+
+
+def mapping_in_mode(docs: DataFrame, policy: Policy, mode: str, **options) -> DataFrame:
+    """(doc_id, replacement, value): the `mapping` of sanitized documents, in the one pass that searches them."""
+    _known(mode)
+    sanitizer, detectors = Sanitizer(policy, **options), Detectors(policy.recognizers)
+    kinds = {"replacement": pa.string(), "start": pa.int32(), "value": pa.string()}
+
+    def firsts(text: str) -> list[tuple[str, int, str]]:
+        found: dict[str, tuple[int, str]] = {}
+        for s, e, r in edits_in_mode(text, sanitizer, detectors, mode):
+            found.setdefault(r, (s, text[s:e]))
+        return [(r, *first) for r, first in found.items()]
+
+    @arrow_pass("array<struct<replacement:string,start:int,value:string>>")
+    def made(texts: pa.Array) -> pa.Array:
+        return struct_lists((firsts(t or "") for t in texts.to_pylist()), kinds)
+
+    each = docs.select("doc_id", F.inline(made("text")))
+    return each.groupBy("doc_id", "replacement").agg(F.min_by("value", "start").alias("value"))
+
+
 def placed() -> Column:
     """array<struct<start, end, entity_type, value, token, ordinal, confidence>> of a sanitized row's edits; type and number come from the token."""
 

@@ -151,21 +151,21 @@ class Sanitizer:
             out.setdefault(part, (None, PART_CONFIDENCE, tokens.get(("PERSON", registry_norm(part)))))
         return out
 
-    def __call__(self, text: str | None, detectors: Detectors, tokens: dict[tuple[str, str], str] | None = None, earlier: list[tuple[str, str]] = ()) -> tuple:
-        """A row of RESULT: entities as dicts, edits and vault entries as tuples."""
-        whole, tokens = text or "", tokens or {}
-        entities = self.acted(whole, detectors)
+    def edited(self, text: str, detectors: Detectors, tokens: dict[tuple[str, str], str] | None = None, earlier: list[tuple[str, str]] = ()) -> tuple:
+        """(entities, edits, vault, (tokenized, redacted) shared name parts that turn up): entities as dicts, ordered edits as tuples of
+        EDIT, vault entries by token."""
+        tokens = tokens or {}
+        entities = self.acted(text, detectors)
         for e in entities:
-            shared = tokens.get((e["entity_type"], registry_norm(e["canonical"])))
+            shared = tokens.get((e["entity_type"], registry_norm(e["canonical"]))) if tokens else None
             e["replacement"] = (shared or token_of(e["entity_type"], e["idx"])) if e["action"] == TOKENIZE else REDACTED
-        base = sorted((m["start"], m["end"], e["replacement"], m["confidence"]) for e in entities for m in e["members"])
+        edits = [(m["start"], m["end"], e["replacement"], m["confidence"]) for e in entities for m in e["members"]]
         surfaces = self.surfaces(entities, tokens, earlier)
         vault = {e["replacement"]: (e["entity_type"], e["canonical"], e["action"]) for e in entities if e["action"] == TOKENIZE}
         person = self.policy.action_for("PERSON")
         last = max((e["idx"] for e in entities if e["entity_type"] == "PERSON"), default=0)
         minted: dict[str, str] = {}
-        found = []
-        for s, e, value in free_hits(whole, entities, surfaces):
+        for s, e, value in free_hits(text, entities, surfaces):
             replacement, confidence, token = surfaces[value]
             if replacement is None:
                 if value not in minted:
@@ -175,12 +175,17 @@ class Sanitizer:
                 replacement = minted[value]
             elif replacement != REDACTED and replacement not in vault:  # a token of another document, used here
                 vault[replacement] = (TOKEN_FINDER.match(replacement)[1], value, TOKENIZE)
-            found.append((s, e, replacement, confidence))
-        edits = sorted([*base, *found])
+            edits.append((s, e, replacement, confidence))
+        edits.sort()
+        return entities, edits, vault, (len(minted), 0) if person == TOKENIZE else (0, len(minted))
+
+    def __call__(self, text: str | None, detectors: Detectors, tokens: dict[tuple[str, str], str] | None = None, earlier: list[tuple[str, str]] = ()) -> tuple:
+        """A row of RESULT: entities as dicts, edits and vault entries as tuples."""
+        whole = text or ""
+        entities, edits, vault, (more, hidden) = self.edited(whole, detectors, tokens, earlier)
         sanitized, swept = finished(whole, (x[:3] for x in edits), ((token, value) for token, (_, value, _) in vault.items()))
         entries = [(token, *entry) for token, entry in vault.items()]
         n = sum(e["action"] == TOKENIZE for e in entities)
-        more = len(minted) * (person == TOKENIZE)
         return (
             None if text is None else sanitized,
             entities,
@@ -188,7 +193,7 @@ class Sanitizer:
             entries,
             swept,
             n + more,
-            len(entities) - n + len(minted) - more,
+            len(entities) - n + hidden,
         )
 
 

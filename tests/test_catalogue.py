@@ -69,6 +69,13 @@ def test_passes_run_once_after_the_rows_are_dealt(spark, monkeypatch, name):
         assert sum("EvalPython" in line for line in plan) == 1
 
 
+@pytest.mark.parametrize("name", [n for n in sorted(catalogue.queries()) if n.startswith("mode_")])
+def test_modes_search_and_replace_in_one_pass(spark, name):
+    """A task has one Python worker, and what leaves it is the text alone."""
+    plan = catalogue.queries()[name](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("EvalPython") == 1 and "members" not in plan
+
+
 def test_document_spans_in_runs_too_long_for_a_card(spark, tmp_path):
     texts = ["+1 (836) 555-9331 4913187196670932 53.121.55.90", "4000 0000 0000 0010 12345", "x 4000 0000 0000 0010 y", None, "1 22-4913187196670932 4111111111111111"]
     spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")

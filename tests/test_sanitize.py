@@ -287,6 +287,38 @@ def test_modes_of_sanitized_rows_equal_those_of_their_spans(spark):
             assert "Join" not in (plan := rows._jdf.queryExecution().optimizedPlan().toString()) and "Aggregate" not in plan
 
 
+def test_modes_in_one_pass_equal_those_of_sanitized_rows(spark):
+    people = " ".join(f"Then {a} {b} left." for a in ("Ana", "Zoë", "Frank", "Lea") for b in ("Kellér", "Baker", "Ødegård")) + " Frank called Baker."
+    texts = [
+        people,
+        "Dr. Anna Kellér met Zoë Baker on 3 May 2011 and 1/2/11. Kellér wrote to a@x.org, A@X.org, b@y.org; 1 22 5559331 44",
+        "12 Main Street, 10.0.0.1, 00:1b:44:11:3a:b7, 48.2082, 16.3738, card 4111 1111 1111 1111, aged 44, 14:30, https://x.org/a, patient 12345 in Vienna",
+        "born 2 March 1970\x1c\x85 or 3\u00a0May 1999², 𝒳 2011-05-03 Graz General Hospital, DE89 3704 0044 0532 0130 00",
+        "",
+        None,
+        "nothing",
+    ]
+
+    def model(t):
+        found = re.finditer("left|met [A-Z]", t)
+        return [{"seq": 0, "start": m.start(), "end": m.end(), "entity_type": "Odd_kind" if len(m[0]) < 5 else "DOB", "value": m[0], "confidence": 0.9, "detector": "model"} for m in found]
+
+    mixed = policy.Policy("mixed", {"PERSON": "redact", "EMAIL": "tokenize", "DATE": "tokenize"})
+    for p, options in ((MAXIMUM, {"provider": model}), (mixed, {})):
+        made = sanitize.sanitize(docs_of(spark, texts), p, run_leak_scan=False, **options).persist()
+        for mode in modes.MODES:
+            want = {r.doc_id: r.text for r in modes.rendered_rows(made, mode).collect()}
+            rows = modes.in_mode(docs_of(spark, texts), p, mode, **options)
+            assert {r.doc_id: r.text for r in rows.collect()} == want
+            assert rows._jdf.queryExecution().optimizedPlan().toString().count("EvalPython") == 1
+        want = sorted(modes.mapping(modes.spans_of(made), "synthetic").collect())
+        assert sorted(modes.mapping_in_mode(docs_of(spark, texts), p, "synthetic", **options).collect()) == want and len(want) > 2
+        made.unpersist()
+    for call in (modes.in_mode, modes.mapping_in_mode):
+        with pytest.raises(ValueError):
+            call(docs_of(spark, texts), MAXIMUM, "nope")
+
+
 def test_overrides_keep_and_tag(spark):
     docs = docs_of(spark, ["mail a@x.org and b@y.org about Zed"])
     spans = modes.spans_of(sanitize.sanitize(docs, policy.get_policy("personal"), use_names=False))
