@@ -7,7 +7,7 @@ worker, so the other columns of a row stay where they are.
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Collection, Iterable, Iterator, Sequence
 
 import ahocorasick
 import pyarrow as pa
@@ -20,6 +20,8 @@ Match = tuple[int, int, str]
 MATCHES = {"start": pa.int32(), "end": pa.int32(), "value": pa.string()}
 #: Rows of a batch that are Python objects at one time.
 SLICE = 500
+#: Strings that are looked for without an automaton.
+FEW = 16
 
 
 def arrow_pass(kind: str) -> Callable[[Callable[..., pa.Array]], Callable[..., Column]]:
@@ -79,13 +81,32 @@ def is_word(char: str) -> bool:
     return char.isalnum() or char == "_"
 
 
-def whole_hits(text: str, strings: ahocorasick.Automaton | None) -> Iterator[Match]:
-    """Whole-word places of the strings, disjoint, in order; where several begin at one place the longest counts."""
+def places_of(text: str, values: Iterable[str]) -> Iterator[tuple[int, int]]:
+    """(last place, length) of all places of each string, as an automaton has them."""
+    find = text.find
+    for v in values:
+        n, at = len(v), find(v) if v else -1
+        while at >= 0:
+            yield at + n - 1, n
+            at = find(v, at + 1)
+
+
+def whole_hits(text: str, strings: ahocorasick.Automaton | Collection[str] | None) -> Iterator[Match]:
+    """Whole-word places of the strings, disjoint, in order; where several begin at one place the longest counts.
+
+    Strings that come without an automaton are looked for one by one if they are few, which takes less than to make one.
+    """
     if strings is None:
         return
+    if isinstance(strings, ahocorasick.Automaton):
+        places = strings.iter(text)
+    elif len(strings) <= FEW:
+        places = places_of(text, strings)
+    else:
+        places = made.iter(text) if (made := automaton(strings)) else ()
     found: dict[int, int] = {}
     most = len(text)
-    for last, n in strings.iter(text):
+    for last, n in places:
         start, end = last - n + 1, last + 1
         if start and ((c := text[start - 1]).isalnum() or c == "_"):
             continue

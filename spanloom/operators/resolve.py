@@ -78,10 +78,14 @@ def document_entities(spans: list[dict], lexicon: Lexicon = DEFAULT) -> list[dic
             key = next(iter(full)) if len(full) == 1 else "p:" + " ".join(own)
         groups[span["entity_type"], key].append((span, partial))
     out, counts = [], defaultdict(int)
-    for (kind, key), mentions in sorted(groups.items(), key=lambda g: (min(s["start"] for s, _ in g[1]), g[0][1], g[0][0])):
+    ordered = sorted((min(s["start"] for s, _ in own) if len(own) > 1 else own[0][0]["start"], key, kind) for (kind, key), own in groups.items())
+    for _, key, kind in ordered:
+        mentions = groups[kind, key]
         counts[kind] += 1
-        best = max(mentions, key=lambda m: (len(m[0]["value"]), not m[1], -m[0]["start"]))[0]
-        members = sorted((s for s, _ in mentions), key=lambda s: (s["start"], s["seq"]))
+        best, members = mentions[0][0], [s for s, _ in mentions]
+        if len(mentions) > 1:
+            best = max(mentions, key=lambda m: (len(m[0]["value"]), not m[1], -m[0]["start"]))[0]
+            members.sort(key=lambda s: (s["start"], s["seq"]))
         out.append(
             {
                 "entity_type": kind,

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Collection, Iterable, Iterator
 from dataclasses import dataclass
 from operator import itemgetter
 
@@ -17,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.functions.lexicon import DEFAULT, Lexicon
-from spanloom.functions.rex import Match, arrow_pass, automaton, splice, spliced, struct_lists, whole_hits
-from spanloom.operators.detect import Detectors
+from spanloom.functions.rex import Match, arrow_pass, splice, spliced, struct_lists, whole_hits
+from spanloom.operators.detect import Detectors, span_of
 from spanloom.operators.kernel import NAME_WORD, disjoint
 from spanloom.operators.leakscan import scan
 from spanloom.operators.policy import KEEP, TOKENIZE, Policy
@@ -75,11 +75,11 @@ def name_words(canonical: str, lexicon: Lexicon = DEFAULT) -> list[str]:
     return list(dict.fromkeys(w for w in real if len(w) >= LEAST_PART and w.lower() not in lexicon.never_alone))
 
 
-def free_hits(text: str, entities: list[dict], surfaces: Iterable[str]) -> Iterator[Match]:
+def free_hits(text: str, entities: list[dict], surfaces: Collection[str]) -> Iterator[Match]:
     """Whole-word places of the surfaces that no mention of an entity touches."""
     base = sorted((m["start"], m["end"]) for e in entities for m in e["members"])
     starts = [s for s, _ in base]
-    for s, e, value in whole_hits(text, automaton(surfaces)):
+    for s, e, value in whole_hits(text, surfaces):
         at = bisect_right(starts, s) - 1
         if not (at >= 0 and base[at][1] > s) and not (at + 1 < len(base) and starts[at + 1] < e):
             yield s, e, value
@@ -93,7 +93,7 @@ def finished(text: str, edits: Iterable[tuple[int, int, str]], vault: Iterable[t
         if len(value) >= LEAST_SURFACE:
             first.setdefault(value, token)
     out = spliced(text, edits)
-    left = [(s, e, first[v]) for s, e, v in whole_hits(out, automaton(first))]
+    left = [(s, e, first[v]) for s, e, v in whole_hits(out, first)]
     return spliced(out, left), len(left)
 
 
@@ -108,9 +108,13 @@ class Sanitizer:
 
     def acted(self, text: str, detectors: Detectors) -> list[dict]:
         """Entities that the policy doesn't keep, with their action, in the order of first appearance."""
-        found = [dict(zip(SPAN_ARROW, (k, *f), strict=True)) for k, f in enumerate(detectors(text))]
-        entities = document_entities(disjoint(text, found, self.use_names, self.lexicon, self.provider), self.lexicon)
-        return [{**e, "action": a} for e in entities if (a := self.policy.action_for(e["entity_type"])) != KEEP]
+        found = [span_of(k, f) for k, f in enumerate(detectors(text))]
+        out = []
+        for e in document_entities(disjoint(text, found, self.use_names, self.lexicon, self.provider), self.lexicon):
+            if (action := self.policy.action_for(e["entity_type"])) != KEEP:
+                e["action"] = action
+                out.append(e)
+        return out
 
     def parts(self, entities: list[dict]) -> dict[str, dict[str, dict]]:
         """Parts of persons' names, with the entities that have them by their replacements; the first to appear comes first."""
@@ -137,7 +141,8 @@ class Sanitizer:
         """
         out: dict[str, tuple[str | None, float, str | None]] = {}
         for e in entities:
-            for surface in sorted({m["value"] for m in e["members"]} | {e["canonical"]}):
+            members = e["members"]
+            for surface in sorted({m["value"] for m in members} | {e["canonical"]}) if len(members) > 1 else (e["canonical"],):
                 if len(surface) >= LEAST_SURFACE:
                     out.setdefault(surface, (e["replacement"], e["confidence"], None))
         parts = self.parts(entities)
@@ -148,7 +153,8 @@ class Sanitizer:
         for surface, replacement in sorted(earlier):
             out.setdefault(surface, (replacement, VAULT_CONFIDENCE, None))
         for part in parts:
-            out.setdefault(part, (None, PART_CONFIDENCE, tokens.get(("PERSON", registry_norm(part)))))
+            if part not in out:
+                out[part] = None, PART_CONFIDENCE, tokens.get(("PERSON", registry_norm(part))) if tokens else None
         return out
 
     def edited(self, text: str, detectors: Detectors, tokens: dict[tuple[str, str], str] | None = None, earlier: list[tuple[str, str]] = ()) -> tuple:

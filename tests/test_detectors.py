@@ -57,6 +57,14 @@ def test_whole_words_are_those_of_an_alternation_longest_first():
     assert list(whole_hits("a", automaton([]))) == [] and one_empty(automaton(["", "a"]))
 
 
+def test_whole_words_of_few_strings_are_those_of_an_automaton():
+    rng = random.Random(3)
+    for _ in range(500):
+        values = {"".join(rng.choice("ab -_é.") for _ in range(rng.randrange(0, 5))) for _ in range(rng.randrange(0, 30))}
+        text = "".join(rng.choice("ab -_é.") for _ in range(40))
+        assert list(whole_hits(text, values)) == list(whole_hits(text, automaton(values)))
+
+
 def one_empty(strings):
     return list(whole_hits("a a", strings)) == [(0, 1, "a"), (2, 3, "a")]
 
