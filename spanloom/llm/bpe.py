@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from spanloom.llm.chunks import APOSTROPHE, LETTER, OTHER, SPACE, Known, binaries, changes, classes, parts, ragged
-from spanloom.llm.common import tidy, tokenizer_path
+from spanloom.llm.common import tidy, tokenizer_path, worker_cache
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 #: Distinct chunks whose ids a bucket keeps.
@@ -320,7 +320,7 @@ class _Assembled:
                 yield self.result(ids, flat[run], bounds)
 
 
-_REPLAYERS: dict[str, MergeReplay] = {}
+_REPLAYERS: dict[str, MergeReplay] = worker_cache()
 
 
 def replayer(path: str) -> MergeReplay:

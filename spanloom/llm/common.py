@@ -40,21 +40,41 @@ BATCH_SETTING, BATCH_DEFAULT, BATCH_ROWS = "spark.sql.execution.arrow.maxRecords
 Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 
 
+#: What a worker keeps between tasks, and the operator (its module) that the last task was of.
+_CACHES: list[dict] = []
+_LAST = [""]
+
+
+def worker_cache() -> dict:
+    """A dict for what a worker keeps between tasks; it is emptied when a task of another operator begins."""
+    _CACHES.append({})
+    return _CACHES[-1]
+
+
+def _give_back() -> None:
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def tidy(batches: Batches) -> Batches:
-    """A mapper whose worker gives back what a task's arrays took: an idle worker holds its caches and no more. The session's Arrow
-    batches become shorter, unless it has a setting of its own."""
+    """A mapper whose worker gives back what a task's arrays took: an idle worker holds its operator's caches and no more, and gives
+    up those too before a task of another operator. The session's Arrow batches become shorter, unless it has a setting of its own."""
     session = SparkSession.getActiveSession()
     if session and session.conf.get(BATCH_SETTING) == BATCH_DEFAULT:
         session.conf.set(BATCH_SETTING, BATCH_ROWS)
 
     def run(them: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if _LAST[0] != batches.__module__:
+            _LAST[0] = batches.__module__
+            for cache in _CACHES:
+                cache.clear()
+            _give_back()
         try:
             yield from batches(them)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
-                trim(0)
+            _give_back()
 
     return run
 

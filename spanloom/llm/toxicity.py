@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from spanloom.llm.common import held_out, labelled_sample, materialize, tidy
+from spanloom.llm.common import held_out, labelled_sample, materialize, tidy, worker_cache
 
 #: Labelled texts of each class that the model is fitted on, at most. Every term of theirs that qualifies is kept.
 SAMPLE_DOCS = 6000
@@ -184,7 +184,7 @@ class Lexicon:
 
 #: Words with a term's half whose match is kept in a worker.
 KNOWN = 400_000
-_LEXICONS: dict[int, Lexicon] = {}
+_LEXICONS: dict[int, Lexicon] = worker_cache()
 
 
 def lexicon_of(terms: dict[str, float]) -> Lexicon:

@@ -15,11 +15,12 @@ import numpy as np
 import pyarrow as pa
 
 from spanloom.llm.chunks import LETTER, SPACE, Known, binaries, changes, classes, parts, ragged
+from spanloom.llm.common import worker_cache
 
 #: Distinct chunks kept in a worker.
 KNOWN = 600_000
 #: Bytes of text whose chunks are numbered together; a longer text is a block of its own.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 1_000_000
 #: Id that ends every document.
 END = 2
 VOCABULARY = "word_bpe_49k.json"
@@ -141,7 +142,7 @@ class WordIds(Known):
                 yield np.append(ids[s:e], np.uint32(END)), np.append(cuts[a:b] - s, e - s + 1)
 
 
-_KEPT: dict[str, WordIds] = {}
+_KEPT: dict[str, WordIds] = worker_cache()
 
 
 def word_ids(path: str) -> WordIds:

@@ -3,16 +3,18 @@
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from spanloom.llm import binpack, bpe, catalogue, line_crf, line_quality, packing, toxicity, url_filter, word_ids
+from spanloom.llm import binpack, bpe, catalogue, common, line_crf, line_quality, packing, toxicity, url_filter, word_ids
 
 SCHEMA = "doc_id long, text string, lang string, words string, id string, h long"
 ODD = [None, "", " ", "\n\t", "a", "ÄÖ é ß x", "日本語。テスト", "x" * 5000, "ab " * 3000, "don't 'tis ΑΣ ΣΑΣ. İI ﬁ 12 3a'll\r\n\nq", "<|endoftext|> a", "é ́x a\u0085b\x1cc"]
@@ -76,6 +78,32 @@ def test_word_ids_are_the_tokenizers():
         assert ends[-1] == len(ids) and (np.diff(ends) > 0).all()
 
 
+def test_word_ids_hold_the_arrays_of_a_small_block():
+    own, texts = word_ids.WordIds(public_tokenizers.path(word_ids.VOCABULARY)), pa.array(["The cat sat on a mat, again. " * 70] * 2000)
+    tracemalloc.start()
+    try:
+        assert sum(len(ids) for ids, _ in own.encode(texts)) > 1_000_000
+        assert tracemalloc.get_traced_memory()[1] < 60e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_worker_drops_the_caches_of_another_operator():
+    def batches(them):
+        kept["own"] = 1
+        yield from them
+
+    def others(them):
+        yield from them
+
+    kept, others.__module__ = common.worker_cache(), "another"
+    try:
+        assert list(common.tidy(batches)([])) == list(common.tidy(batches)([])) == [] and kept
+        assert list(common.tidy(others)([])) == [] and not kept
+    finally:
+        common._CACHES.pop()
+
+
 def pieces_hold(rows, texts, capacity):
     tokenizer = Tokenizer.from_file(public_tokenizers.path(word_ids.VOCABULARY))
     want = {k: np.array([*tokenizer.encode(t or "", add_special_tokens=False).ids, 2], "<u4") for k, t in enumerate(texts)}
